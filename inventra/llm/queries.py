@@ -33,6 +33,18 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inventra.llm.quality import quality_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = quality_scores(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return judged(done, remainder(5) == 0, 0.3)
+
+
+def judged(done: DataFrame, held_out: Column, cutoff: float) -> DataFrame:
+    return done.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inventra.llm.bpe import encode_decode
 
@@ -44,6 +56,26 @@ def bpe_digests(done: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inventra.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inventra.llm.shards import sharded
+
+    return sharded(table(spark, sf_dir, "documents"), 8)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inventra.llm.toxicity import toxicity_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = toxicity_scores(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    return judged(done, remainder(3) == 1, 0.7)
+
+
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inventra.llm.katz import katz_scores
 
@@ -53,6 +85,13 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.coalesce(remainder(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(words.n).cast("long").alias("train_tokens"), (F.col("base_sum") - F.col("n_tokens") * floor).alias("base_score"), "score")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inventra.llm.main_text import main_texts
+
+    done = main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inventra.llm.repeats import repeated_spans
 
@@ -60,8 +99,15 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inventra.llm.rules import judged as judge
+
+    done = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op3_bpe, op7_katz, op9_repeats)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_bpe, op4_decontaminate, op5_shards, op6_toxicity, op7_katz, op8_main_text, op9_repeats, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

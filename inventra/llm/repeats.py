@@ -31,6 +31,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from inventra.llm import blocks as B
 from inventra.llm.words import U, mix, run_hash, slices
@@ -337,19 +339,26 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:lo
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
-def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR, block_bytes: int = B.BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs), kept (bytes):
-    one row for each row of ``df``."""
+    one row for each row of ``df``; where asked for, ``carry``: a struct of
+    further columns."""
     if not 8 <= anchor < width or width - anchor > 31 or anchor % 8:
         raise ValueError("anchor must be a multiple of 8 and at most 31 below width")
     n = B.pieces(B.total_bytes(df, text), block_bytes)
     sort = _Sort(width, anchor, n)
-    docs = B.dealt(df, doc_id, text, n)
+    more = [F.struct(*carry).alias("carry")] if carry else []
+    docs = B.dealt(df, doc_id, text, n, *more)
     first = B.answered(B.asked(docs, sort.first_ask), sort.first_answer)
     second = B.answered(B.asked_again(docs, first, sort.second_ask), sort.second_answer)
 
     def finish(table, parts):
         ids, texts, spans = sort.spans(table, parts)
-        return ids, [len(t or b"") for t in texts], [int((s[:, 1] - s[:, 0]).sum()) for s in spans], [[{"begin": a, "end": b} for a, b in s.tolist()] for s in spans], [kept_bytes(t, s) for t, s in zip(texts, spans, strict=True)]
-
-    return B.met(docs, second, finish, SCHEMA, _ARROW)
+        out = [ids, [len(t or b"") for t in texts], [int((s[:, 1] - s[:, 0]).sum()) for s in spans], [[{"begin": a, "end": b} for a, b in s.tolist()] for s in spans], [kept_bytes(t, s) for t, s in zip(texts, spans, strict=True)]]
+        return [*out, B.docs_of(table, "carry")[2]] if carry else out
+
+    schema, arrow = SCHEMA, _ARROW
+    if carry:
+        kind = docs.schema["carry"].dataType
+        schema, arrow = f"{SCHEMA}, carry {kind.simpleString()}", _ARROW.append(pa.field("carry", to_arrow_type(kind)))
+    return B.met(docs, second, finish, schema, arrow)

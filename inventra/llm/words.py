@@ -16,6 +16,8 @@ import numpy as np
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LOWER_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER_BYTES[0x41:0x5B] += 0x20
 _random = np.random.default_rng(20240607)
 _BYTE = _random.integers(0, 2**64, 256, dtype=U) | U(1)
 _BYTE_LOWER = _BYTE.copy()

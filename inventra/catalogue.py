@@ -1,15 +1,505 @@
-"""Every registered query and its DuckDB twin."""
+"""Every registered query and its DuckDB twin.
+
+The driver's tables stand in for the inventory's relations: parts for
+components, lineitems for relationships, suppliers and customers for
+repositories, pages for endpoints, events for sites and snapshots.  A query only
+projects, applies a library operator, and aliases."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inventra.functions import text as X
+from inventra.operators import agentic, compare, dedup, graph, joins, links
+from inventra.plans import assess
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def _components(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as components: name and brand make the key repeat."""
+    p = _t(spark, d, "part")
+    return p.select(
+        F.concat(F.lit(" "), F.col("p_brand"), F.lit(" ")).alias("name"), F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, F.col("p_type")).alias("model_name"),
+        F.element_at(F.split("p_type", " "), 1).alias("component_type"),
+        F.concat(F.when(F.col("p_partkey") % 4 == 0, "tests/").otherwise("src/"), F.col("p_size").cast("string"), F.lit(".py")).alias("file_path"),
+        F.col("p_size").alias("line_number"), F.col("p_brand").alias("framework"), F.col("p_retailprice").alias("confidence"),
+        (F.col("p_partkey") % 5 == 0).alias("marked"), (F.col("p_partkey") % 7 == 0).alias("needs_agentic"), F.col("p_partkey").alias("ord"), (F.col("p_partkey") % 11).alias("weight"))
+
+
+_PARTS = """with c as (select ' ' || p_brand || ' ' as name, case when p_partkey % 3 = 0 then '' when p_partkey % 3 = 1 then p_type end as model_name,
+ split_part(p_type, ' ', 1) as component_type, (case when p_partkey % 4 = 0 then 'tests/' else 'src/' end) || p_size || '.py' as file_path,
+ p_size as line_number, p_brand as framework, p_retailprice as confidence, p_partkey % 5 = 0 as marked, p_partkey % 4 = 0 as test,
+ p_partkey % 7 = 0 as needs_agentic, p_partkey as ord, p_partkey % 11 as weight,
+ lower(trim(coalesce(nullif(case when p_partkey % 3 = 0 then '' when p_partkey % 3 = 1 then p_type end, ''), ' ' || p_brand || ' '))) as key from part) """
+
+
+@query(_PARTS + """, g as (select key, component_type, count(*) as evidence_count, count(distinct file_path) as n_files, bool_and(test) as test_only, bool_or(needs_agentic) as needs_agentic from c group by 1, 2),
+ b as (select * from (select *, row_number() over (partition by key, component_type order by confidence desc, marked desc, test, line_number, ord) as rn from c) where rn = 1)
+ select g.key, g.component_type, b.name, b.model_name, b.file_path, b.line_number, b.confidence, b.framework, b.ord, g.evidence_count, g.n_files, g.test_only, g.needs_agentic from g join b using (key, component_type)""")
+def consolidate_assets(spark, d):
+    out = dedup.consolidate(_components(spark, d))
+    return out.select("key", "component_type", "name", "model_name", "file_path", "line_number", "confidence", "framework", "ord", "evidence_count", F.size("evidence_files").cast("long").alias("n_files"), "test_only", "needs_agentic")
+
+
+_FREE = "('PROMO', 'ECONOMY', 'LARGE', 'SMALL', 'STANDARD', 'MEDIUM')"
+
+
+@query(_PARTS + f"select key, component_type, ord as representative, siblings from (select *, count(*) over (partition by key, component_type) as siblings, row_number() over (partition by key, component_type order by weight desc, ord) as rn from c where component_type in {_FREE}) where rn = 1")
+def dedup_context_free(spark, d):
+    out = dedup.dedup_context_free(_components(spark, d), ("PROMO", "ECONOMY", "LARGE", "SMALL", "STANDARD", "MEDIUM"))
+    return out.select("key", "component_type", "representative", "siblings")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_quantity from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_quantity desc, l_partkey desc, l_suppkey desc) as rn from lineitem) where rn = 1")
+def dedup_same_site(spark, d):
+    order = F.struct("l_quantity", "l_partkey", "l_suppkey")
+    return dedup.best(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], order, ["l_partkey", "l_quantity"])
+
+
+def _edges(spark, d):
+    li = _t(spark, d, "lineitem")
+    return li.select(
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey").cast("string")).otherwise("").alias("source_instance_id"), F.lit("").alias("target_instance_id"),
+        F.concat(F.lit("S "), F.col("l_suppkey").cast("string")).alias("source_name"), F.concat(F.lit("Part "), (F.col("l_partkey") % 50).cast("string")).alias("target_name"),
+        F.col("l_returnflag").alias("relationship_type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+
+
+@query("""with e as (select case when l_linenumber % 2 = 0 then cast(l_suppkey as varchar) else '' end as sid, 'S ' || l_suppkey as source_name, 'Part ' || (l_partkey % 50) as target_name, l_returnflag as relationship_type, l_orderkey * 10 + l_linenumber as ord from lineitem)
+select relationship_type, source_name, target_name, ord from (select *, row_number() over (partition by coalesce(nullif(sid, ''), lower(source_name)), lower(target_name), relationship_type order by ord) as rn from e) where rn = 1""")
+def dedup_edges(spark, d):
+    return dedup.dedup_edges(_edges(spark, d)).select("relationship_type", "source_name", "target_name", "ord")
+
+
+@query("""select lower(p_name) as key, arg_min(p_name, p_partkey) as name, arg_min(p_brand, p_partkey) as ecosystem, arg_min(cast(p_size as varchar), p_partkey) filter (where p_size % 2 = 0) as pin, min(p_partkey) as ord from part group by 1""")
+def dedup_dependencies(spark, d):
+    p = _t(spark, d, "part")
+    rows = p.select(F.col("p_name").alias("name"), F.col("p_brand").alias("ecosystem"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).alias("pin"), F.col("p_partkey").alias("ord"))
+    return dedup.dedup_dependencies(rows).select("key", "name", "ecosystem", "pin", "ord")
+
+
+@query("""with u as (select p_name as name, min(p_partkey) as id from part group by 1 having count(*) = 1), w as (select distinct p_name as name from part) select w.name, u.id from w left join u using (name)""")
+def backfill_unique_id(spark, d):
+    p = _t(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"))
+    return joins.backfill_ids(p.select("name").distinct(), p)
+
+
+@query("""with last as (select p_brand as name, arg_max(p_type, p_partkey) as target_type from part group by 1) select target_type, count(*) as edges from lineitem join part on l_partkey = p_partkey left join last on p_brand = name group by 1""")
+def resolve_types_last_wins(spark, d):
+    p = _t(spark, d, "part")
+    c = p.select(F.col("p_brand").alias("name"), F.col("p_type").alias("component_type"), F.col("p_partkey").alias("ord"))
+    r = _t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("target_name"))
+    return joins.types_by_name(r, c).groupBy("target_type").agg(F.count("*").alias("edges"))
+
+
+@query("""with m as (select l_orderkey, arg_max('part-' || l_partkey, cast(l_linenumber as bigint) * 1000000000 + l_partkey) as model from lineitem group by 1) select o_orderkey as id, coalesce(case when o_orderkey % 4 = 0 then 'own' end, model) as model_name from orders left join m on o_orderkey = l_orderkey""")
+def propagate_model(spark, d):
+    c = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, "own").otherwise("").alias("model_name"))
+    r = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("model_name"), (F.col("l_linenumber") * F.lit(1000000000).cast("long") + F.col("l_partkey")).alias("ord"))
+    return joins.propagate_models(c, r).select("id", "model_name")
+
+
+@query("""select l_orderkey as source_key, l_partkey as target_key, l_linenumber from lineitem where exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'F') and exists (select 1 from part where p_partkey = l_partkey and p_size < 20)""")
+def filter_dangling_edges(spark, d):
+    r = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_key"), F.col("l_partkey").alias("target_key"), "l_linenumber")
+    o = _t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("source_key"))
+    return joins.surviving_edges(r, o, _t(spark, d, "part").where("p_size < 20").select(F.col("p_partkey").alias("target_key")))
+
+
+@query("""select p_partkey, p_name as name from part where p_size > 1 and lower(trim(p_name)) not in (select lower(trim(p_name)) from part where p_size = 1)""")
+def tool_vs_store(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), "p_size")
+    return joins.without_names(p.where("p_size > 1"), p.where("p_size = 1")).select("p_partkey", "name")
+
+
+@query("""with rule as (select o_custkey as key, bool_and(o_orderpriority = '5-LOW') as ow, bool_and(o_orderkey % 2 = 0) as ot from orders where o_orderstatus = 'P' group by 1)
+select o_orderkey as ord, o_custkey as key from orders o where not exists (select 1 from rule r where r.key = o.o_custkey and (not ow or o_orderpriority = '5-LOW') and (not ot or o_orderkey % 2 = 0))""")
+def removal_cascade(spark, d):
+    c = _t(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("key"), (F.col("o_orderpriority") == "5-LOW").alias("weak"), (F.col("o_orderkey") % 2 == 0).alias("test"), "o_orderstatus")
+    return joins.cascade_removals(c, c.where("o_orderstatus = 'P'")).select("ord", "key")
+
+
+@query("""select o_orderkey, o_totalprice from orders where o_orderstatus = 'O' or o_orderpriority = '1-URGENT'""")
+def reinstate_protected(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    kept, safe = o.where("o_orderstatus = 'O'"), o.where("o_orderpriority = '1-URGENT'")
+    return joins.reinstate(kept, safe, "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("""with f as (select l_partkey as key, s_nationkey as repo, min(l_orderkey) as o from lineitem join supplier on l_suppkey = s_suppkey group by 1, 2) select cast(key as varchar) as key, count(*) as repos, min(o) as first_ord, string_agg(cast(repo as varchar), ',' order by repo) as repo_list from f group by 1 having count(*) >= 2""")
+def shared_across_sources(spark, d):
+    u = _t(spark, d, "lineitem").join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").cast("string").alias("key"), F.col("s_nationkey").alias("repo"), F.col("l_orderkey").alias("ord"))
+    return links.shared(u).select("key", "repos", "first_ord", F.concat_ws(",", F.transform("repo_list", lambda r: r.cast("string"))).alias("repo_list"))
+
+
+@query("""select p.n as var, count(distinct p.repo) as producers, count(distinct c.repo) as consumers from (select s_nationkey as n, s_suppkey % 10 as repo from supplier) p join (select c_nationkey as n, c_custkey % 10 as repo from customer) c on p.n = c.n and p.repo <> c.repo group by 1""")
+def env_binding(spark, d):
+    p = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("var"), (F.col("s_suppkey") % 10).alias("repo"), F.col("s_suppkey").alias("ord"))
+    return links.env_bindings(p, _t(spark, d, "customer").select(F.col("c_nationkey").alias("var"), (F.col("c_custkey") % 10).alias("repo")))
+
+
+@query(r"""with i as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)) || '/' || regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1), '^/+|/+$', '', 'g'), '\.git$', '') as identity, regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) as p from pages)
+select page_id, identity from i where identity not in (select identity from i where page_id % 3 = 0)""")
+def unscanned_upstream(spark, d):
+    p = _t(spark, d, "pages")
+    return links.unscanned_upstreams(p.select("page_id", F.col("url").alias("source_repo_url")), p.where("page_id % 3 = 0").select(F.col("url").alias("remote"))).select("page_id", "identity")
+
+
+@query("""with u as (select distinct s_nationkey as repo, l_partkey as item from lineitem join supplier on l_suppkey = s_suppkey) select a.repo as left_repo, b.repo as right_repo, count(*) as shared from u a join u b on a.item = b.item and a.repo < b.repo group by 1, 2""")
+def repo_pairs(spark, d):
+    u = _t(spark, d, "lineitem").join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("repo"), F.col("l_partkey").alias("item"))
+    return joins.repo_pairs(u)
+
+
+_KB = "select lower(replace(p_brand, '#', '')) || '.' || replace(p_type, ' ', '.') || '.Cls' || p_size as id, lower(replace(p_brand, '#', '')) as framework from part where p_partkey % 2 = 0"
+_OBS = "select p_partkey as obs_id, case p_partkey % 3 when 0 then lower(replace(p_brand, '#', '')) || '.' || replace(p_type, ' ', '.') || '.Cls' || p_size when 1 then split_part(p_type, ' ', 2) || '.' || split_part(p_type, ' ', 3) || '.Cls' || p_size else 'x.Cls' || p_size end as symbol, case when p_partkey % 5 = 0 then '' else lower(replace(p_brand, '#', '')) end as framework from part where p_partkey % 2 = 1"
+
+
+@query(f"""with k as ({_KB}), o as ({_OBS}),
+s as (select distinct id, framework as kf, array_to_string(string_split(id, '.')[i:], '.') as suffix from (select id, framework, unnest(range(1, len(string_split(id, '.')) + 1)) as i from k)),
+pr as (select *, 2 as t, symbol as key from o union all select *, 3 as t, regexp_extract(symbol, '.*(?:^|\\.)([A-Z][^.]*)', 1) as key from o),
+m as (select obs_id, case when id = symbol then 1 when framework = '' or kf = '' or split_part(replace(framework, '-', '_'), '_', 1) = split_part(replace(kf, '-', '_'), '_', 1) then t else 9 end as tier, id from pr join s on key = suffix)
+select obs_id, tier, id from (select *, row_number() over (partition by obs_id order by tier, id) as rn from m) where rn = 1""")
+def suffix_catalog_match(spark, d):
+    p = _t(spark, d, "part")
+    brand, kind = F.lower(F.translate("p_brand", "#", "")), F.translate("p_type", " ", ".")
+    dotted = F.concat(brand, F.lit("."), kind, F.lit(".Cls"), F.col("p_size").cast("string"))
+    words = F.split("p_type", " ")
+    k = p.where("p_partkey % 2 = 0").select(dotted.alias("id"), brand.alias("framework"))
+    cls = F.concat(F.lit("Cls"), F.col("p_size").cast("string"))
+    second = F.concat_ws(".", F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")), F.coalesce(F.try_element_at(words, F.lit(3)), F.lit("")), cls)
+    symbol = F.when(F.col("p_partkey") % 3 == 0, dotted).when(F.col("p_partkey") % 3 == 1, second).otherwise(F.concat(F.lit("x."), cls))
+    o = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("obs_id"), symbol.alias("symbol"), F.when(F.col("p_partkey") % 5 == 0, "").otherwise(brand).alias("framework"))
+    return joins.match_catalogue(o, k)
+
+
+@query(f"""with k as ({_KB}), s as (select distinct 'z.Cls' || p_size as symbol from part where p_size % 5 = 0 union select id from k where id like '%1%Cls2') select distinct id from k where (id in (select symbol from s) or split_part(id, '.', -1) in (select split_part(symbol, '.', -1) from s)) and not ends_with(id, 'Cls10')""")
+def catalog_lookup(spark, d):
+    p = _t(spark, d, "part")
+    dotted = F.concat(F.lower(F.translate("p_brand", "#", "")), F.lit("."), F.translate("p_type", " ", "."), F.lit(".Cls"), F.col("p_size").cast("string"))
+    k = p.where("p_partkey % 2 = 0").select(dotted.alias("id"), F.lit("c").alias("label"))
+    s = p.where("p_size % 5 = 0").select(F.concat(F.lit("z.Cls"), F.col("p_size").cast("string")).alias("symbol")).unionByName(k.where("id like '%1%Cls2'").select(F.col("id").alias("symbol")))
+    return joins.catalogue_lookup(k, s, ["Cls10"]).select("id")
+
+
+@query("""with r(root, ord) as (values ('src1', 0), ('src1/en', 1), ('src2', 2), ('src3/fr', 3), ('src3', 4)), f as (select source || '/' || lang || '/' || doc_id as path from documents)
+select path, arg_min(root, ord) as root from f join r on path = root or starts_with(path, root || '/') group by 1""")
+def prefix_root(spark, d):
+    f = _t(spark, d, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    r = spark.createDataFrame([("src1", 0), ("src1/en", 1), ("src2", 2), ("src3/fr", 3), ("src3", 4)], "root string, ord int")
+    return joins.root_of(f, r)
+
+
+@query("""select a.user_id, a.event_id as l, b.event_id as r from events a join events b on a.user_id = b.user_id and abs(a.event_id - b.event_id) <= 500 where a.event_type = 'click' and b.event_type = 'view'""")
+def band_merge_candidates(spark, d):
+    e = _t(spark, d, "events")
+    return joins.near_lines(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "user_id", "event_id", 500)
+
+
+@query("""with s as (select user_id, event_id as lo, event_id + 2000 as hi, event_id as name from events where event_type = 'signup') select e.event_id, arg_min(s.name, s.lo) as enclosing from events e join s on e.user_id = s.user_id and e.event_id between lo and hi group by 1""")
+def enclosing_interval(spark, d):
+    e = _t(spark, d, "events")
+    s = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("lo"), (F.col("event_id") + 2000).alias("hi"), F.col("event_id").alias("name"))
+    return joins.enclosing(e, s, "user_id", "event_id", "lo", "hi", "name", ["event_id"])
+
+
+@query("""select event_id, user_id, coalesce(last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row), first_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and unbounded following)) as site from events""")
+def nearest_preceding_site(spark, d):
+    e = _t(spark, d, "events")
+    return joins.nearest_preceding(e, "user_id", "event_id", F.col("event_type") == "signup", F.col("event_id")).select("event_id", "user_id", "site")
+
+
+_DIFF = """with o as (select o_custkey as name, o_orderpriority as component_type, arg_max(o_orderstatus, o_orderkey) as s, arg_max(cast(o_totalprice as bigint) % 3, o_orderkey) as p from orders where o_orderdate < timestamp '1996-01-01' group by 1, 2),
+n as (select o_custkey as name, o_orderpriority as component_type, arg_max(o_orderstatus, o_orderkey) as s, arg_max(cast(o_totalprice as bigint) % 3, o_orderkey) as p from orders where o_orderdate >= timestamp '1996-01-01' group by 1, 2),
+x as (select coalesce(o.name, n.name) as name, coalesce(o.component_type, n.component_type) as component_type, case when o.name is null then 'added' when n.name is null then 'removed' when o.s <> n.s or o.p <> n.p then 'changed' else 'same' end as change, concat_ws(',', case when o.s <> n.s then 's' end, case when o.p <> n.p then 'p' end) as f from o full join n on o.name = n.name and o.component_type = n.component_type) """
+
+
+def _snapshots(spark, d):
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("component_type"), F.col("o_orderstatus").alias("s"), (F.round(F.col("o_totalprice")).cast("long") % 3).alias("p"), F.col("o_orderkey").alias("ord"), "o_orderdate")
+    cut = F.lit("1996-01-01").cast("timestamp_ntz")
+    return compare.diff(o.where(F.col("o_orderdate").cast("timestamp_ntz") < cut), o.where(F.col("o_orderdate").cast("timestamp_ntz") >= cut), ["name", "component_type"], ["s", "p"])
+
+
+_DIFF = _DIFF.replace("cast(o_totalprice as bigint) % 3", "cast(round(o_totalprice) as bigint) % 3")
+
+
+@query(_DIFF + "select name, component_type, change, case when change = 'changed' then f else '' end as fields from x")
+def inventory_diff(spark, d):
+    return _snapshots(spark, d)
+
+
+@query(_DIFF + "select component_type, count(*) filter (change = 'added') as added, count(*) filter (change = 'removed') as removed, count(*) filter (change = 'changed') as changed, count(*) filter (change = 'same') as same from x group by 1")
+def inventory_diff_summary(spark, d):
+    return compare.diff_summary(_snapshots(spark, d), "component_type")
+
+
+_FLAG = "case o_orderpriority when '1-URGENT' then 'hardcoded_api_key' when '2-HIGH' then 'mcp_unknown_server' when '3-MEDIUM' then 'shadow_ai' else 'unpinned_model' end"
+
+
+@query(f"""with f as (select o_custkey as source, {_FLAG} as flag from orders), w as (select source, case flag when 'hardcoded_api_key' then 35 when 'mcp_unknown_server' then 25 when 'shadow_ai' then 20 else 10 end as weight, case flag when 'hardcoded_api_key' then 3 when 'mcp_unknown_server' then 3 when 'shadow_ai' then 2 else 1 end as r from f)
+select *, case when score >= 76 then 'critical' when score >= 51 then 'high' when score >= 26 then 'medium' when score > 0 then 'low' else 'info' end as severity from (select source, cast(least(100, sum(weight)) as int) as score, count(*) as flags, max(r) as worst from w group by 1)""")
+def risk_score(spark, d):
+    p = F.col("o_orderpriority")
+    flag = F.when(p == "1-URGENT", "hardcoded_api_key").when(p == "2-HIGH", "mcp_unknown_server").when(p == "3-MEDIUM", "shadow_ai").otherwise("unpinned_model")
+    return assess.risk_score(assess.weighted(_t(spark, d, "orders").select(F.col("o_custkey").alias("source"), flag.alias("flag"))), "source")
+
+
+def _inventory(spark, d):
+    """Parts as an inventory for checks, lineitems as its edges."""
+    p = _t(spark, d, "part")
+    kind = F.element_at(F.array(*map(F.lit, ("model", "agent", "tool", "mcp_server", "secret", "dataset", "guardrail", "training_run"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    c = p.select(
+        F.lit("s").alias("source"), F.col("p_name").alias("name"), kind.alias("component_type"), F.lit("a.py").alias("file_path"), F.col("p_size").alias("line_number"),
+        F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_brand")).alias("framework"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")).otherwise(F.concat(F.lit("m-v"), F.col("p_size").cast("string"), F.lit(".0"))).alias("model_name"),
+        F.lit("d").alias("description"), F.lit("").alias("dataset_source"), F.lit(0.9).alias("heuristic_confidence"), F.lit(None).cast("double").alias("agentic_confidence"), (F.col("p_size") > 48).alias("needs_agentic"),
+        F.create_map(F.lit("risk_flags"), F.when(F.col("p_size") == 7, "no_auth,unknown").otherwise("")).alias("metadata"), F.col("p_partkey").cast("string").alias("instance_id"))
+    r = _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("source_instance_id"), F.col("l_partkey").cast("string").alias("target_instance_id"), F.when(F.col("l_returnflag") == "R", "USES_TOOL").otherwise("USES_GUARDRAIL").alias("relationship_type"))
+    return c, r
+
+
+_KINDS = "['model', 'agent', 'tool', 'mcp_server', 'secret', 'dataset', 'guardrail', 'training_run'][p_partkey % 8 + 1]"
+_INV = f"""with c as (select cast(p_partkey as varchar) as id, p_name as name, {_KINDS} as t, case when p_size % 2 = 0 then '' else p_brand end as framework, case when p_size % 3 = 0 then p_type else 'm-v' || p_size || '.0' end as model_name, p_size > 48 as needs, p_size from part),
+r as (select cast(l_suppkey as varchar) as s, cast(l_partkey as varchar) as d, case when l_returnflag = 'R' then 'USES_TOOL' else 'USES_GUARDRAIL' end as k from lineitem),
+q as (select *, contains(model_name, '/') or regexp_matches(model_name, '(?i)\\bv?\\d+\\.\\d+(\\.\\d+)?\\b') or len(list_filter(regexp_split_to_array(model_name, '[-_:]'), lambda x: regexp_matches(x, '^[0-9]{{4,}}$'))) > 0 as pinned from c) """
+
+
+@query(_INV + """, g as (select s as a, d as b from r where k = 'USES_GUARDRAIL' union select d, s from r where k = 'USES_GUARDRAIL'), x as (select *, exists (select 1 from r where r.s = q.id and k = 'USES_GUARDRAIL') as guards, exists (select 1 from r where r.d = q.id and k = 'USES_TOOL') as used, exists (select 1 from g join c c2 on g.b = c2.id and c2.t = 'guardrail' where g.a = q.id) as guarded from q)
+select * from (select unnest(['eu-1', 'eu-2', 'eu-3', 'eu-4', 'eu-5', 'owasp-1', 'owasp-2', 'owasp-3', 'owasp-4', 'owasp-5', 'nist-1', 'nist-2', 'nist-3', 'nist-4', 'nist-5']) as requirement, unnest([
+ case when not bool_or(t = 'model') then 'not_applicable' else 'pass' end,
+ case when not bool_or(t = 'training_run') then 'not_applicable' when bool_or(t = 'dataset') then 'pass' else 'fail' end, 'fail',
+ case when not bool_or(t = 'agent') then 'not_applicable' when bool_or(t = 'agent' and not guards) then 'fail' else 'pass' end,
+ case when bool_or(needs) then 'fail' else 'pass' end,
+ case when not bool_or(t = 'agent') then 'not_applicable' else 'pass' end,
+ case when not bool_or(t = 'tool') then 'not_applicable' when bool_or(t = 'tool' and not used) then 'fail' else 'pass' end,
+ case when not bool_or(t = 'mcp_server') then 'not_applicable' when bool_or(t = 'mcp_server' and not guarded) then 'fail' else 'pass' end,
+ case when bool_or(t = 'secret') then 'fail' else 'not_applicable' end,
+ case when not bool_or(t = 'agent') then 'not_applicable' else 'fail' end,
+ case when bool_or(t <> 'other') then 'pass' else 'fail' end,
+ case when not bool_or(t = 'model') then 'not_applicable' when bool_or(t = 'model' and not pinned) then 'fail' else 'pass' end,
+ case when bool_or(t = 'dataset') then 'fail' else 'not_applicable' end,
+ case when not bool_or(t = 'agent') then 'not_applicable' else 'fail' end, 'fail']) as status from x)""")
+def compliance_matrix(spark, d):
+    return assess.compliance(*_inventory(spark, d))
+
+
+@query(_INV + """select 'no_hardcoded_keys' as rule, 'critical' as severity, name as subject from q where t = 'secret' union all select 'require_pinned_models', 'high', name from q where t = 'model' and not pinned union all select 'blocked_models', 'low', name from q where t = 'model' and contains(lower(model_name), 'promo') union all select 'max_unresolved_agentic', 'medium', 'unresolved' from q having count(*) filter (needs) > 3 union all select 'require_observability_for', 'medium', 'observability'""")
+def policy_violations(spark, d):
+    rules, _ = assess.load_policy({"rules": [{"rule": "no_hardcoded_keys"}, {"rule": "require_pinned_models"}, {"rule": "blocked_models", "params": {"models": ["PROMO"]}, "severity": "low"}, {"rule": "max_unresolved_agentic", "params": {"max": 3}}, {"rule": "require_observability_for", "params": {"types": ["agent"]}}, {"rule": "require_guardrail_for", "params": {"types": ["agent"]}}, {"rule": "max_risk_score", "params": {"max": 50}}]})
+    return assess.policy_violations(_inventory(spark, d)[0], rules, score=50)
+
+
+@query(_INV + """select flag, count(*) as n from (select 'hardcoded_api_key' as flag from q where t = 'secret' union all select 'mcp_unknown_server' from q where t = 'mcp_server' and framework = '' union all select 'unpinned_model' from q where t = 'model' and not pinned union all select 'no_auth' from q where p_size = 7) group by 1""")
+def risk_flags(spark, d):
+    return assess.risk_flags(_inventory(spark, d)[0]).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+@query("""with t as (select quality as category, doc_id as name from labels), f as (select case when n_chars > 600 then 1 else 0 end as category, doc_id as name from documents join labels using (doc_id)), j as (select coalesce(t.category, f.category) as category, t.name as a, f.name as b from t full join f on t.category = f.category and t.name = f.name),
+c as (select category, count(*) filter (a is not null and b is not null) as tp, count(*) filter (a is null) as fp, count(*) filter (b is null) as fn from j group by 1), m as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as p, case when tp + fn > 0 then tp / (tp + fn) else 0.0 end as r from c)
+select category, tp, fp, fn, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 6) as f1 from m""")
+def detection_prf(spark, d):
+    l = _t(spark, d, "labels")
+    truth = l.select(F.col("quality").alias("category"), F.col("doc_id").cast("string").alias("name"))
+    found = _t(spark, d, "documents").join(l.select("doc_id"), "doc_id").select((F.col("n_chars") > 600).cast("int").alias("category"), F.col("doc_id").cast("string").alias("name"))
+    return compare.benchmark_names(truth, found)
+
+
+@query("""with t as (select p_brand as category, count(*) - 5 as expected from part where p_partkey % 3 <> 0 group by 1), f as (select p_brand as category, count(*) as detected from part where p_partkey % 4 <> 0 group by 1), c as (select coalesce(t.category, f.category) as category, coalesce(expected, 0) as expected, coalesce(detected, 0) as detected from t full join f on t.category = f.category),
+k as (select *, least(expected, detected) as tp, greatest(detected - expected, 0) as fp, greatest(expected - detected, 0) as fn from c), m as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as p, case when tp + fn > 0 then tp / (tp + fn) else 0.0 end as r from k)
+select category, expected, detected, tp, fp, fn, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 6) as f1 from m""")
+def detection_counts(spark, d):
+    p = _t(spark, d, "part").withColumn("category", F.col("p_brand"))
+    truth = p.where("p_partkey % 3 <> 0").groupBy("category").agg((F.count("*") - 5).alias("expected"))
+    return compare.benchmark_counts(truth, p.where("p_partkey % 4 <> 0"))
+
+
+@query("""with n as (select p_type as component_type, count(*) as n from part where p_size % 9 <> 0 group by 1) select component_type, n, round(100 * n / max(n) over (), 2) as pct from n""")
+def type_summary(spark, d):
+    return assess.type_breakdown(_t(spark, d, "part").select(F.col("p_type").alias("component_type"), (F.col("p_size") % 9 == 0).alias("test_only")))
+
+
+@query(r"""select page_id, case when s in ('http', 'https') and h <> '' then s || '://' || h || regexp_replace(p, '(.)/+$', '\1') end as canonical from (select page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) as s, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) as h, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#\s]*)', 1) as p from pages)""")
+def url_canonical(spark, d):
+    return _t(spark, d, "pages").select("page_id", X.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query("""select kind, count(*) as n from (select case when regexp_matches(lower(url), '(^|[._/:?=&#-])(vector|index|pinecone|weaviate|qdrant|chroma|milvus)([._-]|$)') and false then 'vector_store' when regexp_matches(lower(url), 'openai|anthropic|cohere|mistral|generativelanguage|vertex|bedrock|huggingface|ollama') then 'llm_endpoint' when page_id % 5 = 0 then 'vector_store' else 'model_endpoint' end as kind from pages) group by 1""")
+def classify_endpoint(spark, d):
+    key = F.when(F.col("page_id") % 5 == 0, "my_vector-store.url").otherwise("api_base")
+    return _t(spark, d, "pages").select(X.classify_endpoint(key, F.col("url")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(r"""select p_partkey, contains(m, '/') or regexp_matches(m, '(?i)\bv?\d+\.\d+(\.\d+)?\b') or len(list_filter(regexp_split_to_array(m, '[-_:]'), lambda x: regexp_matches(x, '^[0-9]{4,}$'))) > 0 as pinned from (select p_partkey, case p_partkey % 4 when 0 then 'org/' || p_name when 1 then 'm-' || p_partkey when 2 then 'v' || p_size || '.1' else p_name end as m from part)""")
+def pin_check(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size").cast("string")
+    m = F.when(k % 4 == 0, F.concat(F.lit("org/"), "p_name")).when(k % 4 == 1, F.concat(F.lit("m-"), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("v"), s, F.lit(".1"))).otherwise(F.col("p_name"))
+    return _t(spark, d, "part").select("p_partkey", X.is_model_pinned(m).alias("pinned"))
+
+
+@query("""with f as (select doc_id, source || '/' || (case doc_id % 4 when 0 then 'tests' when 1 then 'lib' when 2 then 'x.egg-info' else 'node_modules' end) || '/' || (case when doc_id % 3 = 0 then 'test_a.py' else 'b' || doc_id || '.py' end) as path from documents) select doc_id, doc_id % 4 = 0 or doc_id % 3 = 0 as is_test, doc_id % 4 in (2, 3) as skipped from f""")
+def file_scope(spark, d):
+    k = F.col("doc_id")
+    path = F.concat_ws("/", "source", F.when(k % 4 == 0, "tests").when(k % 4 == 1, "lib").when(k % 4 == 2, "x.egg-info").otherwise("node_modules"), F.when(k % 3 == 0, "test_a.py").otherwise(F.concat(F.lit("b"), k.cast("string"), F.lit(".py"))))
+    return _t(spark, d, "documents").select("doc_id", X.is_test_path(path).alias("is_test"), X.in_skipped_dir(path).alias("skipped"))
+
+
+@query("""select doc_id, i as line, substr(l, 1, 200) as context from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where regexp_matches(l, '(?i)token|example')""")
+def search_codebase(spark, d):
+    from inventra.operators.search import search_lines
+
+    return search_lines(_t(spark, d, "documents").withColumnRenamed("text", "content"), "(?i)token|example", ["doc_id"]).select("doc_id", "line", "context")
+
+
+@query("""with recursive e as (select distinct conv_id * 1000 + turn as caller, conv_id * 1000 + turn + 1 as callee from conversations), w(start, node, distance) as (select conv_id * 1000 + 5, conv_id * 1000 + 5, 0 from conversations where turn = 5 union select start, e.caller, distance + 1 from w join e on w.node = e.callee where distance < 4) select start, node as caller, min(distance) as distance from w where distance > 0 group by 1, 2""")
+def call_chain(spark, d):
+    c = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("caller"), (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("callee"), "turn")
+    out = graph.callers_within(c, c.where("turn = 5").select(F.col("caller").alias("name")), 4)
+    return out.select("start", "caller", F.col("distance").cast("int").alias("distance"))
+
+
+@query("""select doc_id, (row_number() over (partition by source order by lang, doc_id) - 1) // 7 as batch from documents""")
+def locality_batches(spark, d):
+    return agentic.batches(_t(spark, d, "documents"), 7, "source", ["lang", "doc_id"]).select("doc_id", "batch")
+
+
+@query("""select p_partkey, (p_partkey % 3 = 0 and p_size % 2 = 0) or (p_partkey % 3 < 2 and p_size % 5 <> 0 and p_size % 7 <> 0) as simple from part""")
+def candidate_split(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    c = _t(spark, d, "part").select("p_partkey", F.when(k % 3 == 0, "dependency").when(k % 3 == 1, "model").otherwise("tool").alias("component_type"), F.when(s % 5 == 0, "").otherwise("m").alias("model_name"), F.create_map(F.lit("known_ai_package"), F.when(s % 2 == 0, "true").otherwise("false"), F.lit("env"), F.when(s % 7 == 0, "X")).alias("metadata"))
+    return c.select("p_partkey", F.coalesce(agentic.is_simple(c), F.lit(False)).alias("simple"))
+
+
+@query("""select p_name as name, p_type as type, '' as framework, coalesce(nullif(p_brand, ''), '') as file, p_size as line, p_retailprice as confidence from part""")
+def csv_projection(spark, d):
+    from inventra.sinks.reports import csv_rows
+
+    c = _t(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("component_type"), F.lit(None).cast("string").alias("framework"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("line_number"), F.col("p_retailprice").alias("heuristic_confidence"), F.lit(None).cast("double").alias("agentic_confidence"), F.lit(None).cast("string").alias("model_name"))
+    return csv_rows(c).select("name", "type", "framework", "file", "line", "confidence")
+
+
+@query("""select p_brand as source, p_type as component_type, count(*) as n, string_agg(p_name, '|' order by p_name, p_partkey) as names from part group by 1, 2""")
+def json_report(spark, d):
+    from inventra.sinks.reports import grouped
+
+    c = _t(spark, d, "part").select(F.col("p_brand").alias("source"), F.col("p_type").alias("component_type"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
+    return grouped(c).select("source", "component_type", F.size("components").cast("long").alias("n"), F.concat_ws("|", F.transform("components", lambda x: x["name"])).alias("names"))
+
+
+@query("""select c_nationkey as source, arg_min(c_name, c_custkey) as first_name, count(*) as n, sha256(arg_min(c_name, c_custkey)) as spdx from customer group by 1""")
+def spdx_ids(spark, d):
+    c = dedup.first_by(_t(spark, d, "customer"), ["c_nationkey"], F.col("c_custkey"), ["c_name"])
+    n = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return c.join(n, "c_nationkey").select(F.col("c_nationkey").alias("source"), F.col("c_name").alias("first_name"), "n", F.sha2("c_name", 256).alias("spdx"))
+
+
+@query("""select event_type as var, count(*) as n from events where event_type not in (select distinct event_type from events where event_id % 2 = 0 and event_type < 'f') group by 1""")
+def undefined_refs(spark, d):
+    e = _t(spark, d, "events")
+    env = e.where("event_id % 2 = 0 and event_type < 'f'").select(F.col("event_type").alias("name"), F.lit("").alias("value"), F.lit("e").alias("source_type"), F.lit("p").alias("source_path"), F.col("event_id").alias("ord"))
+    return links.undefined_refs(e.select(F.col("event_type").alias("var")), env).groupBy("var").agg(F.count("*").alias("n"))
+
+
+@query("""with a as (select expected, coalesce(predicted, 'abstain') as predicted, count(*) as n from (select doc_id, case quality when 1 then 'keep' else 'remove' end as expected from labels) e left join (select doc_id, case when n_chars > 600 then 'keep' else 'remove' end as predicted from documents where doc_id % 5 <> 0) p using (doc_id) group by 1, 2) select * from a""")
+def action_confusion(spark, d):
+    e = _t(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "keep").otherwise("remove").alias("expected"))
+    p = _t(spark, d, "documents").where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("n_chars") > 600, "keep").otherwise("remove").alias("predicted"))
+    return compare.confusion(e, p, "doc_id")
+
+
+# --- extraction, over the small source tree --------------------------------
+
+
+@query()
+def scan_components(spark, d):
+    from inventra.fixtures import files
+    from inventra.operators.extract import scan
+
+    return scan(files(spark))
+
+
+@query()
+def read_manifests(spark, d):
+    from inventra.fixtures import files
+    from inventra.sources.files import manifests
+
+    return manifests(files(spark))
+
+
+@query()
+def read_env_index(spark, d):
+    from inventra.fixtures import files
+    from inventra.sources.files import env_index
+
+    return env_index(files(spark))
+
+
+@query()
+def python_observations(spark, d):
+    from inventra.fixtures import files
+    from inventra.operators.extract import observations
+
+    return observations(files(spark))
+
+
+@query()
+def resolve_references(spark, d):
+    from inventra.fixtures import files
+    from inventra.operators.extract import SCANNERS
+    from inventra.sources.files import env_index
+
+    found = SCANNERS["env"](files(spark))
+    c = found.select(F.col("root").alias("source"), "name", "component_type", "path", "line", F.lit("").alias("model_name"), F.col("confidence").alias("heuristic_confidence"), F.lit(True).alias("needs_agentic"), F.create_map(F.lit("env"), F.substring("name", 5, 200)).alias("metadata"))
+    env = env_index(files(spark)).select("name", "value", "source_type", F.col("path").alias("source_path"), F.struct("path", "ord").alias("ord"))
+    out = joins.resolve(c, env, spark.createDataFrame([("gpt-4o",)], "model string"))
+    return out.select("source", "path", "line", "name", "model_name", "heuristic_confidence", "needs_agentic")
+
+
+@query("""select user_id as file_path, count(*) as n from events group by 1""")
+def greedy_merge_sites(spark, d):
+    """Rows per file before the greedy merge; the merge itself only joins pairs."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("file_path"), F.col("event_id").alias("line_number"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "never", "m").alias("model_name"), F.when(F.col("event_type") == "view", "k").alias("kb_id"))
+    return dedup.merge_model_duplicates(e).groupBy("file_path").agg(F.count("*").alias("n"))
+
+
+@query("""select o_orderkey as id, case when o_orderstatus = 'F' then 'other' else 'model' end as component_type, o_orderstatus <> 'F' and o_orderpriority <> '5-LOW' as needs_agentic from orders where o_orderstatus <> 'P'""")
+def apply_verdicts(spark, d):
+    o = _t(spark, d, "orders")
+    c = o.select(F.col("o_orderkey").cast("string").alias("instance_id"), F.lit("model").alias("component_type"), F.lit(None).cast("double").alias("agentic_confidence"), F.lit(True).alias("needs_agentic"), F.lit("").alias("agentic_hint"))
+    s = F.col("o_orderstatus")
+    verdict = F.when(s == "P", "remove").when(s == "F", "reclassify").when(F.col("o_orderpriority") == "5-LOW", "keep")
+    v = o.select(F.col("o_orderkey").cast("string").alias("instance_id"), verdict.alias("verdict"), F.lit("other").alias("new_type"), F.lit(0.9).alias("confidence"), F.col("o_orderkey").alias("ord")).where("verdict is not null")
+    return agentic.apply_verdicts(c, v).select(F.col("instance_id").cast("long").alias("id"), "component_type", "needs_agentic")
+
+
+@query(r"""select page_id, 'https://' || lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as card, case when page_id % 2 = 0 then 1 else 2 end as tier from pages""")
+def agent_links(spark, d):
+    p = _t(spark, d, "pages")
+    host = F.concat(F.lit("https://"), F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1)))
+    cards = p.select(host.alias("name"), F.lit("cards").alias("repo"), F.array(F.concat(host, F.lit("/a2a/"))).alias("endpoints"), F.lit(1).alias("ord")).distinct()
+    calls = p.select("page_id", F.lit("app").alias("repo"), F.concat(host, F.when(F.col("page_id") % 2 == 0, "/a2a?x=1").otherwise("/other")).alias("remote_url"))
+    return links.agent_calls(calls, cards).select("page_id", "card", "tier")

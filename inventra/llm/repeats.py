@@ -304,7 +304,9 @@ class _Sort:
         for offset in range(self.offsets):
             row = hit[(bits[hit] >> np.uint32(offset)) & np.uint32(1) == 1]
             text, window = found.text[keep][row], found.place[keep][row] - offset
-            cut = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(row) else []
+            if not len(row):
+                continue
+            cut = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
             for a, b in zip(cut, [*cut[1:], len(row)], strict=True):
                 starts.setdefault(int(text[a]), []).append(window[a:b])
         first_of = {}
@@ -359,6 +361,6 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     schema, arrow = SCHEMA, _ARROW
     if carry:
-        kind = docs.schema["carry"].dataType
+        kind = df.select(*more).schema["carry"].dataType
         schema, arrow = f"{SCHEMA}, carry {kind.simpleString()}", _ARROW.append(pa.field("carry", to_arrow_type(kind)))
     return B.met(docs, second, finish, schema, arrow)

@@ -85,8 +85,13 @@ class LabelModel:
     def __init__(self, votes: np.ndarray, rounds: int = 40, prior: float = 0.1):
         n, m = votes.shape
         up, down = (votes == 1).astype(float), (votes == -1).astype(float)
-        posterior = np.clip(0.5 + 0.5 * np.tanh(up.sum(1) - down.sum(1)), 0.02, 0.98) if n else np.zeros(0)
-        self.share = np.ones(m)
+        # Voters that all but repeat one another are one clique from the start:
+        # left whole, they would become what the label is taken for.
+        signed = up - down
+        apart = (signed - signed.mean(0)) / (signed.std(0) + 1e-9) if n else signed
+        self.least = 1 / np.maximum(1, (np.abs(apart.T @ apart) / max(n, 1) > 0.95).sum(1))
+        self.share = self.least.copy()
+        posterior = np.clip(0.5 + 0.5 * np.tanh((up - down) @ self.share), 0.02, 0.98)
         for step in range(rounds):
             p1, p0 = posterior.sum() + 2, (1 - posterior).sum() + 2
             self.prior = float(np.clip((posterior.sum() + 1) / (n + 1 / prior), 0.005, 0.9))
@@ -106,7 +111,7 @@ class LabelModel:
         spread = rest.std(0) + 1e-9
         self.correlation = np.abs((rest / spread).T @ (rest / spread)) / max(1, len(rest))
         np.fill_diagonal(self.correlation, 0)
-        self.share = 1 / (1 + np.where(self.correlation > 0.3, self.correlation, 0).sum(1))
+        self.share = np.minimum(self.least, 1 / (1 + np.where(self.correlation > 0.3, self.correlation, 0).sum(1)))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         ratio = np.log(self.table[:, 0]) - np.log(self.table[:, 1])

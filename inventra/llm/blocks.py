@@ -144,9 +144,16 @@ def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, Iterable[tuple[int, int,
     return order, zip(held[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(held)).tolist(), strict=True)
 
 
+def freed(table: pa.Table) -> pa.Table:
+    """The table; memory that its making left unused goes back to the system, as
+    a worker lives on beside others on its executor."""
+    pa.default_memory_pool().release_unused()
+    return table
+
+
 def rows(items: Iterable[tuple[int, int, int, bytes]]) -> pa.Table:
     columns = list(zip(*items, strict=True)) or [()] * 4
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _ROW.types, strict=True)], schema=_ROW)
+    return freed(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _ROW.types, strict=True)], schema=_ROW))
 
 
 def asked(blocks: DataFrame, ask: Callable[[int, pa.Table], Iterable[tuple[int, int, int, bytes]]]) -> DataFrame:
@@ -193,6 +200,6 @@ def met(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str, ar
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return arrow.empty_table()
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(finish(opened(left), parts_of(right)), arrow.types, strict=True)], schema=arrow)
+        return freed(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(finish(opened(left), parts_of(right)), arrow.types, strict=True)], schema=arrow))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

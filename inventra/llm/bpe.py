@@ -22,6 +22,9 @@ from inventra.llm import blocks as B
 from inventra.llm.words import U, join_texts, prefix_hash, span_hash, word_bounds
 from inventra.llm.words import _BYTE as _TABLE
 
+#: Bytes of text a block holds; less than elsewhere, as a block's words and
+#: their ids and pieces stand in memory as Python objects.
+BLOCK_BYTES = 6_000_000
 SCHEMA = "doc_id long, ids binary, n_tokens long, decoded string"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("decoded", pa.string())])
 _loaded: dict[int, object] = {}
@@ -76,24 +79,24 @@ def _ask(n: int):
             return
         order, cuts = _buckets(words, n)
         for bucket, a, b in cuts:
-            yield bucket, block, 0, b" ".join([words[i] for i in order[a:b].tolist()])
+            yield bucket, block, 0, B.pack(np.frombuffer(b" ".join([words[i] for i in order[a:b].tolist()]), np.uint8))
 
     return ask
 
 
 def _answer(definition: str):
     def answer(parts):
-        asked = [(block, part.split(b" ")) for block, part in parts]
+        asked = [(block, B.unpack(part)[0].tobytes().split(b" ")) for block, part in parts]
         table = dict.fromkeys(w for _, words in asked for w in words)
         made = tokenizer_of(definition)
         words = list(table)
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
+        for at in range(0, len(words), 1024):
+            some = words[at : at + 1024]
             for w, e in zip(some, made.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                table[w] = e.ids
+                table[w] = np.array(e.ids, np.uint32).tobytes()
         for block, own in asked:
             ids = [table[w] for w in own]
-            yield block, 1, B.pack(np.array([len(x) for x in ids], np.uint32), np.array([y for x in ids for y in x], np.uint32))
+            yield block, 1, B.pack(np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), np.uint32))
 
     return answer
 
@@ -104,16 +107,17 @@ def _finish(definition: str, n: int):
     def finish(table: pa.Table, parts):
         doc, texts = B.docs_of(table)
         words = _distinct(texts)
-        ids: list = [None] * len(words)
+        packed, spoken = {}, {}
         told = {bucket: part for bucket, kind, part in parts if kind == 1}
         if words:
             order, cuts = _buckets(words, n)
             for bucket, a, b in cuts:
                 size, flat = B.unpack(told[bucket])
-                for i, own in zip(order[a:b].tolist(), np.split(flat, np.cumsum(size, dtype=np.int64)[:-1]), strict=True):
-                    ids[i] = own
-        packed = {w: own.tobytes() for w, own in zip(words, ids, strict=True)}
-        spoken = {w: " ".join([pieces[i] for i in own.tolist()]) for w, own in zip(words, ids, strict=True)}
+                raw, names, at = flat.tobytes(), [pieces[i] for i in flat.tolist()], 0
+                for i, many in zip(order[a:b].tolist(), size.tolist(), strict=True):
+                    packed[words[i]] = raw[4 * at : 4 * (at + many)]
+                    spoken[words[i]] = " ".join(names[at : at + many])
+                    at += many
         empty = any(not x for x in packed.values())
         out_ids, out_text = [], []
         for t in texts:
@@ -126,7 +130,7 @@ def _finish(definition: str, n: int):
     return finish
 
 
-def encode_decode(df: DataFrame, definition: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def encode_decode(df: DataFrame, definition: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens, decoded:
     one row for each row of ``df``.  ``definition`` is the tokenizer's JSON."""
     n = B.pieces(B.total_bytes(df, text), block_bytes)

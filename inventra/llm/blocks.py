@@ -16,6 +16,8 @@ answer fits however often a lost executor makes Spark build a block anew.
 
 from __future__ import annotations
 
+import ctypes
+import os
 import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -144,11 +146,16 @@ def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, Iterable[tuple[int, int,
     return order, zip(held[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(held)).tolist(), strict=True)
 
 
-def freed(table: pa.Table) -> pa.Table:
-    """The table; memory that its making left unused goes back to the system, as
-    a worker lives on beside others on its executor."""
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def freed(made):
+    """What was made; memory that its making left unused goes back to the
+    system, as a worker lives on beside others on its executor."""
     pa.default_memory_pool().release_unused()
-    return table
+    if _trim is not None:
+        _trim(0)
+    return made
 
 
 def rows(items: Iterable[tuple[int, int, int, bytes]]) -> pa.Table:

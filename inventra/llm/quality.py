@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inventra.llm.blocks import freed
 from inventra.llm.linear import SIZE, features, fitted, held_margins, logistic, margins
 from inventra.llm.words import slices
 
@@ -51,7 +52,7 @@ class Linear:
             for batch in batches:
                 texts = batch.to_pylist()
                 parts = [model.scores(texts[a:b]) for a, b in slices(texts)]
-                yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
+                yield freed(pa.array(np.concatenate(parts) if parts else [], pa.float64()))
 
         from collections.abc import Iterator
 

@@ -66,7 +66,7 @@ def run_hash(data: np.ndarray, k: int) -> np.ndarray:
     return mix((s[k:] - s[:-k]) * _power(_INVERSE, len(data) + 1 - k))
 
 
-def slices(texts: list[bytes | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes | None], most: int = 400_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together (one text at least)."""
     begin, held = 0, 0
     for i, t in enumerate(texts):

@@ -85,7 +85,7 @@ def dealt(df: DataFrame, doc_id: str, text: str, n: int, *more: Column) -> DataF
 
 
 #: Bytes of rows a task gathers before it packs them by block.
-SPREAD_BYTES = 48_000_000
+SPREAD_BYTES = 16_000_000
 _STREAM = pa.ipc.IpcWriteOptions(compression="zstd")
 
 

@@ -14,6 +14,10 @@ from inventra.llm.jaccard_join import jaccard_components
 from inventra.llm.quality import quality_scores
 from inventra.llm.repeats import repeated_spans
 
+#: Bytes of text a block holds here: less than in the operators alone, as all
+#: stages share the executors and what they keep of earlier ones.
+BLOCK_BYTES = 4_000_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
@@ -24,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the smallest id,
     and of its rows the one with the least text.  Rows without id stay."""
-    found = jaccard_components(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct()
+    found = jaccard_components(docs, k=5, percent=80, block_bytes=BLOCK_BYTES).where("component_id <> doc_id").select("doc_id").distinct()
     left = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
     rest = [c for c in left.columns if c != "doc_id"]
     once = left.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in rest if c != "text"))).alias("row"))
@@ -36,24 +40,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without what an earlier one holds; cut code points go, and
     documents of which nothing is left."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    done = repeated_spans(docs, carry=rest).select("doc_id", _clean("kept").alias("text"), "carry.*")
+    done = repeated_spans(docs, block_bytes=BLOCK_BYTES, carry=rest, whole_points=True).select("doc_id", F.col("kept").cast("string").alias("text"), "carry.*")
     return done.withColumn("n_chars", F.length("text").cast("long")).where("length(text) > 0").select(*docs.columns)
 
 
-def _clean(column: str):
-    """Bytes as text without what is no UTF-8."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([None if b is None else b.decode("utf-8", "ignore") for b in batch.to_pylist()], pa.string())
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "string")(F.col(column))
-
-
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark text stands."""
     found = leaks(docs, Q.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
@@ -62,7 +52,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and round trip of what is left, as digests."""
-    return Q.bpe_digests(encode_decode(docs, Q.tokenizer_json()))
+    return Q.bpe_digests(encode_decode(docs, Q.tokenizer_json(), block_bytes=BLOCK_BYTES))
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeats), ("benchmark decontamination", decontaminate), ("BPE encoding and decoding", encode)]

@@ -337,14 +337,18 @@ def kept_bytes(text: bytes | None, spans: np.ndarray) -> bytes:
     return b"".join([*out, (text or b"")[at:]])
 
 
+def _without_cut_points(kept: bytes) -> bytes:
+    return kept.decode("utf-8", "ignore").encode()
+
+
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
-def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR, block_bytes: int = B.BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR, block_bytes: int = B.BLOCK_BYTES, carry: list[str] | None = None, whole_points: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs), kept (bytes):
     one row for each row of ``df``; where asked for, ``carry``: a struct of
-    further columns."""
+    further columns, and ``kept`` without bytes of code points that were cut."""
     if not 8 <= anchor < width or width - anchor > 31 or anchor % 8:
         raise ValueError("anchor must be a multiple of 8 and at most 31 below width")
     n = B.pieces(B.total_bytes(df, text), block_bytes)
@@ -353,10 +357,11 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     docs = B.dealt(df, doc_id, text, n, *more)
     first = B.answered(B.asked(docs, sort.first_ask), sort.first_answer)
     second = B.answered(B.asked_again(docs, first, sort.second_ask), sort.second_answer)
+    shown = _without_cut_points if whole_points else bytes
 
     def finish(table, parts):
         ids, texts, spans = sort.spans(table, parts)
-        out = [ids, [len(t or b"") for t in texts], [int((s[:, 1] - s[:, 0]).sum()) for s in spans], [[{"begin": a, "end": b} for a, b in s.tolist()] for s in spans], [kept_bytes(t, s) for t, s in zip(texts, spans, strict=True)]]
+        out = [ids, [len(t or b"") for t in texts], [int((s[:, 1] - s[:, 0]).sum()) for s in spans], [[{"begin": a, "end": b} for a, b in s.tolist()] for s in spans], [shown(kept_bytes(t, s)) for t, s in zip(texts, spans, strict=True)]]
         return [*out, B.docs_of(table, "carry")[2]] if carry else out
 
     schema, arrow = SCHEMA, _ARROW

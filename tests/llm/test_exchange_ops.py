@@ -158,3 +158,14 @@ def test_all_null(spark):
     assert [r.n_removed for r in repeated_spans(none).collect()] == [0, 0]
     assert [r.n_tokens for r in encode_decode(none, tokenizer_json()).collect()] == [0, 0]
     assert [(r.n_tokens, r.score) for r in katz_scores(none, remainder(5) != 1)[0].collect()] == [(1, 0.0)] * 2
+
+
+def test_repeats_without_cut_code_points(spark):
+    # The repeat ends within the two bytes of the last letter: é and è share the first.
+    shared = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUV"
+    docs = spark.createDataFrame([(1, shared + "é"), (2, shared + "è tail"), (3, None), (4, "")], "doc_id long, text string")
+    plain = {r.doc_id: bytes(r.kept) for r in repeated_spans(docs).collect()}
+    whole = {r.doc_id: bytes(r.kept) for r in repeated_spans(docs, whole_points=True).collect()}
+    assert plain[2] == b"\xa8 tail" and whole[2] == b" tail"
+    assert whole[1] == plain[1] == (shared + "é").encode()
+    assert whole[3] == whole[4] == b""

@@ -186,21 +186,34 @@ def parts_of(table: pa.Table) -> list[tuple[int, int, bytes]]:
     return sorted(zip(table["bucket"].to_pylist(), table["kind"].to_pylist(), table["part"].to_pylist(), strict=True), key=lambda r: (r[1], r[0]))
 
 
+def _answers(table: pa.Table, answer: Callable, *more) -> pa.Table:
+    bucket, block = table["bucket"][0].as_py(), table["block"].to_pylist()
+    kind, part = table["kind"].to_pylist(), table["part"].to_pylist()
+    out = [(bucket, b, k, p) for b, k, p in zip(block, kind, part, strict=True) if k == 9]
+    own = sorted((b, p) for b, k, p in zip(block, kind, part, strict=True) if k != 9)
+    out += [(bucket, b, k, p) for b, k, p in answer(own, *more)] if own else []
+    return rows(out)
+
+
 def answered(asks: DataFrame, answer: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
     """``answer(rows of one bucket: (block, part))`` gives (block, kind, part).
     Rows of kind 9 pass: they go from a block to itself."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, block = table["bucket"][0].as_py(), table["block"].to_pylist()
-        kind, part = table["kind"].to_pylist(), table["part"].to_pylist()
-        out = [(bucket, b, k, p) for b, k, p in zip(block, kind, part, strict=True) if k == 9]
-        own = sorted((b, p) for b, k, p in zip(block, kind, part, strict=True) if k != 9)
-        out += [(bucket, b, k, p) for b, k, p in answer(own)] if own else []
-        return rows(out)
+        return _answers(table, answer)
 
     return asks.groupBy("bucket").applyInArrow(run, ROW)
 
 
+def answered_told(asks: DataFrame, told: DataFrame, answer: Callable) -> DataFrame:
+    """As ``answered``, with the part that ``told`` has for each bucket."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _answers(left, answer, right["part"][0].as_py()) if left.num_rows else rows(())
+
+    return asks.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(run, ROW)
+
+
 def met(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str, arrow: pa.Schema) -> DataFrame:
     """``finish(block's documents, answers)`` gives columns of ``arrow``."""
 

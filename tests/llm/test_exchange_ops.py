@@ -169,3 +169,36 @@ def test_repeats_without_cut_code_points(spark):
     assert plain[2] == b"\xa8 tail" and whole[2] == b" tail"
     assert whole[1] == plain[1] == (shared + "é").encode()
     assert whole[3] == whole[4] == b""
+
+
+@pytest.mark.parametrize("block", [10**7, 2500])
+def test_katz_discounts_are_those_of_all_pairs(spark, block):
+    """Also where pairs lie in many buckets, and with split contexts (the end and "a", over 1000 tokens each)."""
+    train = [f"a b{i % 300} c{i % 170} d{i % 97}" for i in range(1300)] + [f"e{i} f{i % 9} g{i % 40}" for i in range(200)]
+    held = ["a b5 c5 d5", "a c9 x", "e3 f3 g3", "c7 d7 a", "b1 b2", "", "a a"]
+    rows = [(i, t, True) for i, t in enumerate(train)] + [(5000 + i, t, False) for i, t in enumerate(held)]
+    done, model = katz_scores(spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3), F.col("train"), block_bytes=block)
+    one = {r.doc_id: r.score for r in done.collect()}
+    words, pairs, context = Counter(), Counter(), Counter()
+    for t in train:
+        own = ["", *t.split(), ""]
+        words.update(own[1:])
+        pairs.update(zip(own, own[1:], strict=False))
+    for (v, _), c in pairs.items():
+        context[v] += c
+    d = discounts(np.array([sum(x == r for x in pairs.values()) for r in range(1, 7)]))
+    p = lambda w: float(model.p(np.array([words[w]]))[0])
+
+    def katz(v, w):
+        if not context[v]:
+            return p(w)
+        own = {b: c for (a, b), c in pairs.items() if a == v}
+        mass = sum(c * (d[c] if c <= 5 else 1) for c in own.values()) / context[v]
+        scale, left = (1, 1 - mass) if 1 - mass > 1e-9 else (context[v] / (context[v] + 1), 1 / (context[v] + 1))
+        c = own.get(w, 0)
+        return scale * c * (d[c] if c <= 5 else 1) / context[v] if c else left / (1 - sum(map(p, own))) * p(w)
+
+    for i, t in enumerate(held):
+        own = ["", *t.split(), ""]
+        want = sum(math.log10(katz(v, w)) for v, w in zip(own, own[1:], strict=False))
+        assert abs(one[5000 + i] - want) < 1e-4

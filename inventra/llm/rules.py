@@ -1,15 +1,23 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Each rule rejects a text whose measure lies beyond a cutoff.  Cutoffs come from
-labelled holdouts: for each rule, side, stratum (language as far as it is well
-covered, length class) and candidate cutoff, the good documents that it would
-reject are counted, and a cutoff is safe when the exact binomial tail shows a
-false rejection rate over ``risk`` to be unlikely: P(Bin(n, risk) <= k) at most
-``level`` divided by the number of all tests (Bonferroni).  Per rule and stratum
-the safe cutoff that rejects most of the labelled bad documents is taken, and
-only if it rejects any; a stratum without enough good documents has no rule.
-All rules together falsely reject at most ``rules * risk`` of a stratum, which
-is what ``risk`` is set for.
+labelled holdouts: for each rule, stratum and candidate cutoff, the good
+documents that it would reject are counted, and a cutoff is safe when the exact
+binomial tail shows a false rejection rate over ``risk`` to be unlikely:
+P(Bin(n, risk) <= k) at most ``level`` divided by the number of rules and strata
+(Bonferroni).  The cutoffs of one rule in one stratum are tested in a fixed
+sequence, from the one that rejects least, until one fails, so they share that
+error.  Per rule and stratum the safe cutoff that rejects most of the labelled
+bad documents is taken, and only if it rejects any.
+
+A stratum is a language and length class where these have enough good documents
+for a cutoff without any false rejection to be safe.  The other languages of a
+length class are one stratum; what is still too thin is one stratum for all
+lengths, and takes in the thinnest others until it is well covered.  Pools
+depend on how many good documents there are, never on their measures.  Only a
+label table with too few good documents in all gives no rule.  All rules together
+falsely reject at most ``rules * risk`` of a stratum, which is what ``risk`` is
+set for; in a pooled stratum that holds for the pool, not for each language in it.
 
 Defined results: a null or empty text has no words, fails the base rules and is
 not kept.  A row without doc_id has no label and is judged like any other.
@@ -19,7 +27,7 @@ ignored.
 
 from __future__ import annotations
 
-from math import exp, lgamma, log, log1p
+from math import ceil, exp, lgamma, log, log1p
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +39,7 @@ SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 #: Measures of the rules; a text is rejected at or beyond a cutoff.
 CUTOFFS = [0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.16, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9]
+LENGTHS = ("short", "middle", "long")
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "few_distinct", "mark_share")
 
 
@@ -104,33 +113,77 @@ def log_tail(k: int, n: int, p: float) -> float:
     return top + log(sum(exp(t - top) for t in terms))
 
 
-def learnt(measured: DataFrame, labels: DataFrame, label: str = "quality", risk: float = RISK, level: float = LEVEL) -> dict[str, dict[str, float]]:
-    """Safe cutoffs by stratum and rule.  What comes to the driver is one row
-    for each stratum, whatever the number of documents."""
+def least(strata: int, risk: float, level: float) -> int:
+    """Good documents with which a cutoff that rejects none of them is safe."""
+    return ceil(log(level / (strata * len(RULES))) / log1p(-risk))
+
+
+def length_of(stratum: Column) -> Column:
+    return F.substring_index(stratum, "/", -1)
+
+
+#: A stratum's name and length class; name None for those of that length that aren't named.
+Key = tuple[str | None, str]
+
+
+def pooled(good: dict[Key, int], risk: float, level: float) -> list[list[Key]]:
+    """The final strata, as keys that are judged together, from the good
+    documents of each; the fewest strata that are well covered at their own
+    number of tests."""
+    held = lambda group: sum(good[k] for k in group)
+    for most in range(1, len(good) + 1):
+        need = least(most, risk, level)
+        out = [[k] for k in good if k[0] is not None and good[k] >= need]
+        rest = [[k for k in good if k[1] == length and not (k[0] is not None and good[k] >= need)] for length in LENGTHS]
+        out += [group for group in rest if held(group) >= need]
+        thin = [k for group in rest if held(group) < need for k in group]
+        while thin and out and held(thin) < need:
+            thin += out.pop(out.index(min(out, key=held)))
+        out += [thin] if thin else []
+        if len(out) <= most:
+            return out
+    return []
+
+
+def learnt(measured: DataFrame, labels: DataFrame, label: str = "quality", risk: float = RISK, level: float = LEVEL) -> list[tuple[list[Key], dict[str, float]]]:
+    """The final strata with the safe cutoffs of their rules.  What comes to the
+    driver is one row for each stratum, whatever the number of documents."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("good"))
     own = measured.where(~F.col("base_failed")).join(known, "doc_id")
     sums = [F.sum((F.col("good") == g).cast("long")).alias(f"n{g}") for g in (0, 1)]
     for rule in RULES:
         sums += [F.sum(((F.col("good") == g) & (F.col(rule) >= c)).cast("long")).alias(f"{rule}_{g}_{j}") for g in (0, 1) for j, c in enumerate(CUTOFFS)]
-    rows = own.groupBy("stratum").agg(*sums).orderBy(F.desc("n1"), "stratum").limit(1000).collect()
-    tests = max(1, len(rows) * len(RULES) * len(CUTOFFS))
-    bound = log(level / tests)
-    out: dict[str, dict[str, float]] = {}
-    for row in rows:
+    rows = own.groupBy("stratum").agg(*sums).withColumn("length", length_of(F.col("stratum"))).orderBy(F.desc("n1"), "stratum").limit(1000).collect()
+    found = {(row["stratum"], row["length"]): row for row in rows}
+    pools = pooled({(None, length): 0 for length in LENGTHS} | {k: row["n1"] for k, row in found.items()}, risk, level)
+    bound = log(level / max(1, len(pools) * len(RULES)))
+    out = []
+    for keys in pools:
+        held = [found[k] for k in keys if k in found]
+        n = sum(row["n1"] for row in held)
+        cutoffs: dict[str, float] = {}
         for rule in RULES:
-            safe = [(row[f"{rule}_0_{j}"], c) for j, c in enumerate(CUTOFFS) if row["n1"] and log_tail(row[f"{rule}_1_{j}"], row["n1"], risk) <= bound]
+            safe = []
+            for j, c in reversed(list(enumerate(CUTOFFS))):
+                if not n or log_tail(sum(row[f"{rule}_1_{j}"] for row in held), n, risk) > bound:
+                    break
+                safe.append((sum(row[f"{rule}_0_{j}"] for row in held), c))
             if safe and max(safe)[0] > 0:
-                out.setdefault(row["stratum"], {})[rule] = max(safe)[1]
+                cutoffs[rule] = max(safe)[1]
+        out.append((keys, cutoffs))
     return out
 
 
-def rejected(cutoffs: dict[str, dict[str, float]]) -> Column:
+def rejected(strata: list[tuple[list[Key], dict[str, float]]]) -> Column:
+    named = [k[0] for keys, _ in strata for k in keys if k[0] is not None]
     out = F.lit(False)
-    for name, rules in sorted(cutoffs.items()):
+    for keys, cutoffs in strata:
         own = F.lit(False)
-        for rule, cutoff in sorted(rules.items()):
+        for rule, cutoff in sorted(cutoffs.items()):
             own = own | (F.col(rule) >= cutoff)
-        out = out | ((F.col("stratum") == name) & own)
+        names, lengths = [k[0] for k in keys if k[0] is not None], [k[1] for k in keys if k[0] is None]
+        here = F.col("stratum").isin(names) | (~F.col("stratum").isin(named) & length_of(F.col("stratum")).isin(lengths))
+        out = out | (here & own)
     return out
 
 
@@ -141,5 +194,5 @@ def judged(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     rows = counted(df, text, F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"))
     rows = stored(rows.withColumn("base_failed", base_failed()).withColumn("stratum", stratum(F.col("lang"))))
-    cutoffs = learnt(rows, labels, label, risk, level)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~rejected(cutoffs))
+    strata = learnt(rows, labels, label, risk, level)
+    return rows.withColumn("kept", ~F.col("base_failed") & ~rejected(strata))

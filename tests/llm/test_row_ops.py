@@ -15,7 +15,7 @@ from inventra.llm import queries as Q
 from inventra.llm.decontaminate import aligned, leaks, plain
 from inventra.llm.main_text import main_text, main_texts
 from inventra.llm.quality import quality_scores
-from inventra.llm.rules import judged, log_tail
+from inventra.llm.rules import LENGTHS, judged, least, log_tail, pooled
 from inventra.llm.shards import sharded
 from inventra.llm.toxicity import LabelModel, toxicity_scores
 
@@ -98,6 +98,37 @@ def test_rules_learn_and_keep(spark):
     assert all(r.kept for r in got if r.doc_id < 10000)
 
 
+def test_rules_pool_thin_strata(spark):
+    # Twelve strata of 100 good documents each: none has enough of its own, all together have.
+    rng = np.random.default_rng(2)
+    words = [a + b for a in "abcdefg" for b in "hijklm"]
+    good = [(i, " ".join(rng.choice(words, [60, 150, 1010][i % 3])) + f" {i}", ["en", "de", "es", None][i // 3 % 4]) for i in range(1200)]
+    bad = [(10000 + i, " ".join(f"w{i}x{j}***" for j in range([60, 150, 1010][i % 3])), ["en", "de", "xx"][i // 3 % 3]) for i in range(90)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 10000)) for i, *_ in good + bad], "doc_id long, quality int")
+    got = judged(df, labels).where("not base_failed").collect()
+    assert all(not r.kept for r in got if r.doc_id >= 10000)
+    assert all(r.kept for r in got if r.doc_id < 10000)
+
+
+def test_rules_pools():
+    none = {(None, length): 0 for length in LENGTHS}
+    own = lambda lang, *n: {(f"{lang}/{length}", length): x for length, x in zip(LENGTHS, n, strict=True)}
+    pools = lambda good: sorted((sorted(str(k[0]) for k in p if k[0]), sum(good[k] for k in p)) for p in pooled(good, 0.005, 0.05))
+    # Well covered by itself; the rest of all lengths together.
+    got = pools(none | own("en", 252, 1615, 172) | own("de", 57, 392, 44) | own("fr", 55, 409, 34) | own("es", 51, 243, 22))
+    assert [n for _, n in got] == [1731, 1615] and (["en/middle"], 1615) in got
+    # The rest of one length has enough by itself.
+    assert (["de/middle", "fr/middle"], 1800) in pools(none | own("en", 3000, 3000, 3000) | own("de", 9, 900, 9) | own("fr", 700, 900, 700))
+    # Too thin a rest takes in the thinnest stratum.
+    assert pools(none | own("en", 5000, 1500, 20)) == [(["en/long", "en/middle"], 1520), (["en/short"], 5000)]
+    assert len(pooled(none, 0.005, 0.05)) == 1
+    for strata in (1, 5):
+        bound = math.log(0.05 / (6 * strata))
+        n = least(strata, 0.005, 0.05)
+        assert log_tail(0, n, 0.005) <= bound < log_tail(0, n - 1, 0.005)
+
+
 def test_leaks(spark):
     rng = np.random.default_rng(2)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "tu", "é"], rng.integers(1, 4)))

@@ -147,14 +147,18 @@ def pooled(good: dict[Key, int], risk: float, level: float) -> list[list[Key]]:
 
 def learnt(measured: DataFrame, labels: DataFrame, label: str = "quality", risk: float = RISK, level: float = LEVEL) -> list[tuple[list[Key], dict[str, float]]]:
     """The final strata with the safe cutoffs of their rules.  What comes to the
-    driver is one row for each stratum, whatever the number of documents."""
+    driver is one row for each stratum that is well covered by itself, and one
+    for the others of each length class."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("good"))
     own = measured.where(~F.col("base_failed")).join(known, "doc_id")
     sums = [F.sum((F.col("good") == g).cast("long")).alias(f"n{g}") for g in (0, 1)]
     for rule in RULES:
         sums += [F.sum(((F.col("good") == g) & (F.col(rule) >= c)).cast("long")).alias(f"{rule}_{g}_{j}") for g in (0, 1) for j, c in enumerate(CUTOFFS)]
-    rows = own.groupBy("stratum").agg(*sums).withColumn("length", length_of(F.col("stratum"))).orderBy(F.desc("n1"), "stratum").limit(1000).collect()
-    found = {(row["stratum"], row["length"]): row for row in rows}
+    by_name = own.groupBy("stratum").agg(*sums)
+    # A stratum too thin even as the only one never stands for itself: those are added up here.
+    stands = F.when(F.col("n1") >= least(1, risk, level), F.col("stratum")).alias("name")
+    rows = by_name.groupBy(stands, length_of(F.col("stratum")).alias("length")).agg(*(F.sum(c).alias(c) for c in by_name.columns if c != "stratum")).orderBy("name", "length").collect()
+    found = {(row["name"], row["length"]): row for row in rows}
     pools = pooled({(None, length): 0 for length in LENGTHS} | {k: row["n1"] for k, row in found.items()}, risk, level)
     bound = log(level / max(1, len(pools) * len(RULES)))
     out = []

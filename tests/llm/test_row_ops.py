@@ -111,6 +111,17 @@ def test_rules_pool_thin_strata(spark):
     assert all(r.kept for r in got if r.doc_id < 10000)
 
 
+def test_rules_of_many_strata(spark):
+    # Bad documents in strata without any good one, behind 1200 with one each.
+    rng = np.random.default_rng(3)
+    good = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eta", "iota"], 60)) + f" {i}", f"g{i}") for i in range(1200)]
+    bad = [(10000 + i, " ".join(f"w{i}x{j}***" for j in range(60)), f"z{i}") for i in range(60)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 10000)) for i, *_ in good + bad], "doc_id long, quality int")
+    got = judged(df, labels).where("not base_failed").collect()
+    assert all(r.kept == (r.doc_id < 10000) for r in got) and sum(r.doc_id >= 10000 for r in got) == 60
+
+
 def test_rules_pools():
     none = {(None, length): 0 for length in LENGTHS}
     own = lambda lang, *n: {(f"{lang}/{length}", length): x for length, x in zip(LENGTHS, n, strict=True)}

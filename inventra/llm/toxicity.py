@@ -15,7 +15,8 @@ covers every row and whole texts in Arrow batches and needs no shuffle.
 
 Defined results: a null or empty text draws the votes of a text without hits.
 With labels of one class only every score is that class's smoothed share.
-Further columns stay.
+Where all posteriors lie on one side of 0.5, weak supervision gives way to the
+supervised classifier of op2, trained on the labels.  Further columns stay.
 """
 
 from __future__ import annotations

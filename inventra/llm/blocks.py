@@ -10,6 +10,14 @@ beside its texts.  The texts are shuffled once (both uses of the dealt table
 read the same exchange), and no key can gather more than a bucket's items, as a
 block sends a repeated item once.
 
+With ``n`` blocks there are about as many buckets, and each block has something
+for nearly each bucket: ``n * n`` rows, ever smaller ones.  Beyond ``HOP`` blocks
+rows therefore go by two hops: a block ties what goes to neighbouring buckets
+into one row for their group, and a task that holds such rows of neighbouring
+blocks ties them anew by bucket.  Groups are as wide as the root of ``n``, so
+there are ``n ** 1.5`` rows a hop, each hop holds what a block holds, and results
+are the same.
+
 A block orders its documents by id and text before it numbers anything, so an
 answer fits however often a lost executor makes Spark build a block anew.
 """
@@ -19,41 +27,21 @@ from __future__ import annotations
 import ctypes
 import os
 import struct
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text a block holds on average.
 BLOCK_BYTES = 10_000_000
+#: Up to so many blocks rows go straight to their bucket.
+HOP = 4096
 ROW = "bucket int, block int, kind int, part binary"
 _ROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("part", pa.binary())])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (a single
-    machine, as in tests) a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="inventra-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: it cuts
-    the lineage, and any executor can read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pieces(total: int | None, each: int) -> int:
     return max(1, -(-int(total or 0) // each))
 
@@ -67,7 +55,7 @@ def dealt(df: DataFrame, doc_id: str, text: str, n: int, *more: Column) -> DataF
     Arrow stream with the columns doc_id, text (as bytes) and what else is asked
     for.  Packed so, texts take about two thirds of what rows would in the
     shuffle."""
-    key = F.xxhash64(F.col(doc_id), F.when(F.col(doc_id).isNull(), F.col(text)))
+    key = F.xxhash64(F.col(doc_id), F.col(text))
     own = df.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +74,7 @@ def dealt(df: DataFrame, doc_id: str, text: str, n: int, *more: Column) -> DataF
 
 #: Bytes of rows a task gathers before it packs them by block.
 SPREAD_BYTES = 16_000_000
-_STREAM = pa.ipc.IpcWriteOptions(compression="zstd")
+_STREAM = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
 
 
 def _packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -116,9 +104,12 @@ def docs_of(table: pa.Table, *more: str) -> tuple:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed part; bytes of a like place in their numbers
+    stand together, so small numbers cost little whatever their type."""
     out = [struct.pack("<H", len(arrays))]
     for a in arrays:
-        out += [struct.pack("<3sQ", a.dtype.str[1:].encode(), len(a)), a.tobytes()]
+        planes = a if a.dtype.itemsize == 1 else np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T)
+        out += [struct.pack("<3sQ", a.dtype.str[1:].encode(), len(a)), planes.tobytes()]
     raw = b"".join(out)
     return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -130,11 +121,31 @@ def unpack(part: bytes) -> list[np.ndarray]:
         kind, size = struct.unpack_from("<3sQ", part, at)
         kind = np.dtype(kind.rstrip(b"\0").decode())
         at += 11
-        out.append(np.frombuffer(part, kind, size, at))
+        if kind.itemsize == 1:
+            out.append(np.frombuffer(part, kind, size, at))
+        else:
+            planes = np.frombuffer(part, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+            out.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
         at += size * kind.itemsize
     return out
 
 
+def small(a: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in the smallest type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max()))) if len(a) else a.astype(np.uint8)
+
+
+def steps(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising unsigned numbers as the first and what each adds to the one before."""
+    a = a.astype(np.uint64)
+    return a[:1], small(a[1:] - a[:-1])
+
+
+def risen(first: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """What ``steps`` were made of."""
+    return np.cumsum(np.concatenate((first, step.astype(np.uint64))), dtype=np.uint64)
+
+
 def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, Iterable[tuple[int, int, int]]]:
     """A stable order by bucket, and (bucket, begin, end) of each that has items."""
     if not len(bucket):
@@ -163,55 +174,117 @@ def rows(items: Iterable[tuple[int, int, int, bytes]]) -> pa.Table:
     return freed(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _ROW.types, strict=True)], schema=_ROW))
 
 
-def asked(blocks: DataFrame, ask: Callable[[int, pa.Table], Iterable[tuple[int, int, int, bytes]]]) -> DataFrame:
+#: The kind of a row that holds further rows.
+_TIED = -1
+
+
+def width(n: int) -> int:
+    """How many neighbouring buckets or blocks share a row."""
+    return 1 if n <= HOP else int(np.ceil(np.sqrt(n)))
+
+
+def _tied(table: pa.Table, wide: int, by: str) -> pa.Table:
+    """One row for each group of ``wide`` buckets and of blocks; ``by`` names the
+    column that stays as it is, ungrouped, or neither."""
+    keys = {c: table[c].to_numpy() // (1 if c == by else wide) for c in ("bucket", "block")}
+    order = np.lexsort((keys["block"], keys["bucket"]))
+    bucket, block = keys["bucket"][order], keys["block"][order]
+    cut = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])))) if len(order) else np.zeros(0, int)
+    out = []
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True) if len(cut) else ():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _ROW) as stream:
+            stream.write_table(table.take(order[a:b]).combine_chunks())
+        out.append((int(bucket[a]), int(block[a]), _TIED, sink.getvalue().to_pybytes()))
+    return rows(out)
+
+
+def loose(table: pa.Table) -> pa.Table:
+    """The rows themselves, where some hold further rows."""
+    tied = table["kind"].to_numpy() == _TIED
+    if not tied.any():
+        return table
+    held = table.filter(pa.array(tied))["part"]
+    return pa.concat_tables([table.filter(pa.array(~tied)).cast(_ROW), *(pa.ipc.open_stream(p.as_buffer()).read_all() for p in held)])
+
+
+def _routed(df: DataFrame, wide: int, by: str) -> DataFrame:
+    """The second hop: rows of a group of buckets and of blocks, tied anew by
+    what they go to."""
+    if wide == 1:
+        return df
+
+    def run(table: pa.Table) -> pa.Table:
+        return _tied(loose(table), wide, by)
+
+    return df.groupBy("bucket", "block").applyInArrow(run, ROW)
+
+
+def _sent(out: pa.Table, wide: int) -> pa.Table:
+    return out if wide == 1 else _tied(out, wide, "")
+
+
+def asked(blocks: DataFrame, ask: Callable[[int, pa.Table], Iterable[tuple[int, int, int, bytes]]], n: int) -> DataFrame:
     """``ask(block, its documents)`` gives (bucket, block, kind, part)."""
+    wide = width(n)
 
     def run(table: pa.Table) -> pa.Table:
-        return rows(ask(table["block"][0].as_py(), opened(table)))
+        return _sent(rows(ask(table["block"][0].as_py(), opened(table))), wide)
 
-    return blocks.groupBy("block").applyInArrow(run, ROW)
+    return _routed(blocks.groupBy("block").applyInArrow(run, ROW), wide, "bucket")
 
 
-def asked_again(blocks: DataFrame, answers: DataFrame, ask: Callable) -> DataFrame:
+def asked_again(blocks: DataFrame, answers: DataFrame, ask: Callable, n: int) -> DataFrame:
     """As ``asked``, with the answers to what was asked before."""
+    wide = width(n)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return rows(ask(left["block"][0].as_py(), opened(left), parts_of(right)) if left.num_rows else ())
+        return _sent(rows(ask(left["block"][0].as_py(), opened(left), parts_of(right)) if left.num_rows else ()), wide)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, ROW)
+    return _routed(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, ROW), wide, "bucket")
 
 
 def parts_of(table: pa.Table) -> list[tuple[int, int, bytes]]:
     """(bucket, kind, part) in order of kind and bucket."""
+    table = loose(table)
     return sorted(zip(table["bucket"].to_pylist(), table["kind"].to_pylist(), table["part"].to_pylist(), strict=True), key=lambda r: (r[1], r[0]))
 
 
-def _answers(table: pa.Table, answer: Callable, *more) -> pa.Table:
-    bucket, block = table["bucket"][0].as_py(), table["block"].to_pylist()
-    kind, part = table["kind"].to_pylist(), table["part"].to_pylist()
-    out = [(bucket, b, k, p) for b, k, p in zip(block, kind, part, strict=True) if k == 9]
-    own = sorted((b, p) for b, k, p in zip(block, kind, part, strict=True) if k != 9)
+def asks_of(table: pa.Table) -> tuple[list[tuple[int, bytes]], list[tuple[int, int, bytes]]]:
+    """What a bucket is asked, (block, part) in order, and what passes by it
+    from a block to itself: rows of kind 9 as (block, kind, part)."""
+    table = loose(table)
+    held = list(zip(table["block"].to_pylist(), table["kind"].to_pylist(), table["part"].to_pylist(), strict=True))
+    return sorted((b, p) for b, k, p in held if k != 9), [h for h in held if h[1] == 9]
+
+
+def _answers(table: pa.Table, answer: Callable, wide: int, *more) -> pa.Table:
+    bucket = table["bucket"][0].as_py()
+    own, passing = asks_of(table)
+    out = [(bucket, b, k, p) for b, k, p in passing]
     out += [(bucket, b, k, p) for b, k, p in answer(own, *more)] if own else []
-    return rows(out)
+    return _sent(rows(out), wide)
 
 
-def answered(asks: DataFrame, answer: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
+def answered(asks: DataFrame, answer: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, int, bytes]]], n: int) -> DataFrame:
     """``answer(rows of one bucket: (block, part))`` gives (block, kind, part).
     Rows of kind 9 pass: they go from a block to itself."""
+    wide = width(n)
 
     def run(table: pa.Table) -> pa.Table:
-        return _answers(table, answer)
+        return _answers(table, answer, wide)
 
-    return asks.groupBy("bucket").applyInArrow(run, ROW)
+    return _routed(asks.groupBy("bucket").applyInArrow(run, ROW), wide, "block")
 
 
-def answered_told(asks: DataFrame, told: DataFrame, answer: Callable) -> DataFrame:
-    """As ``answered``, with the part that ``told`` has for each bucket."""
+def answered_told(asks: DataFrame, told: DataFrame, answer: Callable, heard: Callable[[pa.Table], object], n: int) -> DataFrame:
+    """As ``answered``, with what is ``heard`` of the row that ``told`` has for each bucket."""
+    wide = width(n)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _answers(left, answer, right["part"][0].as_py()) if left.num_rows else rows(())
+        return _answers(left, answer, wide, heard(right)) if left.num_rows else rows(())
 
-    return asks.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(run, ROW)
+    return _routed(asks.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(run, ROW), wide, "block")
 
 
 def met(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str, arrow: pa.Schema) -> DataFrame:

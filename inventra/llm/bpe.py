@@ -135,5 +135,5 @@ def encode_decode(df: DataFrame, definition: str, doc_id: str = "doc_id", text:
     one row for each row of ``df``.  ``definition`` is the tokenizer's JSON."""
     n = B.pieces(B.total_bytes(df, text), block_bytes)
     docs = B.dealt(df, doc_id, text, n)
-    answers = B.answered(B.asked(docs, _ask(n)), _answer(definition))
+    answers = B.answered(B.asked(docs, _ask(n), n), _answer(definition), n)
     return B.met(docs, answers, _finish(definition, n), SCHEMA, _ARROW)

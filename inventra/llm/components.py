@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inventra.llm.blocks import stored
+from inventra.llm.tables import dropped, stored
 
 
 def _hung(edges: DataFrame, lowest: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = _hung(large, lowest)
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        now = stored(small.where("u <> v").distinct())
+        before, now = now, stored(small.where("u <> v").distinct())
+        dropped(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

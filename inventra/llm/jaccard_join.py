@@ -10,15 +10,20 @@ shingles), at every size of group.
    and is done: most documents end here.
 2. Equal sets collapse to their smallest id.
 3. Shingles of the rest are counted; in order of rising count, a partner must
-   hold one of a document's first ``n - T + 1`` (the short lists of the
-   T-occurrence problem).  Documents of fitting size that share such a list
-   form a neighbourhood; neighbourhoods are what is searched together, cut in
-   cells of bounded size.
-4. In a cell the T-occurrence search runs as DivideSkip: the ``L`` longest
-   inverted lists of a document are set aside, the short ones are merged, ids
-   met at least ``T - L`` times are binary-probed in the long ones.  A partner
-   already in the same component needs no probe, so a large group of near
-   copies costs a probe or two a document and no pair is ever emitted.
+   hold one of a document's first ``n - T + 1``, its short lists.  Short lists
+   are rows (shingle, document) from here on, an inverted index in one table.
+4. Each document is compared with one leader, the smallest of those of about its
+   size with which it shares most short lists.  What links makes clusters: a
+   large group of near copies costs one comparison a document.
+5. Short lists of more than one cluster are merged: documents of different
+   clusters and fitting sizes that share a list are compared, if the list is no
+   longer than ``lists``; a comparison probes one set's sorted shingles for the
+   other's.
+6. What meets in longer lists is searched in blocks of bounded size, all but the
+   largest cluster's documents against all, by DivideSkip: of the inverted lists
+   of a document's shingles the ``L`` longest are set aside, the others merged on
+   a heap that skips ahead, and ids met at least ``T - L`` times are looked up in
+   the long ones by bisection.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing.  A row without doc_id keeps its row, with component
@@ -29,6 +34,9 @@ on its own, and they share a component.  Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
+from bisect import bisect_left
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +45,17 @@ from pyspark.sql import functions as F
 
 from inventra.llm import blocks as B
 from inventra.llm.components import components
+from inventra.llm.tables import stored
 from inventra.llm.words import U, shingles
 
-#: Documents of one cell.
-CELL = 4096
+#: Documents of one block of a search, and of a list that is merged in pairs.
+CELL, LISTS = 4096, 64
+#: The weight of a long list's lookups against the merge, as published.
+MU = 0.0085
 _LOW = U(0xFFFFFFFF)
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_SHORT = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("short", pa.binary())])
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -144,11 +156,11 @@ def _frequency(parts):
         at += len(low)
 
 
-def _third_ask(percent: int, n_buckets: int):
-    """Each set's short lists: its first ``n - T + 1`` shingles in order of
-    count, without those that no other set holds."""
+def _short_lists(percent: int, n_buckets: int):
+    """Each set's size and its first ``n - T + 1`` shingles in order of count,
+    without those that no other set holds."""
 
-    def ask(block: int, table: pa.Table, parts):
+    def finish(table: pa.Table, parts):
         ids, token, first = _sets(table)
         order, cuts = B.by_bucket((token >> U(32)) % U(n_buckets))
         answers = {bucket: part for bucket, _, part in parts}
@@ -157,21 +169,47 @@ def _third_ask(percent: int, n_buckets: int):
             count[order[a:b]] = B.unpack(answers[bucket])[0]
         size = np.diff(first)
         short = size - needed(size, percent) + 1
-        kept, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        kept = []
         for i in range(len(ids)):
             a, b = first[i], first[i + 1]
             at = np.lexsort((token[a:b], count[a:b]))[: short[i]]
-            at = at[count[a:b][at] > 1] + a
-            kept.append(at)
-            owner.append(np.full(len(at), i))
-        kept, owner = np.concatenate(kept), np.concatenate(owner)
-        ids, own = np.array(ids, np.int64), token[kept]
-        order, cuts = B.by_bucket((own >> U(32)) % U(n_buckets))
-        for bucket, a, b in cuts:
-            at = order[a:b]
-            yield bucket, block, 0, B.pack(own[at], ids[owner[at]], size[owner[at]].astype(np.int64))
+            kept.append(token[a:b][at[count[a:b][at] > 1]].tobytes())
+        return ids, size.tolist(), kept
 
-    return ask
+    return finish
+
+
+def _postings(batches):
+    """Rows (token, rep, n), one for each short list of a set."""
+    for batch in batches:
+        raw = batch["short"].to_pylist()
+        many = [len(r) // 8 for r in raw]
+        token = np.frombuffer(b"".join(raw), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(batch["rep"].to_numpy(), many)), pa.array(np.repeat(batch["n"].to_numpy(), many))], names=["token", "rep", "n"])
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of ``a`` are in ``b``, by binary probes; both are in order."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+
+
+def _compared(percent: int):
+    """Edges of the pairs (a, b, their tokens) that are linked."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch["tokens_a"], batch["tokens_b"], strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                both = overlap(x, y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch[c].take(pa.array(keep, pa.int64())) for c in ("a", "b")], schema=_EDGES)
+
+    return run
 
 
 class Union:
@@ -193,113 +231,152 @@ class Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def _neighbours(percent: int):
-    """Edges that tie documents which share a short list and fit in size: in
-    order of size, each with the next."""
-
-    def answer(parts):
-        token, doc, size = (np.concatenate(x) for x in zip(*(B.unpack(p) for _, p in parts), strict=True))
-        order = np.lexsort((doc, size, token))
-        token, doc, size = token[order], doc[order], size[order]
-        tie = np.flatnonzero((token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:]))
-        names, at = np.unique(doc, return_inverse=True)
-        union = Union(len(names))
-        for a, b in set(zip(at[tie].tolist(), at[tie + 1].tolist(), strict=True)):
-            union.join(a, b)
-        root = np.array([union.find(i) for i in range(len(names))])
-        far = root != np.arange(len(names))
-        yield 0, 1, B.pack(names[far], names[root[far]])
-
-    return answer
-
-
-def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each set the place of its component's first, by DivideSkip."""
-    size = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, name = np.unique(np.concatenate(sets), return_inverse=True)
-    frequency = np.bincount(name)
-    start = np.concatenate(([0], np.cumsum(frequency)))
-    lists = owner[np.lexsort((owner, name))]
-    own = np.split(name, np.cumsum(size)[:-1])
-    need = needed(size, percent)
-    union = Union(len(sets))
-    for x in range(len(sets)):
-        mine = own[x][frequency[own[x]] > 1]
-        mine = mine[np.argsort(frequency[mine], kind="stable")]
-        t = int(need[x])
-        if len(mine) < t:
+def merged(lists: list[list[int]], least: int):
+    """(id, how often it occurs) of the ids in ``least`` or more of the sorted
+    lists, in order, by a heap that skips: what stands below the place that could
+    still reach ``least`` is passed over by bisection."""
+    heap = [(held[0], k, 0) for k, held in enumerate(lists) if held]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= least:
+            yield top, len(popped)
+            ahead = top + 1
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap))
+            if not heap:
+                return
+            ahead = heap[0][0]
+        for _, k, at in popped:
+            at = bisect_left(lists[k], ahead, at)
+            if at < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at], k, at))
+
+
+def divide_skip(query: list[int], index: dict[int, list[int]], sizes: list[int], percent: int, done=None):
+    """Places in the index that are linked with a query's tokens; ``done`` says
+    of a place that it needn't be known."""
+    n, need = len(query), -(-percent * len(query) // 100)
+    lists = sorted((held for held in map(index.get, query) if held), key=len)
+    if len(lists) < need:
+        return
+    aside = min(need - 1, int(need / (MU * log2(len(lists[-1]) + 1) + 1)))
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    for y, times in merged(short, need - aside):
+        m = sizes[y]
+        if 100 * n < percent * m or 100 * m < percent * n or (done and done(y)):
             continue
-        aside = min(t - 1, int(t / (0.0085 * np.log2(frequency[mine[-1]] + 1) + 1)))
-        near = mine[: len(mine) - aside]
-        found, times = np.unique(np.concatenate([lists[start[m] : start[m + 1]] for m in near]), return_counts=True)
-        found = found[(times >= t - aside) & (found != x)]
-        found = found[(100 * size[found] >= percent * size[x]) & (percent * size[found] <= 100 * size[x])]
-        for y in found.tolist():
-            if union.find(x) != union.find(y):
-                both = len(np.intersect1d(own[x], own[y], assume_unique=True))
-                if 100 * both >= percent * (size[x] + size[y] - both):
-                    union.join(x, y)
-    return [union.find(i) for i in range(len(sets))]
+        least = -(-percent * (n + m) // (100 + percent))
+        left = len(long)
+        for held in reversed(long):
+            if times + left < least:
+                break
+            at = bisect_left(held, y)
+            times += at < len(held) and held[at] == y
+            left -= 1
+        if times >= least:
+            yield y
 
 
 def _search(percent: int):
-    """Edges from each document of a cell to the first it is linked with."""
-
-    def cell(ids: list[int], raw: list[bytes]) -> pa.RecordBatch:
-        order = sorted(range(len(ids)), key=ids.__getitem__)
-        ids = [ids[i] for i in order]
-        roots = linked(np.array(ids), [np.frombuffer(raw[i], U) for i in order], percent)
-        out = [(i, ids[r]) for i, r in zip(ids, roots, strict=True) if ids[r] != i]
+    """Edges from the queries of a block to what its index has linked with them."""
+
+    def block(rows) -> pa.RecordBatch:
+        rows.sort(key=lambda r: (r[1], r[0]))
+        ids = sorted({r[0] for r in rows})
+        place = {i: k for k, i in enumerate(ids)}
+        union, first = Union(len(ids)), {}
+        for i, _, cluster, _ in rows:
+            union.join(place[i], first.setdefault(cluster, place[i]))
+        held = [(place[i], np.frombuffer(t, U).tolist()) for i, query, _, t in rows if not query]
+        index: dict[int, list[int]] = {}
+        for k, (_, tokens) in enumerate(held):
+            for t in tokens:
+                index.setdefault(t, []).append(k)
+        sizes, out = [len(t) for _, t in held], []
+        for i, query, _, raw in rows:
+            if query:
+                x = place[i]
+                for y in divide_skip(np.frombuffer(raw, U).tolist(), index, sizes, percent, lambda y: union.find(held[y][0]) == union.find(x)):
+                    if union.find(held[y][0]) != union.find(x):
+                        union.join(x, held[y][0])
+                        out.append((i, ids[held[y][0]]))
         return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in (0, 1)], schema=_EDGES)
 
     def run(batches):
-        key, ids, raw = None, [], []
+        key, rows = None, []
         for batch in batches:
-            for cell_key, i, t in zip(zip(*(batch[c].to_pylist() for c in ("label", "ci", "cj")), strict=True), batch["rep"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
-                if cell_key != key:
-                    if len(ids) > 1:
-                        yield cell(ids, raw)
-                    key, ids, raw = cell_key, [], []
-                ids.append(i)
-                raw.append(t)
-        if len(ids) > 1:
-            yield cell(ids, raw)
+            columns = (batch[c].to_pylist() for c in ("label", "ci", "cj", "rep", "query", "cluster", "tokens"))
+            for label, ci, cj, *row in zip(*columns, strict=True):
+                if (label, ci, cj) != key:
+                    if rows:
+                        yield block(rows)
+                    key, rows = (label, ci, cj), []
+                rows.append(row)
+        if rows:
+            yield block(rows)
 
     return run
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for part in batch["part"].to_pylist():
-                a, b = B.unpack(part)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_EDGES)
-
-    return df.select("part").mapInArrow(run, "a long, b long")
-
-
-def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block_bytes: int = B.BLOCK_BYTES, cell: int = CELL) -> DataFrame:
+def _long_lists(postings: DataFrame, sets: DataFrame, percent: int, cell: int) -> DataFrame:
+    """Edges of the documents that meet in ``postings`` (token, rep, cluster):
+    neighbourhoods of lists that share documents, each searched in blocks of an
+    index cell and a chunk of queries."""
+    postings = stored(postings)
+    least = postings.groupBy("token").agg(F.min("rep").alias("b"))
+    hood = components(postings.join(least, "token").select(F.col("rep").alias("a"), "b").distinct())
+    docs = postings.select("rep", "cluster").distinct().join(hood.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("root", "rep").alias("label"))
+    clusters = docs.groupBy("label", "cluster").agg(F.count("*").alias("n"))
+    shape = clusters.groupBy("label").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("largest")).where("all > largest")
+    docs = docs.join(shape, "label").withColumn("query", F.col("cluster") != F.col("top"))
+    cells, chunks = F.ceil(F.col("all") / cell).cast("int"), F.ceil((F.col("all") - F.col("largest")) / cell).cast("int")
+    index = docs.select("rep", "cluster", "label", F.lit(False).alias("query"), F.pmod(F.xxhash64("rep"), cells).cast("int").alias("ci"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("cj"))
+    queries = docs.where("query").select("rep", "cluster", "label", "query", F.explode(F.sequence(F.lit(0), cells - 1)).alias("ci"), F.pmod(F.xxhash64("rep", F.lit(1)), chunks).cast("int").alias("cj"))
+    rows = index.unionByName(queries).join(sets.select("rep", "tokens"), "rep").select("label", "ci", "cj", "rep", "query", "cluster", "tokens")
+    return rows.repartition("label", "ci", "cj").sortWithinPartitions("label", "ci", "cj").mapInArrow(_search(percent), "a long, b long")
+
+
+def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block_bytes: int = B.BLOCK_BYTES, cell: int = CELL, lists: int = LISTS) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``df``."""
     n = B.pieces(B.total_bytes(df, text), block_bytes)
     docs = B.dealt(df, doc_id, text, n)
-    alone = B.answered(B.asked(docs, _first_ask(k, n)), _alone)
-    found = B.stored(B.met(docs, alone, _first_finish(k, percent), "doc_id long, n_shingles long, sig binary, tokens binary", _FOUND))
+    alone = B.answered(B.asked(docs, _first_ask(k, n), n), _alone, n)
+    found = stored(B.met(docs, alone, _first_finish(k, percent), "doc_id long, n_shingles long, sig binary, tokens binary", _FOUND))
 
     alive = found.where("tokens is not null")
-    sets = B.stored(alive.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")))
+    sets = stored(alive.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")))
     m = B.pieces(B.total_bytes(sets, "tokens"), block_bytes)
     dealt = B.dealt(sets, "rep", "tokens", m)
-    counted = B.answered(B.asked(dealt, _second_ask(m)), _frequency)
-    near = B.answered(B.asked_again(dealt, counted, _third_ask(percent, m)), _neighbours(percent))
-    hood = components(_pairs(near))
-    hood = hood.unionByName(hood.select(F.col("root").alias("node"), "root").distinct())
-    cells = hood.groupBy("root").agg(F.ceil(F.count("*") / cell).cast("int").alias("cells"))
-    split = hood.join(cells, "root").select(F.col("node").alias("rep"), F.col("root").alias("label"), "cells", F.pmod(F.xxhash64("node"), "cells").cast("int").alias("c"))
-    split = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    split = split.join(sets.select("rep", "tokens"), "rep")
-    split = split.select("rep", "tokens", "label", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"))
-    edges = split.repartition("label", "ci", "cj").sortWithinPartitions("label", "ci", "cj").mapInArrow(_search(percent), "a long, b long")
+    counted = B.answered(B.asked(dealt, _second_ask(m), m), _frequency, m)
+    short = stored(B.met(dealt, counted, _short_lists(percent, m), "rep long, n long, short binary", _SHORT))
+    postings = short.mapInArrow(_postings, "token long, rep long, n long")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        own = sets.select("rep", "tokens")
+        both = pairs.join(own.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(own.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+        return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_compared(percent), "a long, b long")
+
+    band = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n"))
+    lead = band.groupBy("token", "band").agg(F.min("rep").alias("b"), F.count("*").alias("many")).where("many > 1").drop("many")
+    pairs = band.join(lead, ["token", "band"]).where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("many"))
+    star = stored(compared(pairs.groupBy("a").agg(F.max_by("b", F.struct("many", F.bitwise_not("b"))).alias("b"))))
+
+    cluster = components(star)
+    postings = postings.join(cluster.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("root", "rep").alias("cluster"))
+    mixed = postings.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("many")).where("low < high")
+    mixed = stored(postings.join(mixed.select("token", "many"), "token"))
+    few = mixed.where(F.col("many") <= lists)
+    x, y = few.alias("x"), few.alias("y")
+    fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.cluster") < F.col("y.cluster"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    edges = star.unionByName(compared(pairs))
+    long = mixed.where(F.col("many") > lists).select("token", "rep", "cluster")
+    if not long.isEmpty():
+        edges = edges.unionByName(_long_lists(long, sets, percent, cell))
 
     own = found.where("n_shingles > 0 and doc_id is not null")
     copies = own.select("sig", "doc_id").join(own.groupBy("sig").agg(F.min("doc_id").alias("least")), "sig").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))

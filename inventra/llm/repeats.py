@@ -1,19 +1,26 @@
 """Suffix-array dedup: bytes covered by windows that an earlier document holds.
 
 A byte goes when some ``width``-byte window over it also starts in a document
-with a smaller id.  The windows are ordered by a depth-limited radix sort, most
-significant digit first, and only to ``width`` bytes: two suffixes that agree
-so far are in one group, and the groups are exactly the repeated windows.
-
-* The first digit of a window is its anchor, the ``anchor``-byte gram with the
-  least hash in it (the leftmost of several).  Equal windows have equal
-  anchors, and neighbouring windows share them, so one place in about 14 speaks
-  for all.  Buckets that hold an anchor from one block only are single and
-  leave the sort there: most of a corpus does.
-* The rest of a window, on both sides of the anchor, is the second digit.
-  A block sends each distinct surrounding of a repeated anchor once, with the
-  smallest id that has it; the bucket orders all windows in it and says of each
-  whether a smaller id holds it.
+with a smaller id.  Suffixes are ordered by a depth-limited radix sort, most
+significant digit first and only to ``width`` bytes; two suffixes that agree so
+far are in one group, and the groups are exactly the repeated windows.
+
+* Not every suffix is sorted.  Each window has an anchor, the ``anchor``-byte
+  gram with the least hash in it (the leftmost of several).  Equal windows have
+  equal anchors, and neighbouring windows share them, so the suffixes that begin
+  at anchors, one in about 14, speak for all.
+* The first pass deals anchors to buckets by a hash of that first digit.  Those
+  that stand only once leave the sort there: most of a corpus does.
+* A block sends each distinct surrounding of a repeated anchor once, with the
+  smallest id that has it.  Its bucket sorts the suffixes from the anchors in
+  passes of eight bytes, each pass only within groups that are still equal, up to
+  ``width`` bytes, and in the same way what stands before the anchors, read
+  backwards.  The common lengths of neighbours in both orders say at every depth
+  who is equal: a window that begins ``o`` bytes before its anchor equals another
+  when the suffixes agree to ``width - o`` bytes and what is before to ``o``.
+* An anchor that more than ``HOT`` blocks hold would fill a bucket with different
+  surroundings.  Its windows go one by one, to buckets by 128 bits of hash of the
+  whole window.
 
 Exact copies of a whole text are settled by the text's hash: all but the
 smallest id are covered wholly, and stay out of the sort.
@@ -21,7 +28,8 @@ smallest id are covered wholly, and stay out of the sort.
 Defined results: a null text is empty; a text shorter than ``width`` has no
 window and keeps all its bytes.  Rows without doc_id are put before all others
 (they lose nothing, and what they hold is lost by every other row).  Rows of
-one doc_id never cover one another.  Further columns are ignored.
+one doc_id never cover one another.  An empty table gives none.  Further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +50,10 @@ _NONE = -(2**63)
 _PLACE_BITS = U(24)
 _PLACE_MASK = U((1 << 24) - 1)
 _ROLL = U(0x9E3779B97F4A7C15)
+#: Blocks that may hold an anchor before its windows go one by one.
+HOT = 4096
+#: Rows that are sorted at once, about.
+STEP = 200_000
 
 
 def anchors(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,44 +121,88 @@ def _whole(texts: list[bytes | None]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(t or b"", digest_size=8).digest()) for t in texts], U)
 
 
+def _digits(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as numbers of eight bytes each, in the bytes' order."""
+    size = -(-rows.shape[1] // 8) * 8
+    wide = np.zeros((len(rows), size), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return wide.view(">u8").astype(U)
+
+
+def _agreed(x: np.ndarray) -> np.ndarray:
+    """How many leading bytes of two numbers are equal, from their difference by bits."""
+    return sum((x >> U(8 * j) == 0).astype(np.int16) for j in range(8))
+
+
+def radix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of rows of bytes, and how many bytes each row has in common with
+    the one before it.  Most significant digit first: a pass orders the rows of
+    each group by the next eight bytes, and what is alone in its group is done."""
+    n, depth = rows.shape
+    digits = _digits(rows)
+    order = np.argsort(digits[:, 0], kind="stable")
+    common = np.full(n, depth, np.int16)
+    common[:1] = 0
+    held = digits[order, 0]
+    same = np.ones(n, bool)
+    same[:1] = False
+    same[1:] = held[1:] == held[:-1]
+    split = np.flatnonzero(~same)[1:]
+    common[split] = _agreed(held[split] ^ held[split - 1])
+    for k in range(1, digits.shape[1]):
+        member = same.copy()
+        member[:-1] |= same[1:]
+        at = np.flatnonzero(member)
+        if not len(at):
+            break
+        group = np.cumsum(~same)[at]
+        held = digits[order[at], k]
+        sub = np.lexsort((held, group))
+        order[at], held = order[at][sub], held[sub]
+        # Groups keep their places, so only neighbours within one can part.
+        apart = np.flatnonzero((held[1:] != held[:-1]) & (group[1:] == group[:-1])) + 1
+        same[at[apart]] = False
+        common[at[apart]] = 8 * k + _agreed(held[apart] ^ held[apart - 1])
+    return order, np.minimum(common, depth)
+
+
 class _Sort:
-    def __init__(self, width: int, gram: int, buckets: int):
-        self.width, self.gram, self.buckets = width, gram, buckets
+    def __init__(self, width: int, gram: int, buckets: int, hot: int = HOT):
+        self.width, self.gram, self.buckets, self.hot = width, gram, buckets, hot
         self.side = width - gram
         self.offsets = self.side + 1
         self.box = 2 * self.side + gram
-        self.roll = np.ones(self.box + 1, U)
-        self.roll[1:] = np.multiply.accumulate(np.full(self.box, _ROLL, U))
-        self.back = np.array([pow(int(_ROLL), -j, 2**64) for j in range(self.box)], U)
+
+    @staticmethod
+    def _texts(whole, doc):
+        """The block's different texts by hash: the first row of each, its
+        smallest id, and each row's place among them."""
+        order = np.lexsort((doc, whole))
+        held = whole[order]
+        cut = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1]))) if len(held) else np.zeros(0, int)
+        at = np.empty(len(whole), np.int64)
+        at[order] = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(held))))
+        return order[cut], at
 
     def first_ask(self, block, table):
         ids, texts = B.docs_of(table)
-        whole = _whole(texts)
+        whole, doc = _whole(texts), _ids(ids)
         # A copy within the block needs no anchors: its first one has them.
-        doc = _ids(ids)
-        own = self._alone_in_block(whole, doc)
+        pick, _ = self._texts(whole, doc)
+        own = np.zeros(len(texts), bool)
+        own[pick] = True
         found = Anchored(texts, own, self.width, self.gram)
         hashed = np.unique(found.hash)
         order, cuts = B.by_bucket(_bucket(hashed, self.buckets))
         for bucket, a, b in cuts:
             yield bucket, block, 0, B.pack(_short(hashed[order[a:b]]))
-        order, cuts = B.by_bucket(_bucket(whole, self.buckets))
+        order, cuts = B.by_bucket(_bucket(whole[pick], self.buckets))
         for bucket, a, b in cuts:
-            yield bucket, block, 2, B.pack(whole[order[a:b]], doc[order[a:b]])
+            yield bucket, block, 2, B.pack(whole[pick][order[a:b]], doc[pick][order[a:b]])
 
-    @staticmethod
-    def _alone_in_block(whole, doc):
-        """True for the first row of each text in the block."""
-        order = np.lexsort((doc, whole))
-        first = np.ones(len(order), bool)
-        first[1:] = whole[order][1:] != whole[order][:-1]
-        out = np.empty(len(order), bool)
-        out[order] = first
-        return out
-
-    @staticmethod
-    def first_answer(parts):
-        """Kind 1: which anchors another block has too.  Kind 3: the smallest id of each text."""
+    def first_answer(self, parts):
+        """Kind 1: which anchors another block has too, and which are hot.  Kind
+        3: the smallest id of each text."""
         grams, whole = [], []
         for block, p in parts:
             got = B.unpack(p)
@@ -155,13 +211,13 @@ class _Sort:
             held = np.concatenate([g[1] for g in grams])
             order = np.argsort(held)
             ordered = held[order]
-            same = np.zeros(len(held) + 1, bool)
-            same[1:-1] = ordered[1:] == ordered[:-1]
-            shared = np.empty(len(held), bool)
-            shared[order] = same[1:] | same[:-1]
+            cut = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            many = np.empty(len(held), np.int64)
+            many[order] = np.repeat(np.diff(np.append(cut, len(held))), np.diff(np.append(cut, len(held))))
             at = 0
             for block, g in grams:
-                yield block, 1, B.pack(np.packbits(shared[at : at + len(g)]))
+                own = many[at : at + len(g)]
+                yield block, 1, B.pack(np.packbits(own > 1), np.packbits(own > self.hot))
                 at += len(g)
         if whole:
             least = _least(np.concatenate([w[1] for w in whole]), np.concatenate([w[2] for w in whole]))
@@ -171,25 +227,30 @@ class _Sort:
                 at += len(h)
 
     def _boxes(self, texts, doc, parts):
-        """The block's repeated anchors with their surroundings: the rows of
-        ``Anchored`` that stay, and each one's box, mask of windows and bucket."""
+        """The block's repeated anchors: the rows of ``Anchored`` that stay, which
+        of these are hot, and the smallest id of each row's text."""
         whole = _whole(texts)
-        least = np.empty(len(texts), np.int64)
-        order, cuts = B.by_bucket(_bucket(whole, self.buckets))
+        pick, at = self._texts(whole, doc)
+        least = np.empty(len(pick), np.int64)
+        order, cuts = B.by_bucket(_bucket(whole[pick], self.buckets))
         told = {bucket: p for bucket, kind, p in parts if kind == 3}
         for bucket, a, b in cuts:
             least[order[a:b]] = B.unpack(told[bucket])[0]
-        first = self._alone_in_block(whole, doc)
+        least = least[at]
+        first = np.zeros(len(texts), bool)
+        first[pick] = True
         found = Anchored(texts, first, self.width, self.gram)
         hashed, at, times = np.unique(found.hash, return_inverse=True, return_counts=True)
-        shared = times > 1
+        shared, hot = times > 1, np.zeros(len(hashed), bool)
         order, cuts = B.by_bucket(_bucket(hashed, self.buckets))
         told = {bucket: p for bucket, kind, p in parts if kind == 1}
         for bucket, a, b in cuts:
-            shared[order[a:b]] |= np.unpackbits(B.unpack(told[bucket])[0], count=b - a).astype(bool)
+            some, often = (np.unpackbits(x, count=b - a).astype(bool) for x in B.unpack(told[bucket]))
+            shared[order[a:b]] |= some
+            hot[order[a:b]] = often
         # Only a text's smallest id takes part; an earlier copy elsewhere speaks for it.
         keep = np.flatnonzero(shared[at] & (doc == least)[found.text])
-        return found, keep, least
+        return found, keep, hot[at][keep], least
 
     def _surroundings(self, texts, found, keep):
         size = np.array([len(t or b"") for t in texts], np.int64)
@@ -217,67 +278,107 @@ class _Sort:
         at[order] = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(held))))
         return order[cut], at
 
+    def _single(self, box, mask, own):
+        """The windows of boxes one by one: their box and offset, 128 bits of
+        hash of each, and for each different one its first place."""
+        row, offset = np.nonzero((mask[:, None] >> np.arange(self.offsets).astype(U)) & U(1))
+        high, low = np.full(len(row), self.width, U), np.full(len(row), ~self.width & 0xFFFFFFFF, U)
+        begin = self.side - offset
+        for j in range(0, self.width, 8):
+            word = np.zeros((len(row), 8), np.uint8)
+            for i in range(min(8, self.width - j)):
+                word[:, i] = box[row, begin + j + i]
+            word = word.view(U)[:, 0]
+            high, low = mix(high * _ROLL + word), mix((low ^ word) * _ROLL + U(j + 1))
+        order = np.lexsort((own[row], low, high))
+        h, l = high[order], low[order]
+        cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (l[1:] != l[:-1])))) if len(row) else np.zeros(0, int)
+        at = np.empty(len(row), np.int64)
+        at[order] = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(row))))
+        return row, offset, high, low, order[cut], at
+
     def second_ask(self, block, table, parts):
         ids, texts = B.docs_of(table)
         doc = _ids(ids)
-        found, keep, _ = self._boxes(texts, doc, parts)
+        found, keep, hot, _ = self._boxes(texts, doc, parts)
         box, mask = self._surroundings(texts, found, keep)
         own, hashed = doc[found.text[keep]], found.hash[keep]
-        pick, _ = self._unique(box, mask, hashed, own)
+        few = np.flatnonzero(~hot)
+        pick, _ = self._unique(box[few], mask[few], hashed[few], own[few])
+        pick = few[pick]
         order, cuts = B.by_bucket(_bucket(hashed[pick], self.buckets))
         for bucket, a, b in cuts:
             at = pick[order[a:b]]
             yield bucket, block, 0, B.pack(box[at].ravel(), mask[at].astype(np.uint32), own[at])
+        if hot.any():
+            row, _, high, low, first, _ = self._single(box[hot], mask[hot], own[hot])
+            order, cuts = B.by_bucket(_bucket(high[first], self.buckets))
+            for bucket, a, b in cuts:
+                at = first[order[a:b]]
+                yield bucket, block, 4, B.pack(high[at], low[at], own[hot][row[at]], np.zeros(0, np.uint8))
         for bucket, kind, part in parts:
             yield block % self.buckets, block, 9, B.pack(np.array([bucket, kind], np.int64), np.frombuffer(part, np.uint8))
 
     def second_answer(self, parts):
-        """Of each box, the windows that a smaller id holds too, as bits."""
-        got = [B.unpack(p) for _, p in parts]
-        box = np.concatenate([g[0] for g in got]).reshape(-1, self.box)
-        mask, doc = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
+        """Kind 1: of each box, the windows that a smaller id holds too, as bits.
+        Kind 5: likewise of each single window."""
+        boxes, single = [], []
+        for block, p in parts:
+            got = B.unpack(p)
+            (boxes if len(got) == 3 else single).append((block, *got))
+        if boxes:
+            box = np.concatenate([g[1] for g in boxes]).reshape(-1, self.box)
+            early = self._early(box, np.concatenate([g[2] for g in boxes]), np.concatenate([g[3] for g in boxes]))
+            at = 0
+            for block, _, _, doc in boxes:
+                yield block, 1, B.pack(early[at : at + len(doc)])
+                at += len(doc)
+        if single:
+            high, low, doc = (np.concatenate([g[j] for g in single]) for j in (1, 2, 3))
+            order = np.lexsort((doc, low, high))
+            h, l, d = high[order], low[order], doc[order]
+            cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (l[1:] != l[:-1]))))
+            early = np.empty(len(doc), bool)
+            early[order] = np.repeat(d[cut], np.diff(np.append(cut, len(d)))) < d
+            at = 0
+            for block, own, *_ in single:
+                yield block, 5, B.pack(np.packbits(early[at : at + len(own)]))
+                at += len(own)
+
+    def _early(self, box, mask, doc):
+        """Of each box, the windows that the box of a smaller id holds too."""
         early = np.zeros(len(doc), np.uint32)
-        for begin, end in self._even(box):
-            self._order(box, mask, doc, early, begin, end)
-        at = 0
-        for (block, _), g in zip(parts, got, strict=True):
-            yield block, 1, B.pack(early[at : at + len(g[2])])
-            at += len(g[2])
-
-    def _even(self, box):
-        """Groups of equal anchors, gathered to steps of bounded size."""
-        key = np.zeros(len(box), U)
-        for j in range(self.side, self.side + self.gram, 8):
-            key = mix(key * _ROLL + np.ascontiguousarray(box[:, j : j + 8]).view(U)[:, 0])
-        order = np.argsort(key)
-        held = key[order]
-        cut = np.append(np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1]))), len(held))
-        begin = 0
-        self._by = order
-        while begin < len(cut) - 1:
-            end = max(begin + 1, int(np.searchsorted(cut, cut[begin] + 200_000, side="right")) - 1)
-            yield cut[begin], cut[end]
-            begin = end
-
-    def _order(self, box, mask, doc, early, begin, end):
-        at = self._by[begin:end]
-        data = box[at].astype(U) + U(1)
-        prefix = np.zeros((len(at), self.box + 1), U)
-        np.cumsum(data * self.roll[: self.box], axis=1, out=prefix[:, 1:])
-        del data
-        rows, keys = [], []
+        order, common = radix_order(box[:, self.side :])
+        # Anchors that are alone are done; groups of equal ones are taken in steps.
+        begin = np.flatnonzero(common < self.gram)
+        size = np.diff(np.append(begin, len(order)))
+        begin, size = begin[size > 1], size[size > 1]
+        step = np.cumsum(size) // STEP
+        for k in np.unique(step):
+            own = np.flatnonzero(step == k)
+            at = np.repeat(begin[own], size[own]) + np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
+            self._windows(box[:, self.side - 1 :: -1] if self.side else box[:, :0], mask, doc, early, order[at], common[at])
+        return early
+
+    def _windows(self, left, mask, doc, early, rows, common):
+        """Windows of ``rows``, which are in order of their suffixes."""
+        before, agreed = radix_order(left[rows])
+        # By id, so that a stable order by class has each class's smallest id first.
+        by_doc = np.argsort(doc[rows], kind="stable")
+        rank = np.empty(len(rows), np.int64)
+        own, own_mask = doc[rows], mask[rows]
         for offset in range(self.offsets):
-            row = np.flatnonzero((mask[at] >> np.uint32(offset)) & np.uint32(1))
-            if len(row):
-                a = self.side - offset
-                keys.append(mix((prefix[row, a + self.width] - prefix[row, a]) * self.back[a] + U(offset)))
-                rows.append(row * 32 + offset)
-        if not rows:
-            return
-        rows, keys = np.concatenate(rows), np.concatenate(keys)
-        own = doc[at[rows >> 5]]
-        seen = rows[_least(keys, own) < own]
-        np.bitwise_or.at(early, at[seen >> 5], np.uint32(1) << (seen & 31).astype(np.uint32))
+            use = by_doc[(own_mask[by_doc] >> np.uint32(offset)) & np.uint32(1) == 1]
+            if len(use) < 2:
+                continue
+            rank[before] = np.cumsum(agreed < offset) if offset else 0
+            kind = np.cumsum(common < self.width - offset)[use] * (len(rows) + 1) + rank[use]
+            order = np.argsort(kind, kind="stable")
+            held, at = kind[order], use[order]
+            cut = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+            least = np.repeat(own[at[cut]], np.diff(np.append(cut, len(at))))
+            seen = at[least < own[at]]
+            early[rows[seen]] |= np.uint32(1 << offset)
 
     def spans(self, table, parts):
         """Ids, texts and for each text the removed spans."""
@@ -289,16 +390,25 @@ class _Sort:
                 key, raw = B.unpack(part)
                 first_parts.append((int(key[0]), int(key[1]), raw.tobytes()))
             else:
-                second[bucket] = part
-        found, keep, least = self._boxes(texts, doc, first_parts)
+                second[bucket, kind] = part
+        found, keep, hot, least = self._boxes(texts, doc, first_parts)
         box, mask = self._surroundings(texts, found, keep)
         own, hashed = doc[found.text[keep]], found.hash[keep]
-        pick, at = self._unique(box, mask, hashed, own)
+        few, bits = np.flatnonzero(~hot), np.zeros(len(keep), np.uint32)
+        pick, at = self._unique(box[few], mask[few], hashed[few], own[few])
         early = np.zeros(len(pick), np.uint32)
-        order, cuts = B.by_bucket(_bucket(hashed[pick], self.buckets))
+        order, cuts = B.by_bucket(_bucket(hashed[few][pick], self.buckets))
         for bucket, a, b in cuts:
-            early[order[a:b]] = B.unpack(second[bucket])[0]
-        bits = np.where(own > own[pick][at], mask.astype(np.uint32), early[at])
+            early[order[a:b]] = B.unpack(second[bucket, 1])[0]
+        bits[few] = np.where(own[few] > own[few][pick][at], mask[few].astype(np.uint32), early[at])
+        if hot.any():
+            row, offset, high, _, first, at = self._single(box[hot], mask[hot], own[hot])
+            seen = np.zeros(len(first), bool)
+            order, cuts = B.by_bucket(_bucket(high[first], self.buckets))
+            for bucket, a, b in cuts:
+                seen[order[a:b]] = np.unpackbits(B.unpack(second[bucket, 5])[0], count=b - a)
+            gone = np.flatnonzero(seen[at] | (own[hot][row] > own[hot][row[first]][at]))
+            np.bitwise_or.at(bits, np.flatnonzero(hot)[row[gone]], np.uint32(1) << offset[gone].astype(np.uint32))
         hit = np.flatnonzero(bits)
         starts: dict[int, list[np.ndarray]] = {}
         for offset in range(self.offsets):
@@ -345,18 +455,18 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:lo
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
-def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR, block_bytes: int = B.BLOCK_BYTES, carry: list[str] | None = None, whole_points: bool = False) -> DataFrame:
+def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR, block_bytes: int = B.BLOCK_BYTES, carry: list[str] | None = None, whole_points: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs), kept (bytes):
     one row for each row of ``df``; where asked for, ``carry``: a struct of
     further columns, and ``kept`` without bytes of code points that were cut."""
     if not 8 <= anchor < width or width - anchor > 31 or anchor % 8:
         raise ValueError("anchor must be a multiple of 8 and at most 31 below width")
     n = B.pieces(B.total_bytes(df, text), block_bytes)
-    sort = _Sort(width, anchor, n)
+    sort = _Sort(width, anchor, n, hot)
     more = [F.struct(*carry).alias("carry")] if carry else []
     docs = B.dealt(df, doc_id, text, n, *more)
-    first = B.answered(B.asked(docs, sort.first_ask), sort.first_answer)
-    second = B.answered(B.asked_again(docs, first, sort.second_ask), sort.second_answer)
+    first = B.answered(B.asked(docs, sort.first_ask, n), sort.first_answer, n)
+    second = B.answered(B.asked_again(docs, first, sort.second_ask, n), sort.second_answer, n)
     shown = _without_cut_points if whole_points else bytes
 
     def finish(table, parts):

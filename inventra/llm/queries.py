@@ -80,9 +80,9 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inventra.llm.katz import katz_scores
 
     docs = table(spark, sf_dir, "documents")
-    done, words = katz_scores(docs, remainder(5) != 1)
-    floor = F.log10(F.lit(words.n + 0.5 * (words.v + 1)))
-    return done.select("doc_id", F.coalesce(remainder(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(words.n).cast("long").alias("train_tokens"), (F.col("base_sum") - F.col("n_tokens") * floor).alias("base_score"), "score")
+    done = katz_scores(docs, remainder(5) != 1)
+    floor = F.log10(F.col("train_tokens") + 0.5 * (F.col("train_words") + 1))
+    return done.select("doc_id", F.coalesce(remainder(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", (F.col("base_sum") - F.col("n_tokens") * floor).alias("base_score"), "score")
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,4 +111,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from inventra.llm import oracles
+
+    return oracles.oracle_sql()

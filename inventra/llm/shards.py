@@ -6,11 +6,13 @@ landing below the number of shards.  No ring table is kept, and one more shard
 takes only rows into itself, one in ``shards + 1``.
 
 The generator works on 64 bits without sign; it is held as a decimal of up to
-38 digits, in which the product of state and factor is exact.
+38 digits, in which the product of state and factor is exact, and is shifted by
+an integral division.
 
-Places in a shard are dealt without bringing a shard together: rows are ranked
-in small parts of a shard (by a hash of the row), parts are counted, and a part
-begins where those before it end.
+Places in a shard go by id (null first), checksum and size.  Rows are dealt by
+range of shard and these, sorted in their part and stored with their place in
+it; a part of a shard begins where those before it end, so no shard and no group
+of equal texts is ever in one task.
 
 Defined results: a null id is the key -1 for the shard; a null text has no
 bytes and the checksum of the empty text.  Equal ids share a shard whatever
@@ -23,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inventra.llm.tables import stored
+
 FACTOR, WORD = 2862933555777941757, 2**64
-#: Rows of one part of a shard, about.
-PART_ROWS = 20_000
+#: Rows of one part, about.
+PART_ROWS = 200_000
 
 
 def jump_shard(key: Column, shards: int) -> Column:
@@ -37,7 +41,7 @@ def jump_shard(key: Column, shards: int) -> Column:
 
     def step(held: Column, _: Column) -> Column:
         state = F.pmod((held["state"].cast("decimal(20,0)") * F.lit(str(FACTOR)).cast("decimal(19,0)")).cast(wide) + F.lit(1).cast(wide), word).cast(wide)
-        drawn = F.floor(state / F.lit(str(2**33)).cast(wide)).cast("double") + 1.0
+        drawn = F.call_function("div", state, F.lit(str(2**33)).cast(wide)).cast("double") + 1.0
         ahead = F.floor((held["next"] + 1).cast("double") * (F.lit(float(2**31)) / drawn)).cast("long")
         moved = F.struct(state.alias("state"), held["next"].alias("shard"), ahead.alias("next"))
         return F.when(held["next"] < shards, moved).otherwise(held)
@@ -57,11 +61,13 @@ def sharded(df: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
         F.col(doc_id).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
         F.lit("key").alias("law"), jump_shard(key, shards).alias("shard"), jump_shard(key, shards + 1).alias("grown_shard"),
     )
-    parts = max(1, -(-df.count() // part_rows // shards))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(parts)))
-    counts = rows.groupBy("shard", "part").agg(F.count("*").alias("rows"))
+    parts = max(1, -(-df.count() // part_rows))
+    order = ["shard", F.col("doc_id").asc_nulls_first(), "text_crc32", "size"]
+    # The number of a row holds its partition and its place there.
+    placed = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("part", F.shiftright("at", 33))
+    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("rows"), F.min("at").alias("first"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("begin"))
-    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")) - 1
-    placed = rows.withColumn("rank", rank).join(begins, ["shard", "part"])
-    return placed.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("begin") + F.col("rank")).cast("long").alias("slot"), "grown_shard")
+    begins = counts.select("shard", "part", "first", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("begin"))
+    placed = placed.join(begins, ["shard", "part"])
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("begin") + F.col("at") - F.col("first")).cast("long").alias("slot"), "grown_shard")

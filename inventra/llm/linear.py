@@ -3,7 +3,9 @@
 The features of a text are the distinct values of: its words, pairs of
 neighbouring words, word beginnings (five bytes) and word ends (two bytes, with
 case), each hashed to one of ``2**BITS`` places, and a few places for how many
-neighbouring words are equal and how many words are distinct.
+neighbouring words are equal and how many words are distinct.  Where asked for,
+a word beginning (of five or seven bytes) that 2, 3 or 5 words have gives a
+place of its own for each.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ SIZE = 1 << BITS
 _SHIFT = U(64 - BITS)
 
 
-def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+#: How many words must share a beginning for a feature of its own.
+OFTEN = (2, 3, 5)
+
+
+def features(texts: list[bytes | None], often: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Distinct places of each text, in order of text, and where each text's
     begin (one more entry for the end).  Each text has some."""
     out, sizes = [], []
@@ -31,6 +37,8 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         pair = window_hashes(word, 2)
         same = np.concatenate((word[1:] == word[:-1], [False])) if len(word) else np.zeros(0, bool)
         kinds = [word, np.append(pair, np.zeros(min(1, len(word)), U)), span_hash(lower, start, np.minimum(start + 5, end)) + U(1), span_hash(cased, np.maximum(end - 2, start), end) + U(2)]
+        if often:
+            starts_of = [kinds[2], span_hash(lower, start, np.minimum(start + 7, end)) + U(3)]
         kinds = [(mix(x) >> _SHIFT).astype(np.int32) for x in kinds]
         extra = mix(np.arange(64, dtype=U) + U(77))
         for i in range(b - a):
@@ -40,7 +48,12 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
             equal = int(same[f : max(f, g - 1)].sum())
             distinct = len(np.unique(kinds[0][f:g]))
             marks = [min(12, equal.bit_length()), 13 + (8 * distinct // n if n else 9), 30 + min(20, n.bit_length())]
-            place = np.unique(np.concatenate([*own, (extra[marks] >> _SHIFT).astype(np.int32)]))
+            own.append((extra[marks] >> _SHIFT).astype(np.int32))
+            if often:
+                for beginning in starts_of:
+                    held, many = np.unique(beginning[f:g], return_counts=True)
+                    own += [(mix(held[many >= k] + U(100 + k)) >> _SHIFT).astype(np.int32) for k in OFTEN]
+            place = np.unique(np.concatenate(own))
             out.append(place)
             sizes.append(len(place))
     return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.cumsum([0, *sizes])

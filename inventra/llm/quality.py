@@ -5,14 +5,17 @@ hinge-loss model is fitted to them by dual coordinate descent, and margins are
 turned to probabilities by a logistic curve fitted to margins of rows that the
 respective model didn't see.
 
-The model learns from at most ``most`` labelled rows, those with the least hash
-of their id (a documented bound: the sample alone comes to the driver); scoring
-covers every row and every whole text, in Arrow batches, and needs no shuffle.
+The model learns from at most ``most`` labelled rows with ``most_bytes`` of text
+together, those with the least hash of their id (documented bounds: the sample
+alone comes to the driver); scoring covers every row and every whole text, in
+Arrow batches, and needs no shuffle.
 
 Defined results: a null or empty text has only its length's features and is
 scored by them.  A label for an id that several rows share counts once, for the
-least text.  Labels other than 0 and 1 are left out.  With one class only (or no
-labels) every score is that class's smoothed share.  Further columns stay.
+least text; repeated rows are scored each.  Labels other than 0 and 1 are left
+out.  With one class only (or no labels) every score is that class's smoothed
+share.  An empty table gives no rows.  Further columns stay; one that has the
+name of the score gives way to it.
 """
 
 from __future__ import annotations
@@ -21,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inventra.llm.blocks import freed
 from inventra.llm.linear import SIZE, features, fitted, held_margins, logistic, margins
 from inventra.llm.words import slices
 
-MOST = 4000
+MOST, MOST_BYTES = 4000, 64_000_000
 
 
 @dataclass
@@ -39,13 +42,14 @@ class Linear:
     bias: float
     slope: float
     offset: float
+    often: bool = False
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        margin = margins(self.weight, self.bias, *features(texts))
+        margin = margins(self.weight, self.bias, *features(texts, self.often))
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
 
     def column(self, text: str) -> Column:
-        weight, rest = self.weight.astype(np.float32), (self.bias, self.slope, self.offset)
+        weight, rest = self.weight.astype(np.float32), (self.bias, self.slope, self.offset, self.often)
 
         def run(batches):
             model = Linear(weight, *rest)
@@ -60,29 +64,58 @@ class Linear:
         return F.arrow_udf(run, "double")(F.col(text).cast("binary"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, doc_id: str = "doc_id", text: str = "text") -> tuple[list[bytes | None], np.ndarray]:
-    """Texts and labels of at most ``most`` ids in order of id; ``learn`` says
-    of a doc_id whether its label may be used."""
+def _bounded(rows: DataFrame, most_bytes: int) -> list:
+    """Rows (_id, _label, _text) in order of the ids' hash, as many as hold at
+    most ``most_bytes`` of text together, and one at least."""
+    order = Window.orderBy(F.xxhash64("_id"), "_id")
+    before = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    held = rows.withColumn("_held", before).withColumn("_at", F.row_number().over(order))
+    out = held.where((F.col("_held") <= most_bytes) | (F.col("_at") == 1)).select("_id", "_label", "_text").collect()
+    return sorted(out, key=lambda r: r["_id"])
+
+
+def _known(labels: DataFrame, label: str, learn: Column) -> DataFrame:
     own = labels.where(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-    own = own.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
-    own = own.orderBy(F.xxhash64("_id"), "_id").limit(most)
+    return own.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
+
+
+def _bytes(rows: list) -> list[bytes | None]:
+    return [None if r["_text"] is None else bytes(r["_text"]) for r in rows]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, most_bytes: int, doc_id: str = "doc_id", text: str = "text") -> tuple[list[bytes | None], np.ndarray]:
+    """Texts and labels of at most ``most`` ids with ``most_bytes`` of text, in
+    order of id; ``learn`` says of a doc_id whether its label may be used."""
+    own = _known(labels, label, learn).orderBy(F.xxhash64("_id"), "_id").limit(most)
     joined = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text")).join(F.broadcast(own), "_id")
-    rows = joined.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")).collect()
-    rows.sort(key=lambda r: r["_id"])
-    return [None if r["_text"] is None else bytes(r["_text"]) for r in rows], np.array([r["_label"] for r in rows], float)
+    rows = _bounded(joined.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")), most_bytes)
+    return _bytes(rows), np.array([r["_label"] for r in rows], float)
+
+
+def plain_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, most_bytes: int, doc_id: str = "doc_id", text: str = "text") -> list[bytes | None]:
+    """Texts of at most ``most`` ids without a label, likewise."""
+    ids = docs.select(F.col(doc_id).alias("doc_id")).where(learn & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"))
+    own = ids.join(_known(labels, label, learn), "_id", "left_anti").distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
+    joined = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text")).join(F.broadcast(own), "_id")
+    return _bytes(_bounded(joined.groupBy("_id").agg(F.min("_text").alias("_text"), F.lit(0).alias("_label")), most_bytes))
+
+
+def constant(label: np.ndarray) -> Linear:
+    """The smoothed share of label 1 as every text's score."""
+    share = (label.sum() + 1) / (len(label) + 2)
+    return Linear(np.zeros(SIZE), 0.0, 1.0, float(np.log(share / (1 - share))))
 
 
-def fit(texts: list[bytes | None], label: np.ndarray) -> Linear:
+def fit(texts: list[bytes | None], label: np.ndarray, often: bool = False) -> Linear:
     if len(label) < 2 or label.min() == label.max():
-        share = (label.sum() + 1) / (len(label) + 2)
-        return Linear(np.zeros(SIZE), 0.0, 1.0, float(np.log(share / (1 - share))))
-    place, first = features(texts)
+        return constant(label)
+    place, first = features(texts, often)
     slope, offset = logistic(held_margins(place, first, label), label)
     weight, bias = fitted(place, first, label)
-    return Linear(weight, bias, slope, offset)
+    return Linear(weight, bias, slope, offset, often)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", most: int = MOST, doc_id: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", most: int = MOST, most_bytes: int = MOST_BYTES, doc_id: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a column ``score``: how likely label 1 is."""
-    texts, known = labelled_sample(docs, labels, label, learn, most, doc_id, text)
+    texts, known = labelled_sample(docs, labels, label, learn, most, most_bytes, doc_id, text)
     return docs.withColumn(score, fit(texts, known).column(text))

@@ -1,39 +1,54 @@
 """Toxicity by weak supervision.
 
-Many voters each say toxic, clean or nothing of a document: lexicons of general
-insults in four languages, lexicons of words and of word beginnings that the
-label sample shows to be one-sided, and patterns (several hits, hits near one
-another, no hit at all).  A generative label model estimates, without labels,
+Many voters each say toxic, clean or nothing of a document: a lexicon of insults
+in four languages, lexicons of words and of word beginnings that one part of the
+label sample each shows to be one-sided, and patterns (several different hits,
+hits near one another, many hits for the length, none at all).  A generative
+label model estimates, without labels and from the votes on *all* documents,
 each voter's accuracy by expectation maximisation and how strongly voters agree
 beyond what the hidden label explains; a voter's say is divided by the size of
-its clique.  A linear classifier on n-gram indicators learns the posterior
-labels, so it also scores what no voter sees.
+its clique.  What the steps need is summed over a table of distinct votes, so
+each is one small job and only its sums come to the driver.
 
-Labels are used to pick lexicons and to fit the logistic curve of the score, on
-at most ``most`` labelled rows, those with the least hash of their id.  Scoring
-covers every row and whole texts in Arrow batches and needs no shuffle.
+A linear classifier on n-gram indicators learns the posterior labels of the
+label sample and of as many unlabelled documents, so it also scores what no
+voter sees.  In the posterior of a labelled document its label is one more vote,
+as accurate as it agrees with the other votes.
+
+Both samples are bounded (``most`` rows, ``most_bytes``): the documents with the
+least hash of their id for which ``learn`` holds.  Labels are used to mine
+lexicons, as that vote, for the first guess of how many documents are toxic and
+to fit the logistic curve of the score.  Votes and scores cover every row and
+whole texts, in Arrow batches and without a shuffle of texts.
 
 Defined results: a null or empty text draws the votes of a text without hits.
-With labels of one class only every score is that class's smoothed share.
-Where all posteriors lie on one side of 0.5, weak supervision gives way to the
-supervised classifier of op2, trained on the labels.  Further columns stay.
+Without labels, or with labels of one class only, every score is that class's
+smoothed share.  Repeated rows are scored each and vote each; an id that several
+rows share is learnt from once.  An empty table gives none.  Further columns
+stay; one that has the name of the score gives way to it.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from inventra.llm.linear import features, fitted, held_margins, logistic
-from inventra.llm.quality import Linear, labelled_sample
-from inventra.llm.quality import fit as fit_plain
-
-MOST = 4000
-#: Voters of each mined kind.
-GROUPS = 8
+from inventra.llm.quality import MOST, MOST_BYTES, Linear, constant, labelled_sample, plain_sample
+from inventra.llm.tables import stored
+
+#: Parts of the label sample that lexicons are mined from, each on its own.
+PARTS = 3
+#: Letters of the word beginnings that are mined.
+BEGINNINGS = (5, 7)
+ROUNDS = 24
+SEEN, SIDED = 5, 20
 # Insults by language.
 INSULTS = {
     "en": "idiot stupid moron loser trash scum pathetic worthless disgusting clown dumb garbage imbecile jerk hate",
@@ -48,98 +63,189 @@ def _words(text: bytes | None) -> list[str]:
     return _WORD.findall((text or b"").decode("utf-8", "replace").lower())
 
 
-def mined(docs: list[list[str]], label: np.ndarray, cut: int | None, most: int = 400) -> list[str]:
-    """Words (or their first ``cut`` letters) that are far commoner in toxic
-    texts, the most one-sided first."""
+def _beginnings(words: list[str], cut: int) -> Counter[str]:
+    """How many words have each beginning that is shorter than they are."""
+    return Counter(w[:cut] for w in words if len(w) > cut)
+
+
+def mined(docs: list[Counter[str]], label: np.ndarray, least: int) -> set[str]:
+    """What stands ``least`` times or more in far more toxic than clean texts:
+    in ``SEEN`` toxic ones at least, and ``SIDED`` times as often."""
     up, down = Counter(), Counter()
-    for words, toxic in zip(docs, label, strict=True):
-        (up if toxic else down).update({w if cut is None else w[:cut] for w in words if cut is None or len(w) > cut})
+    for held, toxic in zip(docs, label, strict=True):
+        (up if toxic else down).update([w for w, n in held.items() if n >= least])
     n1, n0 = label.sum() + 1, (1 - label).sum() + 1
-    scored = [(np.log((up[w] + 0.1) / n1) - np.log((down[w] + 0.1) / n0), up[w], w) for w in up if up[w] >= 5]
-    return [w for s, n, w in sorted(scored, key=lambda x: (-x[0] * np.log1p(x[1]), x[2])) if s > 3][:most]
+    return {w for w in up if up[w] >= SEEN and (up[w] + 0.1) / n1 > SIDED * (down[w] + 0.1) / n0}
 
 
 class Voters:
+    """Votes of a text as two sets of bits: who says toxic, who says clean."""
+
     def __init__(self, docs: list[list[str]], label: np.ndarray):
-        self.known = [set(v.split()) for v in INSULTS.values()]
-        words, starts = mined(docs, label, None), mined(docs, label, 5)
-        self.words = [set(words[i::GROUPS]) for i in range(GROUPS)]
-        self.starts = [set(starts[i::GROUPS]) for i in range(GROUPS)]
-        self.any = set().union(*self.known, words)
-        self.any_start = set(starts)
-
-    def votes(self, words: list[str]) -> list[int]:
-        """1 toxic, -1 clean, 0 nothing, of each voter."""
-        own, begin = set(words), {w[:5] for w in words if len(w) > 5}
-        hit = [i for i, w in enumerate(words) if w in self.any or (len(w) > 5 and w[:5] in self.any_start)]
-        near = any(b - a < 40 for a, b in zip(hit, hit[1:], strict=False))
-        out = [1 if own & v else 0 for v in (*self.known, *self.words)]
-        out += [1 if begin & v else 0 for v in self.starts]
-        out += [1 if len(hit) > 1 else 0, 1 if near else 0, 1 if len(hit) > 4 else 0]
-        out += [-1 if not hit else 0, -1 if not own & self.any else 0, -1 if not begin & self.any_start else 0]
-        return out
+        self.known = {w for v in INSULTS.values() for w in v.split()}
+        self.words, self.starts = [], []
+        for part in range(PARTS):
+            own = [i for i in range(len(docs)) if i % PARTS == part]
+            self.words.append(mined([Counter(docs[i]) for i in own], label[own], 1))
+            self.starts += [(cut, mined([_beginnings(docs[i], cut) for i in own], label[own], 2)) for cut in BEGINNINGS]
+        self.any = self.known.union(*self.words)
+        self.any_start = {cut: set().union(*(v for c, v in self.starts if c == cut)) for cut in BEGINNINGS}
+        self.count = 1 + len(self.words) + len(self.starts) + 7
+
+    def votes(self, words: list[str]) -> tuple[int, int]:
+        own = set(words)
+        begin = {cut: _beginnings(words, cut) for cut in BEGINNINGS}
+        # Places of words that some lexicon has, or whose beginning often recurs and is in one.
+        often = {cut: {b for b in self.any_start[cut] if begin[cut][b] > 1} for cut in BEGINNINGS}
+        hit = [i for i, w in enumerate(words) if w in self.any or any(w[:cut] in often[cut] and len(w) > cut for cut in BEGINNINGS)]
+        different = len({words[i] for i in hit})
+        toxic = [not own.isdisjoint(self.known), *(not own.isdisjoint(v) for v in self.words)]
+        toxic += [any(begin[cut][b] > 1 for b in v) for cut, v in self.starts]
+        toxic += [different > 1, different > 3, any(b - a < 40 for a, b in zip(hit, hit[1:], strict=False)), 100 * len(hit) > len(words)]
+        clean = [not hit, not own & self.any, not any(often.values())]
+        up = sum(1 << i for i, v in enumerate(toxic) if v)
+        return up, sum(1 << (len(toxic) + i) for i, v in enumerate(clean) if v)
+
+
+def _spread(packed: np.ndarray, voters: int) -> np.ndarray:
+    """Bits as a matrix of 0 and 1."""
+    return ((packed[:, None] >> np.arange(voters)) & 1).astype(float)
 
 
 class LabelModel:
-    """Votes of a hidden binary label: accuracies and correlations."""
-
-    def __init__(self, votes: np.ndarray, rounds: int = 40, prior: float = 0.1):
-        n, m = votes.shape
-        up, down = (votes == 1).astype(float), (votes == -1).astype(float)
+    """Votes of a hidden binary label: accuracies and correlations.
+
+    ``over(f)`` sums ``f(up, down, n)`` over all distinct votes: who says toxic
+    and who says clean, as matrices, and how many documents vote so."""
+
+    def __init__(self, over: Callable, voters: int, prior: float = 0.1, rounds: int = ROUNDS):
+        self.voters, self.prior, self.table = voters, min(max(prior, 0.005), 0.9), None
+        self.least = np.ones(voters)
+        n, mean, both = self._cut(over(self._moments), 1, voters, (voters, voters))
+        n = max(n[0], 1.0)
+        centred = both / n - np.outer(mean / n, mean / n)
+        spread = np.sqrt(np.maximum(np.diag(centred), 1e-12))
         # Voters that all but repeat one another are one clique from the start:
         # left whole, they would become what the label is taken for.
-        signed = up - down
-        apart = (signed - signed.mean(0)) / (signed.std(0) + 1e-9) if n else signed
-        self.least = 1 / np.maximum(1, (np.abs(apart.T @ apart) / max(n, 1) > 0.95).sum(1))
+        close = (np.abs(centred / np.outer(spread, spread)) > 0.95) & (np.diag(centred) > 1e-9)
+        self.least = 1 / np.maximum(1, close.sum(1))
         self.share = self.least.copy()
-        posterior = np.clip(0.5 + 0.5 * np.tanh((up - down) @ self.share), 0.02, 0.98)
         for step in range(rounds):
-            p1, p0 = posterior.sum() + 2, (1 - posterior).sum() + 2
-            self.prior = float(np.clip((posterior.sum() + 1) / (n + 1 / prior), 0.005, 0.9))
-            self.table = np.stack([
-                np.stack([(posterior @ v + 0.05) / p1, ((1 - posterior) @ v + 0.05) / p0]) for v in (up, down)])
-            if step % 10 == 9:
-                self._correlate(up - down, posterior)
-            posterior = self.posterior(votes)
-        self.accuracy = np.array([((posterior @ u) + ((1 - posterior) @ d)) / max(1e-9, u.sum() + d.sum()) for u, d in zip(up.T, down.T, strict=True)])
-
-    def _correlate(self, signed: np.ndarray, posterior: np.ndarray) -> None:
-        """How voters agree beyond the label: correlation of what is left of
-        their votes after each one's mean under the posterior."""
-        mean1 = (posterior @ signed) / (posterior.sum() + 1e-9)
-        mean0 = ((1 - posterior) @ signed) / ((1 - posterior).sum() + 1e-9)
-        rest = signed - posterior[:, None] * mean1 - (1 - posterior)[:, None] * mean0
-        spread = rest.std(0) + 1e-9
-        self.correlation = np.abs((rest / spread).T @ (rest / spread)) / max(1, len(rest))
-        np.fill_diagonal(self.correlation, 0)
-        self.share = np.minimum(self.least, 1 / (1 + np.where(self.correlation > 0.3, self.correlation, 0).sum(1)))
-
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+            got = self._cut(over(self._expected), 2, voters, voters, voters, voters)
+            (p, n), up1, up0, down1, down0 = got
+            self.prior = float(np.clip((p + 1) / (n + 1 / max(prior, 0.005)), 0.005, 0.9))
+            self.table = np.stack([np.stack([(a + 0.05) / (p + 2), (b + 0.05) / (n - p + 2)]) for a, b in ((up1, up0), (down1, down0))])
+            self.table = np.minimum(self.table, 0.999)
+            self.accuracy = (up1 + down0) / np.maximum(1e-9, up1 + up0 + down1 + down0)
+            if step % 8 == 7:
+                self.means = ((up1 - down1) / (p + 1e-9), (up0 - down0) / (n - p + 1e-9))
+                rest = over(self._rest).reshape(voters, voters)
+                spread = np.sqrt(np.diag(rest)) + 1e-9
+                self.correlation = np.abs(rest / np.outer(spread, spread))
+                np.fill_diagonal(self.correlation, 0)
+                self.share = np.minimum(self.least, 1 / (1 + np.where(self.correlation > 0.3, self.correlation, 0).sum(1)))
+
+    @staticmethod
+    def _cut(flat: np.ndarray, *shapes) -> list[np.ndarray]:
+        out, at = [], 0
+        for shape in shapes:
+            size = int(np.prod(shape))
+            out.append(flat[at : at + size].reshape(shape))
+            at += size
+        return out
+
+    @staticmethod
+    def _moments(up, down, n):
+        signed = up - down
+        return np.concatenate([[n.sum()], n @ signed, ((signed * n[:, None]).T @ signed).ravel()])
+
+    def _expected(self, up, down, n):
+        p = self.posterior(up, down) * n
+        q = n - p
+        return np.concatenate([[p.sum(), n.sum()], p @ up, q @ up, p @ down, q @ down])
+
+    def _rest(self, up, down, n):
+        """What voters say beyond their mean under the posterior."""
+        p = self.posterior(up, down)[:, None]
+        rest = up - down - p * self.means[0] - (1 - p) * self.means[1]
+        return ((rest * n[:, None]).T @ rest).ravel()
+
+    def posterior(self, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            return np.clip(0.5 + 0.5 * np.tanh((up - down) @ self.share), 0.02, 0.98)
         ratio = np.log(self.table[:, 0]) - np.log(self.table[:, 1])
         none = np.log(np.clip(1 - self.table[:, 0].sum(0), 1e-3, 1)) - np.log(np.clip(1 - self.table[:, 1].sum(0), 1e-3, 1))
-        said = (votes == 1) * ratio[0] + (votes == -1) * ratio[1] + (votes == 0) * none
+        said = up * ratio[0] + down * ratio[1] + (1 - up - down) * none
         score = np.log(self.prior / (1 - self.prior)) + said @ self.share
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
-def fit(texts: list[bytes | None], label: np.ndarray) -> Linear:
-    if len(label) < 2 or label.min() == label.max():
-        return fit_plain(texts, label)
-    docs = [_words(t) for t in texts]
-    # Lexicons come from one half, votes of both halves train the label model.
-    half = np.arange(len(docs)) % 2 == 0
-    voters = Voters([d for d, h in zip(docs, half, strict=True) if h], label[half])
-    votes = np.array([voters.votes(d) for d in docs])
-    posterior = LabelModel(votes).posterior(votes)
-    place, first = features(texts)
-    if (posterior >= 0.5).all() or (posterior < 0.5).all():
-        return fit_plain(texts, label)
-    slope, offset = logistic(held_margins(place, first, posterior), label)
-    weight, bias = fitted(place, first, posterior)
-    return Linear(weight, bias, slope, offset)
-
-
-def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", most: int = MOST, doc_id: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
+def distinct_votes(texts: DataFrame, voters: Voters) -> DataFrame:
+    """up, down, n: the different votes on the texts (a column ``text`` of
+    bytes), and how many documents draw each."""
+
+    def run(batches):
+        held: Counter[tuple[int, int]] = Counter()
+        for batch in batches:
+            held.update(voters.votes(_words(t)) for t in batch["text"].to_pylist())
+        rows = sorted(held.items())
+        yield pa.RecordBatch.from_pydict({"up": pa.array([k[0] for k, _ in rows], pa.int64()), "down": pa.array([k[1] for k, _ in rows], pa.int64()), "n": pa.array([n for _, n in rows], pa.int64())})
+
+    return texts.mapInArrow(run, "up long, down long, n long").groupBy("up", "down").agg(F.sum("n").alias("n"))
+
+
+def summed(votes: DataFrame, voters: int) -> Callable:
+    """``over`` of a label model for a table of distinct votes: a partition
+    gives one row of sums, which are added in order."""
+
+    def over(f):
+        def run(batches):
+            from pyspark import TaskContext
+
+            out = None
+            for batch in batches:
+                up, down, n = (batch[c].to_numpy() for c in ("up", "down", "n"))
+                got = f(_spread(up, voters), _spread(down, voters), n.astype(float))
+                out = got if out is None else out + got
+            if out is not None:
+                yield pa.RecordBatch.from_pydict({"at": [TaskContext.get().partitionId()], "sums": [out.tobytes()]})
+
+        rows = sorted(votes.mapInArrow(run, "at long, sums binary").collect(), key=lambda r: r["at"])
+        return sum((np.frombuffer(r["sums"]) for r in rows[1:]), np.frombuffer(rows[0]["sums"]).copy()) if rows else f(np.zeros((0, voters)), np.zeros((0, voters)), np.zeros(0))
+
+    return over
+
+
+def with_label(posterior: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Posteriors with the label as one more vote, as accurate as it agrees."""
+    agreed = np.where(label > 0.5, posterior, 1 - posterior).sum()
+    accuracy = np.clip((agreed + 1) / (len(label) + 2), 0.6, 0.98)
+    odds = np.log(posterior / (1 - posterior)) + np.where(label > 0.5, 1, -1) * np.log(accuracy / (1 - accuracy))
+    return 1 / (1 + np.exp(-odds))
+
+
+def fit(texts: list[bytes | None], label: np.ndarray, more: list[bytes | None], voters: Voters, model: LabelModel) -> Linear:
+    """The classifier from labelled texts and further ones without labels."""
+
+    def posterior(own):
+        votes = np.array([voters.votes(_words(t)) for t in own], np.int64).reshape(-1, 2)
+        return model.posterior(_spread(votes[:, 0], voters.count), _spread(votes[:, 1], voters.count))
+
+    soft = np.concatenate([with_label(posterior(texts), label), posterior(more)])
+    place, first = features([*texts, *more], often=True)
+    margin = held_margins(place, first, soft)
+    slope, offset = logistic(margin[: len(texts)], label)
+    weight, bias = fitted(place, first, soft)
+    return Linear(weight, bias, slope, offset, often=True)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", most: int = MOST, most_bytes: int = MOST_BYTES, doc_id: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a column ``score``: how likely the text is toxic."""
-    texts, known = labelled_sample(docs, labels, label, learn, most, doc_id, text)
-    return docs.withColumn(score, fit(texts, known).column(text))
+    texts, known = labelled_sample(docs, labels, label, learn, most, most_bytes, doc_id, text)
+    if len(known) < 2 or known.min() == known.max():
+        return docs.withColumn(score, constant(known).column(text))
+    voters = Voters([_words(t) for t in texts], known)
+    votes = stored(distinct_votes(docs.select(F.col(text).cast("binary").alias("text")), voters))
+    model = LabelModel(summed(votes, voters.count), voters.count, float(known.mean()))
+    more = plain_sample(docs, labels, label, learn, most, most_bytes, doc_id, text)
+    return docs.withColumn(score, fit(texts, known, more, voters, model).column(text))

@@ -6,31 +6,41 @@ shares at least ``m - q + 1 - q * k`` of its q-grams with it, at diagonals
 q-gram hits are counted by item and document first, then in overlapping bands
 of diagonals, and what reaches the bound is verified by banded alignment.
 
+Which documents an item is counted in is found by its rarest q-grams: of g
+q-grams of which n must be shared, one of the ``g - n + 1`` rarest always is, so
+the commonest (a template that all items begin with) are never looked up alone.
+
 Both sides are compared with A-Z lower-cased and white space runs as one space.
-k is ``percent`` of the item's length; items shorter than ``shortest`` bytes
-are no evidence of a leak and are left out.
+k is ``percent`` of the item's length, and q is ``q`` or what still leaves the
+bound at one.  Items shorter than ``shortest`` bytes are searched word for word:
+without edits, and not within longer words.
 
-Items are sent to the executors in chunks of at most ``CHUNK_BYTES``, whatever
-the size of the benchmark; documents are read in Arrow batches and not shuffled.
+Benchmarks of at most ``broadcast_bytes`` go to all executors, and documents are
+read once, in Arrow batches, without a shuffle.  Larger ones stay a table of
+postings: documents are joined with it by rare q-grams, those in a filter of
+fixed size, and only documents and items that meet are brought together.
 
-Defined results: null and empty texts match nothing.  Items of equal text all
-match.  Repeated rows match each; an item without item_id is left out.  A
-document without doc_id is matched with doc_id null.  Further columns are
-ignored.
+Defined results: null and empty texts, and items of white space alone, match
+nothing.  Items of equal text all match.  Repeated rows match each; an item
+without item_id is left out.  A document without doc_id is matched with doc_id
+null.  An empty table on either side gives none.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inventra.llm.tables import stored
 from inventra.llm.words import _LOWER_BYTES, _SPACE, U, run_hash, slices
 
 Q, PERCENT, SHORTEST = 10, 7, 30
-CHUNK_BYTES = 8_000_000
+BROADCAST_BYTES = 8_000_000
 _FILTER = 22
+#: Bits of the filter that stands before the join, whatever the benchmark's size.
+_WIDE = 25
 SCHEMA = "doc_id long, item_id long, begin long, end long, edits int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
 
@@ -83,66 +93,108 @@ def aligned(item: np.ndarray, region: np.ndarray, low: int, high: int, most: int
     return int(cost[end]), int(origin[end]), int(place[end])
 
 
+def bounds(size: int, q: int, percent: int, shortest: int) -> tuple[int, int, int]:
+    """Edits, q and least number of shared q-grams of an item of ``size`` bytes."""
+    edits = size * percent // 100 if size >= shortest else 0
+    own = max(1, min(q, size // (edits + 1)))
+    return edits, own, size - own + 1 - own * edits
+
+
+def _letters(data: np.ndarray, at: int) -> bool:
+    """Whether a letter, a digit or a byte of a wider character stands there."""
+    if not 0 <= at < len(data):
+        return False
+    c = int(data[at])
+    return c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A
+
+
+class _Grams:
+    """The q-grams of items that have the same q, and their rare ones."""
+
+    def __init__(self, which: list[int], texts: list[np.ndarray], need: list[int], q: int):
+        self.q, self.which = q, which
+        grams = [run_hash(t, q) for t in texts]
+        self.gram, spot, many = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        self.spots, self.places, rare_spot, rare_item = [], [], [], []
+        begin = 0
+        for i, (own, n) in enumerate(zip(grams, need, strict=True)):
+            mine = spot[begin : begin + len(own)]
+            begin += len(own)
+            order = np.argsort(mine, kind="stable")
+            self.spots.append(mine[order])
+            self.places.append(order)
+            # Of so many q-grams a match shares one at least.
+            rare = mine[np.lexsort((mine, many[mine]))[: len(mine) - n + 1]]
+            rare_spot.append(np.unique(rare))
+            rare_item.append(np.full(len(rare_spot[-1]), i))
+        rare_spot, rare_item = np.concatenate(rare_spot), np.concatenate(rare_item)
+        order = np.argsort(rare_spot, kind="stable")
+        self.item = rare_item[order]
+        self.first = np.searchsorted(rare_spot[order], np.arange(len(self.gram) + 1))
+        self.bits = np.zeros(1 << _FILTER, bool)
+        self.bits[(self.gram >> U(64 - _FILTER)).astype(np.int64)] = True
+
+    def rare(self) -> np.ndarray:
+        return self.gram[np.diff(self.first) > 0]
+
+    def candidates(self, data: np.ndarray, starts: np.ndarray):
+        """(text, item, places in the item, places in all texts) where an item's rare
+        q-grams stand in a text."""
+        hashed = run_hash(data, self.q)
+        at = np.flatnonzero(self.bits[(hashed >> U(64 - _FILTER)).astype(np.int64)])
+        spot = np.minimum(np.searchsorted(self.gram, hashed[at]), len(self.gram) - 1)
+        hit = self.gram[spot] == hashed[at]
+        at, spot = at[hit], spot[hit]
+        text = np.searchsorted(starts, at, side="right") - 1
+        # Each text's different q-grams are looked up once.
+        pair = np.unique(text * len(self.gram) + spot)
+        many = np.diff(self.first)[pair % len(self.gram)]
+        posting = np.repeat(self.first[pair % len(self.gram)], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        key = np.unique(np.repeat(pair // len(self.gram), many) * len(self.which) + self.item[posting])
+        begins = np.searchsorted(text, np.arange(len(starts)))
+        for k in key.tolist():
+            t, i = divmod(k, len(self.which))
+            own, where = spot[begins[t] : begins[t + 1]], at[begins[t] : begins[t + 1]]
+            low, high = np.searchsorted(self.spots[i], own), np.searchsorted(self.spots[i], own, side="right")
+            many = high - low
+            places = self.places[i][np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            yield t, i, places, np.repeat(where, many)
+
+
 class Items:
     """Q-grams of benchmark items, and the search of a batch of texts for them."""
 
     def __init__(self, items: list[tuple[int, bytes]], q: int, percent: int, shortest: int):
-        kept = [(i, plain(t)[0]) for i, t in items]
-        kept = [(i, t) for i, t in kept if len(t) >= max(shortest, q)]
-        self.q, self.ids, self.texts = q, [i for i, _ in kept], [t for _, t in kept]
-        self.size = np.array([len(t) for t in self.texts], np.int64)
-        self.budget = self.size * percent // 100
-        self.need = np.maximum(1, self.size - q + 1 - q * self.budget)
-        grams = [run_hash(t, q) for t in self.texts]
-        gram = np.concatenate(grams) if grams else np.zeros(0, U)
-        order = np.argsort(gram, kind="stable")
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
-        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else order
-        self.gram, first, self.many = np.unique(gram[order], return_index=True, return_counts=True)
-        self.first = first
-        self.bits = np.zeros(1 << _FILTER, bool)
-        self.bits[(self.gram >> U(64 - _FILTER)).astype(np.int64)] = True
+        kept = [(i, own) for i, own in ((i, plain(t)[0]) for i, t in items) if len(own)]
+        self.ids, self.texts = [i for i, _ in kept], [t for _, t in kept]
+        self.shortest = shortest
+        limits = [bounds(len(t), q, percent, shortest) for t in self.texts]
+        self.budget, self.need = [x[0] for x in limits], [x[2] for x in limits]
+        self.groups = []
+        for own in sorted({x[1] for x in limits}):
+            which = [i for i, x in enumerate(limits) if x[1] == own]
+            self.groups.append(_Grams(which, [self.texts[i] for i in which], [self.need[i] for i in which], own))
 
     def found(self, texts: list[bytes | None]):
         """(text, item, begin, end, edits), the least begin of the fewest edits."""
-        if not len(self.gram):
-            return
         for a, b in slices(texts):
             parts = [plain(t) for t in texts[a:b]]
             gap = np.zeros(1, np.uint8)
             data = np.concatenate([x for p, _ in parts for x in (p, gap)])
             starts = np.cumsum([0, *(len(p) + 1 for p, _ in parts)])
-            hashed = run_hash(data, self.q)
-            at = np.flatnonzero(self.bits[(hashed >> U(64 - _FILTER)).astype(np.int64)])
-            spot = np.minimum(np.searchsorted(self.gram, hashed[at]), len(self.gram) - 1)
-            hit = self.gram[spot] == hashed[at]
-            at, spot = at[hit], spot[hit]
-            text = np.searchsorted(starts, at, side="right") - 1
-            yield from ((a + t, *rest) for t, *rest in self._bands(parts, starts, text, at, spot))
-
-    def _bands(self, parts, starts, text, at, spot):
-        n = len(self.texts)
-        many = self.many[spot]
-        each = np.repeat(np.arange(len(at)), many)
-        posting = np.repeat(self.first[spot], many) + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
-        item = self.item[posting]
-        key = text[each] * n + item
-        order = np.argsort(key, kind="stable")
-        key, posting, each = key[order], posting[order], each[order]
-        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
-        size = np.diff(np.append(cut, len(key)))
-        for c, s in zip(cut[size >= self.need[key[cut] % n]], size[size >= self.need[key[cut] % n]], strict=True):
-            t, i = divmod(int(key[c]), n)
-            place = self.place[posting[c : c + s]]
-            diagonal = at[each[c : c + s]] - starts[t] - place
-            best = self._region(parts[t][0], i, place, diagonal)
-            if best:
-                edits, begin, end = best
-                where = parts[t][1]
-                yield t, i, int(where[begin]), int(where[end - 1]) + 1, edits
+            for group in self.groups:
+                for t, own, place, at in group.candidates(data, starts):
+                    i = group.which[own]
+                    if len(place) < self.need[i]:
+                        continue
+                    best = self._region(parts[t][0], i, place, at - starts[t] - place)
+                    if best:
+                        edits, begin, end = best
+                        where = parts[t][1]
+                        yield a + t, i, int(where[begin]), int(where[end - 1]) + 1, edits
 
     def _region(self, data, i, place, diagonal):
-        k = int(self.budget[i])
+        k, size = self.budget[i], len(self.texts[i])
         width = 2 * k + 1
         best = None
         for shift in (0, width):
@@ -155,35 +207,132 @@ class Items:
                     continue
                 low = int(held[a]) * 2 * width - shift - k
                 begin = max(0, low)
-                region = data[begin : low + 2 * width + 2 * k + int(self.size[i])]
-                exact = region.tobytes().find(self.texts[i].tobytes())
+                region = data[begin : low + 2 * width + 2 * k + size]
+                exact = self._exact(data, region, i, begin)
                 if exact >= 0:
-                    got = (0, exact, exact + int(self.size[i]))
+                    got = (0, exact, exact + size)
                 else:
                     got = aligned(self.texts[i], region, low - begin, low - begin + 2 * width + 2 * k, k) if k else None
                 if got and (best is None or (got[0], got[1] + begin) < best[:2]):
                     best = (got[0], got[1] + begin, got[2] + begin)
+                if best and not k:
+                    return best
         return best
 
+    def _exact(self, data, region, i, begin) -> int:
+        """Where the item stands in the region as it is, or -1."""
+        text = self.texts[i]
+        raw, own, at = region.tobytes(), text.tobytes(), -1
+        while (at := raw.find(own, at + 1)) >= 0:
+            inside = (_letters(text, 0) and _letters(data, begin + at - 1)) or (_letters(text, len(text) - 1) and _letters(data, begin + at + len(text)))
+            if len(text) >= self.shortest or not inside:
+                return at
+        return -1
+
+
+def _batch(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([g[j] for g in found], kind) for j, kind in enumerate(_ARROW.types)], schema=_ARROW)
 
-def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, percent: int = PERCENT, shortest: int = SHORTEST, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, percent: int = PERCENT, shortest: int = SHORTEST, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, begin, end (bytes of the text), edits: one row for each
     row of ``docs`` and item that stands in it."""
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t"))
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    chunks = -(-total // chunk_bytes) or 1
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    out = None
-    for c in range(chunks):
-        rows = sorted((r["i"], bytes(r["t"])) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(chunks)) == c).collect())
-
-        def run(batches, rows=rows):
-            known = Items(rows, q, percent, shortest)
-            for batch in batches:
-                ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-                got = [(ids[t], known.ids[i], begin, end, edits) for t, i, begin, end, edits in known.found(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], kind) for j, kind in enumerate(_ARROW.types)], schema=_ARROW)
-
-        part = own.mapInArrow(run, SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out
+    total, rows = items.agg(F.sum(F.length("t")), F.count("*")).first()
+    if (total or 0) + 16 * rows > broadcast_bytes:
+        return _joined(own, items, q, percent, shortest)
+    held = sorted((r["i"], bytes(r["t"])) for r in items.collect())
+
+    def run(batches):
+        known = Items(held, q, percent, shortest)
+        for batch in batches:
+            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            yield _batch([(ids[t], known.ids[i], begin, end, edits) for t, i, begin, end, edits in known.found(texts)])
+
+    return own.mapInArrow(run, SCHEMA)
+
+
+def _gram_rows(q_of: list[int], ids: np.ndarray, hashes: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (q, gram, key), one for each hash."""
+    many = [len(h) for h in hashes]
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(q_of, np.int32), many)), pa.array(np.concatenate(hashes).astype(np.int64) if many else [], pa.int64()), pa.array(np.repeat(ids, many).astype(np.int64), pa.int64())], names=["q", "gram", "key"])
+
+
+def _joined(docs: DataFrame, items: DataFrame, q: int, percent: int, shortest: int) -> DataFrame:
+    """As ``leaks``, for a benchmark of any size: a row is known by the hash of
+    its id and text, and meets the items with which it shares a rare q-gram."""
+    key = lambda *c: F.xxhash64(*c)
+    items = items.withColumn("key", key("i", "t"))
+
+    def grams(batches):
+        for batch in batches:
+            keys, texts, qs, ids, hashes = batch["key"].to_pylist(), batch["t"].to_pylist(), [], [], []
+            for k, t in zip(keys, texts, strict=True):
+                own = plain(t)[0]
+                if len(own):
+                    _, n, _ = bounds(len(own), q, percent, shortest)
+                    qs.append(n)
+                    ids.append(k)
+                    hashes.append(np.unique(run_hash(own, n)))
+            yield _gram_rows(qs, np.array(ids, np.int64), hashes)
+
+    postings = items.select("key", "t").mapInArrow(grams, "q int, gram long, key long")
+    many = postings.groupBy("q", "gram").agg(F.count("*").alias("many"))
+    need = items.select("key", "t").mapInArrow(lambda batches: _needs(batches, q, percent, shortest), "key long, most long")
+    ranked = postings.join(many, ["q", "gram"]).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("many", "gram")))
+    rare = stored(ranked.join(need, "key").where("rank <= most").select("q", "gram", "key"))
+    qs = [r["q"] for r in rare.select("q").distinct().orderBy("q").collect()]
+    shift = 64 - _WIDE
+    words = rare.select(F.shiftrightunsigned("gram", shift + 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {shift}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marks = np.zeros(1 << (_WIDE - 6), np.int64)
+    for r in words.collect():
+        marks[r["word"]] = r["bits"]
+    marks = docs.sparkSession.sparkContext.broadcast(marks.tobytes())
+
+    def probes(batches):
+        held = np.frombuffer(marks.value, np.uint64)
+        for batch in batches:
+            keys, texts = batch["key"].to_pylist(), batch["text"].to_pylist()
+            for a, b in slices(texts):
+                out_q, ids, hashes = [], [], []
+                for k, t in zip(keys[a:b], texts[a:b], strict=True):
+                    own = plain(t)[0]
+                    for n in qs:
+                        if len(own) >= n:
+                            h = run_hash(own, n)
+                            place = h >> U(shift)
+                            h = h[(held[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1) == 1]
+                            out_q.append(n)
+                            ids.append(k)
+                            hashes.append(np.unique(h))
+                yield _gram_rows(out_q, np.array(ids, np.int64), hashes)
+
+    docs = docs.withColumn("key", key("doc_id", "text"))
+    asked = docs.where(F.length("text") > 0).select("key", "text").mapInArrow(probes, "q int, gram long, key long")
+    pairs = asked.join(rare.withColumnRenamed("key", "item"), ["q", "gram"]).select("key", "item").distinct()
+    met = pairs.join(docs, "key").join(items.select(F.col("key").alias("item"), "i", "t"), "item")
+
+    def verify(batches):
+        for batch in batches:
+            out = []
+            for doc, text, i, t in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "i", "t")), strict=True):
+                known = Items([(i, t)], q, percent, shortest)
+                out += [(doc, i, begin, end, edits) for _, _, begin, end, edits in known.found([text])]
+            yield _batch(out)
+
+    return met.select("doc_id", "text", "i", "t").mapInArrow(verify, SCHEMA)
+
+
+def _needs(batches, q: int, percent: int, shortest: int):
+    """How many of an item's rarest different q-grams a match must meet one of."""
+    for batch in batches:
+        keys, most = [], []
+        for k, t in zip(batch["key"].to_pylist(), batch["t"].to_pylist(), strict=True):
+            own = plain(t)[0]
+            if len(own):
+                edits, n, _ = bounds(len(own), q, percent, shortest)
+                keys.append(k)
+                # Each edit spoils q places, each of them one different q-gram at most.
+                most.append(n * edits + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(most, pa.int64())], names=["key", "most"])

@@ -55,7 +55,7 @@ def counted(df: DataFrame, text: str, *keep: Column) -> DataFrame:
     window = F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice("w", i, 5)))).otherwise(F.array().cast("array<bigint>"))
     bare = F.length(F.translate("t", WHITE, ""))
     step = step.select(
-        *(c for c in step.columns if c not in "twl"),
+        *(c for c in step.columns if c not in ("t", "w", "l")),
         F.size("w").cast("long").alias("n_words"), bare.cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
@@ -194,7 +194,7 @@ def rejected(strata: list[tuple[list[Key], dict[str, float]]]) -> Column:
 def judged(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """doc_id, the counts, base_failed, stratum and kept of each row of ``df``.
     The counts are stored once: thresholds are learnt from them, then applied."""
-    from inventra.llm.blocks import stored
+    from inventra.llm.tables import stored
 
     rows = counted(df, text, F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"))
     rows = stored(rows.withColumn("base_failed", base_failed()).withColumn("stratum", stratum(F.col("lang"))))

@@ -11,10 +11,10 @@ from corpus import SCHEMA, corpus
 from pyspark.sql import functions as F
 
 from inventra.llm.bpe import encode_decode
-from inventra.llm.jaccard_join import jaccard_components
-from inventra.llm.katz import discounts, katz_scores
+from inventra.llm.jaccard_join import divide_skip, jaccard_components, merged, overlap
+from inventra.llm.katz import Words, discounts, katz_scores
 from inventra.llm.queries import remainder, tokenizer_json
-from inventra.llm.repeats import repeated_spans
+from inventra.llm.repeats import radix_order, repeated_spans
 
 ROWS = corpus()
 
@@ -33,8 +33,14 @@ def shingle_set(text, k):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-@pytest.mark.parametrize(("k", "percent", "cell", "block"), [(4, 85, 4096, 10**7), (4, 85, 3, 4000), (2, 50, 5, 4000)])
-def test_jaccard(docs, k, percent, cell, block):
+@pytest.fixture(params=[4096, 2], ids=["one_hop", "two_hops"])
+def hops(request, monkeypatch):
+    """Whether rows go straight to their bucket or by groups."""
+    monkeypatch.setattr("inventra.llm.blocks.HOP", request.param)
+
+
+@pytest.mark.parametrize(("k", "percent", "cell", "lists", "block"), [(4, 85, 4096, 64, 10**7), (4, 85, 3, 1, 4000), (2, 50, 5, 4, 4000), (2, 50, 4096, 1, 4000), (1, 30, 7, 1, 4000), (4, 100, 9, 3, 4000)])
+def test_jaccard(docs, hops, k, percent, cell, lists, block):
     sets = [(i, shingle_set(t, k)) for i, t, *_ in ROWS]
     up = {i: i for i, _ in sets if i is not None}
 
@@ -49,12 +55,45 @@ def test_jaccard(docs, k, percent, cell, block):
                 x, y = find(i), find(j)
                 up[max(x, y)] = min(x, y)
     expected = Counter((i, len(s), None if i is None else find(i)) for i, s in sets)
-    got = jaccard_components(docs, k=k, percent=percent, cell=cell, block_bytes=block).collect()
+    got = jaccard_components(docs, k=k, percent=percent, cell=cell, lists=lists, block_bytes=block).collect()
     assert Counter(tuple(r) for r in got) == expected
 
 
-@pytest.mark.parametrize("block", [10**7, 3000])
-def test_repeats(docs, block):
+@pytest.mark.parametrize("seed", range(8))
+def test_divide_skip(seed):
+    rng = np.random.default_rng(seed)
+    sets = [sorted(rng.choice(40, rng.integers(1, 30), replace=False).tolist()) for _ in range(60)]
+    index: dict[int, list[int]] = {}
+    for i, s in enumerate(sets):
+        for t in s:
+            index.setdefault(t, []).append(i)
+    for percent in (20, 50, 80, 100):
+        for q in [*sets[:20], list(range(0, 40, 2)), [99]]:
+            want = [i for i, s in enumerate(sets) if 100 * len(set(q) & set(s)) >= percent * len(set(q) | set(s))]
+            assert list(divide_skip(q, index, [len(s) for s in sets], percent)) == want
+    lists = [sorted(rng.choice(50, rng.integers(0, 20), replace=False).tolist()) for _ in range(9)]
+    for least in range(1, 10):
+        many = Counter(x for one in lists for x in one)
+        assert list(merged(lists, least)) == sorted((x, n) for x, n in many.items() if n >= least)
+    a, b = (np.unique(rng.integers(0, 90, 40)).astype(np.uint64) for _ in range(2))
+    assert overlap(a, b) == overlap(b, a) == len(np.intersect1d(a, b)) and overlap(a, b[:0]) == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_radix_order(seed):
+    rng = np.random.default_rng(seed)
+    rows = rng.integers(0, 3, (200, [3, 8, 9, 26, 50, 17][seed])).astype(np.uint8)
+    rows[100:] = rows[rng.integers(0, 100, 100)]
+    order, common = radix_order(rows)
+    held = [bytes(rows[i]) for i in order]
+    assert held == sorted(held)
+    same = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+    assert common.tolist() == [0, *(same(a, b) for a, b in zip(held, held[1:], strict=False))]
+    assert len(radix_order(rows[:0])[0]) == 0
+
+
+@pytest.mark.parametrize(("block", "hot"), [(10**7, 4096), (3000, 4096), (3000, 0), (3000, 2)])
+def test_repeats(docs, hops, block, hot):
     width = 50
     raw = [(i if i is not None else -math.inf, (t or "").encode()) for i, t, *_ in ROWS]
     least = {}
@@ -71,12 +110,12 @@ def test_repeats(docs, block):
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
         expected[(i if i != -math.inf else None, len(t), sum(gone), runs, kept)] += 1
-    got = repeated_spans(docs, block_bytes=block).collect()
+    got = repeated_spans(docs, block_bytes=block, hot=hot).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == expected
 
 
 @pytest.mark.parametrize("block", [10**7, 3000])
-def test_bpe(docs, block):
+def test_bpe(docs, hops, block):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_str(tokenizer_json())
@@ -88,60 +127,90 @@ def test_bpe(docs, block):
     assert Counter((r.doc_id, bytes(r.ids), r.n_tokens, r.decoded) for r in got) == expected
 
 
-@pytest.mark.parametrize("block", [10**7, 3000])
-def test_katz_base_and_agreement(docs, block):
-    done, words = katz_scores(docs, remainder(5) != 1, block_bytes=block)
-    got = sorted((tuple(r) for r in done.collect()), key=str)
-    train = [low(t) + [None] for i, t, *_ in ROWS if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
-    count = Counter(w for t in train for w in t)
-    n, v = sum(count.values()), len(count)
-    assert (words.n, words.v) == (n, v)
-    expected = []
+class BruteKatz:
+    """The model over texts, from counters."""
+
+    def __init__(self, train):
+        self.words, self.pairs, self.triples = Counter(), Counter(), Counter()
+        for t in train:
+            own = ["", *low(t), ""]
+            self.words.update(own[1:])
+            self.pairs.update(zip(own, own[1:], strict=False))
+            self.triples.update(zip(own, own[1:], own[2:], strict=False))
+        self.n = sum(self.words.values())
+        many = lambda c: np.array([sum(x == r for x in c.values()) for r in range(1, 7)])
+        self.model = Words(np.array([self.n, len(self.words), *many(self.words)]))
+        self.d2, self.d3 = discounts(many(self.pairs)), discounts(many(self.triples), 2)
+        self.size, self.after, self.after2 = Counter(), {}, {}
+        for (v, w), c in self.pairs.items():
+            self.size[v] += c
+            self.after.setdefault(v, {})[w] = c
+        for (u, v, w), c in self.triples.items():
+            if c >= 2:
+                self.after2.setdefault((u, v), {})[w] = c
+
+    def p1(self, w):
+        return float(self.model.p(np.array([self.words[w]]))[0])
+
+    @staticmethod
+    def backed(count, held, d, size, lower, w):
+        use = lambda c: c * (d[c] if c <= 5 else 1)
+        left = 1 - sum(map(use, held.values())) / size
+        scale, left = (1, left) if left > 1e-9 else (size / (size + 1), 1 / (size + 1))
+        return scale * use(count) / size if count else left / (1 - sum(map(lower, held))) * lower(w)
+
+    def p2(self, v, w):
+        if not self.size[v]:
+            return self.p1(w)
+        return self.backed(self.pairs[(v, w)], self.after[v], self.d2, self.size[v], self.p1, w)
+
+    def p3(self, u, v, w):
+        held = self.after2.get((u, v))
+        if not held:
+            return self.p2(v, w)
+        return self.backed(held.get(w, 0), held, self.d3, self.pairs[(u, v)], lambda x: self.p2(v, x), w)
+
+    def score(self, text):
+        own = ["", *low(text), ""]
+        out = math.log10(self.p2(own[0], own[1]))
+        return out + sum(math.log10(self.p3(*x)) for x in zip(own, own[1:], own[2:], strict=False))
+
+
+@pytest.mark.parametrize("block", [10**7, 3000, 800])
+def test_katz(docs, hops, block):
+    """All columns against brute force, whatever the size of blocks."""
+    got = katz_scores(docs, remainder(5) != 1, block_bytes=block).collect()
+    trained = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 != 1
+    brute = BruteKatz([t for i, t, *_ in ROWS if trained(i)])
+    assert {(r.train_tokens, r.train_words) for r in got} == {(brute.n, len(brute.words))}
+    want = []
     for i, t, *_ in ROWS:
-        own = low(t) + [None]
-        expected.append((i, i is not None and zlib.crc32(str(i).encode()) % 5 != 1, len(own), sum(w in count for w in own)))
-    assert sorted((r[:4] for r in got), key=str) == sorted(expected, key=str)
-    base = {(i, t): sum(math.log10(count[w] + 0.5) for w in low(t) + [None]) for i, t, *_ in ROWS}
-    assert sorted(round(r[4], 6) for r in got) == sorted(round(base[(i, t)], 6) for i, t, *_ in ROWS)
-    assert all(r[5] <= 1e-9 and math.isfinite(r[5]) for r in got)
+        own = low(t) + [""]
+        want.append((i, trained(i), len(own), sum(w in brute.words for w in own), round(sum(math.log10(brute.words[w] + 0.5) for w in own), 6), brute.score(t)))
+    key = lambda r: (str(r[:5]), r[5])
+    found = sorted(((r.doc_id, r.train, r.n_tokens, r.n_known, round(r.base_sum, 6), r.score) for r in got), key=key)
+    want.sort(key=key)
+    assert [r[:5] for r in found] == [r[:5] for r in want]
+    for x, y in zip(found, want, strict=True):
+        assert abs(x[5] - y[5]) < 1e-5 * x[2] + 1e-6
 
 
 def test_katz_contexts_sum_to_one(spark):
     """Every context's probabilities over all words and the unseen symbol sum to one."""
-    train = ["a b a b a c", "b b a", "a a d e", "c a b", "x y", *["q r"] * 9]
+    train = ["a b a b a c", "b b a", "a a d e", "c a b", "x y", "a b a d", "c a b", *["q r"] * 9]
+    brute = BruteKatz(train)
     vocabulary = sorted({w for t in train for w in t.split()})
-    probes = [f"{v} {w}" for v in [*vocabulary, "zz"] for w in [*vocabulary, "zz"]]
+    every = ["", *vocabulary, "zz"]
+    assert abs(sum(map(brute.p1, every)) - 1) < 1e-12
+    for v in every:
+        assert abs(sum(brute.p2(v, w) for w in every) - 1) < 1e-9
+        for u in every:
+            assert abs(sum(brute.p3(u, v, w) for w in every) - 1) < 1e-9
+    probes = [f"{u} {v} {w}" for u in ("a", "c", "q", "zz") for v in [*vocabulary, "zz"] for w in [*vocabulary, "zz"]]
     rows = [(i, t, True) for i, t in enumerate(train)] + [(1000 + i, t, False) for i, t in enumerate(probes)]
-    done, model = katz_scores(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), F.col("train"))
-    one = {r.doc_id: r.score for r in done.collect()}
-    words = Counter(w for t in train for w in [*t.split(), ""])
-    n_r = lambda c: [sum(x == r for x in c.values()) for r in range(1, 7)]
-    assert abs(sum(float(model.p(np.array([c]))[0]) for c in words.values()) + model.unseen - 1) < 1e-12
-    pairs = Counter()
-    for t in train:
-        own = ["", *t.split(), ""]
-        pairs.update(zip(own, own[1:], strict=False))
-    d = discounts(np.array(n_r(pairs)))
-    context = Counter()
-    for (v, _), c in pairs.items():
-        context[v] += c
-    p = lambda w: float(model.p(np.array([words[w]]))[0])
-
-    def katz(v, w):
-        if not context[v]:
-            return p(w)
-        mass = sum(c * (d[c] if c <= 5 else 1) for (a, _), c in pairs.items() if a == v) / context[v]
-        share = sum(p(b) for (a, b), c in pairs.items() if a == v)
-        scale, left = (1, 1 - mass) if 1 - mass > 1e-9 else (context[v] / (context[v] + 1), 1 / (context[v] + 1))
-        c = pairs[(v, w)]
-        return scale * c * (d[c] if c <= 5 else 1) / context[v] if c else left / (1 - share) * p(w)
-
-    for v in ["", *vocabulary, "zz"]:
-        assert abs(sum(katz(v, w) for w in ["", *vocabulary, "zz"]) - 1) < 1e-9
+    one = {r.doc_id: r.score for r in katz_scores(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), F.col("train")).collect()}
     for i, t in enumerate(probes):
-        v, w = t.split()
-        want = math.log10(katz("", v)) + math.log10(katz(v, w)) + math.log10(katz(w, ""))
-        assert abs(one[1000 + i] - want) < 1e-5
+        assert abs(one[1000 + i] - brute.score(t)) < 1e-5
 
 
 def test_empty_tables(spark):
@@ -149,7 +218,7 @@ def test_empty_tables(spark):
     assert jaccard_components(none).count() == 0
     assert repeated_spans(none).count() == 0
     assert encode_decode(none, tokenizer_json()).count() == 0
-    assert katz_scores(none, remainder(5) != 1)[0].count() == 0
+    assert katz_scores(none, remainder(5) != 1).count() == 0
 
 
 def test_all_null(spark):
@@ -157,7 +226,7 @@ def test_all_null(spark):
     assert [tuple(r) for r in jaccard_components(none).collect()] == [(None, 0, None)] * 2
     assert [r.n_removed for r in repeated_spans(none).collect()] == [0, 0]
     assert [r.n_tokens for r in encode_decode(none, tokenizer_json()).collect()] == [0, 0]
-    assert [(r.n_tokens, r.score) for r in katz_scores(none, remainder(5) != 1)[0].collect()] == [(1, 0.0)] * 2
+    assert [(r.n_tokens, r.score) for r in katz_scores(none, remainder(5) != 1).collect()] == [(1, 0.0)] * 2
 
 
 def test_repeats_without_cut_code_points(spark):
@@ -172,33 +241,14 @@ def test_repeats_without_cut_code_points(spark):
 
 
 @pytest.mark.parametrize("block", [10**7, 2500])
-def test_katz_discounts_are_those_of_all_pairs(spark, block):
-    """Also where pairs lie in many buckets, and with split contexts (the end and "a", over 1000 tokens each)."""
-    train = [f"a b{i % 300} c{i % 170} d{i % 97}" for i in range(1300)] + [f"e{i} f{i % 9} g{i % 40}" for i in range(200)]
-    held = ["a b5 c5 d5", "a c9 x", "e3 f3 g3", "c7 d7 a", "b1 b2", "", "a a"]
+def test_katz_split_contexts(spark, block):
+    """Also where contexts lie in many buckets: the end and "a" have over 1000
+    tokens each, and so has the pair of both; no block gives other scores."""
+    train = [f"a b{i % 300} c{i % 170} d{i % 97}" for i in range(1300)] + [f"e{i} f{i % 9} g{i % 40}" for i in range(200)] + [f"a h{i % 3}" for i in range(30)]
+    held = ["a b5 c5 d5", "a c9 x", "e3 f3 g3", "c7 d7 a", "b1 b2", "", "a a", "a h1", "a h2 b5", "x a b7", "a zz"]
     rows = [(i, t, True) for i, t in enumerate(train)] + [(5000 + i, t, False) for i, t in enumerate(held)]
-    done, model = katz_scores(spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3), F.col("train"), block_bytes=block)
-    one = {r.doc_id: r.score for r in done.collect()}
-    words, pairs, context = Counter(), Counter(), Counter()
-    for t in train:
-        own = ["", *t.split(), ""]
-        words.update(own[1:])
-        pairs.update(zip(own, own[1:], strict=False))
-    for (v, _), c in pairs.items():
-        context[v] += c
-    d = discounts(np.array([sum(x == r for x in pairs.values()) for r in range(1, 7)]))
-    p = lambda w: float(model.p(np.array([words[w]]))[0])
-
-    def katz(v, w):
-        if not context[v]:
-            return p(w)
-        own = {b: c for (a, b), c in pairs.items() if a == v}
-        mass = sum(c * (d[c] if c <= 5 else 1) for c in own.values()) / context[v]
-        scale, left = (1, 1 - mass) if 1 - mass > 1e-9 else (context[v] / (context[v] + 1), 1 / (context[v] + 1))
-        c = own.get(w, 0)
-        return scale * c * (d[c] if c <= 5 else 1) / context[v] if c else left / (1 - sum(map(p, own))) * p(w)
-
+    one = {r.doc_id: r.score for r in katz_scores(spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3), F.col("train"), block_bytes=block).collect()}
+    brute = BruteKatz(train)
+    assert brute.size["a"] > 1000 and brute.pairs[("", "a")] > 1000
     for i, t in enumerate(held):
-        own = ["", *t.split(), ""]
-        want = sum(math.log10(katz(v, w)) for v, w in zip(own, own[1:], strict=False))
-        assert abs(one[5000 + i] - want) < 1e-4
+        assert abs(one[5000 + i] - brute.score(t)) < 1e-5

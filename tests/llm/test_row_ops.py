@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -17,7 +18,7 @@ from inventra.llm.main_text import main_text, main_texts
 from inventra.llm.quality import quality_scores
 from inventra.llm.rules import LENGTHS, judged, least, log_tail, pooled
 from inventra.llm.shards import sharded
-from inventra.llm.toxicity import LabelModel, toxicity_scores
+from inventra.llm.toxicity import LabelModel, Voters, _words, distinct_votes, summed, toxicity_scores
 
 ROWS = corpus()
 DATA = Path("/root/testdata/sf0.01")
@@ -39,7 +40,7 @@ def jump(key, n):
     return b
 
 
-@pytest.mark.parametrize("part_rows", [2, 20_000])
+@pytest.mark.parametrize("part_rows", [9, 200_000])
 def test_shards(docs, part_rows):
     got = sharded(docs, 8, part_rows=part_rows).collect()
     want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "key", jump(-1 if i is None else i, 8), jump(-1 if i is None else i, 9)) for i, t, *_ in ROWS)
@@ -48,10 +49,15 @@ def test_shards(docs, part_rows):
     for s in range(8):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
+        held = [(r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size) for r in sorted((r for r in got if r.shard == s), key=lambda r: r.slot)]
+        assert held == sorted(held)
 
 
 def test_shards_keys(spark):
-    keys = [0, 1, -1, 2**62, -(2**63), 2**63 - 1, 12345678901234567]
+    # The last ones are chosen for a first draw beside a multiple of the shift.
+    back = pow(2862933555777941757, -1, 2**64)
+    draws = [(x - 1) * back % 2**64 for x in (2**33 - 1, 2**64 - 1, (5 << 33) - 1, 5 << 33, (5 << 33) + 1)]
+    keys = [0, 1, -1, 2**62, -(2**63), 2**63 - 1, 12345678901234567, *(d - 2**64 if d >= 2**63 else d for d in draws)]
     got = sharded(spark.createDataFrame([(k, "x") for k in keys], "doc_id long, text string"), 40).collect()
     assert {r.doc_id: (r.shard, r.grown_shard) for r in got} == {k: (jump(k, 40), jump(k, 41)) for k in keys}
     assert sharded(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -149,14 +155,60 @@ def test_leaks(spark):
     texts = [say(50) + "\n" + items[0][1] + " " + say(50), say(9) + edited + say(9), re.sub("[a-z]", lambda m: m[0].upper(), items[2][1]).replace(" ", "\n  "), say(400), None, "", items[3][1][: len(items[3][1]) // 2], say(3000) + items[4][1] + items[5][1], "short"]
     df = spark.createDataFrame([(100 + i, t, "x") for i, t in enumerate(texts)] + [(None, items[0][1], "x")], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for chunk in (8_000_000, 200):
-        got = leaks(df, bench, chunk_bytes=chunk).collect()
-        assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 0), (100, 0), (101, 1), (102, 2), (107, 4), (107, 5)]
+    # Sent to all executors, and joined as a table; the short item stands as a word in the last text only.
+    for most in (8_000_000, 0):
+        got = leaks(df, bench, broadcast_bytes=most).collect()
+        assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 0), (100, 0), (101, 1), (102, 2), (107, 4), (107, 5), (108, 6)]
         for r in got:
             if r.edits == 0 and r.doc_id is not None:
                 cut = texts[r.doc_id - 100].encode()[r.begin : r.end]
-                assert plain(cut)[0].tobytes() == plain(dict(items[:6])[r.item_id].encode())[0].tobytes()
-    assert leaks(df.limit(0), bench).count() == 0 and leaks(df, bench.limit(0)).count() == 0
+                assert plain(cut)[0].tobytes() == plain(dict(items[:7])[r.item_id].encode())[0].tobytes()
+        assert leaks(df.limit(0), bench, broadcast_bytes=most).count() == 0 and leaks(df, bench.limit(0), broadcast_bytes=most).count() == 0
+
+
+def fewest_edits(item, text):
+    """Fewest edits between the item and any part of the text."""
+    data, step = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, int)
+    for i, c in enumerate(item, 1):
+        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (data != c))))
+        row = np.minimum.accumulate(new - step) + step
+    return row.min()
+
+
+@pytest.mark.parametrize("most", [8_000_000, 0])
+def test_leaks_against_brute_force(spark, most):
+    """Items of all lengths, with and without edits at the budget's bound, in
+    texts of few words, with a beginning that all items share; rows repeat."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdé "), rng.integers(1, 6)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, "Question: which of these " * (i % 2) + say(int(rng.integers(1, 60)))) for i in range(60)] + [(60, "ab"), (61, "é"), (62, " \n"), (63, "x1"), (64, "x1")]
+    texts = []
+    for i, (_, t) in enumerate(items):
+        own = list(t)
+        for _ in range(int(rng.integers(0, 2 + len(t) * 7 // 100))):
+            at = int(rng.integers(0, len(own)))
+            own[at : at + 1] = rng.choice(["", "z", "zz"])
+        texts.append(say(5) + " " + "".join(own) + " " + say(5) if i % 3 else "".join(own))
+    texts += [say(200), "ab", "AB\tcab x12", "(x1)", None, "", "é", "éé"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])]
+    want = Counter()
+    for i, t in rows:
+        own = plain((t or "").encode())[0].tobytes()
+        for j, x in items:
+            item = plain(x.encode())[0].tobytes()
+            if len(item) >= 30:
+                hit = fewest_edits(item, own) <= len(item) * 7 // 100
+            else:
+                letter = rb"[0-9a-z\x80-\xff]"
+                edge = lambda c: bool(re.match(letter, c))  # noqa: E731, B023
+                before, after = (rb"(?<!" + letter + rb")" if edge(item[:1]) else b""), (rb"(?!" + letter + rb")" if edge(item[-1:]) else b"")
+                hit = bool(item) and re.search(before + re.escape(item) + after, own) is not None
+            if hit:
+                want[(i, j)] += 1
+    got = leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=most).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == want
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -186,6 +238,21 @@ def test_alignment(seed):
     ("<div class='ad banner'>Buy, now, please, do, it</div><div id=content><p>First, long, enough.</p><p>Second, one.</p></div><div class=comments><p>Reader, says, a, lot, here</p></div>", "First, long, enough.\n\nSecond, one."),
     ("<main><form>f<input></form><p>A, b, c.</p><aside>s</aside><ul><li>x<li>y</ul></main>", "A, b, c.\n\nx\n\ny"),
     ("<article><p>kept<!-- gone --> text<script>if (a < b) {}</script></p></article", "kept text"),
+    ("<article><div class='article-header'><h1>Title</h1></div><p>Prose, here.</p></article>", "Title\n\nProse, here."),
+    ("<body><p class=legal>The one paragraph.</p></body>", "The one paragraph."),
+    ("<article><p>First, one.</p><section class='social policy'><p>On social policy, much.</p></section></article>", "First, one.\n\nOn social policy, much."),
+    ("<article><p>The sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> is, here.</p></article>", "The sum x+y is, here."),
+    ("<article><p title='hidden ad'>Shown <span class=ad>Buy</span> text, <label>no <p>x</label> more.</p><noscript><p>Enable JS</p></noscript><button><div>Go</div></button></article>", "Shown text, more."),
+    ("<form><div><p>All, of it, is in a form.</p><p>Second, too.</p></div></form>", "All, of it, is in a form.\n\nSecond, too."),
+    ("<nav><a href=/>only</a> menu</nav><footer>x</footer>", ""),
+    ("<div class=ad>Buy</div>", ""),
+    ("<article><p>Art, icle.</p><ol class='comment-list'><li><article><p>A comment, long, with, many, commas, and more, and more, of it.</p></article></ol></article>", "Art, icle."),
+    ("<nav><ul><li>x<article><p>In an unclosed nav, prose.</p></article>", "In an unclosed nav, prose."),
+    ("<h1>T</h1><div id=c><p>One, two, three, four and some more text.</p><p>Two.</p></div><ul><li>a</ul>", "T\n\nOne, two, three, four and some more text.\n\nTwo."),
+    ("<p>a < b and 1<2 &amp; x", "a < b and 1<2 & x"),
+    ("<a href=x><div>Teaser one</div></a><div><p>Some prose, in here, that is longer than teasers.</p></div>", "Some prose, in here, that is longer than teasers."),
+    ("<article><header><h1>In</h1></header><p>P, q.</p><footer>tags</footer></article>", "In\n\nP, q."),
+    ("<table><tr><td>a<td>b<tr><td>c, d</table>", "a b\n\nc, d"),
 ])
 def test_main_text(page, want):
     assert main_text(page) == want
@@ -194,8 +261,16 @@ def test_main_text(page, want):
 def test_main_text_bears_anything(spark):
     deep = "<div>" * 5000 + "deep, text" + "</div>" * 5000
     assert main_text(deep) == "deep, text"
-    pages = spark.createDataFrame([(1, None, "t"), (2, "<p>a</p>" * 2, "t"), (2, "<p>a</p>" * 2, "t")], "page_id long, html string, n_chars string")
-    assert Counter(r.text for r in main_texts(pages).collect()) == Counter(["", "a\n\na", "a\n\na"])
+    pages = spark.createDataFrame([(1, None, "t"), (2, "<p>a</p>" * 2, "t"), (2, "<p>a</p>" * 2, "t")], "page_id long, html string, text string")
+    assert Counter((r.page_id, r.text) for r in main_texts(pages).collect()) == Counter({(1, ""): 1, (2, "a\n\na"): 2})
+    assert main_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<a " * 3_000_000, "<div>" * 300_000 + "x", "<" + "a" * 3_000_000 + "<", "<a x=\"y' " * 500_000, "<label>" * 500_000, "<span class=ad>x" * 300_000, "</div>" * 500_000, "<!-- " * 1_000_000, "<a b" + " " * 3_000_000 + "c>x", "<script>" * 500_000])
+def test_main_text_in_linear_time(page):
+    begin = time.process_time()
+    main_text(page)
+    assert time.process_time() - begin < 20
 
 
 @have_data
@@ -223,9 +298,41 @@ def test_scores_of_odd_tables(spark, docs, score):
 def test_label_model_discounts_copies():
     rng = np.random.default_rng(3)
     truth = rng.random(2000) < 0.2
-    noisy = lambda p: np.where(rng.random(2000) < p, truth, ~truth) * 2 - 1
+    noisy = lambda p: np.where(rng.random(2000) < p, truth, ~truth)
     twin = noisy(0.7)
-    votes = np.stack([noisy(0.9), noisy(0.85), twin, twin, twin, np.where(truth, 1, 0)], axis=1)
-    model = LabelModel(votes)
-    assert model.share[2] < 0.6 and model.share[0] > 0.8
-    assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.95
+    says = np.stack([noisy(0.9), noisy(0.85), twin, twin, twin], axis=1)
+    up = np.concatenate([says, truth[:, None]], axis=1).astype(float)
+    down = np.concatenate([~says, np.zeros((2000, 1))], axis=1).astype(float)
+    model = LabelModel(lambda f: f(up, down, np.ones(2000)), 6, 0.2)
+    assert model.share[2] < 0.6 and model.share[0] > 0.8 and model.accuracy[0] > 0.8
+    assert ((model.posterior(up, down) > 0.5) == truth).mean() > 0.95
+
+
+def test_votes_are_summed_over_all_rows(spark):
+    """The label model sees every document: sums over distinct votes equal sums over rows."""
+    rng = np.random.default_rng(6)
+    say = lambda *more: " ".join([*rng.choice(["red", "blue", "green", "stone"], 30), *more])
+    docs = [say("idiot", f"grobmalion{i % 7}", f"grobmalian{i % 5}") if i % 5 == 0 else say() for i in range(200)]
+    label = np.array([float(i % 5 == 0) for i in range(200)])
+    voters = Voters([_words(t.encode()) for t in docs], label)
+    assert voters.any_start[5] == {"grobm"} and voters.known >= {"idiot"}
+    each = [voters.votes(_words(t.encode())) for t in docs]
+    votes = distinct_votes(spark.createDataFrame([(t,) for t in docs], "text string").selectExpr("cast(text as binary) as text").repartition(5), voters)
+    assert Counter({(r.up, r.down): r.n for r in votes.collect()}) == Counter(each)
+    f = lambda up, down, n: np.concatenate([[n.sum()], n @ up, n @ down])
+    want = f(*(np.array([[x >> k & 1 for k in range(voters.count)] for x in side], float) for side in zip(*each, strict=True)), np.ones(200))
+    assert np.allclose(summed(votes, voters.count)(f), want)
+    assert len(summed(votes.limit(0), voters.count)(f)) == 2 * voters.count + 1
+
+
+@have_data
+def test_weak_supervision_gains(spark):
+    """On held-out rows: no fewer toxic documents found than by the plain
+    classifier with the words alone, and hardly a clean one lost."""
+    docs, labels = Q.table(spark, str(DATA), "documents").select("doc_id", "text"), Q.table(spark, str(DATA), "labels")
+    weak = toxicity_scores(docs, labels, Q.remainder(3) != 1)
+    plain_ = quality_scores(docs, labels, Q.remainder(3) != 1, label="toxic", score="plain")
+    rows = weak.join(plain_.select("doc_id", "plain"), "doc_id").join(labels, "doc_id").where(Q.remainder(3) == 1).collect()
+    found = lambda c: sum(r[c] >= 0.7 for r in rows if r.toxic)
+    assert found("score") >= found("plain") and found("score") >= 0.7 * sum(r.toxic for r in rows)
+    assert sum(r["score"] >= 0.7 for r in rows if not r.toxic) <= 0.02 * len(rows)

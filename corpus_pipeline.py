@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inventra.llm import queries as Q
-from inventra.llm.blocks import stored
 from inventra.llm.bpe import encode_decode
 from inventra.llm.decontaminate import leaks
 from inventra.llm.jaccard_join import jaccard_components
 from inventra.llm.quality import quality_scores
 from inventra.llm.repeats import repeated_spans
+from inventra.llm.tables import stored
 
 #: Bytes of text a block holds here: less than in the operators alone, as all
 #: stages share the executors and what they keep of earlier ones.
@@ -26,14 +26,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id,
-    and of its rows the one with the least text.  Rows without id stay."""
+    """One document of each group of linked ones: that with the smallest id, and
+    all its texts.  Rows that repeat an id and its text go to one; rows without
+    id stay."""
     found = jaccard_components(docs, k=5, percent=80, block_bytes=BLOCK_BYTES).where("component_id <> doc_id").select("doc_id").distinct()
     left = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
-    rest = [c for c in left.columns if c != "doc_id"]
-    once = left.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in rest if c != "text"))).alias("row"))
-    kept = once.select("doc_id", "row.*").select(*docs.columns)
-    return kept.unionByName(left.where("doc_id is null"))
+    # Only ids that repeat have their texts shuffled.
+    many = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = left.join(many, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "text", "_row.*")
+    return left.join(many, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +47,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark text stands."""
-    found = leaks(docs, Q.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents in which no benchmark text stands.  A row is known by its id and
+    text, so another text of the same id, or of none, stays."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = leaks(keyed, Q.table(spark, sf_dir, "benchmark"), doc_id="_key").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(found, "_key", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

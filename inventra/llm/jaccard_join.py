@@ -15,15 +15,12 @@ shingles), at every size of group.
 4. Each document is compared with one leader, the smallest of those of about its
    size with which it shares most short lists.  What links makes clusters: a
    large group of near copies costs one comparison a document.
-5. Short lists of more than one cluster are merged: documents of different
-   clusters and fitting sizes that share a list are compared, if the list is no
-   longer than ``lists``; a comparison probes one set's sorted shingles for the
-   other's.
-6. What meets in longer lists is searched in blocks of bounded size, all but the
-   largest cluster's documents against all, by DivideSkip: of the inverted lists
-   of a document's shingles the ``L`` longest are set aside, the others merged on
-   a heap that skips ahead, and ids met at least ``T - L`` times are looked up in
-   the long ones by bisection.
+5. What meets in short lists of more than one cluster is searched in blocks of
+   bounded size, all but the largest cluster's documents against all, by
+   DivideSkip: of the inverted lists of a document's shingles the ``L`` longest
+   are set aside, the others merged on a heap that skips ahead, and ids met at
+   least ``T - L`` times are looked up in the long ones by bisection.  Partners
+   already in the same cluster aren't looked up.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing.  A row without doc_id keeps its row, with component
@@ -48,8 +45,8 @@ from inventra.llm.components import components
 from inventra.llm.tables import stored
 from inventra.llm.words import U, shingles
 
-#: Documents of one block of a search, and of a list that is merged in pairs.
-CELL, LISTS = 4096, 64
+#: Documents that a block of the search has as index, and as queries, at most.
+CELL = 4096
 #: The weight of a long list's lookups against the merge, as published.
 MU = 0.0085
 _LOW = U(0xFFFFFFFF)
@@ -285,19 +282,19 @@ def _search(percent: int):
     """Edges from the queries of a block to what its index has linked with them."""
 
     def block(rows) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[1], r[0]))
+        rows.sort(key=lambda r: r[0])
         ids = sorted({r[0] for r in rows})
         place = {i: k for k, i in enumerate(ids)}
         union, first = Union(len(ids)), {}
-        for i, _, cluster, _ in rows:
+        for i, _, _, cluster, _ in rows:
             union.join(place[i], first.setdefault(cluster, place[i]))
-        held = [(place[i], np.frombuffer(t, U).tolist()) for i, query, _, t in rows if not query]
+        held = [(place[i], np.frombuffer(t, U).tolist()) for i, indexed, _, _, t in rows if indexed]
         index: dict[int, list[int]] = {}
         for k, (_, tokens) in enumerate(held):
             for t in tokens:
                 index.setdefault(t, []).append(k)
         sizes, out = [len(t) for _, t in held], []
-        for i, query, _, raw in rows:
+        for i, _, query, _, raw in rows:
             if query:
                 x = place[i]
                 for y in divide_skip(np.frombuffer(raw, U).tolist(), index, sizes, percent, lambda y: union.find(held[y][0]) == union.find(x)):
@@ -309,7 +306,7 @@ def _search(percent: int):
     def run(batches):
         key, rows = None, []
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("label", "ci", "cj", "rep", "query", "cluster", "tokens"))
+            columns = (batch[c].to_pylist() for c in ("label", "ci", "cj", "rep", "indexed", "query", "cluster", "tokens"))
             for label, ci, cj, *row in zip(*columns, strict=True):
                 if (label, ci, cj) != key:
                     if rows:
@@ -322,25 +319,26 @@ def _search(percent: int):
     return run
 
 
-def _long_lists(postings: DataFrame, sets: DataFrame, percent: int, cell: int) -> DataFrame:
+def _met(postings: DataFrame, sets: DataFrame, percent: int, cell: int) -> DataFrame:
     """Edges of the documents that meet in ``postings`` (token, rep, cluster):
     neighbourhoods of lists that share documents, each searched in blocks of an
     index cell and a chunk of queries."""
-    postings = stored(postings)
     least = postings.groupBy("token").agg(F.min("rep").alias("b"))
     hood = components(postings.join(least, "token").select(F.col("rep").alias("a"), "b").distinct())
     docs = postings.select("rep", "cluster").distinct().join(hood.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("root", "rep").alias("label"))
     clusters = docs.groupBy("label", "cluster").agg(F.count("*").alias("n"))
     shape = clusters.groupBy("label").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("largest")).where("all > largest")
     docs = docs.join(shape, "label").withColumn("query", F.col("cluster") != F.col("top"))
-    cells, chunks = F.ceil(F.col("all") / cell).cast("int"), F.ceil((F.col("all") - F.col("largest")) / cell).cast("int")
-    index = docs.select("rep", "cluster", "label", F.lit(False).alias("query"), F.pmod(F.xxhash64("rep"), cells).cast("int").alias("ci"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("cj"))
-    queries = docs.where("query").select("rep", "cluster", "label", "query", F.explode(F.sequence(F.lit(0), cells - 1)).alias("ci"), F.pmod(F.xxhash64("rep", F.lit(1)), chunks).cast("int").alias("cj"))
-    rows = index.unionByName(queries).join(sets.select("rep", "tokens"), "rep").select("label", "ci", "cj", "rep", "query", "cluster", "tokens")
+    docs = docs.withColumn("cells", F.ceil(F.col("all") / cell).cast("int")).withColumn("chunks", F.ceil((F.col("all") - F.col("largest")) / cell).cast("int"))
+    # In a neighbourhood of one block a document comes once, as both.
+    whole = F.col("cells") == 1
+    index = docs.select("rep", "cluster", "label", F.lit(True).alias("indexed"), (whole & F.col("query")).alias("query"), F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int").alias("ci"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("cj"))
+    queries = docs.where(F.col("query") & ~whole).select("rep", "cluster", "label", F.lit(False).alias("indexed"), "query", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("ci"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int").alias("cj"))
+    rows = index.unionByName(queries).join(sets.select("rep", "tokens"), "rep").select("label", "ci", "cj", "rep", "indexed", "query", "cluster", "tokens")
     return rows.repartition("label", "ci", "cj").sortWithinPartitions("label", "ci", "cj").mapInArrow(_search(percent), "a long, b long")
 
 
-def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block_bytes: int = B.BLOCK_BYTES, cell: int = CELL, lists: int = LISTS) -> DataFrame:
+def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block_bytes: int = B.BLOCK_BYTES, cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``df``."""
     n = B.pieces(B.total_bytes(df, text), block_bytes)
     docs = B.dealt(df, doc_id, text, n)
@@ -366,17 +364,10 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     star = stored(compared(pairs.groupBy("a").agg(F.max_by("b", F.struct("many", F.bitwise_not("b"))).alias("b"))))
 
     cluster = components(star)
-    postings = postings.join(cluster.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("root", "rep").alias("cluster"))
-    mixed = postings.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("many")).where("low < high")
-    mixed = stored(postings.join(mixed.select("token", "many"), "token"))
-    few = mixed.where(F.col("many") <= lists)
-    x, y = few.alias("x"), few.alias("y")
-    fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.cluster") < F.col("y.cluster"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    edges = star.unionByName(compared(pairs))
-    long = mixed.where(F.col("many") > lists).select("token", "rep", "cluster")
-    if not long.isEmpty():
-        edges = edges.unionByName(_long_lists(long, sets, percent, cell))
+    postings = postings.join(cluster.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("root", "rep").alias("cluster"))
+    mixed = postings.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high")
+    mixed = stored(postings.join(mixed.select("token"), "token").select("token", "rep", "cluster"))
+    edges = star.unionByName(_met(mixed, sets, percent, cell))
 
     own = found.where("n_shingles > 0 and doc_id is not null")
     copies = own.select("sig", "doc_id").join(own.groupBy("sig").agg(F.min("doc_id").alias("least")), "sig").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))

@@ -6,12 +6,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Path segments and stems of tests; directories that scans skip.
+# Path segments of tests; directories that scans skip.
 TEST_SEGMENTS = ("tests", "test", "__tests__", "testdata", "test_data")
-SKIPPED = (".git", ".hg", ".svn", ".tox", ".venv", "venv", "env", "node_modules", "__pycache__", ".mypy_cache", "build", "dist")
-PROVIDERS = (("openai", "openai"), ("anthropic", "anthropic"), ("cohere", "cohere"), ("mistral", "mistral"), ("generativelanguage|vertex", "google"), ("bedrock", "bedrock"), ("huggingface", "huggingface"), ("ollama", "ollama"))
-VECTOR_STORES = ("pinecone", "weaviate", "qdrant", "chroma", "milvus", "faiss", "pgvector", "redis")
-VECTOR_TOKENS = ("vector", "index", "pinecone", "weaviate", "qdrant", "chroma", "milvus")
+SKIPPED = (".git", "__pycache__", "node_modules", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", "dist", "build", ".eggs", "site-packages")
+# Hosts of model providers, as patterns; words of vector stores in
+# URLs; parts of configuration keys.
+PROVIDER_HOSTS = (
+    ("azure_openai", r"\.openai\.azure\.com"), ("openai", r"api\.openai\.com"), ("anthropic", r"api\.anthropic\.com"),
+    ("aws_bedrock", r"bedrock-runtime(?:-fips)?\.[a-z0-9-]+\.amazonaws\.com"), ("google_vertex", r"[a-z0-9-]+-aiplatform\.googleapis\.com"),
+    ("cohere", r"api\.cohere\.(com|ai)"), ("mistral", r"api\.mistral\.ai"), ("groq", r"api\.groq\.com"), ("together", r"api\.together\.xyz"),
+    ("fireworks", r"api\.fireworks\.ai"), ("deepinfra", r"api\.deepinfra\.com"), ("perplexity", r"api\.perplexity\.ai"),
+)
+URL_STORES = ("weaviate", "pinecone", "qdrant", "chroma", "milvus")
+EMBEDDING_KEYS = ("embedding", "embed", "vector", "retriev")
+LLM_KEYS = ("chat", "completion", "llm", "gpt")
+# Vector stores by what their name contains, in order.
+STORE_NAMES = (("weaviate", "weaviate"), ("pinecone", "pinecone"), ("chroma", "chromadb"), ("milvus", "milvus"), ("qdrant", "qdrant"), ("faiss", "faiss"), ("pgvector", "pgvector"), ("redis", "redis"))
+# What a name that stands for an environment variable begins with.
+ENV_PREFIXES = ("env:", "env_model_", "env_embedding_", "dockerfile_env_")
 
 
 def stripped(c: Column) -> Column:
@@ -23,21 +35,32 @@ def key_of(name: Column) -> Column:
     return F.lower(stripped(name))
 
 
+def path_parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+
+
+def file_stem(path: Column) -> Column:
+    """The file name without its last suffix; a leading dot begins no suffix."""
+    return F.regexp_replace(F.coalesce(F.try_element_at(path_parts(path), F.lit(-1)), F.lit("")), r"(?<=.)\.[^.]+$", "")
+
+
 def is_test_path(path: Column) -> Column:
-    parts = F.split(path, "/")
-    stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
-    return F.coalesce(F.arrays_overlap(parts, F.array(*map(F.lit, TEST_SEGMENTS))) | stem.startswith("test_") | stem.endswith("_test"), F.lit(False))
+    """In a directory of tests, or a file named like one.  Directories that are
+    also common elsewhere (spec, testing, fixtures) never suffice."""
+    stem = F.lower(file_stem(path))
+    return F.coalesce(F.arrays_overlap(path_parts(path), F.array(*map(F.lit, TEST_SEGMENTS))) | stem.startswith("test_") | stem.endswith("_test"), F.lit(False))
 
 
 def in_skipped_dir(path: Column) -> Column:
     """Some directory of the path, but not its file name, is never scanned."""
     dirs = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    return F.exists(dirs, lambda d: d.isin(*SKIPPED) | d.rlike(r"[-_]venv$|\.egg-info$"))
+    return F.exists(dirs, lambda d: d.isin(*SKIPPED) | F.lower(d).rlike(r"[-_]venv$|\.egg-info$"))
 
 
 def is_model_pinned(name: Column) -> Column:
-    """A slash, a version-like part, or an all-digit part of four or more."""
-    return F.coalesce(name.contains("/") | name.rlike(r"(?i)\bv?\d+\.\d+(\.\d+)?\b") | F.exists(F.split(name, "[-_:]"), lambda x: x.rlike("^[0-9]{4,}$")), F.lit(False))
+    """A slash, a version, an exact or an at version, or an all-digit part of four or more."""
+    c = stripped(name)
+    return F.coalesce((c != "") & (c.contains("/") | c.rlike(r"\d+\.\d+|==\s*[\w.\-]+|@[\w.\-]+") | F.exists(F.split(c, "[-_:]"), lambda x: x.rlike("^[0-9]{4,}$"))), F.lit(False))
 
 
 def pypi_name(name: Column) -> Column:
@@ -61,14 +84,16 @@ def full_or_null(c: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """http and https only; host lower case, default port, user, query and
-    fragment dropped, a card's path gives the root, no slash at the end but
+    """http and https only; host lower case, default port, user, parameters,
+    query and fragment dropped, a card's path cut off, no slash at the end but
     of the root."""
-    scheme = F.lower(F.regexp_extract(url, r"^\s*([A-Za-z]+)://", 1))
-    host = F.lower(F.regexp_extract(url, r"^\s*[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    port = F.regexp_extract(url, r"^\s*[A-Za-z]+://(?:[^/?#@]*@)?[^/?#:]+:(\d+)", 1)
-    path = F.regexp_extract(url, r"^\s*[A-Za-z]+://[^/?#]*([^?#\s]*)", 1)
-    path = F.when(path.rlike(r"^/\.well-known/agent(-card)?\.json$"), "").otherwise(path)
+    c = stripped(url)
+    scheme = F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    place = F.regexp_replace(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), "^.*@", "")
+    host = F.lower(F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(place, "^([^:]*)", 1)))
+    port = F.regexp_extract(place, r"(?:^|\])[^:\]]*:(\d+)$", 1)
+    path = F.regexp_replace(F.regexp_extract(c, r"^[^:]*://[^/?#]*([^?#]*)", 1), ";[^/]*$", "")
+    path = F.regexp_replace(path, r"(?i)/\.well-known/agent(-card)?\.json$", "")
     path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
     keep = (port != "") & ~((scheme == "http") & (port == "80")) & ~((scheme == "https") & (port == "443"))
     made = F.concat(scheme, F.lit("://"), host, F.when(keep, F.concat(F.lit(":"), port)).otherwise(""), path)
@@ -80,40 +105,69 @@ def host_root(url: Column) -> Column:
 
 
 def canonical_git(ref: Column) -> Column:
-    """host/path of a git remote in scp, URL or bare form."""
+    """host/path of a git remote in scp, URL or bare form; the host alone where
+    there is no path.  Credentials, port and a trailing .git go."""
     c = stripped(ref)
-    scp = c.rlike(r"^[^/:@]+@[^/:]+:") & ~c.contains("://")
-    host = F.when(scp, F.regexp_extract(c, r"^[^@]+@([^:]+):", 1)).otherwise(F.regexp_extract(c, r"^(?:[a-z+]+://)?(?:[^/@]*@)?([^/:]+)", 1))
-    path = F.when(scp, F.regexp_extract(c, r"^[^:]+:(.*)$", 1)).otherwise(F.regexp_extract(c, r"^(?:[a-z+]+://)?(?:[^/@]*@)?[^/:]+(?::\d+)?/(.*)$", 1))
-    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "^/+|/+$", ""), r"\.git$", ""), "/+$", "")
-    return F.when((host != "") & (path != ""), F.concat(F.lower(host), F.lit("/"), path))
+    scp, url = c.rlike(r"^[^/@]+@[^:/]+:."), c.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://")
+    rest = F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""), "^.*@", "")
+    colon = c.rlike("^[^/:]*:")
+    host = F.when(scp, F.regexp_extract(c, "^[^/@]+@([^:/]+):", 1)).when(url, F.regexp_extract(rest, "^([^/]*)", 1)).when(colon, F.regexp_extract(c, "^([^:]*)", 1)).otherwise(F.regexp_extract(c, "^([^/]*)", 1))
+    path = F.when(scp, F.regexp_extract(c, "^[^/@]+@[^:/]+:(.+)$", 1)).when(url, F.regexp_extract(rest, "^[^/]*/(.*)$", 1)).when(colon, F.regexp_extract(c, "^[^:]*:(.*)$", 1)).otherwise(F.regexp_extract(c, "^[^/]*/(.*)$", 1))
+    host = F.lower(F.regexp_extract(host, "^([^:]*)", 1))
+    path = F.regexp_replace(F.regexp_replace(F.translate(path, "\\", "/"), "^/+|/+$", ""), r"\.git$", "")
+    return F.when(F.coalesce(ref, F.lit("")) != "", F.when(path != "", F.concat(host, F.lit("/"), path)).otherwise(host))
 
 
 def canonical_image(ref: Column) -> Column:
     """registry/repository of an image without tag and digest."""
-    bare = F.regexp_replace(F.regexp_replace(stripped(ref), "@sha256:.*$", ""), r":[^/:]*$", "")
-    first = F.element_at(F.split(bare, "/"), 1)
-    named = bare.contains("/") & (first.contains(".") | first.contains(":") | (first == "localhost"))
-    return F.when(bare != "", F.when(named, bare).when(bare.contains("/"), F.concat(F.lit("docker.io/"), bare)).otherwise(F.concat(F.lit("docker.io/library/"), bare)))
+    c = F.regexp_extract(stripped(ref), "^([^@]*)", 1)
+    first = F.regexp_extract(c, "^([^/]*)/", 1)
+    named = first.contains(".") | first.contains(":") | (first == "localhost")
+    registry = F.when(named, F.lower(first)).otherwise("docker.io")
+    repo = F.when(named, F.regexp_extract(c, "^[^/]*/(.*)$", 1)).otherwise(c)
+    repo = F.regexp_replace(F.translate(F.regexp_replace(repo, ":[^/:]*$", ""), "\\", "/"), "^/+|/+$", "")
+    repo = F.when((registry == "docker.io") & ~repo.contains("/") & (repo != ""), F.concat(F.lit("library/"), repo)).otherwise(repo)
+    return F.when(F.coalesce(ref, F.lit("")) != "", F.when(repo != "", F.concat(registry, F.lit("/"), repo)).otherwise(registry))
+
+
+def canonical_source(ref: Column, kind: Column) -> Column:
+    return F.when(kind == "container_image", canonical_image(ref)).otherwise(canonical_git(ref))
 
 
 def key_tokens(key: Column) -> Column:
     return F.filter(F.split(F.lower(key), "[._-]+"), lambda x: x != "")
 
 
-def classify_endpoint(key: Column, url: Column) -> Column:
-    """Vector store by the key's tokens, model endpoint by provider, else the default."""
-    out = F.when(F.arrays_overlap(key_tokens(key), F.array(*map(F.lit, VECTOR_TOKENS))), "vector_store")
-    for pattern, _ in PROVIDERS:
-        out = out.when(F.lower(url).rlike(pattern), "llm_endpoint")
-    return out.otherwise("model_endpoint")
+def _holds(c: Column, words: tuple[str, ...]) -> Column:
+    return F.coalesce(F.lower(c).rlike("|".join(words)), F.lit(False))
+
+
+def classify_endpoint(url: Column, key: Column | None = None, paired: Column | None = None) -> Column:
+    """Vector store by the URL, endpoint of a language model by the provider's
+    host, else by the kind (embedding, llm) of the model it is paired with, else
+    by the key, else a model endpoint."""
+    key, paired = (F.lit(None).cast("string") if x is None else x for x in (key, paired))
+    hosted = _holds(url, tuple(p for _, p in PROVIDER_HOSTS))
+    return (F.when(_holds(url, URL_STORES), "vector_store").when(hosted, "llm_endpoint")
+            .when(paired == "embedding", "model_endpoint").when(paired == "llm", "llm_endpoint")
+            .when(_holds(key, EMBEDDING_KEYS), "model_endpoint").when(_holds(key, LLM_KEYS), "llm_endpoint").otherwise("model_endpoint"))
+
+
+def vector_store_technology(component_type: Column, metadata: Column, name: Column, model_name: Column) -> Column:
+    """What a vector store runs on: as noted, else by its name; null for others."""
+    held = F.lower(F.coalesce(full_or_null(model_name), name, F.lit("")))
+    by_name = F.lit(None).cast("string")
+    for part, technology in reversed(STORE_NAMES):
+        by_name = F.when(held.contains(part), technology).otherwise(by_name)
+    return F.when(component_type == "vector_store", F.coalesce(full_or_null(F.lower(stripped(metadata["store_technology"]))), by_name))
 
 
-def vector_store_technology(metadata: Column, name: Column) -> Column:
-    out = F.lit("unknown")
-    for t in reversed(VECTOR_STORES):
-        out = F.when(F.lower(name).contains(t), t).otherwise(out)
-    return F.coalesce(full_or_null(metadata), out)
+def without_env_prefix(name: Column) -> Column:
+    """A name without what marks it as an environment variable's."""
+    out = name
+    for prefix in reversed(ENV_PREFIXES):
+        out = F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 100_000)).otherwise(out)
+    return out
 
 
 def transport(explicit: Column, url: Column) -> Column:
@@ -130,23 +184,55 @@ def frameworks_related(a: Column, b: Column) -> Column:
     return F.coalesce(a == "", F.lit(True)) | F.coalesce(b == "", F.lit(True)) | (head(a) == head(b))
 
 
+# Fixed value: routes of hosted models: a region, the provider, the base id, a version.
+BEDROCK = r"(?i)^((?:us|us-gov|eu|apac|ap|ca|jp|au|global)\.)?(?:anthropic|amazon|meta|mistral|cohere|ai21|deepseek|writer|qwen|openai)\.([a-z0-9][a-z0-9.\-]*?)(-v\d+(?::\d+)?)?$"
+
+
 def bedrock_base(model: Column) -> Column:
-    """Vendor model of an id with a region or a version; else null."""
-    region = model.rlike(r"^(us|eu|apac|global)\.")
-    version = model.rlike(r"-v\d+(:\d+)?$")
-    base = F.regexp_replace(F.regexp_replace(model, r"^(us|eu|apac|global)\.", ""), r"-v\d+(:\d+)?$", "")
-    return F.when((region | version) & base.rlike(r"\d") & base.contains("."), base)
+    """The base id of a hosted model's id that has a region or a version and a
+    digit in its base; else null."""
+    c = stripped(model)
+    region, base, version = (F.regexp_extract(c, BEDROCK, i) for i in (1, 2, 3))
+    return F.when(((region != "") | (version != "")) & base.rlike("[0-9]"), base)
 
 
 def model_aliases(model: Column) -> Column:
     """Names under which a registry may hold the model, the most exact first."""
-    low = key_of(model)
-    tail = F.element_at(F.split(low, "/"), -1)
+    low = F.lower(model)
+    tail = F.regexp_replace(low, "^.*/", "")
     bare = F.regexp_replace(tail, "^ft:", "")
-    dotted = F.regexp_replace(bare, r"^[a-z]+\.", "")
-    plain = F.regexp_replace(dotted, r":\d+$", "")
-    undated = F.regexp_replace(plain, r"-?(\d{8}|\d{4}-\d{2}-\d{2})$", "")
-    return F.array_distinct(F.array(low, tail, bare, dotted, plain, undated))
+    parts = F.split(bare, r"\.")
+    n = F.size(parts)
+    dotted = F.when(n > 1, F.filter(F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.concat_ws(".", F.slice(parts, i, n))), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    plain = F.regexp_replace(F.element_at(parts, -1), ":[0-9]+$", "")
+    undated = F.regexp_replace(plain, r"-\d{4}-?\d{2}-?\d{2}(-v\d+)?$", "")
+    # A name of dots alone has no alias but itself.
+    return F.array_distinct(F.filter(F.concat(F.array(low, tail, bare), dotted, F.array(plain, F.when(F.length(undated) >= 3, undated).otherwise(plain))), lambda x: (x != "") | (low == "")))
+
+
+# Strings that name no model.
+NO_MODELS = ("", "true", "false", "null", "none", "auto", "default")
+
+
+def plausible_model(value: Column) -> Column:
+    """What can be a model's id: 2 to 256 characters with a letter, without
+    white space, no placeholder and no word that says nothing."""
+    low = F.lower(value)
+    return F.coalesce(F.length(value).between(2, 256) & ~low.isin(*NO_MODELS) & ~low.startswith("${") & ~value.rlike(r"\s") & value.rlike("[a-zA-Z]"), F.lit(False))
+
+
+def inline_annotation(line: Column) -> Column:
+    """What a comment ``# asset: key=value ...`` says, as a map; null without a concept."""
+    body = F.regexp_extract(line, r"#\s*asset:\s*(.+)$", 1)
+    pairs = F.regexp_extract_all(body, F.lit(r"(\w+)=(?:\"[^\"]*\"|'[^']*'|\S+)"), F.lit(0))
+    value = lambda p: F.regexp_replace(F.regexp_replace(p, r"^\w+=", ""), "^[\"']|[\"']$", "")
+    held = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^(\w+)=", 1), value(p))))
+    return F.when(F.array_contains(F.transform(pairs, lambda p: F.regexp_extract(p, r"^(\w+)=", 1)), "concept"), held)
+
+
+def utc_stamp(c: Column) -> Column:
+    """A timestamp in ISO-8601 with Z."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def short_hash(c: Column, n: int) -> Column:

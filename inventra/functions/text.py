@@ -67,16 +67,36 @@ def pypi_name(name: Column) -> Column:
     return F.translate(key_of(name), "_", "-")
 
 
+#: Version operators, in the order in which they are looked for.
+OPERATORS = ("===", "==", ">=", "<=", "~=", "!=", ">", "<")
+
+
+def requirement(line: Column) -> Column:
+    """A requirement's name, version part (* without one) and pin, as a struct;
+    null where the line names no package.  Extras and markers go; only an exact
+    version pins."""
+    base = stripped(F.regexp_replace(F.regexp_extract(stripped(line), "^([^;]*)", 1), r"\s#.*$", ""))
+    sep, name, rest = F.lit(None).cast("string"), base, F.lit("")
+    for op in reversed(OPERATORS):
+        at = F.instr(base, F.lit(op))
+        sep = F.when(at > 0, op).otherwise(sep)
+        name = F.when(at > 0, F.substring(base, F.lit(1), at - 1)).otherwise(name)
+        rest = F.when(at > 0, F.substring(base, at + len(op), F.lit(100_000))).otherwise(rest)
+    name = F.regexp_extract(stripped(F.regexp_extract(name, r"^([^\[]*)", 1)), r"^([a-zA-Z0-9](?:[a-zA-Z0-9._-]*[a-zA-Z0-9])?)", 1)
+    rest = stripped(rest)
+    exact = F.when(rest.contains("=="), stripped(F.regexp_extract(rest, "^.*?===?(.*)$", 1))).when(rest.rlike(r"^[0-9][0-9a-zA-Z._\-*!]*$"), rest)
+    made = F.struct(name.alias("name"), F.when(rest == "", "*").otherwise(rest).alias("spec"), F.when(sep.isin("==", "==="), exact).alias("pin"))
+    return F.when((name != "") & ~stripped(line).startswith("#") & ~name.rlike(r"^[vV]?\d+(\.\d+)+[a-zA-Z0-9._-]*$"), made)
+
+
 def requirement_name(spec: Column) -> Column:
     """The package of a requirement line, lower case, without extras."""
-    bare = F.regexp_replace(spec, r"\s*[;#].*$", "")
-    return pypi_name(F.regexp_extract(bare, r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)", 1))
+    return pypi_name(requirement(spec)["name"])
 
 
 def requirement_pin(spec: Column) -> Column:
     """The version after == or ===, else null."""
-    bare = F.regexp_replace(spec, r"\s*[;#].*$", "")
-    return full_or_null(F.regexp_extract(bare, r"===?\s*([^\s,;]+)", 1))
+    return requirement(spec)["pin"]
 
 
 def full_or_null(c: Column) -> Column:
@@ -170,18 +190,54 @@ def without_env_prefix(name: Column) -> Column:
     return out
 
 
+# Transports that a server may name itself.
+TRANSPORTS = ("stdio", "sse", "streamable-http", "streamable_http")
+
+
 def transport(explicit: Column, url: Column) -> Column:
-    return F.coalesce(full_or_null(explicit), F.when(F.lower(url).contains("streamable"), "streamable-http").when(~F.coalesce(url == "", F.lit(True)), "sse").otherwise("stdio"))
+    """A known transport as stated, else by the URL, else standard input and output."""
+    said = F.lower(stripped(explicit))
+    by_url = F.when(F.coalesce(url, F.lit("")) == "", "stdio").when(F.lower(url).contains("streamable"), "streamable-http").otherwise("sse")
+    return F.when(said.isin(*TRANSPORTS), F.translate(said, "_", "-")).otherwise(by_url)
 
 
 def class_segment(dotted: Column) -> Column:
-    """The rightmost segment that begins with a capital."""
-    return F.element_at(F.filter(F.reverse(F.split(dotted, r"\.")), lambda x: x.rlike("^[A-Z]")), 1)
+    """The rightmost segment of a dotted name that begins with a capital."""
+    return F.when(dotted.contains("."), F.try_element_at(F.filter(F.reverse(F.split(dotted, r"\.")), lambda x: x.rlike(r"^\p{Lu}")), F.lit(1)))
+
+
+def framework_family(c: Column) -> Column:
+    """What stands before the first underscore, and of that before the first hyphen."""
+    return F.split_part(F.split_part(c, F.lit("_"), F.lit(1)), F.lit("-"), F.lit(1))
 
 
 def frameworks_related(a: Column, b: Column) -> Column:
-    head = lambda c: F.split_part(F.translate(F.lower(c), "-", "_"), F.lit("_"), F.lit(1))
-    return F.coalesce(a == "", F.lit(True)) | F.coalesce(b == "", F.lit(True)) | (head(a) == head(b))
+    """Of one family; a blank is related to all."""
+    return (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "") | (a == b) | (framework_family(a) == framework_family(b))
+
+
+def resolved_chain(name: Column, variables: Column) -> Column:
+    """``var.method`` with the variable's class for the variable (a map by
+    name), unless the name is that class's or below it already."""
+    head = F.regexp_extract(name, r"^([^.]*)\.", 1)
+    target = variables[head]
+    done = (name == target) | name.startswith(F.concat(target, F.lit(".")))
+    return F.when(name.contains(".") & (F.coalesce(target, F.lit("")) != "") & ~done, F.concat(target, F.lit("."), F.regexp_extract(name, r"^[^.]*\.(.*)$", 1))).otherwise(name)
+
+
+def component_identity(component_type: Column, name: Column, repository: Column, path: Column, line: Column) -> Column:
+    """What makes two reports' rows the same asset, as JSON: names without
+    differences of case and white space, paths without dot segments."""
+    token = lambda c: F.lower(F.regexp_replace(stripped(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    return F.to_json(F.struct(token(component_type).alias("component_type"), F.coalesce(line, F.lit(0)).alias("line"), token(name).alias("name"), normal_path(path).alias("path"), F.coalesce(repository, F.lit("")).alias("repository")))
+
+
+def normal_path(path: Column) -> Column:
+    """A path with / and without empty, . and (where a directory stands before) .. segments."""
+    parts = F.filter(F.split(F.translate(stripped(F.coalesce(path, F.lit(""))), "\\", "/"), "/"), lambda x: ~x.isin("", "."))
+    step = lambda held, x: F.when((x == "..") & (F.size(held) > 0) & (F.try_element_at(held, F.lit(-1)) != ".."), F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.array_append(held, x))
+    rooted = F.translate(stripped(F.coalesce(path, F.lit(""))), "\\", "/").startswith("/")
+    return F.concat(F.when(rooted, "/").otherwise(""), F.concat_ws("/", F.aggregate(parts, F.array().cast("array<string>"), step)))
 
 
 # Fixed value: routes of hosted models: a region, the provider, the base id, a version.
@@ -221,13 +277,16 @@ def plausible_model(value: Column) -> Column:
     return F.coalesce(F.length(value).between(2, 256) & ~low.isin(*NO_MODELS) & ~low.startswith("${") & ~value.rlike(r"\s") & value.rlike("[a-zA-Z]"), F.lit(False))
 
 
-def inline_annotation(line: Column) -> Column:
-    """What a comment ``# asset: key=value ...`` says, as a map; null without a concept."""
-    body = F.regexp_extract(line, r"#\s*asset:\s*(.+)$", 1)
-    pairs = F.regexp_extract_all(body, F.lit(r"(\w+)=(?:\"[^\"]*\"|'[^']*'|\S+)"), F.lit(0))
-    value = lambda p: F.regexp_replace(F.regexp_replace(p, r"^\w+=", ""), "^[\"']|[\"']$", "")
-    held = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^(\w+)=", 1), value(p))))
-    return F.when(F.array_contains(F.transform(pairs, lambda p: F.regexp_extract(p, r"^(\w+)=", 1)), "concept"), held)
+def inline_annotation(line: Column, marker: str = "asset") -> Column:
+    """What a comment ``# marker: key=value ...`` says, as a map by lower-case
+    key (the last of a key counts); null without a concept."""
+    body = F.regexp_extract(line, rf"#\s*{marker}:\s*(.+)", 1)
+    pairs = F.regexp_extract_all(body, F.lit(r"\w+=\S+"), F.lit(0))
+    keys = F.transform(pairs, lambda p: F.lower(F.regexp_extract(p, r"^(\w+)=", 1)))
+    value = lambda k, p: F.when(k == "concept", F.lower(F.regexp_replace(p, r"^\w+=", ""))).otherwise(F.regexp_replace(p, r"^\w+=", ""))
+    entries = F.transform(pairs, lambda p, i: F.struct(F.element_at(keys, i + 1).alias("key"), value(F.element_at(keys, i + 1), p).alias("value"), i.alias("i")))
+    last = F.filter(entries, lambda e: ~F.exists(F.slice(keys, e["i"] + 2, F.greatest(F.size(keys), F.lit(1))), lambda k: k == e["key"]))
+    return F.when(F.array_contains(keys, "concept"), F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"]))))
 
 
 def utc_stamp(c: Column) -> Column:

@@ -3,10 +3,14 @@ batches, and how a table of verdicts is applied."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inventra.functions.text import key_of, short_hash
+from inventra.operators.scope import said
 from inventra.schema import blank
 
 
@@ -14,16 +18,40 @@ def is_simple(c: DataFrame) -> Column:
     """Candidates that need no reading: known dependencies, and models with a
     name and no open question."""
     m = F.col("metadata")
-    open_question = F.coalesce(m["env"], m["env_context"], m["partial_kb_id"], m["suggestive_signal"]).isNotNull()
+    open_question = said("env") | said("env_context") | said("partial_kb_id") | said("suggestive_signal")
     named = F.col("component_type").isin("model", "dependency", "embedding") & ~blank(F.col("model_name")) & ~open_question
-    return ((F.col("component_type") == "dependency") & (m["known_ai_package"] == "true")) | named
+    return F.coalesce(((F.col("component_type") == "dependency") & (m["known_ai_package"] == "true")) | named, F.lit(False))
 
 
 def batches(c: DataFrame, size: int, group: str, order: list[str]) -> DataFrame:
-    """Batches of ``size`` in order of directory; groups are numbered apart so
-    no single task orders everything."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return c.withColumn("batch", F.floor((n - 1) / size).cast("long"))
+    """Batches of ``size`` in order of directory, running on from one directory
+    to the next.  Rows are ranked within their directory alone; what stands
+    before a directory is summed over the directories' counts."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
+    counts = c.groupBy(group).agg(F.count("*").alias("_n"))
+    before = counts.select(F.col(group).alias("_g"), F.coalesce(F.sum("_n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = c.withColumn("_rank", rank).join(before, F.col(group).eqNullSafe(F.col("_g")))
+    return out.withColumn("batch", F.floor((F.col("_before") + F.col("_rank")) / size).cast("long")).select(*c.columns, "batch")
+
+
+# Fixed value: lines on either side of a component's that its verdict hangs on.
+AROUND = 15
+
+
+def code_window(content: Column, line: Column) -> Column:
+    """The lines around a component's."""
+    lines = F.split(content, "\n")
+    begin = F.greatest(line - AROUND, F.lit(1))
+    return F.concat_ws("\n", F.slice(lines, begin, F.greatest(line + AROUND - begin + 1, F.lit(0))))
+
+
+def cache_key(c: DataFrame, files: DataFrame) -> DataFrame:
+    """Components with the key of their verdict: place, names, type and the code
+    around them."""
+    out = c.join(files.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
+    text = F.when((F.coalesce("file_path", F.lit("")) != "") & (F.col("line_number") > 0), code_window(F.col("content"), F.col("line_number")))
+    parts = [F.coalesce("file_path", F.lit("")), F.col("line_number").cast("string"), F.col("name"), F.col("component_type"), F.coalesce("model_name", F.lit("")), F.nullif(text, F.lit(""))]
+    return out.withColumn("content_key", short_hash(F.concat_ws("|", *parts), 24)).select(*c.columns, "content_key")
 
 
 def content_key(source: Column, settings: Column) -> Column:
@@ -53,16 +81,53 @@ def apply_verdicts(c: DataFrame, verdicts: DataFrame) -> DataFrame:
         F.when(F.col("_v").isNull(), "not_reviewed").otherwise(F.col("agentic_hint")).alias("agentic_hint"))
 
 
-def verified_evidence(cited: DataFrame, files: DataFrame) -> DataFrame:
-    """Snippets that stand in their cited lines (white space aside); a snippet
-    found once elsewhere in the file gets that place; others are rejected."""
-    plain = lambda c: F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"^ | $", "")
-    j = cited.join(files.select("path", F.split("content", "\n").alias("_l")), "path", "left").withColumn("_s", plain(F.col("snippet")))
-    here = F.concat_ws(" ", F.slice("_l", F.greatest("start_line", F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))))
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_l"), F.lit(1))), lambda i: plain(F.element_at("_l", i)).contains(F.col("_s")))
-    j = j.withColumn("_in", F.coalesce(plain(here).contains(F.col("_s")) & (F.col("_s") != ""), F.lit(False))).withColumn("_h", hits)
-    unique = F.coalesce((F.size("_h") == 1) & (F.col("_s") != ""), F.lit(False))
-    return j.select(*cited.columns, F.when(F.col("_in"), "verified").when(unique, "repaired").otherwise("rejected").alias("status"), F.when(F.col("_in"), F.col("start_line")).when(unique, F.element_at("_h", 1)).alias("line"))
+# What evidence of an agent may be.
+PATTERNS = ("framework_agent", "react_loop", "framework_inheritance", "a2a_server", "remote_proxy", "other")
+
+
+def verified_evidence(cited: DataFrame, files: DataFrame, patterns: tuple[str, ...] | None = None) -> DataFrame:
+    """``cited`` (path, snippet, start_line, end_line, and pattern where these are
+    checked) with status and reason: verified where the snippet stands in the
+    cited lines, white space aside; repaired, with the new lines, where it stands
+    once elsewhere in the file, over line ends as well; else rejected."""
+    shape = "status string, reason string, line int, last_line int"
+    own = cited if patterns is None else cited.withColumn("_fits", F.col("pattern").isin(*patterns))
+    j = own.join(files.select("path", "content"), "path", "left")
+
+    def judge(content, snippet, start, end, fits):
+        if fits is False:
+            return "rejected", "pattern", None, None
+        words = (snippet or "").split()
+        if content is None or not words:
+            return "rejected", "no file" if content is None else "no snippet", None, None
+        lines = content.splitlines()
+        valid = start is not None and end is not None and 1 <= start <= end <= len(lines)
+        if valid and " ".join(words) in " ".join(" ".join(lines[start - 1 : end]).split()):
+            return "verified", "", start, end
+        held, place, text = [], [], ""
+        for number, line in enumerate(lines, 1):
+            for word in line.split():
+                text += (" " if text else "") + word
+                held.append(len(text))
+                place.append(number)
+        want, hits, at = " ".join(words), [], -1
+        while (at := text.find(want, at + 1)) >= 0 and len(hits) < 2:
+            hits.append(at)
+        if len(hits) == 1:
+            return "repaired", "", place[bisect_right(held, hits[0])], place[bisect_right(held, hits[0] + len(want) - 1)]
+        return "rejected", "ambiguous" if hits else "lines" if not valid else "not found", None, None
+
+    columns = cited.columns
+
+    def run(batches):
+        for batch in batches:
+            fits = batch["_fits"].to_pylist() if patterns is not None else [None] * batch.num_rows
+            rows = [judge(*r) for r in zip(*(batch[c].to_pylist() for c in ("content", "snippet", "start_line", "end_line")), fits, strict=True)]
+            keep = [batch[c] for c in columns]
+            yield pa.RecordBatch.from_arrays([*keep, *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32())))], names=[*columns, "status", "reason", "line", "last_line"])
+
+    kind = cited.select("*", *(F.lit(None).cast(t.split()[1]).alias(t.split()[0]) for t in shape.split(", "))).schema
+    return j.mapInArrow(run, kind)
 
 
 def annotate(c: DataFrame) -> DataFrame:

@@ -40,11 +40,40 @@ def benchmark_counts(truth: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def benchmark_names(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """By category, over sets of lower-case names."""
+    """By category, over sets of lower-case names; detected counts rows, repeated
+    names as often as they stand."""
     t = truth.select("category", F.lower("name").alias("name")).distinct().withColumn("_t", F.lit(1))
-    f = found.select("category", F.lower("name").alias("name")).distinct().withColumn("_f", F.lit(1))
+    f = found.groupBy("category", F.lower("name").alias("name")).agg(F.count("*").alias("_f"))
     both = t.join(f, ["category", "name"], "full_outer")
-    return prf(both.groupBy("category").agg(F.count_if(F.col("_t").isNotNull() & F.col("_f").isNotNull()).alias("tp"), F.count_if(F.col("_t").isNull()).alias("fp"), F.count_if(F.col("_f").isNull()).alias("fn")))
+    return prf(both.groupBy("category").agg(F.coalesce(F.sum("_f"), F.lit(0)).alias("detected"), F.count_if(F.col("_t").isNotNull() & F.col("_f").isNotNull()).alias("tp"), F.count_if(F.col("_t").isNull()).alias("fp"), F.count_if(F.col("_f").isNull()).alias("fn")))
+
+
+def overall(counts: DataFrame) -> DataFrame:
+    """Precision, recall and F1 over all categories' counts."""
+    return prf(counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn"))))
+
+
+def sets(predicted: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact comparison of two sets of identities: one row of counts."""
+    p, e = predicted.select(*keys).distinct().withColumn("_p", F.lit(1)), expected.select(*keys).distinct().withColumn("_e", F.lit(1))
+    both = p.join(e, keys, "full_outer")
+    return prf(both.agg(F.count_if(F.col("_p").isNotNull() & F.col("_e").isNotNull()).alias("tp"), F.count_if(F.col("_e").isNull()).alias("fp"), F.count_if(F.col("_p").isNull()).alias("fn")))
+
+
+def decisions(expected: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """One row: how many labelled cases have the right action (of a
+    reclassification the right type as well), the share that was decided at all,
+    and the mean F1 of the actions, where a missing decision is a miss of its
+    action alone.  Both sides have ``action`` and ``target_type``."""
+    e = expected.select(key, F.col("action").alias("e"), F.col("target_type").alias("et"))
+    p = predicted.select(key, F.col("action").alias("p"), F.col("target_type").alias("pt"))
+    j = e.join(p, key, "left")
+    typed = (F.col("e") != "reclassify") | (F.coalesce("et", F.lit("")) == "") | F.coalesce(F.col("et") == F.col("pt"), F.lit(False))
+    right = F.coalesce(F.col("e") == F.col("p"), F.lit(False)) & typed
+    sums = j.agg(F.count("*").alias("cases"), F.count_if(right).alias("correct"), F.count("p").alias("decided"))
+    f1 = action_scores(j.groupBy(F.col("e").alias("expected"), F.coalesce("p", F.lit("abstain")).alias("predicted")).agg(F.count("*").alias("n"))).agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
+    share = lambda c: F.round(ratio(F.col(c), F.col("cases")), 6)
+    return sums.join(f1, F.lit(True)).select("cases", "correct", share("correct").alias("accuracy"), share("decided").alias("coverage"), "macro_f1")
 
 
 def confusion(expected: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
@@ -61,3 +90,8 @@ def action_scores(matrix: DataFrame) -> DataFrame:
         F.sum(F.when((F.col("x.side") == "p") & ~F.col("hit"), F.col("n")).otherwise(0)).alias("fp"),
         F.sum(F.when((F.col("x.side") == "e") & ~F.col("hit"), F.col("n")).otherwise(0)).alias("fn"))
     return prf(sums)
+
+
+def totals(rows: DataFrame, *by: str) -> DataFrame:
+    """How many rows each category has."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"))

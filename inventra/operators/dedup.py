@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inventra.functions.text import is_test_path, key_of
+from inventra.functions.text import is_test_path, key_of, vector_store_technology
+from inventra.operators.joins import agent_sites
 from inventra.schema import CONTEXT_FREE_TYPES, full
 
 
@@ -21,21 +22,84 @@ def best(df: DataFrame, keys: list[str], order: Column, carry: list[str], **more
     return out.select(*keys, "_best.*", *more)
 
 
+#: What tells consolidated rows apart: the key, the type, for agents made at
+#: several sites the site, for tools known from an import the file.
+ASSET = ["key", "component_type", "site_file", "site_line", "tool_file"]
+
+
+def keyed(c: DataFrame) -> DataFrame:
+    """Components with what they consolidate by (``ASSET``), and ``test``."""
+    own = c.withColumn("key", consolidation_key(F.col("name"), F.col("model_name"))).withColumn("test", is_test_path(F.col("file_path")))
+    return agent_sites(own).withColumn("tool_file", F.when((F.col("component_type") == "tool") & F.col("anchored"), F.col("file_path")))
+
+
 def consolidate(c: DataFrame) -> DataFrame:
-    """Components by (key, type): the most confident site, then one with an
-    instantiation marker, then one outside tests, then the earliest."""
-    own = c.withColumn("_key", consolidation_key(F.col("name"), F.col("model_name"))).withColumn("_test", is_test_path(F.col("file_path")))
-    order = F.struct(F.col("confidence"), F.col("marked").cast("int"), (~F.col("_test")).cast("int"), -F.col("line_number"), -F.col("ord"))
+    """One row per asset, that of its best site: the surest, then one with an
+    instantiation marker, then one outside tests, then of an agent in the file
+    that makes most of it, then the earliest.  A group is cut to one row per file
+    before it meets, so a hot name sends a row per file and task."""
+    own = keyed(c)
     carry = ["name", "model_name", "file_path", "line_number", "confidence", "framework", "ord"]
-    more = {"evidence_count": F.count("*"), "evidence_files": F.array_sort(F.collect_set("file_path")), "test_only": F.bool_and("_test"), "needs_agentic": F.bool_or("needs_agentic")}
-    return best(own, ["_key", "component_type"], order, carry, **more).withColumnRenamed("_key", "key")
+    sure = [F.col("confidence"), F.col("marked").cast("int")]
+    early = [-F.col("line_number"), -F.col("ord")]
+    files = own.groupBy(*ASSET, "file_path").agg(
+        F.max_by(F.struct(*carry), F.struct(*sure, *early)).alias("b"), F.max(F.struct(*(x.alias(f"r{i}") for i, x in enumerate([*sure, *early])))).alias("r"),
+        F.count("*").alias("n"), F.bool_and("test").alias("test"), F.bool_or("needs_agentic").alias("needs"))
+    rank = F.struct("r.r0", "r.r1", (~F.col("test")).cast("int"), F.when(F.col("component_type") == "agent", F.col("n")).otherwise(0), "r.r2", "r.r3")
+    top = files.groupBy(*ASSET).agg(F.max_by("b", rank).alias("b"), F.sum("n").alias("evidence_count"), F.count("*").alias("n_files"), F.bool_and("test").alias("test_only"), F.bool_or("needs").alias("needs_agentic"))
+    return top.select(*ASSET, "b.*", "evidence_count", "n_files", "test_only", "needs_agentic")
+
+
+def evidence(c: DataFrame, assets: DataFrame, services: DataFrame | None = None) -> DataFrame:
+    """The sites of each asset but its own: asset (its ord), file, line, service
+    (the nearest directory with a manifest, else the file's), test_only."""
+    own = keyed(c)
+    tied = [own[x].eqNullSafe(assets[x]) for x in ASSET]
+    out = own.join(assets.select(*ASSET, F.col("ord").alias("asset")), (own.key == assets.key) & tied[1] & tied[2] & tied[3] & tied[4]).where(own.ord != F.col("asset"))
+    out = out.select("asset", own.file_path.alias("file"), own.line_number.alias("line"), own.test.alias("test_only"), own.ord.alias("ord"))
+    parent = F.regexp_replace("file", "/?[^/]*$", "")
+    if services is None:
+        return out.withColumn("service", parent)
+    return out.join(services.select(F.col("path").alias("file"), "dir"), "file", "left").withColumn("service", F.coalesce("dir", parent)).drop("dir")
 
 
 def dedup_context_free(c: DataFrame, types: tuple[str, ...] = CONTEXT_FREE_TYPES) -> DataFrame:
-    """Representatives of types that don't hang on their place, with the ids they stand for."""
+    """Representatives of types that don't hang on their place, with the number
+    of rows they stand for: the one that says most (entries of metadata and
+    characters of description), the first on ties."""
     own = c.where(F.col("component_type").isin(*types)).withColumn("key", consolidation_key(F.col("name"), F.col("model_name")))
-    order = F.struct(F.col("weight"), -F.col("ord"))
-    return best(own, ["key", "component_type"], order, ["ord"], siblings=F.count("*")).withColumnRenamed("ord", "representative")
+    weight = F.greatest(F.size("metadata"), F.lit(0)) + F.length(F.coalesce("description", F.lit("")))
+    return best(own, ["key", "component_type"], F.struct(weight, -F.col("ord")), ["ord"], siblings=F.count("*")).withColumnRenamed("ord", "representative")
+
+
+def mcp_clients(c: DataFrame) -> DataFrame:
+    """One client per file and line: one with an instantiation marker, then one
+    named like a wrapper's variable, then the surest, then the first.  Other rows
+    all stay."""
+    client = F.col("component_type") == "mcp_client"
+    wrapper = F.coalesce(F.col("name").endswith("_client"), F.lit(False)).cast("int")
+    carry = [x for x in c.columns if x not in ("file_path", "line_number")]
+    one = best(c.where(client), ["file_path", "line_number"], F.struct(F.col("marked").cast("int"), wrapper, "confidence", -F.col("ord")), carry)
+    return c.where(~client).unionByName(one.select(*c.columns))
+
+
+def vector_stores(c: DataFrame) -> DataFrame:
+    """Rows of one technology, file and line as one store: the surest, then one
+    outside tests, then the earliest; with the other places (evidence: structs of
+    file and line) that any of them had, and how many rows it stands for.  Rows
+    without a technology stay as they are."""
+    tech = vector_store_technology(F.col("component_type"), F.col("metadata"), F.col("name"), F.col("model_name"))
+    own = c.withColumn("store_technology", tech).withColumn("consolidated_count", F.lit(1).cast("long"))
+    keys = ["store_technology", "file_path", "line_number"]
+    carry = [x for x in c.columns if x not in (*keys, "evidence", "needs_agentic")]
+    order = F.struct(F.col("confidence"), (~is_test_path(F.col("file_path"))).cast("int"), -F.col("ord"))
+    places = F.array_distinct(F.flatten(F.collect_list("evidence")))
+    one = own.where("store_technology is not null").groupBy(*keys).agg(F.max_by(F.struct(*carry), order).alias("b"), F.count("*").alias("consolidated_count"), F.bool_or("needs_agentic").alias("needs_agentic"), places.alias("evidence"))
+    # A store that stands alone keeps what it has.
+    other = F.filter("evidence", lambda e: ~((e["file"] == F.col("file_path")) & (e["line"] == F.col("line_number"))))
+    one = one.select(*keys, "b.*", "consolidated_count", "needs_agentic", F.array_sort(F.when(F.col("consolidated_count") > 1, other).otherwise(F.col("evidence"))).alias("evidence"))
+    rest = own.where("store_technology is null")
+    return rest.unionByName(one.select(*rest.columns))
 
 
 def fan_out(c: DataFrame, representatives: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -51,8 +115,10 @@ def first_by(df: DataFrame, keys: list[str], order: Column, carry: list[str]) ->
 
 
 def dedup_edges(r: DataFrame) -> DataFrame:
-    """The first edge of each (source, target, type); ids before names."""
-    own = r.withColumn("_s", F.coalesce(full(F.col("source_instance_id")), key_of(F.col("source_name")))).withColumn("_t", F.coalesce(full(F.col("target_instance_id")), key_of(F.col("target_name"))))
+    """The first edge of each (source, target, type); an end is known by its id,
+    else by its name as it stands."""
+    side = lambda x: F.when(F.coalesce(f"{x}_instance_id", F.lit("")) != "", F.concat(F.lit("id:"), f"{x}_instance_id")).when(F.coalesce(f"{x}_name", F.lit("")) != "", F.concat(F.lit("name:"), f"{x}_name")).otherwise("")
+    own = r.withColumn("_s", side("source")).withColumn("_t", side("target"))
     return first_by(own, ["_s", "_t", "relationship_type"], F.col("ord"), [c for c in r.columns if c != "relationship_type"]).drop("_s", "_t")
 
 
@@ -64,24 +130,31 @@ def dedup_dependencies(d: DataFrame) -> DataFrame:
 
 
 def merge_model_duplicates(c: DataFrame, lines: int = 5) -> DataFrame:
-    """Rows with a model name take the nearest-first catalogue row of the same
-    file within ``lines``, each at most once: greedy, in order of place.  A file
-    is one group; its rows are the sites of one source file."""
+    """Named models of code and configuration each take the first catalogue row
+    of their file within ``lines`` that is still free, in order of place: its id,
+    its name as wrapper_class, and its framework where they have none.  A file is
+    one group; its rows are the models of one source file, others aren't moved."""
+    model = F.col("component_type") == "model"
+    kb = (F.col("detection_source") == "kb_enrichment") & (F.coalesce("kb_id", F.lit("")) != "")
+    named = F.col("detection_source").isin("code_analysis", "config_file") & (F.coalesce("model_name", F.lit("")) != "")
+    taking = model & (kb | named)
+    own = c.withColumn("wrapper_class", F.lit(None).cast("string"))
 
     def merge(pdf):
-        pdf = pdf.sort_values(["line_number", "ord"], kind="stable")
-        names = pdf[pdf.model_name.notna() & (pdf.model_name != "")]
-        kb = pdf[~pdf.index.isin(names.index) & pdf.kb_id.notna()]
-        used: dict = {}
-        for i, row in names.iterrows():
-            near = kb[((kb.line_number - row.line_number).abs() <= lines) & ~kb.index.isin(used)]
-            if len(near):
-                used[near.index[0]] = i
-        for j, i in used.items():
-            pdf.loc[i, "kb_id"] = pdf.loc[j, "kb_id"]
-        return pdf.drop(index=list(used))
-
-    return c.groupBy("file_path").applyInPandas(merge, c.schema)
+        pdf = pdf.sort_values("ord", kind="stable")
+        free = [(i, r.line_number) for i, r in pdf.iterrows() if r.detection_source == "kb_enrichment"]
+        gone = []
+        for i, r in pdf.iterrows():
+            near = next((k for k, (_, line) in enumerate(free) if abs(line - r.line_number) <= lines), None) if r.detection_source != "kb_enrichment" else None
+            if near is not None:
+                j, _ = free.pop(near)
+                gone.append(j)
+                pdf.loc[i, ["kb_id", "wrapper_class"]] = pdf.loc[j, ["kb_id", "name"]].to_numpy()
+                if pdf.loc[i, "framework"] in ("", "unknown") and pdf.loc[j, "framework"]:
+                    pdf.loc[i, "framework"] = pdf.loc[j, "framework"]
+        return pdf.drop(index=gone)
+
+    return own.where(~F.coalesce(taking, F.lit(False))).unionByName(own.where(taking).groupBy("file_path").applyInPandas(merge, own.schema))
 
 
 def numbered_sources(df: DataFrame, name: str, order: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inventra.functions.text import class_segment, frameworks_related, key_of
-from inventra.schema import full
+from inventra.functions.text import class_segment, framework_family, frameworks_related, is_test_path, key_of, stripped
+from inventra.schema import MODEL_TYPES, full
 
 
 def suffixes(dotted: Column) -> Column:
@@ -15,32 +15,119 @@ def suffixes(dotted: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, i, F.size(parts))))
 
 
+def last_segment(dotted: Column) -> Column:
+    return F.element_at(F.split(dotted, r"\."), -1)
+
+
 def catalogue_lookup(k: DataFrame, symbols: DataFrame, excludes: list[str] = (), custom: DataFrame | None = None) -> DataFrame:
     """Catalogue rows with a symbol's exact id or last segment; parameters left
-    out, custom rows only under new ids, excluded ids (equal or ending so) last."""
-    own = k.where(F.coalesce("label", F.lit("")) != "parameter").withColumn("_seg", F.element_at(F.split("id", r"\."), -1))
+    out.  Custom rows come in under new ids only: by last segment for a bare
+    symbol, by a whole dotted end for a dotted one.  Excluded ids (equal or
+    ending so) go last."""
+    own = k.where(F.coalesce("label", F.lit("")) != "parameter").withColumn("_seg", last_segment(F.col("id")))
     s = symbols.select(F.col("symbol").alias("_symbol")).distinct()
-    segments = s.select(F.element_at(F.split("_symbol", r"\."), -1).alias("_seg")).distinct()
-    exact = own.join(s, own.id == s._symbol, "left_semi")
-    found = exact.unionByName(own.join(segments, "_seg", "left_semi").select(*exact.columns)).drop("_seg").dropDuplicates(["id"])
+    exact = own.join(s.where(F.col("_symbol").contains(".")), own.id == F.col("_symbol"), "left_semi")
+    found = exact.unionByName(own.join(s.select(last_segment(F.col("_symbol")).alias("_seg")).distinct(), "_seg", "left_semi").select(*exact.columns)).drop("_seg").dropDuplicates(["id"])
     if custom is not None:
-        found = found.unionByName(custom.join(found, "id", "left_anti").select(*found.columns))
+        ends = custom.withColumn("_symbol", F.explode(suffixes(F.col("id"))))
+        hit = ends.join(s, "_symbol", "left_semi").where(F.col("_symbol").contains(".") | (F.col("_symbol") == last_segment(F.col("id"))) | (F.col("_symbol") == F.col("id"))).select(*custom.columns).dropDuplicates(["id"])
+        found = found.unionByName(hit.join(found, "id", "left_anti").select(*found.columns))
+    return without_excluded(found, excludes)
+
+
+def without_excluded(k: DataFrame, excludes: list[str]) -> DataFrame:
     for e in excludes:
-        found = found.where(~((F.col("id") == e) | F.col("id").endswith(e)))
-    return found
+        k = k.where(~((F.col("id") == e) | F.col("id").endswith(e)))
+    return k
+
+
+def merged_catalogue(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Existing rows win over new ones of the same id, and of new ones the first by ``ord``."""
+    carry = [c for c in existing.columns if c != "id"]
+    first = new.groupBy("id").agg(F.min_by(F.struct(*carry), "ord").alias("_f")).select("id", "_f.*")
+    return existing.unionByName(first.join(existing.select("id"), "id", "left_anti").select(*existing.columns))
+
+
+def ids_by_path(k: DataFrame, segment: str, concepts: list[str]) -> DataFrame:
+    """Ids with a segment in their path, where % and _ stand for anything and any
+    one character, and one of the concepts in any case; parameters left out."""
+    return k.where(F.col("id").like(f"%{segment}%") & F.lower("concept").isin(*(c.lower() for c in concepts)) & (F.coalesce("label", F.lit("")) != "parameter")).select("id").distinct()
+
+
+def probes(obs: DataFrame) -> DataFrame:
+    """What the catalogue is asked for: symbols, of dotted ones the last segment
+    and the class as well."""
+    dotted = F.col("symbol").contains(".")
+    return obs.select(F.explode(F.array_compact(F.array(F.col("symbol"), F.when(dotted, last_segment(F.col("symbol"))), class_segment(F.col("symbol"))))).alias("symbol")).distinct()
+
+
+# Concepts by the type they make; concepts without one are "other".
+CONCEPTS = {
+    "agent": "agent", "model": "model", "tool": "tool", "datastore": "vector_store", "vector_store": "vector_store", "embedding": "embedding", "prompt": "prompt",
+    "memory": "memory", "retriever": "retriever", "knowledge_base": "knowledge_base", "feature_store": "feature_store", "guardrail": "guardrail", "mcp_server": "mcp_server",
+    "mcp_client": "mcp_client", "skill": "skill", "observability": "observability", "dataset": "dataset", "training_run": "training_run", "model_artifact": "model_artifact",
+    "reranker": "other", "evaluator": "other", "framework_core": "other",
+}
+# Parts of an id that tell its type, the first counts; none means no asset.
+ID_PARTS = (
+    (".chains.", None), (".document_loaders.", None), (".text_splitter.", None), (".text_splitters.", None), (".retrievers.", "retriever"), (".memory.", "memory"),
+    (".vectorstores.", "vector_store"), (".embeddings.", "embedding"), (".agents.", "agent"), (".tools.", "tool"), (".prompts.", "prompt"),
+)
+NO_ASSETS = (
+    "RecursiveCharacterTextSplitter", "CharacterTextSplitter", "TokenTextSplitter", "TextSplitter", "SentenceTransformersTokenTextSplitter", "SpacyTextSplitter", "NLTKTextSplitter",
+    "TextLoader", "DirectoryLoader", "WebBaseLoader", "PyPDFLoader", "CSVLoader", "UnstructuredFileLoader", "LLMChain", "RetrievalQA", "ConversationalRetrievalChain",
+    "SequentialChain", "SimpleSequentialChain", "ConversationChain",
+)
+
+
+def concept_type(concept: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, kind in CONCEPTS.items():
+        out = F.when(concept == name, kind).otherwise(out)
+    return out
+
+
+def refined_type(id_: Column, kind: Column) -> Column:
+    """A concept's type corrected by the id's path; null for what is no asset."""
+    out = kind
+    for part, told in reversed(ID_PARTS):
+        stays = F.when(kind.isin("mcp_client", "mcp_server"), kind).otherwise(told) if told else F.lit(None).cast("string")
+        out = F.when(id_.contains(part), stays).otherwise(out)
+    return F.when(~last_segment(id_).isin(*NO_ASSETS), out)
 
 
 def match_catalogue(obs: DataFrame, k: DataFrame) -> DataFrame:
-    """Each observation (obs_id, symbol, framework) with its best catalogue row:
-    tier 1 exact id, 2 dotted suffix with related framework, 3 class segment
-    likewise, 9 partial (only the framework failed); least id on ties."""
-    index = k.select("id", F.col("framework").alias("k_framework"), F.explode(suffixes(F.col("id"))).alias("suffix"))
-    probes = obs.withColumn("probe", F.explode(F.array(F.struct(F.lit(2).alias("tier"), F.col("symbol").alias("key")), F.struct(F.lit(3).alias("tier"), class_segment(F.col("symbol")).alias("key")))))
-    joined = probes.join(index, F.col("probe.key") == F.col("suffix"))
-    related = frameworks_related(F.col("framework"), F.col("k_framework"))
-    tier = F.when(F.col("id") == F.col("symbol"), 1).when(related, F.col("probe.tier")).otherwise(9)
-    top = joined.withColumn("tier", tier).groupBy("obs_id").agg(F.min(F.struct("tier", "id")).alias("_m"))
-    return top.select("obs_id", F.col("_m.tier").alias("tier"), F.col("_m.id").alias("id"))
+    """Each observation (obs_id, symbol, imported: frameworks that its file
+    imports) with its catalogue row: tier 1 exact id, 2 a dotted end of the id, 3
+    its class; 9 is partial: the row's framework isn't the observation's, and id
+    says which it would have been.  Of several rows that counts whose framework
+    begins with the observation's module, then an imported one, then one whose
+    path agrees with its concept; the least id on ties.  A bare lower-case symbol
+    is a variable and only matches exactly.
+
+    The index holds one row per end and framework, so a common class name meets
+    as many rows as there are frameworks that have it."""
+    kind = concept_type(F.col("concept"))
+    refined = refined_type(F.col("id"), kind)
+    score = F.when(kind.isNull(), 0).when(refined.isNull(), 2).when(refined != kind, 1).otherwise(0)
+    index = k.select("id", F.coalesce("framework", F.lit("")).alias("k_framework"), score.alias("score"), F.explode(suffixes(F.col("id"))).alias("end"))
+    index = index.groupBy("end", "k_framework").agg(F.min("id").alias("first"), F.min(F.struct("score", "id")).alias("agreeing"))
+    own = obs.withColumn("module", F.when(F.col("symbol").contains("."), F.split_part("symbol", F.lit("."), F.lit(1))).otherwise(""))
+    exact = own.join(k.select(F.col("id").alias("symbol")).distinct(), "symbol").select("obs_id", F.lit(1).alias("tier"), F.col("symbol").alias("id"))
+    rest = own.join(exact.select("obs_id"), "obs_id", "left_anti").where(F.col("symbol").contains(".") | ~F.col("symbol").rlike(r"^\p{Ll}"))
+    asks = rest.select("obs_id", "module", "imported", F.explode(F.array(F.struct(F.lit(2).alias("tier"), F.col("symbol").alias("end")), F.struct(F.lit(3).alias("tier"), class_segment(F.col("symbol")).alias("end")))).alias("a")).select("obs_id", "module", "imported", "a.*")
+    met = asks.join(index, "end")
+    related = frameworks_related(F.col("module"), F.col("k_framework"))
+    own_module = (F.col("module") != "") & (F.col("k_framework") != "") & F.col("k_framework").startswith(F.col("module"))
+    imported = (F.col("k_framework") != "") & (F.array_contains("imported", F.col("k_framework")) | F.array_contains("imported", framework_family(F.col("k_framework"))))
+    made = lambda rank, score, id_: F.struct(F.lit(rank).alias("rank"), score.alias("score"), id_.alias("id"))
+    rank = F.when(own_module, made(0, F.lit(0), F.col("first"))).when(imported, made(1, F.lit(0), F.col("first"))).otherwise(made(2, F.col("agreeing.score"), F.col("agreeing.id")))
+    best = met.withColumn("related", related).withColumn("r", F.struct(rank.alias("rank"), "related")).groupBy("obs_id", "tier").agg(F.min(F.when(F.col("related"), F.col("r"))).alias("near"), F.min("r").alias("any"))
+    # Of ends of the name related rows come first; of a class's the best, related or not.
+    sure = F.when(F.col("tier") == 2, F.col("near")).when(F.col("any.related"), F.col("any"))
+    found = best.select("obs_id", F.when(sure.isNotNull(), F.col("tier")).otherwise(9).alias("tier"), "tier", F.coalesce(sure, F.col("any")).alias("r")).toDF("obs_id", "tier", "asked", "r")
+    top = found.groupBy("obs_id").agg(F.min_by(F.struct("tier", F.col("r.rank.id").alias("id")), "asked").alias("t")).select("obs_id", "t.tier", "t.id")
+    return exact.unionByName(top)
 
 
 def first_entry(env: DataFrame) -> DataFrame:
@@ -49,32 +136,47 @@ def first_entry(env: DataFrame) -> DataFrame:
 
 
 def resolve(c: DataFrame, env: DataFrame, registry: DataFrame) -> DataFrame:
-    """Fill names from configuration: the key is ``env``, then ``config_key``;
-    registry hits confirm a model, misses lower what is known of it."""
-    keyed = c.withColumn("_env", F.coalesce(full(F.col("metadata")["env"]), full(F.col("metadata")["config_key"])))
-    e = first_entry(env).select(F.col("name").alias("_env"), F.col("value").alias("_value"))
-    r = registry.select(F.col("model").alias("_model"), F.lit(True).alias("_hit"))
-    out = keyed.join(e, "_env", "left").join(r, key_of(F.col("_value")) == F.col("_model"), "left")
-    got = F.col("_value").isNotNull() & (F.col("_value") != "")
-    store, endpoint = F.col("component_type") == "vector_store", F.col("component_type").isin("llm_endpoint", "model_endpoint")
+    """What configuration says of components that name a variable (``env``, else
+    ``config_key``): the first definition gives a store its index, an endpoint its
+    URL and any other its model, if it has none; placeholders in a model's name
+    are filled.  A model that the registry (a column model) knows is confirmed,
+    another one needs review.  A model named after its variable is renamed.
+
+    Adds resolved_from, resolved_value; agentic_hint says what is missing."""
+    md = F.col("metadata")
+    keyed = c.withColumn("_env", F.coalesce(full(md["env"]), full(md["config_key"]))).withColumn("_row", F.struct(*c.columns))
+    e = env.groupBy("name").agg(F.min_by(F.struct("value", "source_type"), "ord").alias("_e")).select(F.col("name").alias("_env"), F.col("_e.value").alias("_value"), F.col("_e.source_type").alias("_from"))
+    out = keyed.join(e, "_env", "left")
+    t, got = F.col("component_type"), F.col("_from").isNotNull()
+    value = full(F.col("_value"))
+    store, endpoint = t == "vector_store", t.isin("llm_endpoint", "model_endpoint")
+    out = out.withColumn("_model", F.when(got & endpoint & value.isNotNull(), value).when(got & ~store & F.col("model_name").isNull(), value).otherwise(F.col("model_name")))
+    out = substitute(out, "_model", env)
+    open_ = F.col("_model").rlike(r"\$\{[^}]+\}")
+    asked = got & ~F.coalesce(F.col("_model") == "", F.lit(True)) & ~F.coalesce(open_, F.lit(False))
+    r = registry.select(stripped(F.lower("model")).alias("_known")).distinct().withColumn("_hit", F.lit(True))
+    out = out.join(r, stripped(F.lower("_model")) == F.col("_known"), "left")
     hit = F.coalesce("_hit", F.lit(False))
-    conf = F.when(got & store, F.greatest("heuristic_confidence", F.lit(0.8))).when(got & ~endpoint & hit, F.greatest("heuristic_confidence", F.lit(0.85))).when(got & ~endpoint, F.greatest("heuristic_confidence", F.lit(0.5))).otherwise(F.col("heuristic_confidence"))
-    placeholder = F.col("_value").rlike(r"^https?://|\$\{")
-    return out.select(
-        *(x for x in c.columns if x not in ("name", "model_name", "heuristic_confidence", "needs_agentic")),
-        F.when(got & F.col("name").startswith("env:") & ~placeholder, F.col("_value")).otherwise(F.col("name")).alias("name"),
-        F.when(got & ~store, F.coalesce(full(F.col("model_name")), F.col("_value"))).otherwise(F.col("model_name")).alias("model_name"),
-        conf.alias("heuristic_confidence"),
-        F.when(got & (store | hit), F.lit(False)).otherwise(F.col("needs_agentic")).alias("needs_agentic"))
+    conf = F.when(got & (store | (endpoint & value.isNotNull())), F.greatest("heuristic_confidence", F.lit(0.8))).otherwise(F.col("heuristic_confidence"))
+    conf = F.when(asked & hit, F.greatest(conf, F.lit(0.85))).when(asked, F.greatest(conf, F.lit(0.5))).otherwise(conf)
+    missing = ~got & F.col("_env").isNotNull() & F.col("needs_agentic")
+    needs = F.when(asked, ~hit).when(got & store, F.lit(False)).otherwise(F.col("needs_agentic"))
+    hint = F.when(asked & hit, "").when(asked, "not_in_registry").when(missing, "undefined_variable").otherwise(F.col("agentic_hint"))
+    rename = F.col("name").startswith("env:") & t.isin("model", "embedding") & (F.coalesce("_model", F.lit("")) != "") & ~F.lower("_model").rlike("^https?://") & ~open_
+    new = {"name": F.when(F.coalesce(rename, F.lit(False)), F.col("_model")).otherwise(F.col("name")), "model_name": F.col("_model"), "heuristic_confidence": conf, "needs_agentic": needs, "agentic_hint": hint}
+    return out.select(*(new[x].alias(x) if x in new else F.col(x) for x in c.columns), F.col("_from").alias("resolved_from"), F.when(got, F.col("_value")).alias("resolved_value"))
 
 
 def substitute(df: DataFrame, column: str, env: DataFrame) -> DataFrame:
-    """``${NAME}`` by the first definition; unknown names stay as they stand."""
-    pieces = df.withColumn("_id", F.monotonically_increasing_id()).select("*", F.posexplode(F.split(column, r"(?=\$\{)|(?<=\})")).alias("_p", "_t"))
-    name = F.regexp_extract("_t", r"^\$\{([A-Za-z_][A-Za-z0-9_]*)\}$", 1)
-    told = pieces.withColumn("_n", name).join(first_entry(env).select(F.col("name").alias("_n"), "value"), "_n", "left")
-    back = told.groupBy("_id", *df.columns).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("value", "_t").alias("v")))), lambda s: s["v"])).alias("_new"))
-    return back.select(*(F.col("_new").alias(column) if c == column else F.col(c) for c in df.columns))
+    """``${NAME}`` by the first definition; unknown names stay as they stand.
+    Distinct values alone are taken apart, and joined back by value."""
+    held = df.where(F.col(column).contains("${")).select(F.col(column).alias("_whole")).distinct()
+    pieces = held.select("_whole", F.posexplode(F.split("_whole", r"(?=\$\{)|(?<=\})")).alias("_p", "_t"))
+    name = stripped(F.regexp_extract("_t", r"^\$\{([^}]+)\}$", 1))
+    told = pieces.withColumn("_n", name).join(first_entry(env).select(F.col("name").alias("_n"), F.col("value").alias("_v")), "_n", "left")
+    back = told.groupBy("_whole").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_v", "_t").alias("v")))), lambda s: s["v"])).alias("_new"))
+    out = df.join(back, df[column] == F.col("_whole"), "left")
+    return out.select(*(F.coalesce("_new", c).alias(c) if c == column else F.col(c) for c in df.columns))
 
 
 def enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, begin: str, end: str, name: str, carry: list[str]) -> DataFrame:
@@ -92,6 +194,25 @@ def nearest_preceding(rows: DataFrame, key: str, at: str, is_site: Column, value
     return rows.withColumn("site", F.coalesce(F.last(site, ignorenulls=True).over(before), F.first(site, ignorenulls=True).over(whole)))
 
 
+def agent_sites(c: DataFrame) -> DataFrame:
+    """``c`` (key, component_type, file_path, line_number, created, confidence,
+    ord) with the site that each row of an agent stands for, where a key's agents
+    are created at more than one: its own, the nearest before it in its file, the
+    file's first, else the key's best (surest, outside tests, earliest).  Null
+    site_line for all other rows."""
+    site = (F.col("component_type") == "agent") & F.col("created")
+    own = c.where(site)
+    many = own.select("key", "file_path", "line_number").distinct().groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+    rank = F.struct(F.col("confidence"), (~is_test_path(F.col("file_path"))).cast("int"), -F.col("line_number"), -F.col("ord"))
+    best = own.join(many, "key", "left_semi").groupBy("key").agg(F.max_by(F.struct("file_path", "line_number"), rank).alias("_best"))
+    split = c.join(best, "key", "left").withColumn("_split", F.col("_best").isNotNull() & (F.col("component_type") == "agent"))
+    place = Window.partitionBy("key", "component_type", "file_path").orderBy("line_number", F.when(site, 0).otherwise(1), "ord")
+    line = F.when(site, F.col("line_number"))
+    here = F.coalesce(F.last(line, ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0)), F.first(line, ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    out = split.withColumn("_line", here)
+    return out.select(*c.columns, F.when(F.col("_split"), F.when(F.col("_line").isNotNull(), F.col("file_path")).otherwise(F.col("_best.file_path"))).alias("site_file"), F.when(F.col("_split"), F.coalesce("_line", "_best.line_number")).alias("site_line"))
+
+
 def near_lines(left: DataFrame, right: DataFrame, key: str, at: str, most: int) -> DataFrame:
     """Pairs of one key at most ``most`` apart, by buckets of that width."""
     l = left.select(F.col(key).alias("k"), F.col(at).alias("l"), F.explode(F.array(*(F.floor(F.col(at) / most) + d for d in (-1, 0, 1)))).alias("b"))
@@ -106,44 +227,89 @@ def root_of(files: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def backfill_ids(names: DataFrame, lookup: DataFrame) -> DataFrame:
-    """The id of a name that exactly one row has; else null."""
-    single = lookup.groupBy("name").agg(F.count("*").alias("_n"), F.min("id").alias("id")).where("_n = 1").drop("_n")
+    """The id of a name that exactly one row has, under its name or under its
+    model's name; else null."""
+    alias = F.array(F.col("name"), F.when(F.col("model_name") != F.col("name"), F.col("model_name"))) if "model_name" in lookup.columns else F.array("name")
+    each = lookup.select("id", F.explode(F.filter(alias, lambda x: F.coalesce(x, F.lit("")) != "")).alias("name"))
+    single = each.groupBy("name").agg(F.count("*").alias("_n"), F.min("id").alias("id")).where("_n = 1").drop("_n")
     return names.join(single, "name", "left")
 
 
 def types_by_name(r: DataFrame, c: DataFrame) -> DataFrame:
-    """Edges with the type of the last component that has the target's name."""
-    last = c.groupBy("name").agg(F.max_by("component_type", "ord").alias("target_type"))
+    """Edges with the type of the last component that has the target's name; a
+    model counts under its model's name as well, after its own."""
+    rows = c.select("name", "component_type", F.col("ord"), F.lit(0).alias("_second"))
+    if "model_name" in c.columns:
+        models = c.where(F.col("component_type").isin(*MODEL_TYPES) & (F.coalesce("model_name", F.lit("")) != ""))
+        rows = rows.unionByName(models.select(F.col("model_name").alias("name"), "component_type", "ord", F.lit(1).alias("_second")))
+    last = rows.groupBy("name").agg(F.max_by("component_type", F.struct("ord", "_second")).alias("target_type"))
     return r.join(last, r.target_name == last.name, "left").drop("name")
 
 
-def propagate_models(c: DataFrame, r: DataFrame) -> DataFrame:
-    """A component without model name takes the target of its last edge."""
-    last = r.groupBy("source_id").agg(F.max_by("model_name", "ord").alias("_model"))
-    return c.join(last, c.id == last.source_id, "left").withColumn("model_name", F.coalesce(full(F.col("model_name")), "_model")).drop("_model", "source_id")
+def end_key(instance_id: Column, name: Column) -> Column:
+    """An edge's end: by id, else by name; null without either."""
+    return F.when(F.coalesce(instance_id, F.lit("")) != "", F.concat(F.lit("id:"), instance_id)).when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit("name:"), name))
 
 
-def surviving_edges(r: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Edges both of whose ends are still there."""
-    return r.join(sources, "source_key", "left_semi").join(targets, "target_key", "left_semi").select(*r.columns)
+def propagate_models(c: DataFrame, r: DataFrame) -> DataFrame:
+    """A component without model name (null) takes the target of its last edge to
+    a model or embedding: the edge that has its id, else one that has its name."""
+    uses = r.where(F.col("relationship_type").isin("USES_EMBEDDING", "USES_MODEL")).withColumn("_k", end_key(F.col("source_instance_id"), F.col("source_name")))
+    last = uses.where("_k is not null").groupBy("_k").agg(F.max_by("target_name", "ord").alias("_target"))
+    by_id, by_name = (last.select(F.col("_k").alias(f"_k{i}"), F.col("_target").alias(f"_t{i}")) for i in (1, 2))
+    out = c.join(by_id, F.concat(F.lit("id:"), F.nullif(c.instance_id, F.lit(""))) == F.col("_k1"), "left").join(by_name, F.concat(F.lit("name:"), F.nullif(c.name, F.lit(""))) == F.col("_k2"), "left")
+    return out.withColumn("model_name", F.coalesce("model_name", "_t1", "_t2")).select(*c.columns)
+
+
+def surviving_edges(r: DataFrame, c: DataFrame) -> DataFrame:
+    """Edges both of whose ends are still there: by id where there is one, else by
+    the name or the model's name of a component, without case and outer space."""
+    ids = c.select(F.concat(F.lit("id:"), F.col("instance_id")).alias("_key"))
+    names = c.select(F.explode(F.array("name", "model_name")).alias("_n")).where("coalesce(_n, '') <> ''").select(F.concat(F.lit("name:"), key_of(F.col("_n"))).alias("_key"))
+    there = ids.unionByName(names).distinct()
+    out = r
+    for side in ("source", "target"):
+        given, name = F.col(f"{side}_instance_id"), F.col(f"{side}_name")
+        key = F.when(F.coalesce(given, F.lit("")) != "", F.concat(F.lit("id:"), given)).when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit("name:"), key_of(name)))
+        out = out.withColumn("_key", key).join(there, "_key", "left_semi")
+    return out.select(*r.columns)
 
 
 def without_names(c: DataFrame, other: DataFrame) -> DataFrame:
     """Rows whose key isn't among the other's (tools that are vector stores)."""
-    own = c.withColumn("_k", key_of(F.col("name")))
-    return own.join(other.select(key_of(F.col("name")).alias("_k")).distinct(), "_k", "left_anti").select(*c.columns)
+    named = lambda df: key_of(F.coalesce(full(F.col("model_name")), F.col("name")) if "model_name" in df.columns else F.col("name"))
+    own = c.withColumn("_k", named(c))
+    return own.join(other.select(named(other).alias("_k")).distinct(), "_k", "left_anti").select(*c.columns)
+
+
+def without_superseded_imports(c: DataFrame) -> DataFrame:
+    """Import lines' candidates go where their file makes an instance of the class."""
+    m = F.col("metadata")
+    made = F.coalesce(full(m["call_pattern"]), full(m["kb_id"]), full(m["catalog_constructor"]))
+    seen = c.where(made.isNotNull() & m["import_statement"].isNull()).select("file_path", last_segment(made).alias("name"), F.lit(True).alias("_made")).distinct()
+    out = c.join(seen, ["file_path", "name"], "left")
+    return out.where(~((F.coalesce(m["import_statement"], F.lit("")) != "") & F.col("_made").isNotNull())).select(*c.columns)
 
 
 def cascade_removals(c: DataFrame, removed: DataFrame) -> DataFrame:
-    """What a removal takes along: rows of its key, unless all removals of the
-    key were weak and the row isn't, or all were of tests and the row isn't."""
-    rule = removed.groupBy("key").agg(F.bool_and("weak").alias("only_weak"), F.bool_and("test").alias("only_test"))
-    hit = c.join(rule, "key").where((~F.col("only_weak") | F.col("weak")) & (~F.col("only_test") | F.col("test"))).select("ord")
+    """What a removal takes along: rows of its key, unless all removals of the key
+    were weak and the row isn't, or all were of tests and the row isn't, or one is
+    bound to its file (``local``) and the row lies in none of such files.
+    Protected rows neither go nor take along."""
+    files = F.array_distinct(F.collect_list(F.when(F.col("local"), F.col("file_path"))))
+    rule = removed.where(~F.col("protected")).groupBy("key").agg(F.bool_and("weak").alias("only_weak"), F.bool_and("test").alias("only_test"), files.alias("files"))
+    hit = c.join(rule, "key").where(~F.col("protected") & (~F.col("only_weak") | F.col("weak")) & (~F.col("only_test") | F.col("test")) & ((F.size("files") == 0) | F.array_contains("files", F.col("file_path")))).select("ord")
     return c.join(hit, "ord", "left_anti").select(*c.columns)
 
 
-def reinstate(kept: DataFrame, protected: DataFrame, key: str) -> DataFrame:
-    return kept.unionByName(protected.join(kept, key, "left_anti").select(*kept.columns))
+def reinstate(kept: DataFrame, protected: DataFrame, key: str, id_: str = "instance_id") -> DataFrame:
+    """Protected rows that are gone come back, one for each key of which no
+    protected row is left: the first by ``ord``.  Kept rows say whether they
+    are ``protected``."""
+    gone = protected.join(kept.select(id_), id_, "left_anti").join(kept.where("protected").select(key), key, "left_anti")
+    carry = [c for c in kept.columns if c != key]
+    first = gone.groupBy(key).agg(F.min_by(F.struct(*carry), "ord").alias("_f")).select(key, "_f.*")
+    return kept.unionByName(first.select(*kept.columns))
 
 
 def repo_pairs(uses: DataFrame) -> DataFrame:
@@ -154,6 +320,12 @@ def repo_pairs(uses: DataFrame) -> DataFrame:
     return both.groupBy(F.col("a.repo").alias("left_repo"), F.col("b.repo").alias("right_repo")).agg(F.count("*").alias("shared"))
 
 
+def variable_flows(defined: DataFrame, used: DataFrame) -> DataFrame:
+    """From the repository that defines a variable to another one that uses it."""
+    d, u = defined.select("var", F.col("repo").alias("source_repo")).distinct(), used.select("var", F.col("repo").alias("target_repo")).distinct()
+    return d.join(u, "var").where("source_repo <> target_repo").select("source_repo", "target_repo", "var")
+
+
 def service_dir(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """The nearest directory above each file that holds a manifest."""
     parts = F.split("path", "/")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_BYTES, MOST_MATCHES, CONTEXT = 1_000_000, 100, 200
@@ -61,3 +61,49 @@ def across_roots(env: DataFrame, packages: DataFrame) -> DataFrame:
     e = env.groupBy("name").agg(F.countDistinct("root").alias("roots"), F.count("*").alias("n")).withColumn("kind", F.lit("env"))
     p = packages.groupBy("name").agg(F.countDistinct("root").alias("roots"), F.count("*").alias("n")).withColumn("kind", F.lit("package"))
     return e.unionByName(p).where("roots > 1")
+
+
+def with_alternates(env: DataFrame, most: int = 7) -> DataFrame:
+    """The first definition of each name with up to ``most`` others in order.
+    Only so many rows a name are gathered, by rank before the shuffle's end."""
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("ord"))
+    near = env.withColumn("_r", rank).where(F.col("_r") <= most + 1)
+    held = near.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("_r", "value"))).alias("_h"))
+    return held.select("name", F.col("_h")[0]["value"].alias("value"), F.transform(F.slice("_h", 2, most), lambda x: x["value"]).alias("alternates"))
+
+
+def model_info(registry_rows: DataFrame, model: str) -> DataFrame:
+    """What the registry says of one model; no row for what it doesn't know."""
+    return registry_rows.where((F.col("model") == model) & F.col("source").isNotNull())
+
+
+def data_flow(files: DataFrame, path: str, symbol: str) -> DataFrame:
+    """Right-hand sides of a symbol's assignments and arguments in a file, with
+    their line, the string that one is, and the variable that one reads."""
+    lines = files.where(F.col("path") == path).select(F.posexplode(F.split("content", "\n")).alias("_i", "_l"))
+    side = F.regexp_extract("_l", rf"\b{symbol}\s*=\s*([^=].*?)\s*$", 1)
+    text = F.regexp_extract(side, "^[\"']([^\"']*)[\"']", 1)
+    env = F.regexp_extract(side, r"(?:getenv\(|environ\.get\(|environ\[)\s*[\"'](\w+)[\"']", 1)
+    return lines.select((F.col("_i") + 1).alias("line"), side.alias("rhs"), F.nullif(text, F.lit("")).alias("literal"), F.nullif(env, F.lit("")).alias("env")).where("rhs <> ''")
+
+
+def search_text(files: DataFrame, pattern: str, most: int = MOST_MATCHES) -> DataFrame:
+    """As ``search_codebase`` for patterns over line ends: matches in whole texts,
+    without case, by the line on which they begin."""
+    import re
+
+    import pyarrow as pa
+
+    compiled = re.compile(pattern, re.I | re.M)
+    own = files.where((F.col("length") <= MOST_BYTES) & ~F.col("path").rlike(r"(?i)\.(png|jpg|gif|zip|so|pyc)$"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                for m in compiled.finditer(text or ""):
+                    begin = text.rfind("\n", 0, m.start()) + 1
+                    rows.append((path, text.count("\n", 0, m.start()) + 1, m[0][:CONTEXT], text[begin : begin + CONTEXT].split("\n")[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "line", "match", "context"])
+
+    return own.select("path", "content").mapInArrow(run, "path string, line long, match string, context string").orderBy("path", "line").limit(most)

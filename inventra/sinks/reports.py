@@ -30,10 +30,13 @@ def confidence() -> Column:
     return F.coalesce("agentic_confidence", "heuristic_confidence")
 
 
+# Columns of the flat report.
+CSV = ("name", "component_type", "file_path", "line_number", "framework", "detection_source", "model_name", "description", "instance_id")
+
+
 def csv_rows(c: DataFrame) -> DataFrame:
     """The flat projection; nulls become empty."""
-    blank = lambda x: F.coalesce(F.col(x), F.lit(""))
-    return c.select(blank("name").alias("name"), blank("component_type").alias("type"), blank("framework").alias("framework"), blank("file_path").alias("file"), F.coalesce("line_number", F.lit(0)).alias("line"), confidence().alias("confidence"), blank("model_name").alias("model"))
+    return c.select(*(F.coalesce(x, F.lit(0) if x == "line_number" else F.lit("")).alias(x) for x in CSV))
 
 
 def write_csv(c: DataFrame, path: str) -> None:
@@ -52,16 +55,90 @@ def grouped(c: DataFrame) -> DataFrame:
 
 
 def summary(c: DataFrame) -> DataFrame:
-    return c.where(~F.coalesce(F.col("test_only"), F.lit(False))).groupBy("component_type").agg(F.count("*").alias("n"), F.count_if("needs_agentic").alias("pending"))
+    """Components by type, without those of tests alone."""
+    return c.where(~F.coalesce(F.col("test_only"), F.lit(False))).groupBy("component_type").agg(F.count("*").alias("n"))
+
+
+def totals(c: DataFrame) -> DataFrame:
+    """One row: sources, components without those of tests alone, how many these
+    are, and how many of all rows, tests included, wait for review."""
+    test = F.coalesce(F.col("test_only"), F.lit(False))
+    return c.agg(F.countDistinct("source").alias("sources"), F.count_if(~test).alias("components"), F.count_if(test).alias("test_only"), F.count_if("needs_agentic").alias("pending"))
+
+
+def component_summary(c: DataFrame) -> DataFrame:
+    """source, component_type, name, file_path, line_number without tests, in
+    order of source, type and name."""
+    return c.where(~F.coalesce(F.col("test_only"), F.lit(False))).select("source", "component_type", "name", "file_path", "line_number").orderBy("source", "component_type", "name", "file_path", "line_number")
 
 
 def _rows(c: DataFrame, *order: str) -> list[dict]:
     return [r.asDict(recursive=True) for r in c.orderBy(*order).toLocalIterator()]
 
 
-# Classes and purposes of the exchange formats.
-CYCLONEDX = {"model": "machine-learning-model", "embedding": "machine-learning-model", "dataset": "data", "llm_endpoint": "service", "model_endpoint": "service", "dependency": "library"}
-SPDX = {"model": "model", "model_artifact": "model", "embedding": "model", "dataset": "data", "dependency": "library", "tool": "application"}
+# Classes and purposes of the exchange formats, by type.
+CYCLONEDX = (
+    ("machine-learning-model", ("model", "llm_endpoint", "model_endpoint", "embedding", "model_artifact")),
+    ("library", ("tool", "dependency")), ("data", ("dataset", "vector_store")), ("file", ("skill",)),
+)
+CYCLONEDX_NATIVE = ("model", "llm_endpoint", "model_endpoint", "embedding", "model_artifact", "dataset", "vector_store")
+SPDX_AI = ("model", "llm_endpoint", "model_endpoint", "embedding", "model_artifact", "training_run")
+SPDX_PURPOSE = (
+    ("application", ("agent", "mcp_server", "mcp_client", "skill")),
+    ("library", ("tool", "dependency", "hyperparameter", "model_registry", "experiment_tracker", "ml_pipeline", "retriever")),
+    ("data", ("vector_store", "memory", "data_versioning", "secret")),
+)
+
+
+def _by_type(table, default: str) -> Column:
+    out = F.lit(default)
+    for value, types in table:
+        out = F.when(F.col("component_type").isin(*types), value).otherwise(out)
+    return out
+
+
+def described() -> Column:
+    parts = F.concat_ws(" — ", "name", "component_type", full(F.col("framework")))
+    return F.coalesce(full(F.col("description")), parts)
+
+
+def cyclonedx_rows(c: DataFrame) -> DataFrame:
+    """ref, name, class (vulnerability for a secret), description and properties
+    (name=value, those that are there; the type only where the class doesn't tell it)."""
+    kind = F.when(F.col("component_type") == "secret", "vulnerability").otherwise(_by_type(CYCLONEDX, "application"))
+    have = lambda x: F.when(F.coalesce(F.col(x).cast("string"), F.lit("")).isin("", "0"), None).otherwise(F.concat(F.lit(f"{x}="), F.col(x).cast("string")))
+    type_ = F.when(~F.col("component_type").isin(*CYCLONEDX_NATIVE), F.concat(F.lit("type="), "component_type"))
+    return c.select(F.col("instance_id").alias("ref"), "name", kind.alias("class"), described().alias("description"), F.array_compact(F.array(type_, have("framework"), have("file_path"), have("line_number"))).alias("properties"))
+
+
+def sarif_rows(c: DataFrame, flags: DataFrame | None = None) -> DataFrame:
+    """rule, level, message, file and line (null without one) of each finding."""
+    text = F.concat_ws(" ", F.concat(F.lit("component '"), "name", F.lit("' ("), "component_type", F.lit(")")), F.concat(F.lit("framework: "), full(F.col("framework"))), full(F.col("description")))
+    place = (full(F.col("file_path")).alias("file"), F.when(~F.coalesce(F.col("file_path") == "", F.lit(True)) & (F.col("line_number") > 0), F.col("line_number")).alias("line"))
+    own = c.select(F.concat(F.lit("asset/"), "component_type").alias("rule"), F.when(F.col("component_type") == "secret", "warning").otherwise("note").alias("level"), text.alias("message"), *place)
+    if flags is None:
+        return own
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim("flag")), "[^a-zA-Z0-9_-]+", "-"), "^-+|-+$", "")
+    level = F.when(F.col("severity") == "critical", "error").when(F.col("severity").isin("high", "medium"), "warning").otherwise("note")
+    risk = flags.select(F.concat(F.lit("asset/risk/"), F.when(slug == "", "finding").otherwise(slug)).alias("rule"), level.alias("level"), F.col("flag").alias("message"), *place)
+    return own.unionByName(risk)
+
+
+def spdx_rows(c: DataFrame) -> DataFrame:
+    """id, element class, name and purpose (of models what they are a model of)."""
+    kind = F.when(F.col("component_type").isin(*SPDX_AI), "ai_AIPackage").when(F.col("component_type") == "dataset", "dataset_DatasetPackage").otherwise("software_Package")
+    told = F.when(kind == "ai_AIPackage", F.coalesce(full(F.col("model_name")), F.col("name"))).when(kind == "dataset_DatasetPackage", F.coalesce(full(F.col("description")), F.col("name"))).otherwise(_by_type(SPDX_PURPOSE, "file"))
+    return c.select(F.concat(F.lit("urn:spdx:asset-"), "component_type", F.lit("-"), F.sha2("instance_id", 256)).alias("id"), kind.alias("element"), "name", told.alias("purpose"))
+
+
+def junit_rows(c: DataFrame, flags: DataFrame, threshold: str = "medium") -> DataFrame:
+    """Cases: each flag, failed when as severe as the threshold; and each
+    component that no flag of its file (and, where the flag has one, line) names."""
+    one = lambda prefix, x: F.substring(F.concat(F.lit(f"{prefix}_"), F.coalesce(full(F.regexp_replace(F.regexp_replace(x, r"[^\w.\-]+", "_"), "^_+|_+$", "")), F.lit("item"))), 1, 200)
+    cases = flags.select(F.lit("risk").alias("class"), one("risk", F.col("flag")).alias("case"), (rank(F.col("severity")) >= SEVERITIES.index(threshold)).alias("failed"))
+    f = flags.select(F.col("file_path").alias("_f"), F.col("line_number").alias("_l")).distinct()
+    clean = c.join(f, (c.file_path == F.col("_f")) & ((F.col("_l") == 0) | (F.col("_l") == c.line_number)), "left_anti")
+    return cases.unionByName(clean.select(F.lit("component").alias("class"), one("component", F.col("instance_id")).alias("case"), F.lit(False).alias("failed")))
 
 
 @reporter("json")
@@ -80,35 +157,40 @@ def render_csv(c: DataFrame, **_) -> str:
 
     to = io.StringIO()
     w = csv.writer(to, lineterminator="\n")
-    w.writerow(["name", "type", "framework", "file", "line", "confidence", "model"])
-    w.writerows(list(r.values()) for r in _rows(csv_rows(c), "type", "name", "file", "line"))
+    w.writerow(CSV)
+    w.writerows(list(r.values()) for r in _rows(csv_rows(c), "component_type", "name", "file_path", "line_number"))
     return to.getvalue()
 
 
 @reporter("cyclonedx")
 def render_cyclonedx(c: DataFrame, **_) -> str:
-    rows = _rows(c, "component_type", "name", "ord")
-    parts = [{"type": CYCLONEDX.get(r["component_type"], "application"), "bom-ref": r["instance_id"], "name": r["name"], "properties": [{"name": f"asset:{k}", "value": str(r[k])} for k in ("component_type", "file_path", "line_number", "model_name") if r.get(k) not in (None, "")]} for r in rows if r["component_type"] != "secret"]
-    found = [{"id": r["instance_id"], "description": "hard-coded secret", "affects": [{"ref": r["file_path"]}]} for r in rows if r["component_type"] == "secret"]
+    parts, found = [], []
+    for r in _rows(cyclonedx_rows(c), "class", "name", "ref"):
+        said = [dict(zip(("name", "value"), p.split("=", 1), strict=True)) for p in r["properties"]]
+        if r["class"] == "vulnerability":
+            found.append({"id": f"asset-secret-{r['ref']}", "description": r["description"], "properties": said})
+        else:
+            parts.append({"type": r["class"], "bom-ref": r["ref"], "name": r["name"], "description": r["description"], "properties": said})
     return json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.6", "version": 1, "components": parts, "vulnerabilities": found}, ensure_ascii=False)
 
 
 @reporter("sarif")
 def render_sarif(c: DataFrame, flags: DataFrame | None = None, **_) -> str:
-    level = lambda s: {"critical": "error", "high": "warning", "medium": "warning"}.get(s, "note")
-    place = lambda r: [{"physicalLocation": {"artifactLocation": {"uri": r["file_path"] or ""}, "region": {"startLine": max(1, r["line_number"] or 1)}}}]
-    results = [{"ruleId": f"asset/{r['component_type']}", "level": "warning" if r["component_type"] == "secret" else "note", "message": {"text": f"{r['component_type']}: {r['name']}"}, "locations": place(r)} for r in _rows(c, "component_type", "name", "ord")]
-    if flags is not None:
-        results += [{"ruleId": f"risk/{r['flag']}", "level": level(r["severity"]), "message": {"text": r["flag"]}, "locations": place(r)} for r in _rows(flags, "flag", "file_path", "line_number")]
+    results = []
+    for r in _rows(sarif_rows(c, flags), "rule", "message", "file", "line"):
+        region = {"region": {"startLine": r["line"]}} if r["line"] else {}
+        place = [{"physicalLocation": {"artifactLocation": {"uri": r["file"]}, **region}}] if r["file"] else []
+        results.append({"ruleId": r["rule"], "level": r["level"], "message": {"text": r["message"]}, "locations": place})
     rules = [{"id": x} for x in dict.fromkeys(r["ruleId"] for r in results)]
     return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "inventra", "rules": rules}}, "results": results}]})
 
 
 @reporter("spdx")
 def render_spdx(c: DataFrame, **_) -> str:
-    own = c.withColumn("_id", F.concat(F.lit("urn:spdx:asset-"), F.col("component_type"), F.lit("-"), F.sha2("instance_id", 256)))
-    items = [{"spdxId": r["_id"], "type": "ai_AIPackage" if SPDX.get(r["component_type"]) == "model" else "dataset_DatasetPackage" if r["component_type"] == "dataset" else "software_Package", "name": r["name"], "software_primaryPurpose": SPDX.get(r["component_type"], "other")} for r in _rows(own, "component_type", "name", "ord")]
-    return json.dumps({"@context": "https://spdx.org/rdf/3.0.0/spdx-context.jsonld", "@graph": items})
+    told = {"ai_AIPackage": "typeOfModel", "dataset_DatasetPackage": "datasetType", "software_Package": "primaryPurpose"}
+    items = [{"spdxId": r["id"], "type": r["element"], "name": r["name"], told[r["element"]]: r["purpose"]} for r in _rows(spdx_rows(c), "element", "name", "id")]
+    document = {"type": "SpdxDocument", "spdxId": "urn:spdx:asset-document", "element": [i["spdxId"] for i in items]}
+    return json.dumps({"@context": "https://spdx.org/rdf/3.0.1/spdx-context.jsonld", "@graph": [document, *items]})
 
 
 @reporter("markdown")
@@ -130,13 +212,10 @@ def render_plaintext(c: DataFrame, **_) -> str:
 
 @reporter("junit")
 def render_junit(c: DataFrame, flags: DataFrame | None = None, threshold: str = "medium", **_) -> str:
-    """Each component is a case; flags as severe as the threshold fail it."""
-    own = {} if flags is None else {r["instance_id"]: r["flags"] for r in flags.where(rank(F.col("severity")) >= SEVERITIES.index(threshold)).groupBy("instance_id").agg(F.array_sort(F.collect_list("flag")).alias("flags")).toLocalIterator()}
-    cases = []
-    for r in _rows(c, "component_type", "name", "ord"):
-        inner = "".join(f"<failure message={quoteattr(f)}/>" for f in own.get(r["instance_id"], []))
-        cases.append(f"<testcase classname={quoteattr(r['component_type'])} name={quoteattr(r['name'] or '')}>{inner}</testcase>")
-    return f'<testsuite name="assets" tests="{len(cases)}" failures="{len(own)}">' + "".join(cases) + "</testsuite>"
+    """Each flag is a case, and each component without one."""
+    rows = _rows(junit_rows(c, flags, threshold) if flags is not None else c.select(F.lit("component").alias("class"), F.concat(F.lit("component_"), "instance_id").alias("case"), F.lit(False).alias("failed")), "class", "case")
+    cases = [f"<testcase classname={quoteattr(r['class'])} name={quoteattr(r['case'])}>{'<failure/>' if r['failed'] else ''}</testcase>" for r in rows]
+    return f'<testsuite name="assets" tests="{len(cases)}" failures="{sum(r["failed"] for r in rows)}">' + "".join(cases) + "</testsuite>"
 
 
 @reporter("html")

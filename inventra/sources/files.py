@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from inventra.functions.text import in_skipped_dir
+from inventra.functions.text import OPERATORS, in_skipped_dir
 
 
 def read_tree(spark: SparkSession, roots: list[str], excludes: list[str] = (), ignore: list[str] = ()) -> DataFrame:
@@ -103,7 +103,7 @@ def _leaves(node, key: str = ""):
         yield key, str(node)
 
 
-def _yaml(text: str):
+def yaml_documents(text: str) -> list:
     import yaml
 
     return [x for x in yaml.safe_load_all(text) if x is not None]
@@ -121,18 +121,18 @@ def parse_env(root: str, path: str, content: str):
             if m := _TFVARS.match(line):
                 yield m[1], m[2], i, "tfvars"
     elif re.match(r"(docker-)?compose.*\.ya?ml$", name):
-        for doc in _yaml(content):
+        for doc in yaml_documents(content):
             for service in (doc.get("services") or {}).values():
                 env = service.get("environment") or {}
                 pairs = env.items() if isinstance(env, dict) else (x.partition("=")[::2] for x in env)
                 for k, v in pairs:
                     yield str(k), "" if v is None else str(v), 0, "compose"
     elif name in ("values.yaml", "values.yml"):
-        for doc in _yaml(content):
+        for doc in yaml_documents(content):
             for k, v in _leaves(doc):
                 yield k, v, 0, "helm"
     elif re.search(r"\.ya?ml$", name):
-        for doc in _yaml(content):
+        for doc in yaml_documents(content):
             if isinstance(doc, dict) and doc.get("kind") == "ConfigMap":
                 for k, v in (doc.get("data") or {}).items():
                     yield str(k), str(v), 0, "configmap"
@@ -146,18 +146,33 @@ def env_index(files: DataFrame) -> DataFrame:
 
 # --- manifests -------------------------------------------------------------
 
-_REQ = re.compile(r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(.*)$")
+_NAME = re.compile(r"[a-zA-Z0-9](?:[a-zA-Z0-9._-]*[a-zA-Z0-9])?")
 
 
-def _pin(spec: str) -> str | None:
-    m = re.search(r"===?\s*([^\s,;]+)", spec)
-    return m[1] if m else None
+def pinned_version(spec: str) -> str | None:
+    """The exact version of a version part that begins behind == or ===."""
+    if "==" in spec:
+        return spec.split("==", 1)[1].lstrip("=").strip()
+    return spec if re.fullmatch(r"[0-9][0-9a-zA-Z._\-*!]*", spec) else None
 
 
 def _requirement(text: str, line: int):
-    bare = re.split(r"\s*[;#]", text, maxsplit=1)[0]
-    if bare.strip() and not bare.lstrip().startswith("-") and "://" not in bare and (m := _REQ.match(bare)):
-        yield m[1], m[2].strip(), line, _pin(m[2]), "pypi"
+    """name, version part, line, pin and ecosystem of a requirement; extras and
+    markers go, and a version alone is none."""
+    base = text.split(";", 1)[0].split(" #", 1)[0].strip()
+    if not base or base.startswith(("#", "-")) or "://" in base:
+        return
+    op = next((o for o in OPERATORS if o in base), None)
+    name, _, spec = base.partition(op) if op else (base, "", "")
+    m = _NAME.match(name.split("[", 1)[0].strip())
+    if m and not re.fullmatch(r"[vV]?\d+(\.\d+)+[a-zA-Z0-9._-]*", m[0]):
+        spec = spec.strip()
+        yield m[0], spec or "*", line, pinned_version(spec) if op in ("==", "===") else None, "pypi"
+
+
+def _pin(spec: str) -> str | None:
+    m = re.search(r"===?\s*([^\s,;]+)", spec)
+    return m[1] if m else None
 
 
 def parse_manifest(root: str, path: str, content: str):
@@ -214,7 +229,7 @@ def parse_manifest(root: str, path: str, content: str):
     elif name == "Gemfile":
         for i, line in enumerate(lines, 1):
             if m := re.match(r"^\s*gem\s+[\"']([^\"']+)[\"'](?:\s*,\s*[\"']([^\"']+)[\"'])?", line):
-                yield m[1], m[2] or "", i, m[2] if m[2] and re.fullmatch(r"[\d.]+", m[2]) else None, "gem"
+                yield m[1], m[2] or "", i, m[2] if m[2] and re.fullmatch(r"[\d.]+", m[2]) else None, "rubygems"
     elif name == "pom.xml":
         for m in re.finditer(r"<dependency>\s*<groupId>([^<]+)</groupId>\s*<artifactId>([^<]+)</artifactId>(?:\s*<version>([^<]+)</version>)?", content):
             yield f"{m[1]}:{m[2]}", m[3] or "", content.count("\n", 0, m.start()) + 1, m[3], "maven"
@@ -331,7 +346,7 @@ def cloud_resources(files: DataFrame) -> DataFrame:
                 if m[2] in RESOURCES:
                     yield m[1], RESOURCES[m[2]], m[2], at(m)
         else:
-            doc = json.loads(content) if path.endswith(".json") else next(iter(_yaml(re.sub(r"!(\w+)", "", content))), {})
+            doc = json.loads(content) if path.endswith(".json") else next(iter(yaml_documents(re.sub(r"!(\w+)", "", content))), {})
             resources = doc.get("Resources") if isinstance(doc, dict) else None
             for k, v in (resources or {}).items():
                 if v.get("Type") in RESOURCES:
@@ -359,7 +374,7 @@ def binary_assets(files: DataFrame) -> DataFrame:
 def load_custom_catalogue(text: str) -> dict:
     """Components, base classes, excludes and relationship hints of a custom
     catalogue in YAML or JSON; entries without id or concept are left out."""
-    doc = (_yaml(text) or [{}])[0]
+    doc = (yaml_documents(text) or [{}])[0]
     return {
         "components": [c for c in doc.get("components") or [] if c.get("id") and c.get("concept")],
         "base_classes": [b for b in doc.get("base_classes") or [] if b.get("base_class") and b.get("concept")],

@@ -21,15 +21,15 @@ def one(spark, column):
 
 
 @pytest.mark.parametrize(("f", "given", "want"), [
-    (X.canonical_url, "HTTPS://User:p@Ex.com:443/a/b/?q#f", "https://ex.com/a/b"), (X.canonical_url, "http://ex.com:8080/.well-known/agent.json", "http://ex.com:8080"),
+    (X.canonical_url, "HTTPS://User:p@Ex.com:443/a/b/?q#f", "https://ex.com/a/b"), (X.canonical_url, "http://ex.com:8080/.well-known/agent.json", "http://ex.com:8080"), (X.canonical_url, "http://ex.com/x/.well-known/agent-card.json", "http://ex.com/x"),
     (X.canonical_url, "http://ex.com/", "http://ex.com/"), (X.canonical_url, "ftp://x/y", None), (X.canonical_url, None, None),
-    (X.canonical_git, "git@GitHub.com:Org/Repo.git", "github.com/Org/Repo"), (X.canonical_git, "https://tok@github.com:443/Org/Repo.git/", "github.com/Org/Repo"), (X.canonical_git, "", None),
-    (X.canonical_image, "python:3.12@sha256:ab", "docker.io/library/python"), (X.canonical_image, "ghcr.io/a/b:1", "ghcr.io/a/b"), (X.canonical_image, "a/b", "docker.io/a/b"),
-    (X.is_model_pinned, "gpt-4o-2024", True), (X.is_model_pinned, "gpt-4o", False), (X.is_model_pinned, None, False), (X.is_model_pinned, "org/m", True),
-    (X.is_test_path, "a/tests/b.py", True), (X.is_test_path, "a/spec/b.py", False), (X.is_test_path, "a/b_test.py", True), (X.is_test_path, None, False),
+    (X.canonical_git, "git@GitHub.com:Org/Repo.git", "github.com/Org/Repo"), (X.canonical_git, "https://tok@github.com:443/Org/Repo.git/", "github.com/Org/Repo"), (X.canonical_git, "", None), (X.canonical_git, "github.com:org/repo", "github.com/org/repo"), (X.canonical_git, "Bare.host", "bare.host"),
+    (X.canonical_image, "python:3.12@sha256:ab", "docker.io/library/python"), (X.canonical_image, "GHCR.io/a/b:1", "ghcr.io/a/b"), (X.canonical_image, "a/b", "docker.io/a/b"),
+    (X.is_model_pinned, "gpt-4o-2024", True), (X.is_model_pinned, "gpt-4o", False), (X.is_model_pinned, None, False), (X.is_model_pinned, "org/m", True), (X.is_model_pinned, "gpt-3.5turbo", True), (X.is_model_pinned, "m==abc", True), (X.is_model_pinned, "llama@latest", True),
+    (X.is_test_path, "a/tests/b.py", True), (X.is_test_path, "a/spec/b.py", False), (X.is_test_path, "a/b_test.py", True), (X.is_test_path, "Test_x.py", True), (X.is_test_path, None, False),
     (X.requirement_name, "LangChain_Core[all]>=1 ; x", "langchain-core"), (X.requirement_pin, "a === 1.0 # c", "1.0"), (X.requirement_pin, "a>=1", None),
-    (X.class_segment, "a.Beta.c", "Beta"), (X.bedrock_base, "us.anthropic.claude-3-haiku-v1:0", "anthropic.claude-3-haiku"), (X.bedrock_base, "gpt-4", None),
-    (X.in_skipped_dir, "a/node_modules/b.js", True), (X.in_skipped_dir, "a/build", False), (X.in_skipped_dir, "x.egg-info/y", True),
+    (X.class_segment, "a.Beta.c", "Beta"), (X.bedrock_base, "us.anthropic.claude-3-haiku-v1:0", "claude-3-haiku"), (X.bedrock_base, "gpt-4", None),
+    (X.in_skipped_dir, "a/node_modules/b.js", True), (X.in_skipped_dir, "a/build", False), (X.in_skipped_dir, "x.egg-info/y", True), (X.in_skipped_dir, "deploy/env/prod.yaml", False), (X.in_skipped_dir, "a/site-packages/b", True),
 ])
 def test_functions(spark, f, given, want):
     assert one(spark, f(F.lit(given).cast("string"))) == want
@@ -37,12 +37,15 @@ def test_functions(spark, f, given, want):
 
 def test_model_aliases(spark):
     assert one(spark, X.model_aliases(F.lit("Azure/ft:openai.gpt-4:1"))) == ["azure/ft:openai.gpt-4:1", "ft:openai.gpt-4:1", "openai.gpt-4:1", "gpt-4:1", "gpt-4"]
+    assert one(spark, X.model_aliases(F.lit("us.anthropic.claude-3-5-sonnet-20241022-v2:0")))[1:] == ["anthropic.claude-3-5-sonnet-20241022-v2:0", "claude-3-5-sonnet-20241022-v2:0", "claude-3-5-sonnet-20241022-v2", "claude-3-5-sonnet"]
 
 
 def test_merge_is_greedy_and_one_to_one(spark):
-    rows = [("f", 10, 1, "m", None), ("f", 12, 2, None, "k1"), ("f", 13, 3, "n", None), ("f", 14, 4, None, "k2"), ("f", 40, 5, None, "k3")]
-    got = dedup.merge_model_duplicates(spark.createDataFrame(rows, "file_path string, line_number int, ord int, model_name string, kb_id string"))
-    assert sorted((r.ord, r.kb_id) for r in got.collect()) == [(1, "k1"), (3, "k2"), (5, "k3")]
+    kb, code = "kb_enrichment", "code_analysis"
+    rows = [("f", 10, 1, "m1", code, "m", None, ""), ("f", 12, 2, "Chat", kb, None, "k1", "fw"), ("f", 13, 3, "n1", code, "n", None, "own"), ("f", 14, 4, "Two", kb, None, "k2", ""), ("f", 40, 5, "Far", kb, None, "k3", ""), ("g", 10, 6, "z", code, "z", None, "")]
+    df = spark.createDataFrame([("model", *r) for r in rows] + [("tool", "f", 11, 7, "t", kb, None, "k9", "")], "component_type string, file_path string, line_number int, ord int, name string, detection_source string, model_name string, kb_id string, framework string")
+    got = {r.ord: (r.kb_id, r.wrapper_class, r.framework) for r in dedup.merge_model_duplicates(df).collect()}
+    assert got == {1: ("k1", "Chat", "fw"), 3: ("k2", "Two", "own"), 5: ("k3", None, ""), 6: (None, None, ""), 7: ("k9", None, "")}
 
 
 def test_sources_are_numbered(spark):
@@ -57,16 +60,19 @@ def test_substitution_keeps_unknown(spark):
 
 
 def test_removal_takes_the_least_restrictive(spark):
-    c = spark.createDataFrame([(1, "a", False, False), (2, "a", True, False), (3, "b", True, True)], "ord int, key string, weak boolean, test boolean")
-    gone = spark.createDataFrame([("a", True, False), ("b", False, False)], "key string, weak boolean, test boolean")
-    assert [r.ord for r in joins.cascade_removals(c, gone).collect()] == [1]
+    shape = "ord int, key string, weak boolean, test boolean, local boolean, protected boolean, file_path string"
+    c = spark.createDataFrame([(1, "a", False, False, False, False, "x"), (2, "a", True, False, False, False, "x"), (3, "b", True, True, False, False, "x"), (4, "c", False, False, True, False, "x"), (5, "c", False, False, True, False, "y"), (6, "b", False, False, False, True, "x")], shape)
+    gone = spark.createDataFrame([(0, "a", True, False, False, False, "x"), (0, "b", False, False, False, False, "x"), (0, "c", False, False, True, False, "y")], shape)
+    assert sorted(r.ord for r in joins.cascade_removals(c, gone).collect()) == [1, 4, 6]
 
 
 def test_custom_catalogue_has_lowest_precedence(spark):
     k = spark.createDataFrame([("a.B", "x"), ("c.B", "parameter")], "id string, label string")
-    custom = spark.createDataFrame([("a.B", "custom"), ("z.Q", "custom")], "id string, label string")
-    s = spark.createDataFrame([("B",)], "symbol string")
-    assert sorted(tuple(r) for r in joins.catalogue_lookup(k, s, custom=custom).collect()) == [("a.B", "x"), ("z.Q", "custom")]
+    custom = spark.createDataFrame([("a.B", "custom"), ("z.q.B", "custom"), ("z.Q", "custom")], "id string, label string")
+    s = spark.createDataFrame([("B",), ("y.Q",)], "symbol string")
+    assert sorted(tuple(r) for r in joins.catalogue_lookup(k, s, custom=custom).collect()) == [("a.B", "x"), ("z.q.B", "custom")]
+    new = spark.createDataFrame([("a.B", "n", 1), ("d", "second", 2), ("d", "first", 1)], "id string, label string, ord int")
+    assert sorted(tuple(r) for r in joins.merged_catalogue(k, new).collect()) == [("a.B", "x"), ("c.B", "parameter"), ("d", "first")]
 
 
 def test_diff_takes_the_last_duplicate(spark):
@@ -91,19 +97,33 @@ def test_image_values_are_never_kept(spark):
 
 def test_evidence(spark):
     f = spark.createDataFrame([("p", "a\nfoo  bar\nb\nb")], "path string, content string")
-    cited = spark.createDataFrame([(1, "p", "foo bar", 2, 2), (2, "p", "foo bar", 4, 4), (3, "p", "b", 9, 9), (4, "q", "x", 1, 1)], "id int, path string, snippet string, start_line int, end_line int")
-    assert {r.id: (r.status, r.line) for r in agentic.verified_evidence(cited, f).collect()} == {1: ("verified", 2), 2: ("repaired", 2), 3: ("rejected", None), 4: ("rejected", None)}
+    cited = spark.createDataFrame([(1, "p", "foo bar", 2, 2), (2, "p", "foo bar", 4, 4), (3, "p", "b", 9, 9), (4, "q", "x", 1, 1), (5, "p", "bar\nb b", 1, 1), (6, "p", " ", 1, 1)], "id int, path string, snippet string, start_line int, end_line int")
+    got = {r.id: (r.status, r.line, r.last_line) for r in agentic.verified_evidence(cited, f).collect()}
+    assert got == {1: ("verified", 2, 2), 2: ("repaired", 2, 2), 3: ("rejected", None, None), 4: ("rejected", None, None), 5: ("repaired", 2, 4), 6: ("rejected", None, None)}
 
 
-def test_policy_shapes():
-    assert assess.load_policy({"no_hardcoded_keys": True, "fail_on": "high"}) == ([("no_hardcoded_keys", True, "critical")], "high")
-    assert assess.load_policy({"rules": [{"rule": "max_risk_score", "params": {"max": 1}, "severity": "low"}], "no_hardcoded_keys": True})[0] == [("max_risk_score", {"max": 1}, "low")]
+def test_policy_shapes(spark):
+    assert assess.load_policy({"no_hardcoded_keys": True, "fail_on": "HIGH", "max_risk_score": "7"}) == ([("no_hardcoded_keys", {}, "critical"), ("max_risk_score", {"threshold": 7}, "high")], "high")
+    assert assess.load_policy({"rules": [{"rule": "max_risk_score", "params": {"threshold": 1}, "severity": "low"}], "no_hardcoded_keys": True})[0] == [("max_risk_score", {"threshold": 1}, "low")]
+    for bad in ({"rules": [{"rule": "max_risk_score", "severity": "odd"}]}, {"blocked_models": "x"}, {"fail_on": "never"}):
+        with pytest.raises(ValueError):
+            assess.load_policy(bad)
+    c = spark.createDataFrame([("m", "model", " ", False), ("n", "model", "gpt-4", False), ("llm", "tool", None, True)], "name string, component_type string, model_name string, needs_agentic boolean")
+    rules, fail_on = assess.load_policy({"require_pinned_models": True, "blocked_models": ["LLM"], "require_guardrail_for": ["model", "tool", "agent"], "max_unresolved_agentic": 0})
+    found = assess.policy_violations(c, rules)
+    assert sorted((r.rule, r.subject) for r in found.collect()) == [("max_unresolved_agentic", "unresolved"), ("require_guardrail_for", "model"), ("require_guardrail_for", "tool"), ("require_pinned_models", "m"), ("require_pinned_models", "n")]
+    assert not assess.policy_passes(found, fail_on) and assess.policy_passes(found, "critical")
+
+
+def test_compliance_coverage(spark):
+    checks = spark.createDataFrame([("eu-1", "pass"), ("eu-2", "fail"), ("eu-3", "not_applicable"), ("nist-1", "not_applicable")], "requirement string, status string")
+    assert {r.framework: r.coverage for r in assess.coverage(checks).collect()} == {"eu": 50.0, "nist": 100.0}
 
 
 def test_scanners(spark):
     got = {(r.root, r.path, r.name, r.component_type) for r in extract.scan(files(spark)).collect()}
     want = {
-        ("agents", "requirements.txt", "openai", "dependency"), ("agents", "requirements.txt", "langchain", "dependency"), ("agents", "app/agent.py", "gpt-4o-2024-08-06", "model"),
+        ("agents", "requirements.txt", "openai", "dependency"), ("agents", "requirements.txt", "langchain", "dependency"), ("agents", "app/agent.py", "gpt-4o", "model"), ("agents", ".env", "gpt-4o", "model"), ("agents", "app/agent.py", "gpt-4o-2024-08-06", "model"),
         ("agents", "app/agent.py", "env:OPENAI_API_KEY", "secret"), ("agents", "web/app.ts", "openai", "dependency"), ("agents", "app/agent.py", "helper", "agent"), ("agents", "app/agent.py", "lookup", "tool"),
         ("agents", "app/agent.py", "Loop", "agent"), ("agents", "app/agent.py", "crewai", "dependency"), ("agents", "n.ipynb", "claude-3-5-sonnet", "model"), ("agents", "mcp.json", "web", "mcp_server"),
         ("agents", ".claude/skills/review/SKILL.md", "review", "skill"), ("agents", "infra/main.tf", "scorer", "model_endpoint"), ("agents", "cfg.py", "api_key", "secret"),
@@ -139,16 +159,33 @@ def test_search(spark):
 
 
 def test_reports(spark):
-    c = spark.createDataFrame([("s", "n|m", "agent", "a.py", 3, "", 0.5, None, None, "i1", 1, False, True), ("s", "k", "secret", "b.py", 1, "", 0.9, None, None, "i2", 2, False, True)],
-        "source string, name string, component_type string, file_path string, line_number int, framework string, heuristic_confidence double, agentic_confidence double, model_name string, instance_id string, ord long, test_only boolean, needs_agentic boolean")
+    c = spark.createDataFrame([("s", "n|m", "agent", "a.py", 3, "", "code", 0.5, None, None, None, "i1", 1, False, True), ("s", "k", "secret", "b.py", 1, "", "code", 0.9, None, None, "d", "i2", 2, True, True)],
+        "source string, name string, component_type string, file_path string, line_number int, framework string, detection_source string, heuristic_confidence double, agentic_confidence double, model_name string, description string, instance_id string, ord long, test_only boolean, needs_agentic boolean")
     flags = assess.weighted(spark.createDataFrame([("hardcoded_api_key", "b.py", 1, "i2")], "flag string, file_path string, line_number int, instance_id string"))
     for name, render in reports.REPORTERS.items():
-        text = render(c, flags=flags)
-        assert "n" in text, name
+        assert render(c, flags=flags), name
     assert json.loads(reports.REPORTERS["sarif"](c, flags=flags))["runs"][0]["results"][-1]["level"] == "warning"
-    assert json.loads(reports.REPORTERS["cyclonedx"](c))["vulnerabilities"][0]["id"] == "i2"
-    assert 'failures="1"' in reports.REPORTERS["junit"](c, flags=flags) and "n\\|m" in reports.REPORTERS["markdown"](c)
+    assert json.loads(reports.REPORTERS["cyclonedx"](c))["vulnerabilities"][0]["id"] == "asset-secret-i2"
+    junit = reports.REPORTERS["junit"](c, flags=flags)
+    assert 'tests="2" failures="1"' in junit and "component_i2" not in junit and "n\\|m" in reports.REPORTERS["markdown"](c)
+    assert reports.totals(c).first().asDict() == {"sources": 1, "components": 1, "test_only": 1, "pending": 2}
+    assert [r.name for r in reports.component_summary(c).collect()] == ["n|m"]
     assert [r.name for r in reports.api_components(c, "agent", "a.*").collect()] == ["n|m"]
+    assert [r.component_type for r in reports.api_types(c).collect()] == ["agent", "secret"]
+
+
+def test_searches(spark):
+    f = spark.createDataFrame([("a.py", "x = os.getenv('MODEL')\nx = 'lit'\nclass A:\n  pass\n", 10)], "path string, content string, length long")
+    assert [(r.line, r.context) for r in search.search_text(f, r"CLASS A:\n\s+pass").collect()] == [(3, "class A:")]
+    assert [(r.line, r.literal, r.env) for r in search.data_flow(f, "a.py", "x").collect()] == [(1, None, "MODEL"), (2, "lit", None)]
+    assert [r.entry for r in search.directory_tree(files(spark).where("root = 'remote'"), 1).collect()][:2] == ["card", "data"]
+    assert search.snippet(f, "a.py", 1).first().snippet == "x = os.getenv('MODEL')"
+
+
+def test_batches_run_over_directories(spark):
+    c = spark.createDataFrame([(i, f"d{i // 3}") for i in range(8)], "ord int, dir string")
+    got = {r.ord: r.batch for r in agentic.batches(c, 2, "dir", ["ord"]).collect()}
+    assert got == {i: i // 2 for i in range(8)}
 
 
 def test_watch(spark, tmp_path):

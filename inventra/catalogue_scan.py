@@ -30,16 +30,17 @@ _NOTEBOOK = '{"cells": [{"cell_type": "code", "source": ["%%pip x\\n", "model =
 _BROKEN = "def x(:\n  model = 'no-%d'\n"
 #: Path and content of each kind of file.
 _FILES = (("requirements.txt", _REQUIREMENTS), ("a.py", _PYTHON), (".env", _ENV), ("package.json", _PACKAGE), ("web/app.ts", _SCRIPT), ("mcp.json", _SERVERS), ("docker-compose.yml", _COMPOSE), ("n.ipynb", _NOTEBOOK), ("b.py", _BROKEN), ("data.csv", "x%d,y\n1,2\n"))
+_MORE = (("langgraph.json", '{"graphs": {"g%d": "./a.py:graph", "h": "b"}, "store": {"index": {"embed": "e-%d", "dims": 8}}}'), ("main.tf", 'variable "region" {\n  default = "r%d"\n}\nvariable "none" {\n}\nlocals {\n  model = "m%d"\n}\n'), ("values.yaml", "llm:\n  name: gpt-%d\n  list: [1]\nurl:\n"), ("stack.yaml", "AWSTemplateFormatVersion: x\nParameters:\n  P:\n    Default: d%d\n  Q: {}\nResources:\n  E:\n    Type: AWS::SageMaker::Endpoint\n"), (".git/HEAD", "x"), ("sub/.git/HEAD", "x"), ("a/b/c/d/.git/HEAD", "x"), (".assetignore", "# c\n*.log\n!keep.log\n/top%d\n"))
 
 
-def _tree(spark, d):
-    k, size = F.col("p_partkey"), F.col("p_size")
-    path = F.concat(F.lit("p"), k.cast("string"), F.lit("/"), F.element_at(F.array(*(F.lit(p) for p, _ in _FILES)), (k % 10 + 1).cast("int")))
+def _tree(spark, d, kinds=_FILES):
+    k, size, n = F.col("p_partkey"), F.col("p_size"), len(kinds)
+    path = F.concat(F.lit("p"), k.cast("string"), F.lit("/"), F.element_at(F.array(*(F.lit(p) for p, _ in kinds)), (k % n + 1).cast("int")))
     content = F.lit("")
-    for i, (_, text) in enumerate(_FILES):
+    for i, (_, text) in enumerate(kinds):
         # Numbers are filled in by hand, so that no kind needs as many arguments as another.
         whole = F.lit(text.replace("%%", "%"))
-        content = F.when(k % 10 == i, F.replace(whole, F.lit("%d"), size.cast("string"))).otherwise(content)
+        content = F.when(k % n == i, F.replace(whole, F.lit("%d"), size.cast("string"))).otherwise(content)
     return _t(spark, d, "part").select(F.concat(F.lit("r"), (k % 3).cast("string")).alias("root"), path.alias("path"), content.alias("content"), F.lit(0).cast("long").alias("length"))
 
 
@@ -109,3 +110,76 @@ def scan_coverage(spark, d):
     tree = _tree(spark, d)
     found = extract.scan(tree, ["symbols"]).where("component_type = 'agent'").select("root", "path").distinct().withColumn("hit", F.lit(True))
     return tree.join(found, ["root", "path"], "left").agg(F.count("*").alias("files"), F.count_if("hit").alias("with_agents"))
+
+
+_Q = "f as (select 'r' || (p_partkey % 3) as root, 'p' || p_partkey || '/' as dir, p_partkey % 8 as k, p_size as s, p_partkey from part)"
+
+
+@query(f"""with {_Q} select root, dir || 'langgraph.json' as path, unnest(['g' || s, 'h', 'e-' || s]) as name, unnest(['agent', 'agent', 'embedding']) as component_type, unnest(['./a.py:graph', 'b', '8']) as detail from f where k = 0""")
+def graph_configurations(spark, d):
+    return S.graph_configs(_tree(spark, d, _MORE))
+
+
+@query(f"""with {_Q} select root, dir || 'main.tf' as path, unnest(['terraform_variable', 'terraform_local']) as kind, unnest(['region', 'model']) as name, unnest(['r' || s, 'm' || s]) as value from f where k = 1 union all select root, dir || 'values.yaml', 'helm_value', unnest(['llm.name', 'url']), unnest(['gpt-' || s, null]) from f where k = 2 union all select root, dir || 'stack.yaml', unnest(['cloudformation_parameter', 'cloudformation_parameter', 'cloudformation_resource']), unnest(['P', 'Q', 'E']), unnest(['d' || s, null, 'AWS::SageMaker::Endpoint']) from f where k = 3""")
+def infrastructure_definitions(spark, d):
+    return S.infrastructure_names(_tree(spark, d, _MORE)).drop("ord")
+
+
+@query(f"""with {_Q} select root, rtrim(dir, '/') as dir from f where k = 4 union all select root, dir || 'sub' from f where k = 5""")
+def repositories_found(spark, d):
+    return S.repositories_below(_tree(spark, d, _MORE)).select("root", "dir")
+
+
+@query("""select p_partkey, p_partkey % 5 <> 0 and p_partkey % 5 <> 2 as kept from part""")
+def ignored_paths(spark, d):
+    k = F.col("p_partkey")
+    path = F.when(k % 5 == 0, "a/x.log").when(k % 5 == 1, "a/keep.log").when(k % 5 == 2, "top7/x").when(k % 5 == 3, "a/top7/x").otherwise("b.py")
+    rules = S.ignore_lines("# c\n*.log\n!keep.log\n/top7\n")
+    own = _t(spark, d, "part").select("p_partkey", path.alias("path"))
+    kept = S.without_ignored(own, rules).select("p_partkey", F.lit(True).alias("kept"))
+    return own.join(kept, "p_partkey", "left").select("p_partkey", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query("""select 'rep' || (p_partkey % 4) as report, 's' || (p_partkey % 3) as source, p_type as component_type, p_name as name, 'f.py' as file_path, p_size as line_number, case when p_partkey % 2 = 0 then 'm' end as model_name from part where p_partkey % 4 < 3""")
+def reports_read(spark, d):
+    """Written by type and read again, with one list for every third source."""
+    from inventra.sinks.reports import grouped
+
+    k = F.col("p_partkey")
+    c = _t(spark, d, "part").where("p_partkey % 4 < 3").select(F.concat(F.lit("rep"), (k % 4).cast("string")).alias("report"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), F.col("p_type").alias("component_type"), F.col("p_name").alias("name"), F.lit("f.py").alias("file_path"), F.col("p_size").alias("line_number"), F.when(k % 2 == 0, "m").alias("model_name"), k.alias("ord"))
+    by_type = grouped(c.withColumn("source", F.concat_ws("/", "report", "source")))
+    sources = by_type.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("component_type", "components"))).alias("components"))
+    split = sources.select(F.split_part("source", F.lit("/"), F.lit(1)).alias("report"), F.split_part("source", F.lit("/"), F.lit(2)).alias("source"), "components")
+    reports = split.groupBy("report").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("source", F.struct("components")))).alias("sources"))).alias("content"))
+    return S.read_reports(reports).drop("ord")
+
+
+_AGENT = "select p_partkey as id, case p_partkey % 6 when 0 then 'Agent' when 1 then 'tool' when 2 then 'model' when 3 then 'embedding_model' when 4 then 'datastore' else 'memory' end as cat, 'f' || (p_size % 7) as f, 'v' || (p_size % 9) as v, case when p_partkey % 4 = 0 then 'only' || p_partkey else 'many' end as name, p_size as s from part"
+
+
+def _wired(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.element_at(F.array(*map(F.lit, ("Agent", "tool", "model", "embedding_model", "datastore", "memory"))), (k % 6 + 1).cast("int"))
+    v = lambda n: F.concat(F.lit("VARIABLE:v"), (n % 9).cast("string"))
+    arguments = F.create_map(F.lit("tools"), F.concat(F.lit("LIST:"), v(size + 1), F.lit(",ATTRIBUTE:self.v"), ((size + 2) % 9).cast("string")), F.lit("my_LLM"), v(size + 3), F.lit("embed_fn"), F.concat(F.lit("VARIABLE:only"), (k + 3).cast("string")), F.lit("other"), v(size + 4), F.lit("sub_agents"), v(size + 5))
+    return _t(spark, d, "part").select(k.cast("string").alias("instance_id"), F.when(k % 4 == 0, F.concat(F.lit("only"), k.cast("string"))).otherwise("many").alias("name"), kind.alias("category"), F.concat(F.lit("f"), (size % 7).cast("string")).alias("file_path"), F.concat(F.lit("v"), (size % 9).cast("string")).alias("assigned_target"), arguments.alias("arguments"), k.alias("ord"), (k % 12 == 0).alias("wired"))
+
+
+@query(f"""with c as ({_AGENT}), bv as (select f, v, arg_max(id, id) as id from c group by 1, 2), bn as (select name, min(id) as id from c group by 1 having count(*) = 1),
+r as (select id, f, 'USES_TOOL' as label, unnest(['v' || ((s + 1) % 9), 'v' || ((s + 2) % 9)]) as name from c where cat = 'Agent' union all select id, f, 'USES_LLM', 'v' || ((s + 3) % 9) from c where cat = 'Agent' union all select id, f, 'USES_AGENT', 'v' || ((s + 5) % 9) from c where cat = 'Agent' union all select id, f, 'USES_EMBEDDING', 'only' || (id + 3) from c where cat in ('Agent', 'datastore')),
+t as (select r.id, label, coalesce(bv.id, bn.id) as target from r left join bv on bv.f = r.f and bv.v = r.name left join bn on bn.name = r.name)
+select distinct cast(t.id as varchar) as source_instance_id, cast(target as varchar) as target_instance_id, label from t join c on c.id = target where (label = 'USES_TOOL' and cat = 'tool') or (label = 'USES_LLM' and cat = 'model') or (label = 'USES_EMBEDDING' and cat = 'embedding_model') or (label = 'USES_AGENT' and cat = 'Agent' and t.id <> target)""")
+def derived_edges(spark, d):
+    from inventra.operators.derive import derived_edges as derive
+
+    return derive(_wired(spark, d)).select("source_instance_id", "target_instance_id", "label")
+
+
+@query(f"""with c as ({_AGENT}), n as (select f, case cat when 'model' then 'llm' when 'embedding_model' then 'llm' when 'tool' then 'tools' when 'memory' then 'memory' end as kind, 'VARIABLE:' || v as ref, id from c), h as (select f, kind, case when kind = 'tools' then 'LIST:' || string_agg(ref, ',' order by id) else arg_min(ref, id) end as v from n where kind is not null group by 1, 2)
+select cast(id as varchar) as instance_id, kind, h.v as value from c join h using (f) where cat = 'Agent' and id % 12 = 0""")
+def same_file_wiring(spark, d):
+    from inventra.operators.derive import same_file_arguments
+
+    c = _wired(spark, d).withColumn("arguments", F.create_map(F.lit("x"), F.lit("y")))
+    out = same_file_arguments(c).where(F.col("wired") & (F.col("category") == "Agent"))
+    return out.select("instance_id", F.explode("arguments").alias("kind", "value")).where("kind <> 'x'")

@@ -45,7 +45,7 @@ def _glob(pattern: str) -> str:
 
 
 def ignore_lines(text: str) -> list[str]:
-    return [x.strip() for x in text.splitlines() if x.strip() and not x.startswith("#")]
+    return [x.strip() for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
 
 
 def extension() -> "F.Column":
@@ -386,3 +386,124 @@ def load_custom_catalogue(text: str) -> dict:
 def merge_catalogue(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Existing rows win over new ones of the same id."""
     return existing.unionByName(new.join(existing.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(*existing.columns))
+
+
+def graph_configs(files: DataFrame) -> DataFrame:
+    """Agents and embeddings of graph configurations (langgraph.json): each graph
+    with its entry point, and the model of the store's index with its size."""
+    shape = "struct<graphs:map<string,string>,store:struct<index:struct<embed:string,dims:string>>>"
+    own = files.where(F.col("path").rlike(r"(^|/)langgraph\.json$")).select("root", "path", F.from_json("content", shape).alias("c")).where("c is not null")
+    graphs = own.select("root", "path", F.explode("c.graphs").alias("name", "detail")).select("root", "path", "name", F.lit("agent").alias("component_type"), "detail")
+    index = own.where("coalesce(c.store.index.embed, '') <> ''").select("root", "path", F.col("c.store.index.embed").alias("name"), F.lit("embedding").alias("component_type"), F.col("c.store.index.dims").alias("detail"))
+    return graphs.unionByName(index)
+
+
+def repositories_below(files: DataFrame, depth: int = 3) -> DataFrame:
+    """Directories that hold a ``.git``, at most so deep below their root; none
+    below another one, and none in directories that hold dependencies."""
+    skipped = (".git", "node_modules", ".venv", "venv", "__pycache__")
+    git = F.regexp_extract("path", r"^(|.*?/)\.git(?:/|$)", 1)
+    held = files.where(F.col("path").rlike(r"(^|/)\.git(/|$)")).select("root", F.regexp_replace(git, "/$", "").alias("dir")).distinct()
+    parts = F.filter(F.split("dir", "/"), lambda x: x != "")
+    near = held.where((F.size(parts) <= depth) & ~F.exists(parts, lambda x: x.isin(*skipped)))
+    above = near.select("root", "dir", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda i: F.concat_ws("/", F.slice(parts, 1, i)))).alias("up")).where("up <> dir")
+    inner = above.join(near.select("root", F.col("dir").alias("up")), ["root", "up"]).select("root", "dir").distinct()
+    return near.join(inner, ["root", "dir"], "left_anti")
+
+
+def repository_list(text: str) -> list[str]:
+    """Repositories of a list: a JSON array, or lines without blanks and comments."""
+    text = text.strip()
+    if text.startswith("["):
+        try:
+            return [str(e).strip() for e in json.loads(text) if str(e).strip()]
+        except ValueError:
+            pass
+    return [x.strip() for x in text.splitlines() if x.strip() and not x.strip().startswith("#")]
+
+
+def ignore_rules(files: DataFrame, name: str = ".assetignore") -> list[str]:
+    """The patterns of the first root that has an ignore file of that name.
+    A pattern after ! takes a path back."""
+    rows = files.where(F.col("path") == name).orderBy("root").select("content").limit(1).collect()
+    return ignore_lines(rows[0]["content"]) if rows else []
+
+
+def without_ignored(files: DataFrame, rules: list[str]) -> DataFrame:
+    """Files that the last rule that matches them doesn't exclude."""
+    out = F.lit(False)
+    for rule in rules:
+        back = rule.startswith("!")
+        out = F.when(F.col("path").rlike(_glob(rule.removeprefix("!"))), F.lit(not back)).otherwise(out)
+    return files.where(~out)
+
+
+def read_reports(reports: DataFrame) -> DataFrame:
+    """Components of written reports (report, content as JSON): source, type,
+    name, file_path, line_number, model_name and ord, whether they stand by type
+    or in one list."""
+    import json as reader
+
+    def parse(root, path, content):
+        doc = reader.loads(content)
+        for key, src in (doc.get("sources") or {}).items():
+            held = src if isinstance(src, dict) and ("components" not in src) else src.get("components", [])
+            groups = held.items() if isinstance(held, dict) else [(None, held)]
+            for kind, rows in groups:
+                for r in rows:
+                    yield str((src.get("source_path") if isinstance(src, dict) else None) or key), r.get("component_type") or kind, r.get("name"), r.get("file_path") or "", int(r.get("line_number") or 0), r.get("model_name")
+
+    own = reports.select(F.col("report").alias("root"), F.lit("").alias("path"), "content")
+    return parsed(own, parse, "source string, component_type string, name string, file_path string, line_number int, model_name string").withColumnRenamed("root", "report").drop("path")
+
+
+def infrastructure_names(files: DataFrame) -> DataFrame:
+    """What infrastructure files define: Terraform variables with a default and
+    locals, CloudFormation parameters and resources, ARM parameters, and values
+    of Helm by path: kind, name, value (null without one)."""
+    def leaves(node, at=""):
+        if isinstance(node, dict):
+            for k, v in node.items():
+                yield from leaves(v, f"{at}.{k}" if at else str(k))
+        elif not isinstance(node, list):
+            yield at, None if node is None else str(node)
+
+    def parse(root, path, content):
+        name = path.rsplit("/", 1)[-1]
+        if name.endswith(".tf"):
+            for m in re.finditer(r'variable\s+"([^"]+)"\s*\{([^}]*)\}', content):
+                told = re.search(r'default\s*=\s*"([^"]*)"', m[2])
+                if told:
+                    yield "terraform_variable", m[1], told[1]
+            for block in re.finditer(r"locals\s*\{([^}]*)\}", content):
+                for m in re.finditer(r'(?m)^\s*(\w+)\s*=\s*"([^"]*)"', block[1]):
+                    yield "terraform_local", m[1], m[2]
+        elif name in ("values.yaml", "values.yml"):
+            for doc in yaml_documents(content):
+                yield from (("helm_value", k, v) for k, v in leaves(doc))
+        else:
+            doc = json.loads(content) if name.endswith(".json") else next(iter(yaml_documents(re.sub(r"!(\w+)", "", content))), {})
+            if isinstance(doc, dict) and ("Resources" in doc or "AWSTemplateFormatVersion" in doc):
+                for k, v in (doc.get("Parameters") or {}).items():
+                    yield "cloudformation_parameter", k, None if v.get("Default") is None else str(v["Default"])
+                for k, v in (doc.get("Resources") or {}).items():
+                    yield "cloudformation_resource", k, str(v.get("Type") or "")
+            elif isinstance(doc, dict) and "deploymentTemplate" in str(doc.get("$schema")):
+                for k, v in (doc.get("parameters") or {}).items():
+                    yield "arm_parameter", k, None if v.get("defaultValue") is None else str(v["defaultValue"])
+
+    return parsed(files.where(F.col("path").rlike(r"\.(tf|json|ya?ml)$")), parse, "kind string, name string, value string")
+
+
+def infrastructure_reference(names: DataFrame, expression: str, kind: str) -> DataFrame:
+    """What an expression refers to, by the first definition in order of place:
+    var.x and local.x, a logical id, a parameter's name, a path of values.  What
+    a module defines is never known."""
+    kinds = {"terraform": {"var": "terraform_variable", "local": "terraform_local"}, "cloudformation": ("cloudformation_parameter", "cloudformation_resource"), "arm": ("arm_parameter",), "helm": ("helm_value",)}[kind]
+    name, wanted = expression.strip(), kinds
+    if kind == "terraform":
+        head, _, name = expression.strip().partition(".")
+        wanted = (kinds[head],) if head in kinds else ()
+    if kind == "helm":
+        name = name.strip("{} ").removeprefix(".Values.").removeprefix("Values.")
+    return names.where(F.col("kind").isin(*wanted) & (F.col("name") == name)).orderBy(F.col("value").isNull(), "root", "path", "ord").limit(1) if wanted else names.limit(0)

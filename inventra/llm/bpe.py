@@ -7,13 +7,20 @@ the whole corpus and answers with the ids; a block joins the ids back by
 position.  Decoding joins ids to the table of pieces, whose size is the fixed
 vocabulary's.
 
+A definition for which that doesn't hold is refused: one with a decoder, with
+special tokens that touch white space, or whose words may hold white space.
+
 Defined results: a null or empty text has no ids and decodes to an empty text.
-A row without doc_id is encoded like any other.  Special tokens' strings in a
-text are those tokens, as in the library.  Further columns are ignored.
+A row without doc_id is encoded like any other, and repeated rows each.  Special
+tokens' strings in a text are those tokens, as in the library.  An empty table
+gives none.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +53,38 @@ def tokenizer_of(definition: str):
     return _loaded[key]
 
 
+#: Normalizers that turn no letter into white space or back.
+_PLAIN = ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents")
+
+
+def checked(definition: str) -> str:
+    """The definition, if words between white space can be encoded one by one and
+    decoding is joining pieces by spaces; else it raises."""
+    made = json.loads(definition)
+
+    def flat(part, key):
+        return [] if part is None else [x for p in part[key] for x in flat(p, key)] if part["type"] == "Sequence" else [part]
+
+    if made["model"]["type"] != "BPE" or made.get("decoder") is not None:
+        raise ValueError("not a BPE definition without a decoder")
+    for n in flat(made.get("normalizer"), "normalizers"):
+        spaces = n["type"] == "Replace" and n["content"] == " " and n["pattern"] == {"Regex": "\\s+"}
+        if n["type"] not in _PLAIN and not spaces:
+            raise ValueError(f"normalizer {n['type']} may change where words end")
+    first = flat(made.get("pre_tokenizer"), "pretokenizers")[:1]
+    drops = bool(first) and (first[0]["type"] in ("Whitespace", "WhitespaceSplit") or (first[0]["type"] == "Split" and first[0]["behavior"] == "Removed" and first[0]["invert"]))
+    # What the pattern takes are the words; it must take no white space, alone or beside letters.
+    if drops and first[0]["type"] == "Split":
+        import regex
+
+        drops = not any(regex.search(r"\s", m) for m in regex.findall(first[0]["pattern"].get("Regex", "."), "a \tb\n1 .\x0b-\x0c'\r c"))
+    if not drops:
+        raise ValueError("the pre-tokenizer doesn't drop white space")
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in made.get("added_tokens", [])):
+        raise ValueError("special tokens touch white space")
+    return definition
+
+
 def pieces_of(definition: str) -> list[str]:
     """The piece of each id."""
     vocabulary = tokenizer_of(definition).get_vocab(with_added_tokens=True)
@@ -133,6 +172,7 @@ def _finish(definition: str, n: int):
 def encode_decode(df: DataFrame, definition: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens, decoded:
     one row for each row of ``df``.  ``definition`` is the tokenizer's JSON."""
+    checked(definition)
     n = B.pieces(B.total_bytes(df, text), block_bytes)
     docs = B.dealt(df, doc_id, text, n)
     answers = B.answered(B.asked(docs, _ask(n), n), _answer(definition), n)

@@ -1,5 +1,6 @@
 """The operators on blocks and buckets, against brute force."""
 
+import json
 import math
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 from corpus import SCHEMA, corpus
 from pyspark.sql import functions as F
 
-from inventra.llm.bpe import encode_decode
+from inventra.llm.bpe import checked, encode_decode
 from inventra.llm.jaccard_join import divide_skip, jaccard_components, merged, overlap
 from inventra.llm.katz import Words, discounts, katz_scores
 from inventra.llm.queries import remainder, tokenizer_json
@@ -127,6 +128,18 @@ def test_bpe(docs, hops, block):
     assert Counter((r.doc_id, bytes(r.ids), r.n_tokens, r.decoded) for r in got) == expected
 
 
+def test_bpe_refuses_what_it_cannot_encode(docs):
+    good = json.loads(tokenizer_json())
+    assert checked(json.dumps(good))
+    bad = [{"decoder": {"type": "ByteLevel"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": None}, {"normalizer": {"type": "Prepend", "prepend": " "}},
+           {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": "[a-z]+ ?"}, "behavior": "Removed", "invert": True}}, {"added_tokens": [{**good["added_tokens"][0], "lstrip": True}]}]
+    for change in bad:
+        with pytest.raises(ValueError):
+            checked(json.dumps(good | change))
+    with pytest.raises(ValueError):
+        encode_decode(docs, tokenizer_json("byte_bpe_50k.json"))
+
+
 class BruteKatz:
     """The model over texts, from counters."""
 

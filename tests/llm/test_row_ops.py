@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inventra.llm import queries as Q
 from inventra.llm.decontaminate import aligned, leaks, plain
+from inventra.llm.linear import dual_descent, features, log_count_ratios
 from inventra.llm.main_text import main_text, main_texts
 from inventra.llm.quality import quality_scores
 from inventra.llm.rules import LENGTHS, judged, least, log_tail, pooled
@@ -336,3 +337,52 @@ def test_weak_supervision_gains(spark):
     found = lambda c: sum(r[c] >= 0.7 for r in rows if r.toxic)
     assert found("score") >= found("plain") and found("score") >= 0.7 * sum(r.toxic for r in rows)
     assert sum(r["score"] >= 0.7 for r in rows if not r.toxic) <= 0.02 * len(rows)
+
+
+def test_features_against_brute_force():
+    """Two texts share a place exactly where they share an n-gram or a count."""
+    rng = np.random.default_rng(8)
+    words = ["alpha", "Alphabet", "beta", "b", "gamma-x", "ß", "alphaville"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 9)))).encode() for _ in range(40)] + [None, b""]
+
+    def grams(t, often):
+        w = (t or b"").split()
+        low = [x.lower() for x in w]
+        out = {("w", x) for x in low} | {("p", *x) for x in zip(low, low[1:], strict=False)} | {("b", x[:5]) for x in low} | {("e", x[-2:]) for x in w}
+        same = sum(a == b for a, b in zip(low, low[1:], strict=False))
+        out |= {("same", min(12, same.bit_length())), ("distinct", 8 * len(set(low)) // len(low) if low else 9), ("n", min(20, len(low).bit_length()))}
+        if often:
+            for cut in (5, 7):
+                out |= {("o", cut, b, k) for b, n in Counter(x[:cut] for x in low).items() for k in (2, 3, 5) if n >= k}
+        return out
+
+    for often in (False, True):
+        place, first = features(texts, often)
+        held = [set(place[a:b].tolist()) for a, b in zip(first, first[1:], strict=False)]
+        want = [grams(t, often) for t in texts]
+        assert [len(h) for h in held] == [len(w) for w in want]
+        assert [[len(a & b) for b in held] for a in held] == [[len(a & b) for b in want] for a in want]
+
+
+def test_ratios_and_descent_against_brute_force():
+    """Log-count ratios from counts, and a solution of the dual that fits its conditions."""
+    rng = np.random.default_rng(9)
+    rows = [np.unique(rng.integers(0, 30, 8)).astype(np.int32) for _ in range(60)]
+    label = np.array([float((r < 9).sum() + rng.integers(0, 2) > 2) for r in rows])
+    place, first = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+    ratio = log_count_ratios(place, first, label)
+    for p in range(30):
+        up, down = (1 + sum(p in r for r, y in zip(rows, label, strict=True) if y == side) for side in (1, 0))
+        assert abs(ratio[p] - (math.log(up / (label.sum() + 2)) - math.log(down / ((1 - label).sum() + 2)))) < 1e-12
+    sign, cost = 2 * label - 1, np.ones(60)
+    weight, bias = dual_descent(place, first, sign, cost, ratio, epochs=400)
+    x = np.zeros((60, 31))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / math.sqrt(len(r))
+        x[i, 30] = 1
+    w = np.append(weight[:30], bias)
+    # The primal objective can't be lowered along any direction that is tried.
+    value = lambda v: 0.5 * v @ v + np.maximum(0, 1 - sign * (x @ v)).sum()
+    best = value(w)
+    assert all(value(w + step * rng.normal(size=31)) > best - 1e-3 for step in (1e-3, 1e-2, 0.1) for _ in range(40))
+    assert abs(value(np.zeros(31)) - 60) < 1e-9 and best < 60

@@ -6,9 +6,10 @@ shares at least ``m - q + 1 - q * k`` of its q-grams with it, at diagonals
 q-gram hits are counted by item and document first, then in overlapping bands
 of diagonals, and what reaches the bound is verified by banded alignment.
 
-Which documents an item is counted in is found by its rarest q-grams: of g
-q-grams of which n must be shared, one of the ``g - n + 1`` rarest always is, so
-the commonest (a template that all items begin with) are never looked up alone.
+Which documents an item is counted in is found by its rarest q-grams: k edits
+spoil at most ``q * k`` of them, so of the ``q * k + s`` rarest different ones s are
+shared.  The commonest (a template that all items begin with) are never looked
+up, and a document that shares fewer than s (``SHARED``) isn't counted in.
 
 Both sides are compared with A-Z lower-cased and white space runs as one space.
 k is ``percent`` of the item's length, and q is ``q`` or what still leaves the
@@ -37,6 +38,7 @@ from inventra.llm.tables import stored
 from inventra.llm.words import _LOWER_BYTES, _SPACE, U, run_hash, slices
 
 Q, PERCENT, SHORTEST = 10, 7, 30
+SHARED = 6
 BROADCAST_BYTES = 8_000_000
 _FILTER = 22
 #: Bits of the filter that stands before the join, whatever the benchmark's size.
@@ -100,6 +102,12 @@ def bounds(size: int, q: int, percent: int, shortest: int) -> tuple[int, int, in
     return edits, own, size - own + 1 - own * edits
 
 
+def looked_up(different: int, q: int, edits: int) -> tuple[int, int]:
+    """How many of an item's different q-grams are looked up, the rarest, and how
+    many of these a document must share."""
+    return min(different, q * edits + SHARED), max(1, min(SHARED, different - q * edits))
+
+
 def _letters(data: np.ndarray, at: int) -> bool:
     """Whether a letter, a digit or a byte of a wider character stands there."""
     if not 0 <= at < len(data):
@@ -111,22 +119,24 @@ def _letters(data: np.ndarray, at: int) -> bool:
 class _Grams:
     """The q-grams of items that have the same q, and their rare ones."""
 
-    def __init__(self, which: list[int], texts: list[np.ndarray], need: list[int], q: int):
+    def __init__(self, which: list[int], texts: list[np.ndarray], edits: list[int], q: int):
         self.q, self.which = q, which
         grams = [run_hash(t, q) for t in texts]
         self.gram, spot, many = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-        self.spots, self.places, rare_spot, rare_item = [], [], [], []
+        self.spots, self.places, rare_spot, rare_item, share = [], [], [], [], []
         begin = 0
-        for i, (own, n) in enumerate(zip(grams, need, strict=True)):
+        for i, (own, k) in enumerate(zip(grams, edits, strict=True)):
             mine = spot[begin : begin + len(own)]
             begin += len(own)
             order = np.argsort(mine, kind="stable")
             self.spots.append(mine[order])
             self.places.append(order)
-            # Of so many q-grams a match shares one at least.
-            rare = mine[np.lexsort((mine, many[mine]))[: len(mine) - n + 1]]
-            rare_spot.append(np.unique(rare))
-            rare_item.append(np.full(len(rare_spot[-1]), i))
+            different = np.unique(mine)
+            most, least = looked_up(len(different), q, k)
+            rare_spot.append(different[np.lexsort((different, many[different]))[:most]])
+            rare_item.append(np.full(most, i))
+            share.append(least)
+        self.share = np.array(share)
         rare_spot, rare_item = np.concatenate(rare_spot), np.concatenate(rare_item)
         order = np.argsort(rare_spot, kind="stable")
         self.item = rare_item[order]
@@ -150,7 +160,8 @@ class _Grams:
         pair = np.unique(text * len(self.gram) + spot)
         many = np.diff(self.first)[pair % len(self.gram)]
         posting = np.repeat(self.first[pair % len(self.gram)], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        key = np.unique(np.repeat(pair // len(self.gram), many) * len(self.which) + self.item[posting])
+        key, shared = np.unique(np.repeat(pair // len(self.gram), many) * len(self.which) + self.item[posting], return_counts=True)
+        key = key[shared >= self.share[key % len(self.which)]]
         begins = np.searchsorted(text, np.arange(len(starts)))
         for k in key.tolist():
             t, i = divmod(k, len(self.which))
@@ -173,7 +184,7 @@ class Items:
         self.groups = []
         for own in sorted({x[1] for x in limits}):
             which = [i for i, x in enumerate(limits) if x[1] == own]
-            self.groups.append(_Grams(which, [self.texts[i] for i in which], [self.need[i] for i in which], own))
+            self.groups.append(_Grams(which, [self.texts[i] for i in which], [self.budget[i] for i in which], own))
 
     def found(self, texts: list[bytes | None]):
         """(text, item, begin, end, edits), the least begin of the fewest edits."""
@@ -279,9 +290,9 @@ def _joined(docs: DataFrame, items: DataFrame, q: int, percent: int, shortest: i
 
     postings = items.select("key", "t").mapInArrow(grams, "q int, gram long, key long")
     many = postings.groupBy("q", "gram").agg(F.count("*").alias("many"))
-    need = items.select("key", "t").mapInArrow(lambda batches: _needs(batches, q, percent, shortest), "key long, most long")
+    need = items.select("key", "t").mapInArrow(lambda batches: _needs(batches, q, percent, shortest), "key long, most long, least long")
     ranked = postings.join(many, ["q", "gram"]).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("many", "gram")))
-    rare = stored(ranked.join(need, "key").where("rank <= most").select("q", "gram", "key"))
+    rare = stored(ranked.join(need, "key").where("rank <= most").select("q", "gram", "key", "least"))
     qs = [r["q"] for r in rare.select("q").distinct().orderBy("q").collect()]
     shift = 64 - _WIDE
     words = rare.select(F.shiftrightunsigned("gram", shift + 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {shift}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
@@ -310,7 +321,7 @@ def _joined(docs: DataFrame, items: DataFrame, q: int, percent: int, shortest: i
 
     docs = docs.withColumn("key", key("doc_id", "text"))
     asked = docs.where(F.length("text") > 0).select("key", "text").mapInArrow(probes, "q int, gram long, key long")
-    pairs = asked.join(rare.withColumnRenamed("key", "item"), ["q", "gram"]).select("key", "item").distinct()
+    pairs = asked.join(rare.withColumnRenamed("key", "item"), ["q", "gram"]).groupBy("key", "item", "least").agg(F.count("*").alias("shared")).where("shared >= least").select("key", "item")
     met = pairs.join(docs, "key").join(items.select(F.col("key").alias("item"), "i", "t"), "item")
 
     def verify(batches):
@@ -325,14 +336,15 @@ def _joined(docs: DataFrame, items: DataFrame, q: int, percent: int, shortest: i
 
 
 def _needs(batches, q: int, percent: int, shortest: int):
-    """How many of an item's rarest different q-grams a match must meet one of."""
+    """How many of an item's different q-grams are looked up, and must be shared."""
     for batch in batches:
-        keys, most = [], []
+        keys, most, least = [], [], []
         for k, t in zip(batch["key"].to_pylist(), batch["t"].to_pylist(), strict=True):
             own = plain(t)[0]
             if len(own):
                 edits, n, _ = bounds(len(own), q, percent, shortest)
+                up, shared = looked_up(len(np.unique(run_hash(own, n))), n, edits)
                 keys.append(k)
-                # Each edit spoils q places, each of them one different q-gram at most.
-                most.append(n * edits + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(most, pa.int64())], names=["key", "most"])
+                most.append(up)
+                least.append(shared)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, most, least)], names=["key", "most", "least"])

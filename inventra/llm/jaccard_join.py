@@ -46,7 +46,7 @@ from inventra.llm.tables import stored
 from inventra.llm.words import U, shingles
 
 #: Documents that a block of the search has as index, and as queries, at most.
-CELL = 4096
+CELL = 1024
 #: The weight of a long list's lookups against the merge, as published.
 MU = 0.0085
 _LOW = U(0xFFFFFFFF)

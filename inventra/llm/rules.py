@@ -52,10 +52,12 @@ def counted(df: DataFrame, text: str, *keep: Column) -> DataFrame:
     lines = F.filter(F.split(raw, "\n"), lambda line: F.length(F.translate(line, WHITE, "")) > 0)
     step = df.select(*keep, raw.alias("t"), words.alias("w"), lines.alias("l"))
     n = F.size("w")
-    window = F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice("w", i, 5)))).otherwise(F.array().cast("array<bigint>"))
+    # Words are hashed once; a window's hash is that of five words' hashes.
+    step = step.withColumn("x", F.transform("w", lambda word: F.xxhash64(word)))
+    window = F.when(n >= 5, F.transform(F.slice("x", 1, n - 4), lambda first, i: F.xxhash64(first, *(F.get("x", i + k) for k in range(1, 5))))).otherwise(F.array().cast("array<bigint>"))
     bare = F.length(F.translate("t", WHITE, ""))
     step = step.select(
-        *(c for c in step.columns if c not in ("t", "w", "l")),
+        *(c for c in step.columns if c not in ("t", "w", "l", "x")),
         F.size("w").cast("long").alias("n_words"), bare.cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),

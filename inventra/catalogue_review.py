@@ -269,3 +269,31 @@ def relationship_totals(spark, d):
     flag = F.col("relationship_type")
     r = _edges(spark, d).withColumn("relationship_type", F.when(flag == "R", "USES_TOOL").when(flag == "A", "USES_MODEL").otherwise("x"))
     return compare.totals(r, "relationship_type")
+
+
+@query("""select distinct unnest(case when contains(s, '.') then [s, split_part(s, '.', -1), 'Cls' || p_size] else [s] end) as symbol from (select p_size, case when p_partkey % 2 = 0 then 'pkg.Cls' || p_size || '.run' else 'f' || p_size end as s from part)""")
+def catalogue_probes(spark, d):
+    size = F.col("p_size").cast("string")
+    return joins.probes(_t(spark, d, "part").select(F.when(_K % 2 == 0, F.concat(F.lit("pkg.Cls"), size, F.lit(".run"))).otherwise(F.concat(F.lit("f"), size)).alias("symbol")))
+
+
+@query("""select c_nationkey as source, count(*) as assets, string_agg(distinct c_mktsegment, ',' order by c_mktsegment) as kinds, max(case when c_nationkey % 2 = 0 then 'host/' || c_nationkey else 'docker.io/library/n' || c_nationkey end) as source_ref_canonical from customer group by 1""")
+def report_payloads(spark, d):
+    n = F.col("c_nationkey").cast("string")
+    c = _t(spark, d, "customer").select(F.col("c_nationkey").alias("source"), F.col("c_mktsegment").alias("component_type"))
+    sources = _t(spark, d, "customer").select(F.col("c_nationkey").alias("source"), F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("https://Host/"), n, F.lit(".git"))).otherwise(F.concat(F.lit("n"), n, F.lit(":tag"))).alias("ref"), F.when(F.col("c_nationkey") % 2 == 0, "git").otherwise("container_image").alias("kind")).distinct()
+    return search.payloads(c, sources).select("source", "assets", F.concat_ws(",", "kinds").alias("kinds"), "source_ref_canonical")
+
+
+@query("""select p_brand as ecosystem, p_size as name, max(p_type) as latest, count(*) > 1 as several from part where p_size < 10 group by 1, 2""")
+def package_information(spark, d):
+    p = _t(spark, d, "part")
+    info = p.groupBy(F.col("p_brand").alias("ecosystem"), F.col("p_size").alias("name")).agg(F.max("p_type").alias("latest"), (F.count("*") > 1).alias("several"))
+    asked = p.where("p_size < 10").select(F.col("p_brand").alias("ecosystem"), F.col("p_size").alias("name")).distinct()
+    return search.package_info(asked, info)
+
+
+@query("""select (select count(*) from part) = 2000 as rows_match, false as hash_match, count(*) as n_rows from part""")
+def catalogue_verification(spark, d):
+    p = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_name")
+    return search.verified(p, 2000, "0" * 64).select("rows_match", "hash_match", "n_rows")

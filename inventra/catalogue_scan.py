@@ -31,6 +31,7 @@ _BROKEN = "def x(:\n  model = 'no-%d'\n"
 #: Path and content of each kind of file.
 _FILES = (("requirements.txt", _REQUIREMENTS), ("a.py", _PYTHON), (".env", _ENV), ("package.json", _PACKAGE), ("web/app.ts", _SCRIPT), ("mcp.json", _SERVERS), ("docker-compose.yml", _COMPOSE), ("n.ipynb", _NOTEBOOK), ("b.py", _BROKEN), ("data.csv", "x%d,y\n1,2\n"))
 _MORE = (("langgraph.json", '{"graphs": {"g%d": "./a.py:graph", "h": "b"}, "store": {"index": {"embed": "e-%d", "dims": 8}}}'), ("main.tf", 'variable "region" {\n  default = "r%d"\n}\nvariable "none" {\n}\nlocals {\n  model = "m%d"\n}\n'), ("values.yaml", "llm:\n  name: gpt-%d\n  list: [1]\nurl:\n"), ("stack.yaml", "AWSTemplateFormatVersion: x\nParameters:\n  P:\n    Default: d%d\n  Q: {}\nResources:\n  E:\n    Type: AWS::SageMaker::Endpoint\n"), (".git/HEAD", "x"), ("sub/.git/HEAD", "x"), ("a/b/c/d/.git/HEAD", "x"), (".assetignore", "# c\n*.log\n!keep.log\n/top%d\n"))
+_DEEP = (("requirements.txt", "-r deps/base.in\nopenai==%d\n"), ("pnpm-lock.yaml", "packages:\n  /openai@4.%d.0:\n    x: 1\n  '@a/b@1.0(x)':\n    y: 1\n"), ("loop.py", "import a.b as c\nfrom .x import y\nz: T.U = 1\nclass R:\n    def run(self, llm):\n        while True:\n            o = llm.invoke(self.p())\n            if o.n%d:\n                return self.f(o)\n# asset: concept=agent\n"), ("w.gguf", "GGUF\x03"), ("m.onnx", "no"), ("k.keras", "x"))
 
 
 def _tree(spark, d, kinds=_FILES):
@@ -89,7 +90,7 @@ def notebook_code(spark, d):
     return S.notebooks(_tree(spark, d)).select("root", "path", "content")
 
 
-@query(f"""with {_P} select root, dir || 'a.py' as path, unnest(['assignment', 'assignment', 'assignment', 'call']) as kind, unnest([5, 7, 10, 5]) as line, unnest(['ChatOpenAI', 'os.getenv', 'Agent', 'os.getenv']) as name, unnest(['llm', 'path', 'agent', '']) as target from f where k = 1""")
+@query(f"""with {_P} select root, dir || 'a.py' as path, unnest(['assignment', 'assignment', 'assignment', 'call', 'import', 'import']) as kind, unnest([5, 7, 10, 5, 1, 2]) as line, unnest(['ChatOpenAI', 'os.getenv', 'Agent', 'os.getenv', 'os', 'langchain_openai.ChatOpenAI']) as name, unnest(['llm', 'path', 'agent', '', '', '']) as target from f where k = 1""")
 def python_observations(spark, d):
     return extract.observations(_tree(spark, d)).select("root", "path", "kind", "line", "name", "target")
 
@@ -183,3 +184,39 @@ def same_file_wiring(spark, d):
     c = _wired(spark, d).withColumn("arguments", F.create_map(F.lit("x"), F.lit("y")))
     out = same_file_arguments(c).where(F.col("wired") & (F.col("category") == "Agent"))
     return out.select("instance_id", F.explode("arguments").alias("kind", "value")).where("kind <> 'x'")
+
+
+_D = "f as (select 'r' || (p_partkey % 3) as root, 'p' || p_partkey || '/' as dir, p_partkey % 6 as k, p_size as s, p_partkey from part)"
+
+
+@query(f"""with {_D} select root, dir || 'requirements.txt' as path, 'openai' as name, cast(s as varchar) as spec, 2 as line, cast(s as varchar) as pin, 'pypi' as ecosystem from f where k = 0 union all select root, dir || 'deps/base.in', 'torch', '1', 2, '1', 'pypi' from f where k = 0 union all select root, dir || 'deps/more/x.in', 'flask', '*', 1, null, 'pypi' from f where k = 0
+union all select root, dir || 'pnpm-lock.yaml', unnest(['openai', '@a/b']), unnest(['4.' || s || '.0', '1.0']), unnest([2, 4]), unnest(['4.' || s || '.0', '1.0']), 'npm' from f where k = 1""")
+def included_manifests(spark, d):
+    tree = _tree(spark, d, _DEEP)
+    base = tree.where(F.col("path").endswith("requirements.txt"))
+    more = lambda name, text: base.withColumn("path", F.regexp_replace("path", r"requirements\.txt$", name)).withColumn("content", F.lit(text))
+    # Each include leads on, and the last one back to the first.
+    tree = tree.unionByName(more("deps/base.in", "-r more/x.in\ntorch==1\n")).unionByName(more("deps/more/x.in", "flask\n-r ../base.in\n"))
+    return S.manifests(tree).drop("ord")
+
+
+@query(f"""with {_D} select root, dir || 'loop.py' as path, unnest(['import', 'import', 'annotation', 'method', 'loop', 'note', 'class']) as kind, unnest([1, 2, 3, 5, 6, 10, 4]) as line, unnest(['a.b', '.x.y', 'T.U', 'R.run', 'R.run', '# asset: concept=agent', 'R']) as name, unnest(['c', '', 'z', 'R', 'while', '', '']) as target, unnest([null, null, null, 'llm.invoke,self.p,self.f', 'llm.invoke,self.p,self.f', null, null]) as callees from f where k = 2""")
+def python_structure(spark, d):
+    o = extract.observations(_tree(spark, d, _DEEP)).where(F.col("kind").isin("import", "annotation", "method", "loop", "note", "class"))
+    return o.select("root", "path", "kind", "line", "name", "target", F.col("arguments")["callees"].alias("callees"))
+
+
+@query(f"""with {_D} select root, dir || 'loop.py' as path, 4 as line, 'R' as name, 'agent' as component_type from f where k = 2""")
+def structural_agents(spark, d):
+    return extract.SCANNERS["structural"](_tree(spark, d, _DEEP)).select("root", "path", "line", "name", "component_type")
+
+
+@query(f"""with {_D} select root, dir || case k when 3 then 'w.gguf' when 4 then 'm.onnx' else 'k.keras' end as path, case k when 3 then 'gguf' when 4 then 'onnx' else 'keras' end as format, k = 3 as verified, case when k = 3 and p_partkey % 2 = 1 then 3 end as version from f where k >= 3""")
+def model_file_headers(spark, d):
+    raw = F.when((F.col("path").endswith(".gguf")) & F.col("path").rlike(r"^p\d*[13579]/"), F.unhex(F.lit("4747554603000000"))).otherwise(F.col("content").cast("binary"))
+    return S.model_headers(_tree(spark, d, _DEEP).withColumn("raw", raw)).select("root", "path", "format", "verified", "version")
+
+
+@query(f"""with {_D} select kind, count(*) as n from (select unnest(['import', 'import', 'call', 'call', 'assignment']) as kind from f where k = 2 and p_partkey = 2) group by 1""")
+def one_file_analysis(spark, d):
+    return extract.analysis(_tree(spark, d, _DEEP), "p2/loop.py").groupBy("kind").agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inventra.functions.text import canonical_source
+
 MOST_BYTES, MOST_MATCHES, CONTEXT = 1_000_000, 100, 200
 
 
@@ -107,3 +109,23 @@ def search_text(files: DataFrame, pattern: str, most: int = MOST_MATCHES) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "line", "match", "context"])
 
     return own.select("path", "content").mapInArrow(run, "path string, line long, match string, context string").orderBy("path", "line").limit(most)
+
+
+def payloads(c: DataFrame, sources: DataFrame) -> DataFrame:
+    """One report per source: how many assets of which types, and its canonical
+    reference by kind."""
+    sums = c.groupBy("source").agg(F.count("*").alias("assets"), F.array_sort(F.collect_set("component_type")).alias("kinds"))
+    return sums.join(sources.select("source", canonical_source(F.col("ref"), F.col("kind")).alias("source_ref_canonical")), "source")
+
+
+def package_info(asked: DataFrame, info: DataFrame) -> DataFrame:
+    """What a table of packages says of those that are asked for."""
+    return asked.join(info, ["ecosystem", "name"])
+
+
+def verified(table: DataFrame, rows: int, digest: str) -> DataFrame:
+    """One row: whether a table has as many rows as its manifest says, and the
+    digest: the sum of its rows' checksums, whatever their order."""
+    each = F.conv(F.substring(F.sha2(F.to_json(F.struct(*table.columns)), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = table.agg(F.count("*").alias("n_rows"), F.sha2(F.coalesce(F.sum(each), F.lit(0)).cast("string"), 256).alias("digest"))
+    return sums.select((F.col("n_rows") == rows).alias("rows_match"), (F.col("digest") == digest).alias("hash_match"), "n_rows", "digest")

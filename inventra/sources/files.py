@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from inventra.functions.text import OPERATORS, in_skipped_dir
+from inventra.functions.text import OPERATORS, in_skipped_dir, normal_path
 
 
 def read_tree(spark: SparkSession, roots: list[str], excludes: list[str] = (), ignore: list[str] = ()) -> DataFrame:
@@ -215,6 +215,11 @@ def parse_manifest(root: str, path: str, content: str):
         for k, v in (json.loads(content).get("packages") or {}).items():
             if "node_modules/" in k:
                 yield k.rsplit("node_modules/", 1)[1], v.get("version", ""), 0, v.get("version"), "npm"
+    elif name == "pnpm-lock.yaml":
+        for k in next(iter(yaml_documents(content)), {}).get("packages") or {}:
+            m = re.match(r"/?(@?[^@(]+)@([^(]+)", str(k))
+            if m:
+                yield m[1], m[2], at(str(k)), m[2], "npm"
     elif name == "yarn.lock":
         for m in re.finditer(r'^"?(@?[^@\s"]+)@[^\n]*:\n\s+version "?([^"\s]+)', content, re.M):
             yield m[1], m[2], content.count("\n", 0, m.start()) + 1, m[2], "npm"
@@ -241,11 +246,36 @@ def parse_manifest(root: str, path: str, content: str):
             yield m[1], m[2] or "", content.count("\n", 0, m.start()) + 1, m[2], "nuget"
 
 
-MANIFESTS = r"(^|/)(requirements[^/]*\.txt|pyproject\.toml|Pipfile|poetry\.lock|uv\.lock|setup\.(py|cfg)|package(-lock)?\.json|yarn\.lock|Cargo\.toml|go\.mod|Gemfile|pom\.xml|build\.gradle(\.kts)?|[^/]*\.csproj)$"
+MANIFESTS = r"(^|/)(requirements[^/]*\.txt|pyproject\.toml|Pipfile|poetry\.lock|uv\.lock|setup\.(py|cfg)|package(-lock)?\.json|pnpm-lock\.yaml|yarn\.lock|Cargo\.toml|go\.mod|Gemfile|pom\.xml|build\.gradle(\.kts)?|[^/]*\.csproj)$"
 
 
-def manifests(files: DataFrame) -> DataFrame:
-    return parsed(files.where(F.col("path").rlike(MANIFESTS)), parse_manifest, "name string, spec string, line int, pin string, ecosystem string")
+_DEPENDENCY = "name string, spec string, line int, pin string, ecosystem string"
+
+
+def included_requirements(files: DataFrame, depth: int = 8) -> DataFrame:
+    """Files that requirement files include (``-r``), directly or by others, and
+    that aren't manifests by their own name.  Each is visited once."""
+    here = files.select("root", "path", "content")
+    seen = here.where(F.col("path").rlike(r"(^|/)requirements[^/]*\.txt$"))
+    now, out = seen, here.limit(0)
+    for _ in range(depth):
+        line = F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:-r|--requirement)\s+(\S+)"), F.lit(1)))
+        asked = now.select("root", F.regexp_replace("path", "[^/]*$", "").alias("dir"), line.alias("to"))
+        asked = asked.select("root", normal_path(F.concat("dir", "to")).alias("path")).distinct().join(seen.select("root", "path"), ["root", "path"], "left_anti")
+        now = here.join(asked, ["root", "path"], "left_semi")
+        if now.isEmpty():
+            break
+        out, seen = out.unionByName(now), seen.select("root", "path", "content").unionByName(now)
+    return out.where(~F.col("path").rlike(MANIFESTS))
+
+
+def manifests(files: DataFrame, includes: bool = True) -> DataFrame:
+    """Dependencies of manifests, and of what requirement files include."""
+    own = files.select("root", "path", "content").where(F.col("path").rlike(MANIFESTS))
+    found = parsed(own, parse_manifest, _DEPENDENCY)
+    if not includes:
+        return found
+    return found.unionByName(parsed(included_requirements(files), lambda root, path, content: parse_manifest(root, "requirements.txt", content), _DEPENDENCY))
 
 
 def parse_local_deps(root: str, path: str, content: str):
@@ -358,17 +388,41 @@ def cloud_resources(files: DataFrame) -> DataFrame:
     return parsed(files.where(F.col("path").rlike(r"\.(tf|bicep|json|ya?ml)$") & F.col("content").rlike("|".join(["(?i)resource"]))), parse, "name string, component_type string, resource string, line int")
 
 
+# Formats of model files by extension.
+MODEL_FORMATS = {".safetensors": "safetensors", ".gguf": "gguf", ".onnx": "onnx", ".pt": "pytorch", ".pth": "pytorch", ".bin": "pytorch", ".h5": "tensorflow", ".pb": "tensorflow", ".tflite": "tflite", ".keras": "keras", ".mlmodel": "coreml"}
+#: Bytes of a header that is read.
+HEADER = 10 * 1024 * 1024
+
+
+def model_headers(files: DataFrame) -> DataFrame:
+    """Model files with their format and what their first bytes say: verified
+    (safetensors with a header of JSON, GGUF and ONNX with their magic), the GGUF
+    version, and the length of a safetensors header (null beyond ``HEADER``)."""
+    ext, raw = extension(), F.col("raw")
+    kind = F.lit(None).cast("string")
+    for e, name in MODEL_FORMATS.items():
+        kind = F.when(ext == e, name).otherwise(kind)
+    number = lambda at, n: F.conv(F.concat(*(F.hex(F.substring(raw, at + i, 1)) for i in reversed(range(n)))), 16, 10).cast("decimal(20,0)")
+    size = F.when((kind == "safetensors") & (F.length(raw) >= 8), number(1, 8))
+    size = F.when(size <= HEADER, size.cast("long"))
+    magic = F.hex(F.substring(raw, 1, 4))
+    verified = F.when(kind == "safetensors", F.coalesce(F.hex(F.substring(raw, 9, 1)) == "7B", F.lit(False)) & size.isNotNull()).when(kind == "gguf", magic == "47475546").when(kind == "onnx", (F.length(raw) >= 2) & magic.startswith("08"))
+    version = F.when((kind == "gguf") & (magic == "47475546") & (F.length(raw) >= 8), number(5, 4).cast("long"))
+    return files.select("root", "path", kind.alias("format"), F.coalesce(verified, F.lit(False)).alias("verified"), version.alias("version"), size.alias("header_bytes")).where("format is not null")
+
+
 def binary_assets(files: DataFrame) -> DataFrame:
     """Model and data files by their first bytes, with a confidence."""
-    head = F.substring(F.col("raw"), 1, 16)
-    text, ext = F.upper(F.hex(head)), extension()
+    text, ext = F.upper(F.hex(F.substring(F.col("raw"), 1, 16))), extension()
     begins = lambda s: text.startswith(s.encode().hex().upper())
     first = F.split_part(F.col("content"), F.lit("\n"), F.lit(1))
     table = F.size(F.filter(F.split(first, F.when(ext == ".tsv", "\t").otherwise(",")), lambda x: F.trim(x) != "")) >= 2
-    kind = F.when((ext == ".safetensors") & (F.substring(F.hex(F.substring(F.col("raw"), 9, 1)), 1, 2) == "7B"), "model_artifact").when((ext == ".gguf") & begins("GGUF"), "model_artifact").when((ext == ".onnx") & text.startswith("08"), "model_artifact")
-    kind = kind.when(ext.isin(".pt", ".pth", ".ckpt", ".h5", ".pkl", ".joblib", ".bin", ".tflite"), "model_artifact")
-    kind = kind.when((ext == ".parquet") & begins("PAR1"), "dataset").when(ext.isin(".arrow", ".feather") & begins("ARROW1"), "dataset").when(ext.isin(".csv", ".tsv") & table, "dataset").when((ext == ".jsonl") & first.rlike(r"^\s*\{.*\}\s*$"), "dataset").when(ext == ".tfrecord", "dataset")
-    return files.select("root", "path", F.element_at(F.split("path", "/"), -1).alias("name"), kind.alias("component_type"), F.when(ext == ".tfrecord", 0.7).otherwise(0.9).alias("confidence")).where("component_type is not null")
+    kind = F.when((ext == ".parquet") & begins("PAR1"), "dataset").when(ext.isin(".arrow", ".feather") & begins("ARROW1"), "dataset").when(ext.isin(".csv", ".tsv") & table, "dataset").when((ext == ".jsonl") & first.rlike(r"^\s*\{.*\}\s*$"), "dataset").when(ext == ".tfrecord", "dataset")
+    data = files.select("root", "path", kind.alias("component_type"), F.when(ext == ".tfrecord", 0.7).otherwise(0.9).alias("confidence")).where("component_type is not null")
+    # What has a magic must show it; other formats go by their name, less surely.
+    checked = F.col("format").isin("safetensors", "gguf", "onnx")
+    models = model_headers(files).where(F.col("verified") | ~checked).select("root", "path", F.lit("model_artifact").alias("component_type"), F.when(checked, 0.9).otherwise(0.7).alias("confidence"))
+    return data.unionByName(models).withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
 def load_custom_catalogue(text: str) -> dict:

@@ -37,7 +37,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inventra.llm import blocks as B
@@ -49,6 +49,8 @@ from inventra.llm.words import U, shingles
 CELL = 1024
 #: The weight of a long list's lookups against the merge, as published.
 MU = 0.0085
+#: Parts that the rows of a shingle are dealt into where they are joined, as bits of a mask.
+SALTS = 64
 _LOW = U(0xFFFFFFFF)
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -319,12 +321,24 @@ def _search(percent: int):
     return run
 
 
+def _told(rows: DataFrame, keys: list[str], found: dict[str, Column], where: str) -> DataFrame:
+    """Rows with ``found`` (aggregates by ``keys``) of their keys, where ``where``
+    holds of those.  A key's rows are never in one task: they are aggregated
+    before they are shuffled, and joined by parts; only the parts that a key has
+    are told."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))).alias("_mask")
+    whole = salted.groupBy(*keys).agg(*(c.alias(name) for name, c in found.items()), mask).where(where)
+    parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("_mask", i) == 1)
+    return salted.join(whole.select(*keys, *found, F.explode(parts).alias("salt")), [*keys, "salt"]).drop("salt")
+
+
 def _met(postings: DataFrame, sets: DataFrame, percent: int, cell: int) -> DataFrame:
     """Edges of the documents that meet in ``postings`` (token, rep, cluster):
     neighbourhoods of lists that share documents, each searched in blocks of an
     index cell and a chunk of queries."""
-    least = postings.groupBy("token").agg(F.min("rep").alias("b"))
-    hood = components(postings.join(least, "token").select(F.col("rep").alias("a"), "b").distinct())
+    least = _told(postings, ["token"], {"b": F.min("rep")}, "true")
+    hood = components(least.select(F.col("rep").alias("a"), "b").distinct())
     docs = postings.select("rep", "cluster").distinct().join(hood.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("root", "rep").alias("label"))
     clusters = docs.groupBy("label", "cluster").agg(F.count("*").alias("n"))
     shape = clusters.groupBy("label").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("largest")).where("all > largest")
@@ -359,14 +373,14 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_compared(percent), "a long, b long")
 
     band = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n"))
-    lead = band.groupBy("token", "band").agg(F.min("rep").alias("b"), F.count("*").alias("many")).where("many > 1").drop("many")
-    pairs = band.join(lead, ["token", "band"]).where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("many"))
+    lead = _told(band, ["token", "band"], {"b": F.min("rep"), "other": F.max("rep")}, "b < other")
+    pairs = lead.where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("many"))
     star = stored(compared(pairs.groupBy("a").agg(F.max_by("b", F.struct("many", F.bitwise_not("b"))).alias("b"))))
 
     cluster = components(star)
     postings = postings.join(cluster.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("root", "rep").alias("cluster"))
-    mixed = postings.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high")
-    mixed = stored(postings.join(mixed.select("token"), "token").select("token", "rep", "cluster"))
+    mixed = _told(postings, ["token"], {"low": F.min("cluster"), "high": F.max("cluster")}, "low < high")
+    mixed = stored(mixed.select("token", "rep", "cluster"))
     edges = star.unionByName(_met(mixed, sets, percent, cell))
 
     own = found.where("n_shingles > 0 and doc_id is not null")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inventra.catalogue import _edges, _inventory, _t, query
-from inventra.catalogue import _INV
+from inventra.catalogue import _INV, _edges, _inventory, _t, query
 from inventra.operators import agentic, compare, dedup, extract, joins, links, scope, search
 from inventra.plans import assess
 
-_K = F.col("p_partkey")
+
+def _k():
+    return F.col("p_partkey")
 
 
 def _md(**said):
@@ -25,22 +26,22 @@ def _parts(spark, d, *columns):
 @query("""with c as (select p_partkey as k, p_partkey % 2 = 0 as model, p_partkey % 3 = 0 as blank, p_partkey % 5 as m from part)
 select k as p_partkey from c where not (model and blank and m in (0, 1, 2)) and not (model and blank and m = 3)""")
 def unresolved_models(spark, d):
-    m = _K % 5
+    m = _k() % 5
     md = _md(partial_kb_id=F.when(m == 0, "x"), kb_id=F.when(m == 1, "y"), detection_method=F.when(m == 2, "bare_provider_client"), env=F.lit("E"))
-    c = _parts(spark, d, F.when(_K % 2 == 0, "model").otherwise("tool").alias("component_type"), F.when(_K % 3 == 0, "").otherwise("m").alias("model_name"), md.alias("metadata"), F.when(m == 3, "kb_enrichment").alias("detection_source"), F.when(m == 3, "class").alias("kb_label"), F.when(m == 3, "model").alias("kb_concept"))
+    c = _parts(spark, d, F.when(_k() % 2 == 0, "model").otherwise("tool").alias("component_type"), F.when(_k() % 3 == 0, "").otherwise("m").alias("model_name"), md.alias("metadata"), F.when(m == 3, "kb_enrichment").alias("detection_source"), F.when(m == 3, "class").alias("kb_label"), F.when(m == 3, "model").alias("kb_concept"))
     return scope.without_unresolved_classes(scope.without_unresolved_candidates(c)).select("p_partkey")
 
 
 @query("""select p_partkey % 7 = 0 as held, count(*) as n from part group by 1""")
 def review_split(spark, d):
-    c = _parts(spark, d, F.when(_K % 7 == 0, "secret").otherwise("tool").alias("component_type"))
+    c = _parts(spark, d, F.when(_k() % 7 == 0, "secret").otherwise("tool").alias("component_type"))
     to, held = scope.secrets_apart(c)
     return to.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True))).groupBy("held").agg(F.count("*").alias("n"))
 
 
 @query("""select p_partkey from part where p_partkey % 3 <> 0 and p_partkey % 5 <> 0 and p_partkey % 4 <> 1""")
 def bom_scope(spark, d):
-    c = _parts(spark, d, F.when(_K % 3 == 0, True).when(_K % 3 == 1, False).alias("test_only"), (_K % 5 == 0).alias("needs_agentic"), F.when(_K % 4 == 1, "tests/a.py").when(_K % 4 == 2, "").otherwise("src/a.py").alias("file_path"))
+    c = _parts(spark, d, F.when(_k() % 3 == 0, True).when(_k() % 3 == 1, False).alias("test_only"), (_k() % 5 == 0).alias("needs_agentic"), F.when(_k() % 4 == 1, "tests/a.py").when(_k() % 4 == 2, "").otherwise("src/a.py").alias("file_path"))
     return scope.flags_in_scope(scope.strict(scope.in_default_scope(c))).select("p_partkey")
 
 
@@ -51,10 +52,10 @@ _MODELS = (("OpenAILLM", False), ("gpt-4o", True), ("GPT", False), ("Gpt", True)
 tied as (select distinct {[n for n, _ in _MODELS]}[l_partkey % 9 + 1] as name from lineitem where l_partkey % 9 in (1, 4))
 select k as p_partkey from c where hint or not ((t = 'model' and not stays and not (name = 'env:LLM' and m = 1)) or (t = 'embedding' and m in (0, 3) and name not in (from tied)))""")
 def post_review_gates(spark, d):
-    m = _K % 4
-    name = F.element_at(F.array(*(F.lit(n) for n, _ in _MODELS)), (_K % 9 + 1).cast("int"))
-    kind = F.element_at(F.array(*map(F.lit, ("model", "embedding", "tool"))), (_K % 3 + 1).cast("int"))
-    c = _parts(spark, d, name.alias("name"), kind.alias("component_type"), F.when(m == 1, "own").when(m == 3, "").alias("model_name"), F.when(m == 2, "e").alias("embedding_model"), F.when(_K % 11 == 0, "failed").otherwise("").alias("agentic_hint"))
+    m = _k() % 4
+    name = F.element_at(F.array(*(F.lit(n) for n, _ in _MODELS)), (_k() % 9 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("model", "embedding", "tool"))), (_k() % 3 + 1).cast("int"))
+    c = _parts(spark, d, name.alias("name"), kind.alias("component_type"), F.when(m == 1, "own").when(m == 3, "").alias("model_name"), F.when(m == 2, "e").alias("embedding_model"), F.when(_k() % 11 == 0, "failed").otherwise("").alias("agentic_hint"))
     k = F.col("l_partkey") % 9
     r = _t(spark, d, "lineitem").where(k.isin(1, 4)).select(F.element_at(F.array(*(F.lit(n) for n, _ in _MODELS)), (k + 1).cast("int")).alias("source_name"), F.lit("USES_EMBEDDING").alias("relationship_type"))
     return scope.without_unresolved_embedders(scope.without_placeholders(scope.without_class_names(c)), r).select("p_partkey")
@@ -63,15 +64,15 @@ def post_review_gates(spark, d):
 @query("""with c as (select p_partkey as k, ['model', 'memory', 'agent', 'agent_proxy'][p_partkey % 4 + 1] as t, p_partkey % 3 = 0 as kb, p_partkey % 5 = 0 as known, p_partkey % 7 = 0 as hint, p_partkey % 6 as e, p_partkey % 10 = 0 as fresh, p_partkey % 8 = 3 as ok from part)
 select k as p_partkey from c where fresh or hint or not ((t = 'model' and kb and not known) or (t = 'memory' and kb and e <> 1) or (t in ('agent', 'agent_proxy') and e in (2, 3, 4) and not ok))""")
 def evidence_gate(spark, d):
-    e, t = _K % 6, F.element_at(F.array(*map(F.lit, ("model", "memory", "agent", "agent_proxy"))), (_K % 4 + 1).cast("int"))
-    base = lambda md, kind: _parts(spark, d, _K.cast("string").alias("instance_id"), F.concat(F.lit("n"), (_K % 5).cast("string")).alias("name"), kind.alias("component_type"), F.when(_K % 3 == 0, "kb_enrichment").otherwise("code_analysis").alias("detection_source"), F.lit("m").alias("model_name"), F.when(_K % 7 == 0, "failed").otherwise("").alias("agentic_hint"), md.alias("metadata"))
+    e, t = _k() % 6, F.element_at(F.array(*map(F.lit, ("model", "memory", "agent", "agent_proxy"))), (_k() % 4 + 1).cast("int"))
+    base = lambda md, kind: _parts(spark, d, _k().cast("string").alias("instance_id"), F.concat(F.lit("n"), (_k() % 5).cast("string")).alias("name"), kind.alias("component_type"), F.when(_k() % 3 == 0, "kb_enrichment").otherwise("code_analysis").alias("detection_source"), F.lit("m").alias("model_name"), F.when(_k() % 7 == 0, "failed").otherwise("").alias("agentic_hint"), md.alias("metadata"))
     agent = t.isin("agent", "agent_proxy")
-    before = base(_md(import_statement=F.when(e == 2, "import x"), b=F.lit("1")), F.when(agent & (e == 3), "tool").otherwise(t)).where(_K % 10 != 0)
+    before = base(_md(import_statement=F.when(e == 2, "import x"), b=F.lit("1")), F.when(agent & (e == 3), "tool").otherwise(t)).where(_k() % 10 != 0)
     after = base(_md(discovery=F.when(e == 4, "structural_react_loop"), import_statement=F.when(e == 2, "import x"), more=F.when(e == 1, "2"), b=F.lit("1")), t)
     # A discovery note changes the metadata, so memories that have one count as enriched: they get none.
     after = after.withColumn("metadata", F.when(t == "memory", F.map_filter("metadata", lambda k, _: k != "discovery")).otherwise(F.col("metadata")))
     known = spark.createDataFrame([("n0",)], "name string")
-    verified = _parts(spark, d).where("p_partkey % 8 = 3").select(_K.cast("string").alias("instance_id"))
+    verified = _parts(spark, d).where("p_partkey % 8 = 3").select(_k().cast("string").alias("instance_id"))
     return scope.evidence_gate(before, after, known, verified).select("p_partkey")
 
 
@@ -85,7 +86,7 @@ def repository_filters(spark, d):
 
 @query("""select p_partkey, p_partkey % 6 = 0 as ml, p_partkey % 6 = 1 as llm, p_partkey % 6 = 2 as mcp, p_partkey % 6 = 3 as cache, p_partkey % 6 in (0, 1, 2) as any from part""")
 def import_families(spark, d):
-    k = _K % 6
+    k = _k() % 6
     text = F.when(k == 0, "x = 1\n  import torch.nn as nn").when(k == 1, "from google.generativeai import x").when(k == 2, "import fastmcp").when(k == 3, "from redis import R").when(k == 4, "# import torchx\nimport torchx").otherwise("y = 'import os'")
     return _parts(spark, d, *(extract.imports_family(text, f).alias(f) for f in ("ml", "llm", "mcp", "cache")), extract.imports_any(text).alias("any"))
 
@@ -111,8 +112,8 @@ _SHARE = "select p_partkey as ord, 'r' || (p_partkey % 4) as repo, ['model', 'em
 
 
 def _sharing(spark, d):
-    kind = F.element_at(F.array(*map(F.lit, ("model", "embedding", "tool", "llm_endpoint", "vector_store"))), (_K % 5 + 1).cast("int"))
-    return _t(spark, d, "part").select(_K.alias("ord"), F.concat(F.lit("r"), (_K % 4).cast("string")).alias("repo"), kind.alias("component_type"), F.when(_K % 3 == 0, "").otherwise(F.col("p_type")).alias("model_name"), F.when(_K % 2 == 0, F.concat(F.lit("https://h/"), (F.col("p_size") % 20).cast("string"), F.lit("//"))).otherwise("n").alias("name"))
+    kind = F.element_at(F.array(*map(F.lit, ("model", "embedding", "tool", "llm_endpoint", "vector_store"))), (_k() % 5 + 1).cast("int"))
+    return _t(spark, d, "part").select(_k().alias("ord"), F.concat(F.lit("r"), (_k() % 4).cast("string")).alias("repo"), kind.alias("component_type"), F.when(_k() % 3 == 0, "").otherwise(F.col("p_type")).alias("model_name"), F.when(_k() % 2 == 0, F.concat(F.lit("https://h/"), (F.col("p_size") % 20).cast("string"), F.lit("//"))).otherwise("n").alias("name"))
 
 
 @query(f"""with c as ({_SHARE}) select m as key, count(distinct repo) as repos, string_agg(distinct repo, ',' order by repo) as repo_list, min(ord) as first_ord from c where t in ('model', 'embedding', 'llm_endpoint') and m <> '' group by 1 having count(distinct repo) >= 2""")
@@ -130,7 +131,7 @@ e as (select 'a' || p_partkey as source_name, 'r' || (p_size % 4) as agent_repo,
 select source_name, agent_repo, rt as relationship_type, m as model_name, repo as model_repo from e join s on tn = m where rt <> 'DEPENDS_ON' and agent and repo <> agent_repo""")
 def agent_model_links(spark, d):
     size = F.col("p_size")
-    e = _t(spark, d, "part").where("p_partkey % 25 = 0").select(F.concat(F.lit("a"), _K.cast("string")).alias("source_name"), F.concat(F.lit("r"), (size % 4).cast("string")).alias("agent_repo"), F.when(size % 3 == 0, "USES_TOOL").when(size % 3 == 1, "USES_MODEL").otherwise("DEPENDS_ON").alias("relationship_type"), F.col("p_type").alias("target_name"), F.when(_K % 2 == 0, "agent").otherwise("tool").alias("source_type"))
+    e = _t(spark, d, "part").where("p_partkey % 25 = 0").select(F.concat(F.lit("a"), _k().cast("string")).alias("source_name"), F.concat(F.lit("r"), (size % 4).cast("string")).alias("agent_repo"), F.when(size % 3 == 0, "USES_TOOL").when(size % 3 == 1, "USES_MODEL").otherwise("DEPENDS_ON").alias("relationship_type"), F.col("p_type").alias("target_name"), F.when(_k() % 2 == 0, "agent").otherwise("tool").alias("source_type"))
     return links.agent_models(links.shared_models(_sharing(spark, d)), e)
 
 
@@ -140,17 +141,17 @@ select p_partkey, case when hit and not starts_with(name, 'http') then v else na
 def endpoint_values(spark, d):
     s = F.col("s_suppkey")
     l = _t(spark, d, "supplier").select(F.concat(F.lit("v"), (s % 30).cast("string")).alias("var"), F.when(s % 3 == 0, "").otherwise(F.concat(F.lit("https://h/"), s.cast("string"))).alias("value"), s.alias("ord"))
-    kind = F.element_at(F.array(*map(F.lit, ("llm_endpoint", "vector_store", "model"))), (_K % 3 + 1).cast("int"))
-    c = _parts(spark, d, F.concat(F.lit("v"), (_K % 40).cast("string")).alias("var"), F.when(_K % 4 == 0, "https://own").otherwise("env:v").alias("name"), F.when(_K % 5 == 0, "m").alias("model_name"), kind.alias("component_type"), ((_K % 10) / 10).alias("heuristic_confidence"))
+    kind = F.element_at(F.array(*map(F.lit, ("llm_endpoint", "vector_store", "model"))), (_k() % 3 + 1).cast("int"))
+    c = _parts(spark, d, F.concat(F.lit("v"), (_k() % 40).cast("string")).alias("var"), F.when(_k() % 4 == 0, "https://own").otherwise("env:v").alias("name"), F.when(_k() % 5 == 0, "m").alias("model_name"), kind.alias("component_type"), ((_k() % 10) / 10).alias("heuristic_confidence"))
     return links.propagate_endpoints(c, l).select("p_partkey", "name", "model_name", "heuristic_confidence", "endpoint_url")
 
 
 @query("""with c as (select p_partkey, 'f' || (p_size % 6) as f, case when p_partkey % 4 = 0 then 'Cls' || (p_partkey % 9) else 'x' end as name, case when p_partkey % 4 = 0 then true end as imp, case when p_partkey % 7 = 0 then 'a.b.Cls' || (p_partkey % 9) when p_partkey % 7 = 1 then 'Cls' || (p_partkey % 9) end as made from part),
 seen as (select distinct f, split_part(made, '.', -1) as name from c where made is not null and imp is null) select p_partkey from c where not (imp is not null and (f, name) in (select (f, name) from seen))""")
 def superseded_imports(spark, d):
-    cls = F.concat(F.lit("Cls"), (_K % 9).cast("string"))
-    md = _md(import_statement=F.when(_K % 4 == 0, "from x import y"), call_pattern=F.when(_K % 7 == 0, F.concat(F.lit("a.b."), cls)), kb_id=F.when(_K % 7 == 1, cls))
-    c = _parts(spark, d, F.concat(F.lit("f"), (F.col("p_size") % 6).cast("string")).alias("file_path"), F.when(_K % 4 == 0, cls).otherwise("x").alias("name"), md.alias("metadata"))
+    cls = F.concat(F.lit("Cls"), (_k() % 9).cast("string"))
+    md = _md(import_statement=F.when(_k() % 4 == 0, "from x import y"), call_pattern=F.when(_k() % 7 == 0, F.concat(F.lit("a.b."), cls)), kb_id=F.when(_k() % 7 == 1, cls))
+    c = _parts(spark, d, F.concat(F.lit("f"), (F.col("p_size") % 6).cast("string")).alias("file_path"), F.when(_k() % 4 == 0, cls).otherwise("x").alias("name"), md.alias("metadata"))
     return joins.without_superseded_imports(c).select("p_partkey")
 
 
@@ -158,7 +159,7 @@ def superseded_imports(spark, d):
 select p_partkey from c where t <> 'mcp_client' union all select p_partkey from (select *, row_number() over (partition by f, line order by marked desc, name = 'stdio_client' desc, confidence desc, p_partkey) as rn from c where t = 'mcp_client') where rn = 1""")
 def mcp_client_sites(spark, d):
     size = F.col("p_size")
-    c = _parts(spark, d, F.when(_K % 3 == 0, "mcp_client").otherwise("tool").alias("component_type"), F.concat(F.lit("f"), (size % 8).cast("string")).alias("file_path"), (size % 5).alias("line_number"), F.when(_K % 2 == 0, "stdio_client").otherwise(F.concat(F.lit("w"), _K.cast("string"))).alias("name"), (_K % 6 == 0).alias("marked"), F.col("p_retailprice").alias("confidence"), _K.alias("ord"))
+    c = _parts(spark, d, F.when(_k() % 3 == 0, "mcp_client").otherwise("tool").alias("component_type"), F.concat(F.lit("f"), (size % 8).cast("string")).alias("file_path"), (size % 5).alias("line_number"), F.when(_k() % 2 == 0, "stdio_client").otherwise(F.concat(F.lit("w"), _k().cast("string"))).alias("name"), (_k() % 6 == 0).alias("marked"), F.col("p_retailprice").alias("confidence"), _k().alias("ord"))
     return dedup.mcp_clients(c).select("p_partkey")
 
 
@@ -169,7 +170,7 @@ select p_partkey, tech as store_technology, n as consolidated_count, any_needs a
 def vector_store_sites(spark, d):
     size = F.col("p_size")
     e = (size % 3).cast("string")
-    c = _parts(spark, d, F.when(_K % 3 == 0, "vector_store").otherwise("tool").alias("component_type"), F.when(_K % 2 == 0, "My FAISS").otherwise("redis-x").alias("name"), F.lit("").alias("model_name"), F.create_map(F.lit("x"), F.lit("y")).alias("metadata"), F.concat(F.when(_K % 5 == 0, "tests/").otherwise(""), F.lit("f"), (size % 4).cast("string")).alias("file_path"), (size % 6).alias("line_number"), F.col("p_retailprice").alias("confidence"), (_K % 7 == 0).alias("needs_agentic"), _K.alias("ord"), F.array(F.struct(F.concat(F.lit("g"), e).alias("file"), (size % 3).alias("line"))).alias("evidence"))
+    c = _parts(spark, d, F.when(_k() % 3 == 0, "vector_store").otherwise("tool").alias("component_type"), F.when(_k() % 2 == 0, "My FAISS").otherwise("redis-x").alias("name"), F.lit("").alias("model_name"), F.create_map(F.lit("x"), F.lit("y")).alias("metadata"), F.concat(F.when(_k() % 5 == 0, "tests/").otherwise(""), F.lit("f"), (size % 4).cast("string")).alias("file_path"), (size % 6).alias("line_number"), F.col("p_retailprice").alias("confidence"), (_k() % 7 == 0).alias("needs_agentic"), _k().alias("ord"), F.array(F.struct(F.concat(F.lit("g"), e).alias("file"), (size % 3).alias("line"))).alias("evidence"))
     out = dedup.vector_stores(c)
     return out.select("p_partkey", "store_technology", "consolidated_count", "needs_agentic", F.concat_ws(",", F.transform("evidence", lambda x: F.concat_ws(":", x["file"], x["line"].cast("string")))).alias("evidence"))
 
@@ -190,7 +191,7 @@ def guard_coverage(spark, d):
 select e as ecosystem, n as name, max(r) as worst, count(*) as advisories, [1, 5, 10, 20, 25][max(r) + 1] as weight from a join q using (e, n) group by 1, 2""")
 def vulnerability_rollup(spark, d):
     p = _t(spark, d, "part")
-    severity = F.element_at(F.array(*map(F.lit, ("info", "low", "medium", "high", "critical"))), (_K % 5 + 1).cast("int"))
+    severity = F.element_at(F.array(*map(F.lit, ("info", "low", "medium", "high", "critical"))), (_k() % 5 + 1).cast("int"))
     adv = p.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("ecosystem"), F.col("p_size").alias("name"), F.lit("1").alias("version"), severity.alias("severity"))
     own = p.where("p_size < 30").select(F.col("p_brand").alias("ecosystem"), F.col("p_size").alias("name"), F.lit("1").alias("version")).distinct()
     return assess.vulnerabilities(own, adv).select("ecosystem", "name", "worst", "advisories", "weight")
@@ -221,7 +222,7 @@ def decision_scores(spark, d):
 
 @query("""select case when p_partkey % 3 = 0 then 'unspecified' else p_brand end as reason, count(*) as n from part where p_partkey % 2 = 0 group by 1""")
 def degradation_reasons(spark, d):
-    c = _parts(spark, d, (_K % 2 == 0).alias("needs_agentic"), F.when(_K % 3 == 0, "").otherwise(F.col("p_brand")).alias("agentic_hint"))
+    c = _parts(spark, d, (_k() % 2 == 0).alias("needs_agentic"), F.when(_k() % 3 == 0, "").otherwise(F.col("p_brand")).alias("agentic_hint"))
     return scope.degradations(c)
 
 
@@ -236,14 +237,14 @@ def verdict_keys(spark, d):
 
 @query("""select lower(trim(p_name)) as key, p_type as component_type, arg_max(case when p_size % 2 = 0 then 'keep' else 'remove' end, p_partkey) as verdict from part group by 1, 2""")
 def verdict_memo(spark, d):
-    v = _t(spark, d, "part").select(F.concat(F.lit(" "), F.upper("p_name")).alias("name"), F.col("p_type").alias("component_type"), F.when(F.col("p_size") % 2 == 0, "keep").otherwise("remove").alias("verdict"), F.lit("x").alias("new_type"), _K.alias("ord"))
+    v = _t(spark, d, "part").select(F.concat(F.lit(" "), F.upper("p_name")).alias("name"), F.col("p_type").alias("component_type"), F.when(F.col("p_size") % 2 == 0, "keep").otherwise("remove").alias("verdict"), F.lit("x").alias("new_type"), _k().alias("ord"))
     return agentic.memo(v).select("key", "component_type", "verdict")
 
 
 @query("""select p_partkey, case p_partkey % 6 when 0 then 'verified' when 1 then 'repaired' when 2 then 'rejected' when 3 then 'repaired' else 'rejected' end as status, case p_partkey % 6 when 2 then 'ambiguous' when 4 then 'lines' when 5 then 'pattern' else '' end as reason, case p_partkey % 6 when 0 then 2 when 1 then 2 when 3 then 1 end as line, case p_partkey % 6 when 0 then 2 when 1 then 2 when 3 then 2 end as last_line from part""")
 def agent_evidence(spark, d):
-    k = _K % 6
-    name = F.concat(F.lit("p"), _K.cast("string"))
+    k = _k() % 6
+    name = F.concat(F.lit("p"), _k().cast("string"))
     files = _t(spark, d, "part").select(name.alias("path"), F.concat(F.lit("def  agent(x):\n  loop "), name, F.lit("\nreturn\nreturn")).alias("content"))
     want = F.when(k <= 1, F.concat(F.lit("loop  "), name)).when(k == 2, "return").when(k == 3, F.concat(F.lit("agent(x): loop "), name)).when(k == 4, "absent").otherwise("loop")
     cited = _parts(spark, d, name.alias("path"), want.alias("snippet"), F.when(k == 0, 2).when(k == 4, 9).otherwise(1).alias("start_line"), F.when(k == 0, 2).when(k == 4, 9).otherwise(1).alias("end_line"), F.when(k == 5, "odd").otherwise("react_loop").alias("pattern"))
@@ -274,7 +275,7 @@ def relationship_totals(spark, d):
 @query("""select distinct unnest(case when contains(s, '.') then [s, split_part(s, '.', -1), 'Cls' || p_size] else [s] end) as symbol from (select p_size, case when p_partkey % 2 = 0 then 'pkg.Cls' || p_size || '.run' else 'f' || p_size end as s from part)""")
 def catalogue_probes(spark, d):
     size = F.col("p_size").cast("string")
-    return joins.probes(_t(spark, d, "part").select(F.when(_K % 2 == 0, F.concat(F.lit("pkg.Cls"), size, F.lit(".run"))).otherwise(F.concat(F.lit("f"), size)).alias("symbol")))
+    return joins.probes(_t(spark, d, "part").select(F.when(_k() % 2 == 0, F.concat(F.lit("pkg.Cls"), size, F.lit(".run"))).otherwise(F.concat(F.lit("f"), size)).alias("symbol")))
 
 
 @query("""select c_nationkey as source, count(*) as assets, string_agg(distinct c_mktsegment, ',' order by c_mktsegment) as kinds, max(case when c_nationkey % 2 = 0 then 'host/' || c_nationkey else 'docker.io/library/n' || c_nationkey end) as source_ref_canonical from customer group by 1""")

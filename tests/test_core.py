@@ -210,3 +210,13 @@ def test_watch(spark, tmp_path):
 def test_every_oracle_has_a_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
     assert Row
+
+
+def test_entry_without_a_session():
+    """The entry module names its queries and their SQL before Spark is started."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert o and set(o) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True, timeout=120)

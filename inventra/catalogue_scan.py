@@ -220,3 +220,13 @@ def model_file_headers(spark, d):
 @query(f"""with {_D} select kind, count(*) as n from (select unnest(['import', 'import', 'call', 'call', 'assignment']) as kind from f where k = 2 and p_partkey = 2) group by 1""")
 def one_file_analysis(spark, d):
     return extract.analysis(_tree(spark, d, _DEEP), "p2/loop.py").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_MADE = (("made.py", "from langchain_openai import ChatOpenAI as C\nimport crewai\nfrom mcp.server.fastmcp import FastMCP\nfrom other import Agent\nllm = C(model='m%d')\nlead = crewai.Agent(name='lead%d', llm=llm)\nmcp = FastMCP('srv')\n@mcp.tool()\ndef look(): pass\nx = llm.bind(a=1)\nn = crewai.chains.LLMChain()\nz = Agent(name='z')\nwith C() as y: pass\nfar = faraway.Agent()\n"),)
+_CATALOGUE = [("langchain_openai.ChatOpenAI", "model", "class", "langchain_openai"), ("langchain_openai.ChatOpenAI.bind", "model", "Method", "langchain_openai"), ("crewai.Agent", "Agent", "class", "crewai"), ("crewai.chains.LLMChain", "agent", "class", "crewai"), ("mcp.server.fastmcp.FastMCP", "mcp_server", "class", "mcp"), ("mcp.server.fastmcp.FastMCP.tool", "tool", "decorator", "mcp"), ("crewai.Nothing", "unknown", "class", "crewai")]
+
+
+@query(f"""with {_D} select root, dir || 'made.py' as path, unnest([5, 6, 7, 8, 13, 14]) as line, unnest(['langchain_openai.ChatOpenAI', 'lead' || s, 'srv', 'look', 'langchain_openai.ChatOpenAI', 'Agent']) as name, unnest(['model', 'agent', 'mcp_server', 'tool', 'model', 'model']) as component_type, unnest(['langchain_openai', 'crewai', 'mcp', 'mcp', 'langchain_openai', 'faraway']) as framework, unnest([0.8, 0.8, 0.8, 0.8, 0.8, 0.3]) as confidence from f where k = 0""")
+def catalogue_assets(spark, d):
+    k = spark.createDataFrame(_CATALOGUE, "id string, concept string, label string, framework string")
+    return extract.catalogue_assets(_tree(spark, d, _MADE + (("x.py", ""),) * 5), k).select("root", "path", "line", "name", "component_type", "framework", "confidence")

@@ -49,7 +49,8 @@ from inventra.llm.words import U, shingles
 CELL = 1024
 #: The weight of a long list's lookups against the merge, as published.
 MU = 0.0085
-#: Parts that the rows of a shingle are dealt into where they are joined, as bits of a mask.
+#: Parts that the rows of a shingle, or a text's copies, are dealt into where they
+#: are joined, as bits of a mask.
 SALTS = 64
 _LOW = U(0xFFFFFFFF)
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
@@ -384,7 +385,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     edges = star.unionByName(_met(mixed, sets, percent, cell))
 
     own = found.where("n_shingles > 0 and doc_id is not null")
-    copies = own.select("sig", "doc_id").join(own.groupBy("sig").agg(F.min("doc_id").alias("least")), "sig").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    copies = _told(own.select("sig", F.col("doc_id").alias("rep")), ["sig"], {"b": F.min("rep"), "other": F.max("rep")}, "b < other").where("rep <> b").select(F.col("rep").alias("a"), "b")
     root = components(edges.unionByName(copies))
     out = found.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

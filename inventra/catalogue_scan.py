@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inventra.catalogue import _t, query
-from inventra.operators import extract
+from inventra.operators import anchors, extract
 from inventra.sources import files as S
 
 _REQUIREMENTS = "openai==1.%d.0\nflask>=2\nLangChain_Core[all]>=0.1 ; x\n# c\n-r other.txt\ntorch # later\n"
@@ -230,3 +230,17 @@ _CATALOGUE = [("langchain_openai.ChatOpenAI", "model", "class", "langchain_opena
 def catalogue_assets(spark, d):
     k = spark.createDataFrame(_CATALOGUE, "id string, concept string, label string, framework string")
     return extract.catalogue_assets(_tree(spark, d, _MADE + (("x.py", ""),) * 5), k).select("root", "path", "line", "name", "component_type", "framework", "confidence")
+
+
+_APP = "from lib import go\nfrom q import *\ndef one(): pass\n@tool\n# c\ndef two(): pass\nmk = make()\nlst = []\ndef f(p):\n    agent(tools=[one, lst, p, mk, go])\n    add_tool(go)\n    def one(): pass\n"
+_TOOLS = [(1, "app.py", 4, "two", None), (2, "app.py", 10, "one", anchors.KWARG), (3, "app.py", 10, "lst", anchors.KWARG), (4, "app.py", 10, "p", anchors.KWARG), (5, "app.py", 10, "mk", anchors.KWARG), (6, "app.py", 10, "go", anchors.KWARG), (7, "app.py", 11, "go", "add_tool(go)"), (8, "app.py", 3, "one", None), (9, "app.py", 11, "two", None), (10, "x.ts", 4, "two", None)]
+
+
+@query("""with f as (select p_partkey as k, 'p' || p_partkey || '/' as dir from part where p_partkey % 50 = 0) select k * 100 + i as id, dir || case i when 7 then 'lib/inner.py' when 10 then 'x.ts' else 'app.py' end as path, case i when 1 then 6 when 2 then 2 when 5 then 10 when 6 then 1 when 7 then 1 when 8 then 3 when 9 then 6 else 4 end as line, case when i in (2, 6) then 'import' end as anchor, case when i = 7 then dir || 'app.py' end as reported_path, case i when 1 then 4 when 2 then 10 when 6 then 10 when 7 then 11 when 9 then 11 end as reported_line from (select *, unnest([1, 2, 5, 6, 7, 8, 9, 10]) as i from f)""")
+def tool_anchors(spark, d):
+    k = F.col("p_partkey")
+    part = _t(spark, d, "part").where(k % 50 == 0).select(k.alias("k"), F.concat(F.lit("p"), k.cast("string"), F.lit("/")).alias("dir"))
+    kinds = [("app.py", _APP), ("lib/__init__.py", "from .inner import go\n"), ("lib/inner.py", "def go(): pass\n")]
+    files = part.select(F.lit("r").alias("root"), "dir", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(c).alias("content")) for p, c in kinds))).alias("f")).select("root", F.concat("dir", "f.p").alias("path"), "f.content")
+    tools = part.select("k", "dir", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(n).alias("line"), F.lit(name).alias("name"), F.lit(via).cast("string").alias("via")) for i, p, n, name, via in _TOOLS))).alias("t"))
+    return anchors.aligned(tools.select((F.col("k") * 100 + F.col("t.i")).alias("id"), F.lit("r").alias("root"), F.concat("dir", "t.p").alias("path"), "t.line", "t.name", "t.via"), files)

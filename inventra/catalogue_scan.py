@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inventra.catalogue import _t, query
-from inventra.operators import anchors, extract
+from inventra.operators import anchors, derive, extract
 from inventra.sources import files as S
 
 _REQUIREMENTS = "openai==1.%d.0\nflask>=2\nLangChain_Core[all]>=0.1 ; x\n# c\n-r other.txt\ntorch # later\n"
@@ -244,3 +244,17 @@ def tool_anchors(spark, d):
     files = part.select(F.lit("r").alias("root"), "dir", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(c).alias("content")) for p, c in kinds))).alias("f")).select("root", F.concat("dir", "f.p").alias("path"), "f.content")
     tools = part.select("k", "dir", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(n).alias("line"), F.lit(name).alias("name"), F.lit(via).cast("string").alias("via")) for i, p, n, name, via in _TOOLS))).alias("t"))
     return anchors.aligned(tools.select((F.col("k") * 100 + F.col("t.i")).alias("id"), F.lit("r").alias("root"), F.concat("dir", "t.p").alias("path"), "t.line", "t.name", "t.via"), files)
+
+
+@query("""select p_partkey as agent, case p_partkey % 5 when 0 then 'llm' when 2 then 'memory' else 'tools' end as slot, case p_partkey % 5 when 0 then 'v' when 1 then 'b' when 2 then 'T' else 'Node' || p_partkey end as reference from part where p_partkey % 5 < 4""")
+def graph_wiring(spark, d):
+    k, p = F.col("p_partkey"), _t(spark, d, "part").select("p_partkey")
+    n = k.cast("string")
+    by = lambda *values: F.element_at(F.array(*(v if not isinstance(v, str) else F.lit(v) for v in values)), (k % 5 + 1).cast("int"))
+    file = F.concat(F.lit("f"), n, F.lit(".py"))
+    nodes = p.select(k.alias("agent"), file.alias("file_path"), by("v", "fn", "T", F.concat(F.lit("Node"), n), "none").alias("ref"), by("ref", "ref", "inner", "call", "ref").alias("kind"))
+    c = p.select(k.alias("instance_id"), by("chat_model", "tool", "memory", "tool", "agent").alias("category"), by("X", F.concat(F.lit("pkg.Tool"), n), "M", F.concat(F.lit("lg.Node"), n), "A").alias("name"), by("v", "", "T", "", "").alias("assigned_target"),
+                 by(file, "x.py", F.concat(F.lit("src/m"), n, F.lit("/tools.py")), "x.py", "x.py").alias("file_path"), k.alias("ord"))
+    imports = p.where("p_partkey % 5 = 2").select(file.alias("file_path"), F.lit("T").alias("key"), F.concat(F.lit("m"), n, F.lit(".tools.T")).alias("value"))
+    calls = p.where("p_partkey % 5 = 1").select(file.alias("file_path"), F.lit("fn").alias("func"), F.concat(F.lit("a.pkg.Tool"), n).alias("name"), F.lit("a.b").alias("target"), k.alias("ord"))
+    return derive.wired_arguments(nodes, c, imports, calls)

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inventra.operators.joins import suffixes
+
 # Edges of an agent by what its argument's name contains, and what
 # the category of the other end contains (and doesn't).
 EDGES = (
@@ -86,3 +88,55 @@ def same_file_arguments(c: DataFrame) -> DataFrame:
     found = bare.select("instance_id", "file_path").join(held, "file_path").select("instance_id", "_more")
     out = c.join(found, "instance_id", "left")
     return out.withColumn("arguments", F.when(F.col("_more").isNotNull(), F.map_concat("arguments", "_more")).otherwise(F.col("arguments"))).select(*c.columns)
+
+
+def slot(category: Column) -> Column:
+    """The argument that a component of a category stands in."""
+    out = F.lit("tools")
+    for name, parts in (("embedding", ("embedding",)), ("retriever", ("retriever",)), ("memory", ("memory",)), ("llm", ("model", "llm")), ("tools", ("tool",))):
+        out = F.when(_holds(category, parts), name).otherwise(out)
+    return out
+
+
+def wired_arguments(nodes: DataFrame, c: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFrame:
+    """agent, slot, reference: what a graph's nodes say its agent uses.
+
+    nodes: agent, file_path, ref and kind (ref for a variable, call for a nested
+    call's name, inner for a variable given to it).  c: instance_id, category, name,
+    assigned_target, file_path, ord.  imports: file_path, key (the name there),
+    value (in full).  calls: file_path, func, name, target, ord, of what functions
+    call.
+
+    A nested call means the first component of each kind whose dotted name ends
+    with it.  A variable means the component that it holds, else, of a function,
+    those that the function calls, else the component that an imported name holds
+    in the module it comes from, else the first whose name the import ends with."""
+    # A component's name, its dotted ends and the variable that holds it are looked up by equality.
+    held = c.where("coalesce(assigned_target, '') <> ''").groupBy("file_path", F.col("assigned_target").alias("ref")).agg(F.max_by(F.struct("category", "instance_id"), "ord").alias("c"))
+    ends = c.where("coalesce(name, '') <> ''").select("category", "ord", "name", F.explode(suffixes(F.col("name"))).alias("end"))
+    first_end = ends.groupBy("end", slot(F.col("category")).alias("slot")).agg(F.min("ord").alias("ord"))
+    whole = c.where("coalesce(name, '') <> ''").groupBy(F.col("name").alias("end")).agg(F.min_by("category", "ord").alias("category"), F.min("ord").alias("ord"))
+
+    called = nodes.where("kind = 'call'").join(first_end, F.col("ref") == F.col("end")).where(F.col("slot").isin("tools", "llm", "memory")).select("agent", "slot", F.col("ref").alias("reference"))
+
+    asked = nodes.where("kind in ('ref', 'inner')").select("agent", "file_path", "ref", "kind").distinct().join(held, ["file_path", "ref"], "left")
+    direct = asked.where("c is not null and kind = 'ref'").select("agent", slot(F.col("c.category")).alias("slot"), F.col("ref").alias("reference"))
+    open_ = asked.where("c is null").drop("c")
+    funcs = calls.select("file_path", F.col("func").alias("ref")).distinct().withColumn("is_func", F.lit(True))
+    open_ = open_.join(funcs, ["file_path", "ref"], "left").withColumn("scoped", F.coalesce("is_func", F.lit(False)) & (F.col("kind") == "ref")).drop("is_func")
+    inner = open_.where("scoped").select("agent", "file_path", F.col("ref").alias("func")).distinct().join(calls, ["file_path", "func"])
+    inner = inner.select("agent", "file_path", "func", "ord", "name", "target", F.explode(suffixes(F.col("name"))).alias("end")).join(whole.withColumnRenamed("ord", "c_ord"), "end")
+    inner = inner.groupBy("agent", "file_path", "func", "ord", "name", "target").agg(F.min_by("category", "c_ord").alias("category"))
+    last = lambda x: F.element_at(F.split(x, r"\."), -1)
+    scoped = inner.select("agent", slot(F.col("category")).alias("slot"), F.coalesce(F.nullif(last(F.col("target")), F.lit("")), "name").alias("reference"))
+
+    far = open_.where("not scoped").join(imports.groupBy("file_path", F.col("key").alias("ref")).agg(F.max("value").alias("full")), ["file_path", "ref"]).select("agent", "ref", "full").distinct()
+    remote, module = last(F.col("full")), F.regexp_replace("full", r"\.?[^.]*$", "")
+    modules = c.select("file_path").distinct().select("file_path", F.explode(suffixes(F.regexp_replace(F.regexp_replace("file_path", r"\.py$", ""), "/", "."))).alias("module"))
+    ways = F.array_compact(F.array(last(F.nullif("assigned_target", F.lit(""))), last(F.nullif("name", F.lit("")))))
+    own = c.select("file_path", "category", "ord", F.explode(F.array_distinct(ways)).alias("remote"))
+    there = far.select("agent", "ref", "full", remote.alias("remote"), module.alias("module")).join(modules.join(own, "file_path"), ["module", "remote"])
+    named = far.select("agent", "ref", "full", F.explode(suffixes(F.col("full"))).alias("end")).join(whole, "end")
+    both = there.select("agent", "ref", "full", F.lit(0).alias("rank"), "ord", "category").unionByName(named.select("agent", "ref", "full", F.lit(1).alias("rank"), "ord", "category"))
+    across = both.groupBy("agent", "ref", "full").agg(F.min_by("category", F.struct("rank", "ord")).alias("category")).select("agent", slot(F.col("category")).alias("slot"), F.col("ref").alias("reference"))
+    return called.unionByName(direct).unionByName(scoped).unionByName(across).distinct()

@@ -374,14 +374,14 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_compared(percent), "a long, b long")
 
     band = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n"))
-    lead = _told(band, ["token", "band"], {"b": F.min("rep"), "other": F.max("rep")}, "b < other")
-    pairs = lead.where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("many"))
+    lead = band.groupBy("token", "band").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).where("b < other").drop("other")
+    pairs = band.join(lead, ["token", "band"]).where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("many"))
     star = stored(compared(pairs.groupBy("a").agg(F.max_by("b", F.struct("many", F.bitwise_not("b"))).alias("b"))))
 
     cluster = components(star)
     postings = postings.join(cluster.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("root", "rep").alias("cluster"))
-    mixed = _told(postings, ["token"], {"low": F.min("cluster"), "high": F.max("cluster")}, "low < high")
-    mixed = stored(mixed.select("token", "rep", "cluster"))
+    mixed = postings.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high")
+    mixed = stored(postings.join(mixed.select("token"), "token").select("token", "rep", "cluster"))
     edges = star.unionByName(_met(mixed, sets, percent, cell))
 
     own = found.where("n_shingles > 0 and doc_id is not null")

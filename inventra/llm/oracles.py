@@ -87,5 +87,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, cast(n_repeat_words
 """
 
 
+DEDUP = r"""
+with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
+g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from d group by 1)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d join g using (text_sha256)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": JACCARD_JOIN, "op5_shards": SHARDS, "op9_repeats": REPEATS, "op10_rules": RULES_SQL}
+    return {"op1_jaccard_join": JACCARD_JOIN, "op5_shards": SHARDS, "op9_repeats": REPEATS, "op10_rules": RULES_SQL, "op12_exact_dedup": DEDUP}

@@ -107,8 +107,15 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inventra.llm.digests import deduplicated
+
+    done = deduplicated(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_bpe, op4_decontaminate, op5_shards, op6_toxicity, op7_katz, op8_main_text, op9_repeats, op10_rules)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_bpe, op4_decontaminate, op5_shards, op6_toxicity, op7_katz, op8_main_text, op9_repeats, op10_rules, op12_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -53,7 +53,7 @@ def check(i):
     return zlib.crc32(str(i).encode())
 
 
-@pytest.mark.parametrize("name", ["op1_jaccard_join", "op5_shards", "op9_repeats", "op10_rules"])
+@pytest.mark.parametrize("name", ["op1_jaccard_join", "op5_shards", "op9_repeats", "op10_rules", "op12_exact_dedup"])
 def test_twins(spark, folder, name):
     import duckdb
 
@@ -127,4 +127,4 @@ def test_main_text(spark, folder):
 
 def test_every_query_is_registered():
     found = Q.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11)) and set(Q.oracle_sql()) <= set(found)
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == [*range(1, 11), 12] and set(Q.oracle_sql()) <= set(found)

@@ -30,9 +30,16 @@ _STEP = "xor({c} >> 4, {t}[(xor({c}, {n}) & 15) + 1])"
 _FIRST = _STEP.format(c="c", t=_NIBBLE, n="b")
 _SECOND = _STEP.format(c=f"({_FIRST})", t=_NIBBLE, n="(b >> 4)")
 
+
+
+def _crc(raw: str) -> str:
+    """The unsigned checksum of a blob."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex({raw}), '..'), lambda s: ('0x' || s)::bigint)), lambda c, b: {_SECOND}))"
+
+
 SHARDS = f"""
 with recursive raw as (select doc_id, encode(coalesce(text, '')) as raw from documents),
-own as (select doc_id, octet_length(raw) + 1 as size, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(raw), '..'), lambda s: ('0x' || s)::bigint)), lambda c, b: {_SECOND})) as text_crc32 from raw),
+own as (select doc_id, octet_length(raw) + 1 as size, {_crc("raw")} as text_crc32 from raw),
 jump(doc_id, shards, state, shard, ahead) as (
  select distinct doc_id, shards, ((coalesce(doc_id, -1)::hugeint + {WORD}) % {WORD})::uhugeint, -1::bigint, 0::bigint from documents, (values (8), (9)) v(shards)
  union all
@@ -87,6 +94,19 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, cast(n_repeat_words
 """
 
 
+_DAY = 24 * 3_600_000_000
+
+ASOF = f"""
+with c as (select click_id, client_id, epoch_us(ts) as t, {_crc("encode(click_id::varchar)")} as h from clicks),
+l as (select distinct on (click_id) click_id, client_id, case when h % 2 = 1 then t - ((t % {_DAY}) + {_DAY}) % {_DAY} else t end as t from c order by click_id, t nulls last, client_id nulls last),
+s as (select sale_id, client_id, priority, cast(floor(100 * total + 0.5) as bigint) as cents, epoch_us(sold_at) as t, {_crc("encode(sale_id::varchar)")} as h from sales),
+f as (select sale_id, client_id, priority, cents, h, case when h % 2 = 1 then t - ((t % {_DAY}) + {_DAY}) % {_DAY} else t end as t from s),
+o as (select sale_id, client_id, priority, cents, t from f union all select -1 - sale_id, client_id, 6 - priority, cents, t from f where h % 3 <> 0),
+r as (select *, row_number() over (partition by client_id, t order by priority desc nulls last, sale_id nulls last, cents nulls first) as place, count(*) over (partition by client_id, t) as n from o where client_id is not null and t is not null),
+m as (select click_id, l.client_id, l.t, r.sale_id, l.t - r.t as lag, r.cents, r.n from l asof left join (select * from r where place = 1) r on l.client_id = r.client_id and l.t >= r.t)
+select click_id, client_id, t as ts_us, case when lag <= {3 * _DAY} then sale_id end as sale_id, case when lag <= {3 * _DAY} then lag end as lag_us, case when lag <= {3 * _DAY} then cents end as total_cents, case when lag <= {3 * _DAY} then n else 0 end as n_tied from m
+"""
+
 DEDUP = r"""
 with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
 g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from d group by 1)
@@ -95,4 +115,4 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": JACCARD_JOIN, "op5_shards": SHARDS, "op9_repeats": REPEATS, "op10_rules": RULES_SQL, "op12_exact_dedup": DEDUP}
+    return {"op1_jaccard_join": JACCARD_JOIN, "op5_shards": SHARDS, "op9_repeats": REPEATS, "op10_rules": RULES_SQL, "op11_asof": ASOF, "op12_exact_dedup": DEDUP}

@@ -107,6 +107,27 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inventra.llm.asof import asof_join, floored, micros
+
+    hour = 3_600_000_000
+    day = lambda h, t: F.when(h % 2 == 1, floored(t, 24 * hour)).otherwise(t)
+    crc = lambda c: F.crc32(F.col(c).cast("string"))
+    clicks, sales = table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales")
+    clicks = clicks.select("click_id", "client_id", day(crc("click_id"), micros(clicks, "ts")).alias("ts_us"))
+    cents = F.when(~F.isnan("total"), F.floor(F.lit(100) * F.col("total") + 0.5).cast("long"))
+    sales = sales.select("client_id", day(crc("sale_id"), micros(sales, "sold_at")).alias("at"), cents.alias("total_cents"), "sale_id", "priority", crc("sale_id").alias("h"))
+    one = F.struct(F.col("sale_id").alias("sale_id"), F.col("priority").alias("priority"))
+    other = F.struct((-1 - F.col("sale_id")).alias("sale_id"), (6 - F.col("priority")).alias("priority"))
+    orders = sales.withColumn("made", F.explode(F.when(F.col("h") % 3 != 0, F.array(one, other)).otherwise(F.array(one)))).select("client_id", "at", "total_cents", "made.*")
+    rank = [F.col("priority").isNull(), -F.col("priority"), F.col("sale_id").isNull(), F.col("sale_id")]
+    done = asof_join(clicks, orders, id="click_id", left_key="client_id", left_time="ts_us", right_key="client_id", right_time="at", tolerance=72 * hour, rank=rank, carry=["sale_id", "total_cents"])
+    return done.select(
+        F.col("id").alias("click_id"), F.col("key").alias("client_id"), F.col("time").alias("ts_us"), "row.sale_id",
+        (F.col("time") - F.col("at")).alias("lag_us"), "row.total_cents", F.col("n").alias("n_tied"),
+    )
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inventra.llm.digests import deduplicated
 
@@ -115,7 +136,7 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_bpe, op4_decontaminate, op5_shards, op6_toxicity, op7_katz, op8_main_text, op9_repeats, op10_rules, op12_exact_dedup)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_bpe, op4_decontaminate, op5_shards, op6_toxicity, op7_katz, op8_main_text, op9_repeats, op10_rules, op11_asof, op12_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -114,5 +114,21 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d
 """
 
 
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """All distances of every round, without bounds."""
+    square = "list_sum(list_transform(list_zip(v.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    near = "a{i} as (select vec_id, x, unnest(best) from (select v.vec_id, v.x, arg_min({{'c': m.c, 'd': {s}}}, ({s}, m.c)) as best from v, m{i} m group by v.vec_id, v.x))"
+    mean = "m{j} as (select m.c, coalesce(n.x, m.x) as x from m{i} m left join (select c, list((s - ((s % n) + n) % n) // n order by i) as x from (select c, i, sum(y)::bigint as s, count(*) as n from (select c, unnest(range(1, 65)) as i, unnest(x) as y from a{i}) group by 1, 2) group by 1) n using (c))"
+    steps = [near.format(i=i, s=square) + ("" if i == rounds else ",\n" + mean.format(i=i, j=i + 1)) for i in range(rounds + 1)]
+    last = f"a{rounds}"
+    return f"""
+with v as (select vec_id, list_transform(embedding, lambda e: floor(256 * e::double)::bigint) as x from embeddings where len(embedding) = 64 and list_bool_and(list_transform(embedding, lambda e: e is not null and isfinite(e)))),
+m0 as (select row_number() over (order by key) - 1 as c, x from (select sha256('2:' || vec_id) as key, x from v order by key limit {k})),
+{", ".join(steps)}
+select vec_id, cast(c as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(m.x, ',')) as centroid_sha256
+from {last} join m{rounds} m using (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": JACCARD_JOIN, "op5_shards": SHARDS, "op9_repeats": REPEATS, "op10_rules": RULES_SQL, "op11_asof": ASOF, "op12_exact_dedup": DEDUP}
+    return {"op1_jaccard_join": JACCARD_JOIN, "op5_shards": SHARDS, "op9_repeats": REPEATS, "op10_rules": RULES_SQL, "op11_asof": ASOF, "op12_exact_dedup": DEDUP, "op13_elkan": _clusters()}

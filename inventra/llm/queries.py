@@ -135,8 +135,15 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inventra.llm.elkan import clustered
+
+    done = clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, size=64, salt="2:")
+    return done.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.col("centroid").cast("binary"), 256).alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_bpe, op4_decontaminate, op5_shards, op6_toxicity, op7_katz, op8_main_text, op9_repeats, op10_rules, op11_asof, op12_exact_dedup)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_bpe, op4_decontaminate, op5_shards, op6_toxicity, op7_katz, op8_main_text, op9_repeats, op10_rules, op11_asof, op12_exact_dedup, op13_elkan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -127,4 +127,4 @@ def test_main_text(spark, folder):
 
 def test_every_query_is_registered():
     found = Q.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 13)) and set(Q.oracle_sql()) <= set(found)
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 14)) and set(Q.oracle_sql()) <= set(found)

@@ -10,12 +10,12 @@ before the shuffle: the first by tie order and how many there are.
 A bucket with many right rows would meet its left rows in pairs, their number
 growing with the square of the key's share.  Such *dense* buckets are found by
 counts and cut into cells of 2**k microseconds, narrower until none holds more
-than ``LIMIT`` right rows.  A left row then meets only the rows of its own cell
-and one carried row, the latest before the cell.  Carried rows come by the same
-bucket join from cells that each stand for themselves by their latest row, at
-most ``2 * 64`` of them in a bucket for at most 64 cells, and so on in each
-cell's 64 narrower ones.  No key or bucket thus makes more pairs than some
-``LIMIT`` for each of its left rows.
+than ``LIMIT`` right rows.  To a cell go the rows in it and one carried row, the
+latest before the cell, each marked with the time of the next one, so a left row
+meets one of them.  Carried rows come by the same bucket join from cells that each
+stand for themselves by their latest row, at most ``2 * 64`` of them in a bucket
+for at most 64 cells, and so on in each cell's 64 narrower ones.  No key or
+bucket thus makes more pairs than ``LIMIT`` for each of its left rows.
 
 Left rows learn whether their bucket is dense from a set of at most ``SLOTS``
 hash slots: this alone is broadcast and has that size whatever the input.  A
@@ -144,19 +144,21 @@ def asof_join(left: DataFrame, right: DataFrame, *, id: str, left_key: str, left
         rows = stored(rows.select("id", "key", "time", "bucket", "dense"))
     else:
         rows = rows.withColumn("dense", F.lit(False))
-    within = (F.col("p.at") <= F.col("l.time")) & (F.col("l.time") - F.col("p.at") <= tolerance)
-
-    sparse = rows.where(usable & ~F.col("dense"))
-    sent = _both(points, tolerance, "at")
-    if some:
-        sent = sent.withColumn("slot", _slot("bucket")).join(dense, "slot", "left_anti")
-    met = sparse.alias("l").join(sent.alias("p"), (F.col("l.key") == F.col("p.key")) & (F.col("l.bucket") == F.col("p.bucket")) & within, "left")
-    pairs = [met.select("l.id", "l.key", "l.time", "p.at", "p.row", "p.n")]
+    asked = rows.where(usable).withColumnRenamed("bucket", "cell")
+    sent = _both(points, tolerance, "at").withColumnRenamed("bucket", "cell")
     if some:
-        many = rows.where("dense").select("id", "key", "time")
-        pairs.append(_met_in_cells(many, _near(points, dense, tolerance), tolerance, limit, within))
+        sent = sent.withColumn("slot", _slot("cell")).join(dense, "slot", "left_anti")
+        offered, bits = _in_cells(rows.where("dense"), _near(points, dense, tolerance), tolerance, limit)
+        asked = asked.withColumn("cell", F.when(F.col("dense"), _cell("time", bits)).otherwise(F.col("cell")))
+    none = F.lit(None).cast("long").alias("until")
+    sent = sent.select("key", F.lit(False).alias("dense"), "cell", "at", none, "row", "n")
+    sent = sent.unionByName(offered.withColumn("dense", F.lit(True))) if some else sent
+    l, p = asked.alias("l"), sent.alias("p")
+    same = [F.col(f"l.{c}") == F.col(f"p.{c}") for c in ("key", "dense", "cell")]
+    within = (F.col("p.at") <= F.col("l.time")) & (F.col("l.time") - F.col("p.at") <= tolerance) & (F.col("p.until").isNull() | (F.col("l.time") < F.col("p.until")))
+    pairs = l.join(p, reduce(Column.__and__, same) & within, "left").select("l.id", "l.key", "l.time", "p.at", "p.row", "p.n")
     best = Window.partitionBy("id").orderBy(F.col("at").desc_nulls_last())
-    found = reduce(DataFrame.unionByName, pairs).withColumn("place", F.row_number().over(best)).where("place = 1")
+    found = pairs.withColumn("place", F.row_number().over(best)).where("place = 1")
     absent = points.schema
     alone = rows.where(~usable).select("id", "key", "time", *(F.lit(None).cast(absent[c].dataType).alias(c) for c in ("at", "row", "n")))
     return found.select("id", "key", "time", "at", "row", "n").unionByName(alone).withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
@@ -170,13 +172,13 @@ def _near(points: DataFrame, dense: DataFrame, width: int) -> DataFrame:
     return stored(marked.where("a = 1 or b = 1").select("key", "at", "row", "n"))
 
 
-def _met_in_cells(rows: DataFrame, points: DataFrame, width: int, limit: int, within: Column) -> DataFrame:
+def _in_cells(rows: DataFrame, points: DataFrame, width: int, limit: int) -> tuple[DataFrame, int]:
+    """key, cell, at, until, row, n: the points of each cell and what is carried
+    into it, each with the time of the next one in the cell; and the cells' bits."""
     bits = first = max(0, width.bit_length() - FAN)
     # Narrower until no cell is full; cells of one unit hold one point.
     while bits and (points.groupBy("key", _cell("at", bits).alias("cell")).count().agg(F.max("count")).first()[0] or 0) > limit:
         bits = max(0, bits - FAN)
     carried = _carried(rows, points, width, first, bits).where("last is not null")
     offered = points.select("key", _cell("at", bits).alias("cell"), "at", "row", "n").unionByName(carried.select("key", "cell", "last.*"))
-    asked = rows.withColumn("cell", _cell("time", bits))
-    met = asked.alias("l").join(offered.alias("p"), (F.col("l.key") == F.col("p.key")) & (F.col("l.cell") == F.col("p.cell")) & within, "left")
-    return met.select("l.id", "l.key", "l.time", "p.at", "p.row", "p.n")
+    return offered.withColumn("until", F.lead("at").over(Window.partitionBy("key", "cell").orderBy("at"))), bits

@@ -76,13 +76,14 @@ def test_empty(spark, which):
 
 
 def test_pairs_grow_with_the_rows(spark):
-    """One key with all rows: the pairs are a few for each left row."""
+    """One key with all rows: a cell holds a few, and its rows don't overlap."""
     n = 4000
     rows = spark.range(n).select(F.col("id"), F.lit(1).cast("long").alias("key"), (F.col("id") * 3 + 1).alias("time"))
     points = spark.range(n).select(F.lit(1).cast("long").alias("key"), (F.col("id") * 3).alias("at"), F.struct("id").alias("row"), F.lit(1).cast("long").alias("n"))
-    within = (F.col("p.at") <= F.col("l.time")) & (F.col("l.time") - F.col("p.at") <= 20_000)
-    got = asof._met_in_cells(rows, points, 20_000, 64, within)
-    assert got.count() <= 65 * n and got.groupBy("id").agg(F.max("at").alias("at")).where("at <> id * 3").count() == 0
+    offered, bits = asof._in_cells(rows, points, 20_000, 64)
+    assert offered.groupBy("key", "cell").count().agg(F.max("count")).first()[0] <= 65
+    met = rows.alias("l").join(offered.alias("p"), (F.shiftright("l.time", bits) == F.col("p.cell")) & (F.col("at") <= F.col("time")) & F.coalesce(F.col("time") < F.col("until"), F.lit(True)))
+    assert met.count() == n and met.where("at <> time - 1").count() == 0
 
 
 def test_times(spark):

@@ -102,7 +102,7 @@ def meant(asks: DataFrame, b: DataFrame) -> DataFrame:
     return best.select("id", "which", F.when(F.col("k.begin") == F.col("nearest"), F.col("k.b")).alias("bound"))
 
 
-def _modules(path: Column, module: Column, level: Column) -> Column:
+def modules(path: Column, module: Column, level: Column) -> Column:
     """Files that a module may be, the likeliest first: relative ones from their
     package, others from each folder above."""
     folders = F.split(path, "/")
@@ -127,7 +127,7 @@ def imported(asks: DataFrame, b: DataFrame, files: DataFrame) -> DataFrame:
             done = met.where("t.kind = 'top'").select("id", "path", F.col("t.line").alias("line"))
             found = done if found is None else found.unionByName(done)
         if step < STEPS:
-            way = met.where("t.kind = 'from'").select("id", "root", F.col("t.origin").alias("name"), F.posexplode(_modules(F.col("path"), F.col("t.module"), F.col("t.level"))).alias("n", "to"))
+            way = met.where("t.kind = 'from'").select("id", "root", F.col("t.origin").alias("name"), F.posexplode(modules(F.col("path"), F.col("t.module"), F.col("t.level"))).alias("n", "to"))
             now = way.join(there, ["root", "to"]).groupBy("id", "root", "name").agg(F.min_by("to", "n").alias("path"))
     return found
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inventra.catalogue import _t, query
-from inventra.operators import flow
+from inventra.operators import evidence, flow, spans
+from inventra.tables import stored
 
 #: A module by the remainder of its part's size: a list that takes in another
 #: module's, one whose function goes through a wrapper, a field of an object, and
@@ -42,3 +43,52 @@ def loop_registrations(spark, d):
     pick = lambda values: F.element_at(F.array(*values), (size % 4 + 1).cast("int"))
     part = _t(spark, d, "part").select(k.alias("id"), F.lit("r").alias("root"), F.concat(F.lit("p/m"), k.cast("string"), F.lit(".py")).alias("path"), pick(kinds).alias("content"), pick([F.lit(n) for n in lines]).alias("line"))
     return flow.registered(part.select("id", "root", "path", "line", F.lit("tool").alias("name")), part)
+
+
+#: Classes by the remainder of their part's size: one in another with an agent made
+#: by an imported name, a model that serves a card, a loop over a model's calls that
+#: also calls an agent elsewhere, a workflow, and a loop that is nothing.
+_CLASSES = (
+    "from crewai import Agent as A\nclass Outer%k:\n    class Inner:\n        def go(self):\n            self.a = A(role='r')\n    def g(self): pass\n",
+    "import pydantic\nclass M%k(pydantic.BaseModel):\n    u: str = '/.well-known/agent.json'\n",
+    "import boto3\nclass C%k:\n    def f(self):\n        while True:\n            r = self.llm.invoke(m)\n            if r.calls: self.tool(r)\n            self.keep(r)\n        return self.c.invoke_agent(1)\n",
+    "from temporalio import workflow\n@workflow.defn\nclass W%k:\n    def run(self):\n        s = ClientSession(1)\n",
+    "class N%k:\n    def f(self):\n        for x in y:\n            a(x)\n            b(x)\n            if x: c(x)\n",
+)
+_HELD = "c as (select * from (values (0, 'Outer', 2, 6), (0, 'Inner', 3, 5), (1, 'M', 2, 3), (2, 'C', 2, 8), (3, 'W', 3, 5), (4, 'N', 1, 6)) t(v, name, b, e)), f as (select p_partkey as k, p_size % 5 as v, p_partkey % 4 as pad from part), h as (select 'r' || (k % 3) as root, 'm' || k || '.py' as path, case name when 'Inner' then name else name || k end as class_name, b + pad as class_start, e + pad as class_end, name, v, pad from f join c using (v))"
+
+
+def _class_facts(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = F.element_at(F.array(*(_filled(t, k=k) for t in _CLASSES)), (size % 5 + 1).cast("int"))
+    part = _t(spark, d, "part").select(F.concat(F.lit("r"), (k % 3).cast("string")).alias("root"), F.concat(F.lit("m"), k.cast("string"), F.lit(".py")).alias("path"), F.concat(F.repeat(F.lit("\n"), (k % 4).cast("int")), text).alias("content"))
+    return stored(evidence.facts(part))
+
+
+@query(f"""with {_HELD}, m as (select * from (values ('Outer', 'framework', 'crewai.Agent', 'framework_agent', 5, 5), ('Inner', 'framework', 'crewai.Agent', 'framework_agent', 5, 5), ('M', 'anti', 'pydantic.basemodel', 'pydantic_basemodel', 2, 2), ('M', 'protocol', 'a2a.server', 'a2a_server', 3, 3), ('C', 'react_loop', 'structural.react_loop', 'react_loop', 4, 7), ('C', 'remote', 'aws.bedrock_agents', 'remote', 8, 8), ('W', 'anti', 'temporal.workflow', 'temporal_workflow', 3, 3), ('W', 'protocol', 'mcp.client', 'other', 5, 5)) t(name, kind, signature, pattern, s, e))
+select root, path, class_name, class_start, class_end, kind, signature, pattern, s + pad as start_line, e + pad as end_line from h join m using (name)""")
+def evidence_matches(spark, d):
+    return evidence.matches(_class_facts(spark, d)).drop("qualified_name", "rationale")
+
+
+@query(f"""with {_HELD} select root, path, class_name, case name when 'Inner' then 'Outer' || regexp_extract(path, '\\d+') || '.Inner' else class_name end as qualified_name, class_start, class_end, case v when 0 then 'framework_agent' when 1 then 'a2a_server' when 2 then 'react_loop' when 3 then 'other' end as preferred, v < 3 as direct, false as proxy, v in (1, 3) as excluded from h""")
+def agent_dossiers(spark, d):
+    return evidence.dossiers(_class_facts(spark, d)).drop("signatures")
+
+
+@query("""with p as (select l_orderkey as k, l_linenumber as line, l_quantity::bigint as place from lineitem), s as (select o_orderkey as k, o_custkey % 20 as lo, o_custkey % 20 + o_custkey % 27 as hi, o_custkey as name from orders union all select o_orderkey, 5, 30, -o_custkey from orders)
+select p.k, line, place, name from p join s on p.k = s.k and place between lo and hi""")
+def points_in_spans(spark, d):
+    p = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("place"))
+    c = F.col("o_custkey")
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), c, F.explode(F.array(F.struct((c % 20).alias("lo"), (c % 20 + c % 27).alias("hi"), c.alias("name")), F.struct(F.lit(5).cast("long").alias("lo"), F.lit(30).cast("long").alias("hi"), (-c).alias("name")))).alias("s")).select("k", "s.*")
+    return spans.stabbed(p, o, ["k"], "place", "lo", "hi").select("k", "line", "place", "name")
+
+
+@query("""with p as (select l_orderkey as k, l_linenumber as line, l_quantity::bigint as place from lineitem), s as (select o_orderkey as k, o_custkey % 20 as lo, o_custkey % 20 + o_custkey % 27 as hi from orders)
+select k, line, place from p where not exists (select 1 from s where s.k = p.k and place between lo and hi)""")
+def points_outside(spark, d):
+    p = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("place"))
+    c = F.col("o_custkey")
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (c % 20).alias("lo"), (c % 20 + c % 27).alias("hi"))
+    return spans.outside(p, o, ["k"], "place", "lo", "hi")

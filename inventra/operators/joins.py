@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inventra.functions.text import class_segment, framework_family, frameworks_related, is_test_path, key_of, stripped
+from inventra.operators.spans import first_around
 from inventra.schema import MODEL_TYPES, full
 
 
@@ -180,10 +181,9 @@ def substitute(df: DataFrame, column: str, env: DataFrame) -> DataFrame:
 
 
 def enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, begin: str, end: str, name: str, carry: list[str]) -> DataFrame:
-    """The outermost span of the same key around each point."""
-    p, s = points.alias("p"), spans.alias("s")
-    joined = p.join(s, (F.col(f"p.{key}") == F.col(f"s.{key}")) & F.col(f"p.{at}").between(F.col(f"s.{begin}"), F.col(f"s.{end}")))
-    return joined.groupBy(*(F.col(f"p.{c}").alias(c) for c in carry)).agg(F.min_by(F.col(f"s.{name}"), F.struct(f"s.{begin}", f"s.{end}", f"s.{name}")).alias("enclosing"))
+    """The outermost span of the same key around each point that is in one."""
+    found = first_around(points, spans, [key], at, begin, end, [F.col(begin), F.col(end), F.col(name)], [name], carry)
+    return found.select(*carry, F.col(f"found.{name}").alias("enclosing"))
 
 
 def nearest_preceding(rows: DataFrame, key: str, at: str, is_site: Column, value: Column) -> DataFrame:

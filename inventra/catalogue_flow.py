@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inventra.catalogue import _t, query
-from inventra.operators import evidence, flow, spans
+from inventra.operators import evidence, flow, languages, spans
 from inventra.tables import stored
 
 #: A module by the remainder of its part's size: a list that takes in another
@@ -92,3 +92,27 @@ def points_outside(spark, d):
     c = F.col("o_custkey")
     o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (c % 20).alias("lo"), (c % 20 + c % 27).alias("hi"))
     return spans.outside(p, o, ["k"], "place", "lo", "hi")
+
+
+#: A file of each language by the remainder of its part's key: what stands in
+#: comments, raw and block texts doesn't count, what stands in a template's braces does.
+_SOURCES = (
+    ("a.ts", "/* import x from 'openai'\n new Agent( */\nimport OpenAI from 'openai';\nconst a = new Agent({ model: 'm%k' }); // new Agent(\nconst s = `new Agent( ${createTool(1)}`;\n"),
+    ("a.go", "package p\nimport (\n\t// \"github.com/tmc/langchaingo\"\n\to \"github.com/sashabaranov/go-openai\"\n)\nvar e = os.Getenv(\"OPENAI_API_KEY\")\nvar r = `model: \"no\"`\nvar q = c{model: \"g%k\"}\n"),
+    ("A.java", "import dev.langchain4j.model.X;\n/* new Agent( */\nString t = \"\"\"\n new Agent( \"model: x\"\n\"\"\";\nObject a = new Agent(b.model(\"j%k\"));\n"),
+    ("a.rs", "// use llm::x;\n/* a /* use burn::x */ use burn::y */\nlet m = Q { model: \"r%k\" };\n"),
+    ("a.rb", "require 'langchainrb'\n=begin\nrequire 'ruby-openai'\n=end\nx = c.model(\"b%k\")\n"),
+    ("a.cs", "var t = @\"using Microsoft.ML;\"; // new Agent(\nvar n = new MyTool(1);\n"),
+)
+
+
+@query("""with f as (select p_partkey as k, p_partkey % 6 as v, p_size % 3 as pad from part), m as (select * from (values (0, 'a.ts', 3, 'openai', 'dependency', 'npm', 0.85), (0, 'a.ts', 4, 'Agent', 'agent', 'npm', 0.7), (0, 'a.ts', 4, 'm', 'model', 'npm', 0.75), (0, 'a.ts', 5, 'tool_pattern_2', 'tool', 'npm', 0.65),
+(1, 'a.go', 4, 'github.com/sashabaranov/go-openai', 'dependency', 'go', 0.85), (1, 'a.go', 8, 'g', 'model', 'go', 0.75), (1, 'a.go', 6, 'env:OPENAI_API_KEY', 'secret', 'go', 0.3), (2, 'A.java', 1, 'dev.langchain4j', 'dependency', 'maven', 0.85), (2, 'A.java', 6, 'Agent', 'agent', 'maven', 0.7), (2, 'A.java', 6, 'j', 'model', 'maven', 0.75),
+(3, 'a.rs', 3, 'r', 'model', 'cargo', 0.75), (4, 'a.rb', 1, 'langchainrb', 'dependency', 'rubygems', 0.85), (4, 'a.rb', 5, 'b', 'model', 'rubygems', 0.75), (5, 'a.cs', 2, 'tool_pattern_0', 'tool', 'nuget', 0.25)) t(v, file, line, name, component_type, framework, confidence))
+select 'r' || (k % 5) as root, 'p' || k || '/' || file as path, line + pad as line, case component_type when 'model' then name || k else name end as name, component_type, framework, cast(confidence as double) as confidence from f join m using (v)""")
+def language_components(spark, d):
+    k = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*values), (k % 6 + 1).cast("int"))
+    text = F.concat(F.repeat(F.lit("\n"), (F.col("p_size") % 3).cast("int")), pick([_filled(t, k=k) for _, t in _SOURCES]))
+    files = _t(spark, d, "part").select(F.concat(F.lit("r"), (k % 5).cast("string")).alias("root"), F.concat(F.lit("p"), k.cast("string"), F.lit("/"), pick([F.lit(p) for p, _ in _SOURCES])).alias("path"), text.alias("content"))
+    return languages.components(files)

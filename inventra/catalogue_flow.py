@@ -4,12 +4,15 @@ columns."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inventra.catalogue import _t, query
 from inventra.operators import evidence, flow, languages, spans
-from inventra.tables import stored
+from inventra.streaming import watch
+from inventra.tables import shared_dir, stored
 
 #: A module by the remainder of its part's size: a list that takes in another
 #: module's, one whose function goes through a wrapper, a field of an object, and
@@ -116,3 +119,17 @@ def language_components(spark, d):
     text = F.concat(F.repeat(F.lit("\n"), (F.col("p_size") % 3).cast("int")), pick([_filled(t, k=k) for _, t in _SOURCES]))
     files = _t(spark, d, "part").select(F.concat(F.lit("r"), (k % 5).cast("string")).alias("root"), F.concat(F.lit("p"), k.cast("string"), F.lit("/"), pick([F.lit(p) for p, _ in _SOURCES])).alias("path"), text.alias("content"))
     return languages.components(files)
+
+
+@query("""with last as (select user_id, max(ts) as mtime, arg_max(event_type || ':' || event_id, ts) as content from events group by 1)
+select 'r' as root, 'u' || user_id as path, epoch_ms(mtime) // 1000 as second, content from last where epoch_ms(mtime) + 21600000 < epoch_ms((select max(ts) from events)) - 3600000""")
+def settled_changes(spark, d):
+    """A stream of changes: files that nobody has written for six hours."""
+    place = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    schema = _t(spark, d, "events").schema
+    # A pattern, as a stream takes no path of a single file.
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    changes = rows.select(F.lit("r").alias("root"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("mtime"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("content"))
+    told = watch.settled(changes, quiet=6 * 3600, late=3600)
+    told.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(watch.CHANGES).parquet(f"{place}/rows").select("root", "path", F.unix_seconds("mtime").alias("second"), "content")

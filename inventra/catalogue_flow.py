@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inventra.catalogue import _t, query
-from inventra.operators import evidence, flow, languages, spans
+from inventra.operators import evidence, flow, infrastructure, languages, spans
 from inventra.streaming import watch
 from inventra.tables import shared_dir, stored
 
@@ -133,3 +133,31 @@ def settled_changes(spark, d):
     told = watch.settled(changes, quiet=6 * 3600, late=3600)
     told.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(watch.CHANGES).parquet(f"{place}/rows").select("root", "path", F.unix_seconds("mtime").alias("second"), "content")
+
+
+#: Infrastructure by the remainder of its part's key: a job, values of a chart whose
+#: template gives one of them to a variable, Terraform, CloudFormation and ARM.
+_PLATFORMS = (
+    ("job.yaml", "apiVersion: batch/v1\nkind: Job\nspec:\n  template:\n    spec:\n      containers:\n        - name: t%k\n          image: huggingface-pytorch-training:%k\n          resources: {limits: {nvidia.com/gpu: 2}}\n          env:\n            - {name: MODEL_NAME, value: own-%k}\n            - {name: OTHER, value: gpt-4o}\n"),
+    ("chart/values.yaml", "llm:\n  model: gpt-4o\n  engine: deploy-%k\nstore:\n  db_type: qdrant\n  endpoint: http://w%k:80\nimage:\n  repository: ollama/ollama\n  tag: gpt-4o\n"),
+    ("main.tf", "resource \"aws_sagemaker_model\" \"m%k\" {\n  image = \"vllm/vllm:%k\"\n  x { instance_type = \"small\" }\n  instance_type = \"ml.p4d.24xlarge\"\n}\nresource \"aws_s3_bucket\" \"b\" { model_id = \"no\" }\n"),
+    ("stack.yaml", "AWSTemplateFormatVersion: x\nResources:\n  E%k:\n    Type: AWS::SageMaker::Model\n    Properties: {ModelId: !Ref P, Container: {ModelName: m-%k, ModelS3Uri: s3://b/%k}}\n  N:\n    Type: AWS::S3::Bucket\n    Properties: {ModelId: no}\n"),
+    ("arm.json", "{\"$schema\": \"https://x/deploymentTemplate.json#\", \"resources\": [{\"type\": \"Microsoft.CognitiveServices/accounts\", \"name\": \"acc%k\", \"properties\": {\"sku\": {\"name\": \"Standard_NC%k\"}}}, {\"type\": \"Other\", \"name\": \"x\"}]}"),
+)
+_TEMPLATE = "env:\n  - name: LLM_%k\n    value: {{ .Values.llm.model }}\n"
+
+
+@query("""with f as (select p_partkey as k, p_partkey % 5 as v, p_size % 3 as pad from part), m as (select * from (values (0, 'job.yaml', 8, 'huggingface-pytorch-training:%', 'dependency', null, 1.0, null, null), (0, 'job.yaml', 8, 'training:t%', 'training_run', null, 1.0, null, null), (0, 'job.yaml', 11, 'env:MODEL_NAME', 'model', 'own-%', 1.0, 'MODEL_NAME', null),
+(1, 'chart/values.yaml', 2, 'gpt-4o', 'model', 'gpt-4o', 0.95, 'LLM_%', null), (1, 'chart/values.yaml', 3, 'deploy-%', 'model', 'deploy-%', 0.5, null, null), (1, 'chart/values.yaml', 6, 'http://w%:80', 'vector_store', null, 0.95, 'endpoint', 'qdrant'), (1, 'chart/values.yaml', 8, 'ollama/ollama', 'dependency', null, 1.0, null, null),
+(2, 'main.tf', 1, 'aws_sagemaker_model.m%', 'other', null, 1.0, null, null), (2, 'main.tf', 2, 'vllm/vllm:%', 'dependency', null, 1.0, null, null), (2, 'main.tf', 4, 'gpu_instance:ml.p4d.24xlarge', 'training_run', null, 1.0, null, null),
+(3, 'stack.yaml', -1, 'E%', 'other', null, 1.0, null, null), (3, 'stack.yaml', -1, 'm-%', 'model', 'm-%', 1.0, null, null), (3, 'stack.yaml', -1, 's3://b/%', 'model_artifact', null, 1.0, null, null), (4, 'arm.json', -1, 'acc%', 'other', null, 1.0, null, null), (4, 'arm.json', -1, 'sku:Standard_NC%', 'training_run', null, 1.0, null, null)) t(v, file, line, name, component_type, model_name, confidence, env_var, technology))
+select 'p' || k || '/' || file as path, case when line < 0 then 1 else line + pad end as line, replace(name, '%', k::varchar) as name, component_type, replace(model_name, '%', k::varchar) as model_name, cast(confidence as double) as confidence, replace(env_var, '%', k::varchar) as env_var, technology from f join m using (v)""")
+def infrastructure_assets(spark, d):
+    k = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*values), (k % 5 + 1).cast("int"))
+    pad = F.repeat(F.lit("\n"), (F.col("p_size") % 3).cast("int"))
+    own = F.struct(pick([F.lit(p) for p, _ in _PLATFORMS]).alias("file"), F.concat(pad, pick([_filled(t, k=k) for _, t in _PLATFORMS])).alias("content"))
+    template = F.when(k % 5 == 1, F.struct(F.lit("chart/templates/deploy.yaml").alias("file"), _filled(_TEMPLATE, k=k).alias("content")))
+    files = _t(spark, d, "part").select("p_partkey", F.explode(F.array_compact(F.array(own, template))).alias("f"))
+    files = files.select(F.lit("r").alias("root"), F.concat(F.lit("p"), k.cast("string"), F.lit("/"), F.col("f.file")).alias("path"), "f.content")
+    return infrastructure.components(files).drop("root", "needs_agentic", "shape", "place")

@@ -50,8 +50,8 @@ def bedrock_ids(spark, d):
 
 
 _LINES = (
-    ("openai==1.2.3", "openai", "1.2.3", "1.2.3"), ("LangChain_Core[all]>=0.1 ; x", "LangChain_Core", ">=0.1"[2:], None), ("flask", "flask", "*", None), ("# c", None, None, None), ("a === 1.0", "a", "1.0", "1.0"),
-    ("b ~= 2", "b", "2", None), ("c==1,<2", "c", "1,<2", None), ("1.2.3", None, None, None), ("", None, None, None), ("d-", "d", "*", None), ("e<3,==2", "e<3,"[:1], "2", "2"), ("f!=1", "f", "1", None),
+    ("openai==1.2.3", "openai", "1.2.3", "1.2.3"), ("LangChain_Core[all]>=0.1 ; x", "LangChain_Core", "0.1", None), ("flask", "flask", "*", None), ("# c", None, None, None), ("a === 1.0", "a", "1.0", "1.0"),
+    ("b ~= 2", "b", "2", None), ("c==1,<2", "c", "1,<2", None), ("1.2.3", None, None, None), ("", None, None, None), ("d-", "d", "*", None), ("e<3,==2", "e", "2", "2"), ("f!=1", "f", "1", None),
 )
 
 

@@ -127,11 +127,11 @@ def shared_endpoints(spark, d):
 
 
 @query(f"""with c as ({_SHARE}), s as (select m, repo from c where t in ('model', 'embedding', 'llm_endpoint') and m <> '' and m in (select m from c where t in ('model', 'embedding', 'llm_endpoint') group by 1 having count(distinct repo) >= 2) group by 1, 2),
-e as (select 'a' || p_partkey as source_name, 'r' || (p_size % 4) as agent_repo, case when p_size % 3 = 0 then 'USES_TOOL' when p_size % 3 = 1 then 'USES_MODEL' else 'DEPENDS_ON' end as rt, p_type as tn, p_partkey % 2 = 0 as agent from part where p_partkey % 25 = 0)
+e as (select 'a' || p_partkey as source_name, 'r' || (p_size % 4) as agent_repo, case when p_size % 3 = 0 then 'USES_TOOL' when p_size % 3 = 1 then 'USES_MODEL' else 'DEPENDS_ON' end as rt, p_type as tn, p_partkey % 2 = 0 as agent from part)
 select source_name, agent_repo, rt as relationship_type, m as model_name, repo as model_repo from e join s on tn = m where rt <> 'DEPENDS_ON' and agent and repo <> agent_repo""")
 def agent_model_links(spark, d):
     size = F.col("p_size")
-    e = _t(spark, d, "part").where("p_partkey % 25 = 0").select(F.concat(F.lit("a"), _k().cast("string")).alias("source_name"), F.concat(F.lit("r"), (size % 4).cast("string")).alias("agent_repo"), F.when(size % 3 == 0, "USES_TOOL").when(size % 3 == 1, "USES_MODEL").otherwise("DEPENDS_ON").alias("relationship_type"), F.col("p_type").alias("target_name"), F.when(_k() % 2 == 0, "agent").otherwise("tool").alias("source_type"))
+    e = _t(spark, d, "part").select(F.concat(F.lit("a"), _k().cast("string")).alias("source_name"), F.concat(F.lit("r"), (size % 4).cast("string")).alias("agent_repo"), F.when(size % 3 == 0, "USES_TOOL").when(size % 3 == 1, "USES_MODEL").otherwise("DEPENDS_ON").alias("relationship_type"), F.col("p_type").alias("target_name"), F.when(_k() % 2 == 0, "agent").otherwise("tool").alias("source_type"))
     return links.agent_models(links.shared_models(_sharing(spark, d)), e)
 
 

@@ -73,7 +73,8 @@ def decisions(expected: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     sums = j.agg(F.count("*").alias("cases"), F.count_if(right).alias("correct"), F.count("p").alias("decided"))
     f1 = action_scores(j.groupBy(F.col("e").alias("expected"), F.coalesce("p", F.lit("abstain")).alias("predicted")).agg(F.count("*").alias("n"))).agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
     share = lambda c: F.round(ratio(F.col(c), F.col("cases")), 6)
-    return sums.join(f1, F.lit(True)).select("cases", "correct", share("correct").alias("accuracy"), share("decided").alias("coverage"), "macro_f1")
+    both = sums.unionByName(f1, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in ("cases", "correct", "decided", "macro_f1")))
+    return both.select("cases", "correct", share("correct").alias("accuracy"), share("decided").alias("coverage"), "macro_f1")
 
 
 def confusion(expected: DataFrame, predicted: DataFrame, key: str) -> DataFrame:

@@ -24,10 +24,11 @@ def search_codebase(files: DataFrame, pattern: str, literal: bool = False, most:
     """The first matches in order of path and line, of files that aren't too
     large or binary, and whether there are more."""
     own = files.where((F.col("length") <= MOST_BYTES) & ~F.col("path").rlike(r"(?i)\.(png|jpg|gif|zip|so|pyc)$"))
-    found = search_lines(own, pattern if literal else f"(?i){pattern}", ["path"], literal).orderBy("path", "line").limit(most + 1).collect()
-    spark = files.sparkSession
-    rows = [(r["path"], r["line"], r["context"], len(found) > most) for r in found[:most]]
-    return spark.createDataFrame(rows, "path string, line long, context string, truncated boolean")
+    found = search_lines(own, pattern if literal else f"(?i){pattern}", ["path"], literal).orderBy("path", "line").limit(most + 1)
+    # A window over one row more than is asked for at most.
+    place, whole = Window.orderBy("path", "line"), Window.partitionBy()
+    numbered = found.select("path", "line", "context", F.row_number().over(place).alias("_n"), (F.count("*").over(whole) > most).alias("truncated"))
+    return numbered.where(F.col("_n") <= most).drop("_n")
 
 
 def definitions(files: DataFrame, var: str) -> DataFrame:

@@ -19,7 +19,7 @@ CASES = [
     ("config.yaml", "apiVersion: v1\nkind: ConfigMap\ndata:\n  OPENAI_API_KEY: s\n  LLM_MODEL: gpt-4o\n  n: 5\n---\napiVersion: v1\nkind: Secret\nstringData: {other: claude-3-opus-20240229}\n",
      {(4, "env:OPENAI_API_KEY", "secret"), (5, "env:LLM_MODEL", "model", "gpt-4o"), (5, "gpt-4o", "model", "gpt-4o", 0.95), (10, "claude-3-opus-20240229", "model", "claude-3-opus-20240229", 0.95)}),
     ("h/values-prod.yaml", "a:\n  tag: gpt-4o\n  items: [gpt-4o, {model: gpt-4o-mini}]\n  chat-model: mine\n  api_url: http://x\n  base_url: ftp://x\nb:\n  gpu: 0\n  embedding_model: e-1\n  provider: claude-3-opus-20240229\n  endpoint: http://y\nc:\n  provider: qdrant\n  pinecone_base_url: https://p\n",
-     {(3, "gpt-4o-mini", "model", "gpt-4o-mini", 0.95), (4, "mine", "model", "mine", 0.5), (5, "http://x", "llm_endpoint", None, 0.5, "api_url"), (9, "e-1", "model", "e-1", 0.5), (10, "claude-3-opus-20240229", "model", "claude-3-opus-20240229", 0.95), (11, "http://y", "llm_endpoint", None, 0.5, "endpoint"), (14, "https://p", "vector_store", None, 0.5, "pinecone_base_url", "qdrant")}),
+     {(3, "gpt-4o-mini", "model", "gpt-4o-mini", 0.95), (4, "mine", "model", "mine", 0.5), (5, "http://x", "llm_endpoint", None, 0.5, "api_url"), (9, "e-1", "embedding", "e-1", 0.5), (10, "claude-3-opus-20240229", "model", "claude-3-opus-20240229", 0.95), (11, "http://y", "llm_endpoint", None, 0.5, "endpoint"), (14, "https://p", "vector_store", None, 0.5, "pinecone_base_url", "qdrant")}),
     ("c/Chart.yaml", "name: c\n", set()), ("c/templates/sub/a.yaml", "env:\n  - name: FIRST\n    value: {{ .Values.llm.model }}\n  - name: \"URL\"\n    value: {{ .Values.llm.endpoint | quote }}\n", set()), ("c/templates/z.yaml", "  - name: LAST\n    value: x-{{ .Values.llm.model }}\n", set()),
     ("c/env/dev/values.yaml", "llm:\n  model: gpt-4o\n  endpoint: https://api.openai.com\n", {(2, "gpt-4o", "model", "gpt-4o", 0.95, "LAST"), (3, "https://api.openai.com", "llm_endpoint", None, 0.5, "URL")}),
     ("main.tf", 'resource "azurerm_cognitive_account" "a" {\n  tags = {\n    model_name = "m-1"\n  }\n}\nresource "aws_s3_bucket" "b" {\n  model_id = "no"\n  instance_type = "ml.p3.2xlarge"\n}\nvariable "i" { default = "localai/localai:1" }\nlocals {\n  llm = "gpt-4o"\n  other = "gpt-4o"\n  gpu = "x"\n}\n',

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inventra.catalogue import _t, query
-from inventra.operators import evidence, flow, infrastructure, languages, spans
+from inventra.operators import evidence, flow, graph, infrastructure, languages, spans
 from inventra.streaming import watch
 from inventra.tables import shared_dir, stored
 
@@ -161,3 +161,18 @@ def infrastructure_assets(spark, d):
     files = _t(spark, d, "part").select("p_partkey", F.explode(F.array_compact(F.array(own, template))).alias("f"))
     files = files.select(F.lit("r").alias("root"), F.concat(F.lit("p"), k.cast("string"), F.lit("/"), F.col("f.file")).alias("path"), "f.content")
     return infrastructure.components(files).drop("root", "needs_agentic", "shape", "place")
+
+
+@query("""with recursive t as (select conv_id as c, turn as n, 10 * turn + 1 as line from conversations group by 1, 2), b as (select c, max(n) as top from t group by 1 having max(n) >= 6),
+w as (select c, n, case when n = top then 0 else (top - n + 1) // 2 end as distance, top from t join b using (c) where top - n <= 6),
+r as (select *, row_number() over (partition by c order by distance, n) as position from w), k as (select r.c, r.n, r.distance, r.position, (select min_by(x.n, x.position) from r x where x.c = r.c and x.n - r.n in (1, 2) and x.distance = r.distance - 1) as child from r)
+select c as id, position, distance, c || '.' || n as function_id, 10 * n + 1 as line, case when position > 1 then c || '.' || child end as child, case when position > 1 then 10 * n + child - n end as call_line from k where position <= 6""")
+def workflow_context(spark, d):
+    """Turns as functions that call the next two; the last turn of each long talk is asked for."""
+    t = _t(spark, d, "conversations").select(F.col("conv_id").alias("c"), F.col("turn").alias("n")).distinct()
+    name = lambda n: F.concat_ws(".", F.col("c").cast("string"), n.cast("string"))
+    functions = t.select(name(F.col("n")).alias("function_id"), name(F.col("n")).alias("qualname"), F.col("c").cast("string").alias("file_path"), (10 * F.col("n") + 1).alias("start_line"), (10 * F.col("n") + 9).alias("end_line"), F.array().cast("array<string>").alias("parameters"))
+    step = F.explode(F.array(F.lit(1), F.lit(2)))
+    calls = t.withColumn("s", step).select(name(F.col("n")).alias("caller"), name(F.col("n") + F.col("s")).alias("callee"), (10 * F.col("n") + F.col("s")).alias("line"), F.lit("x").alias("arguments"), F.col("s").alias("ord"))
+    points = t.groupBy("c").agg(F.max("n").alias("n")).where("n >= 6").select(F.col("c").alias("id"), F.col("c").cast("string").alias("file_path"), (10 * F.col("n") + 5).alias("line"))
+    return graph.workflows(points, functions, calls, hops=3, most=6).select("id", F.col("position").cast("long").alias("position"), "distance", "function_id", "line", "child", "call_line")

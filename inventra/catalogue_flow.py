@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inventra.catalogue import _t, query
-from inventra.operators import evidence, flow, graph, infrastructure, languages, spans
+from inventra.operators import evidence, flow, graph, infrastructure, languages, lifecycle, pipelines, spans
 from inventra.streaming import watch
 from inventra.tables import shared_dir, stored
 
@@ -176,3 +176,38 @@ def workflow_context(spark, d):
     calls = t.withColumn("s", step).select(name(F.col("n")).alias("caller"), name(F.col("n") + F.col("s")).alias("callee"), (10 * F.col("n") + F.col("s")).alias("line"), F.lit("x").alias("arguments"), F.col("s").alias("ord"))
     points = t.groupBy("c").agg(F.max("n").alias("n")).where("n >= 6").select(F.col("c").alias("id"), F.col("c").cast("string").alias("file_path"), (10 * F.col("n") + 5).alias("line"))
     return graph.workflows(points, functions, calls, hops=3, most=6).select("id", F.col("position").cast("long").alias("position"), "distance", "function_id", "line", "child", "call_line")
+
+
+_CI = (
+    (".github/workflows/a%k.yml", "on: push\njobs:\n  t%k:\n    container: {image: pytorch/pytorch:%k}\n    steps:\n      - uses: iterative/setup-dvc@v%k\n      - name: fit%k\n        run: |\n          python train.py --model=m-%k\n        env:\n          KEY: ${{ secrets.HF_TOKEN }}\n          M: ${{ secrets.M || 'gpt-4o' }}\n      - run: echo done\n"),
+    (".gitlab-ci.yml", "stages: [a]\nvariables: {X: vllm}\nserve%k:\n  image: {name: vllm/vllm:%k}\n  before_script: [ls]\n  script:\n    - echo\n    - vllm serve m%k\n    - train more\n.hidden:\n  image: ollama\n"),
+    (".github/workflows/b%k.yaml", "name: no jobs, so no OPENAI_API_KEY\n"),
+)
+
+
+@query("""with f as (select p_partkey as k, p_partkey % 3 as v, p_size % 3 as pad from part), m as (select * from (values (0, 't%', 11, 'HF_TOKEN', 'secret', '', null, 1.0), (0, 't%', 0, 'pytorch/pytorch:%', 'dependency', 'docker', null, 1.0), (0, 't%', 0, 'iterative/setup-dvc', 'dependency', 'github_actions', null, 1.0), (0, 't%', 0, 'fit%', 'training_run', '', null, 1.0), (0, 't%', 0, 'm-%', 'model', '', 'm-%', 0.5), (0, 't%', 0, 'gpt-4o', 'model', '', 'gpt-4o', 0.7),
+(1, 'serve%', 0, 'vllm/vllm:%', 'dependency', 'docker', null, 1.0), (1, 'serve%', 0, 'serve%', 'ml_pipeline', '', null, 1.0)) t(v, job, line, name, component_type, framework, model_name, confidence))
+select 'p' || k || case v when 0 then '/.github/workflows/a' || k || '.yml' else '/.gitlab-ci.yml' end as path, case when line > 0 then line + pad else 0 end as line, replace(name, '%', k::varchar) as name, component_type, framework, replace(model_name, '%', k::varchar) as model_name, cast(confidence as double) as confidence, case when component_type <> 'secret' then replace(job, '%', k::varchar) end as job from f join m using (v)""")
+def ci_assets(spark, d):
+    k = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*values), (k % 3 + 1).cast("int"))
+    pad = F.repeat(F.lit("\n"), (F.col("p_size") % 3).cast("int"))
+    files = _t(spark, d, "part").select(F.lit("r").alias("root"), F.concat(F.lit("p"), k.cast("string"), F.lit("/"), pick([_filled(p, k=k) for p, _ in _CI])).alias("path"), F.concat(pad, pick([_filled(t, k=k) for _, t in _CI])).alias("content"))
+    return pipelines.components(files).drop("root", "needs_agentic")
+
+
+_TRAINING = (
+    "import torch\nfrom datasets import load_dataset\nt = Trainer(learning_rate=%k, fp16=True)\nt.train()\ntorch.save(m, 's3://b/w%k.pt')\n",
+    "x.fit(1)\nd = pd.read_csv('gs://b/t%k.csv')\ndropout = 'p%k'\nbatches = 1\n",
+    "from google.cloud import aiplatform\nwandb.init(%k)\ncreate_training_job(x)\n",
+)
+
+
+@query("""with f as (select p_partkey as k, p_partkey % 3 as v, p_size % 3 as pad from part), m as (select * from (values (0, 2, 'dataset', 'dataset', 'huggingface/datasets', 0.85, null), (0, 3, 'training_run', 'training_run', 'huggingface/transformers', 0.9, null), (0, 3, 'hyperparameter:learning_rate', 'hyperparameter', 'python-kwargs', 0.85, '%'), (0, 3, 'hyperparameter:fp16', 'hyperparameter', 'python-kwargs', 0.85, 'True'), (0, 4, 'training_run', 'training_run', 'pytorch', 0.9, null), (0, 5, 'model_artifact', 'model_artifact', 'cloud-storage', 0.9, 's3://b/w%.pt'), (0, 5, 'model_artifact', 'model_artifact', 'pytorch', 0.9, 's3://b/w%.pt'),
+(1, 1, 'training_run', 'training_run', 'keras/pytorch', 0.3, null), (1, 2, 'dataset', 'dataset', 'pandas', 0.3, 'gs://b/t%.csv'), (1, 2, 'dataset', 'dataset', 'cloud-storage', 0.3, 'gs://b/t%.csv'), (1, 3, 'hyperparameter:dropout', 'hyperparameter', 'python-kwargs', 0.35, 'p%'), (2, 1, 'model_registry', 'model_registry', 'vertex-ai', 0.85, null), (2, 1, 'training_run', 'training_run', 'gcp-vertex-ai', 0.85, null), (2, 2, 'experiment_tracker', 'experiment_tracker', 'wandb', 0.85, null), (2, 3, 'training_run', 'training_run', 'aws-sagemaker', 0.9, null)) t(v, line, name, component_type, framework, confidence, told))
+select 'm' || k || '.py' as path, line + pad as line, name, component_type, framework, cast(confidence as double) as confidence, confidence < 0.6 as needs_agentic, replace(told, '%', k::varchar) as told from f join m using (v)""")
+def lifecycle_assets(spark, d):
+    k = F.col("p_partkey")
+    text = F.concat(F.repeat(F.lit("\n"), (F.col("p_size") % 3).cast("int")), F.element_at(F.array(*(_filled(t, k=k) for t in _TRAINING)), (k % 3 + 1).cast("int")))
+    files = _t(spark, d, "part").select(F.lit("r").alias("root"), F.concat(F.lit("m"), k.cast("string"), F.lit(".py")).alias("path"), text.alias("content"))
+    return lifecycle.components(files).withColumn("told", F.coalesce("value", "storage_uri")).drop("root", "value", "storage_uri")

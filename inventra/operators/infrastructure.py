@@ -78,7 +78,7 @@ def _plain(node) -> object:
     return {k.value: {x.value: y.value for x, y in v.value if isinstance(y, yaml.ScalarNode)} | {x.value: _plain(y) for x, y in v.value if isinstance(y, yaml.MappingNode)} if isinstance(v, yaml.MappingNode) else _plain(v) for k, v in node.value if isinstance(k, yaml.ScalarNode)}
 
 
-def _of(node, at: tuple[str, ...], seen: frozenset = frozenset()) -> Iterator[tuple[tuple[str, ...], str, str, int]]:
+def leaves_of(node, at: tuple[str, ...], seen: frozenset = frozenset()) -> Iterator[tuple[tuple[str, ...], str, str, int]]:
     """(path, value, type, line) of all scalars below a node; one that holds itself ends there."""
     if id(node) in seen:
         return
@@ -87,10 +87,10 @@ def _of(node, at: tuple[str, ...], seen: frozenset = frozenset()) -> Iterator[tu
         for k, v in node.value:
             if isinstance(k, yaml.ScalarNode):
                 line = k.start_mark.line + 1
-                yield from ((p, value, kind, at_line if len(p) > len(at) + 1 else line) for p, value, kind, at_line in _of(v, (*at, k.value), seen))
+                yield from ((p, value, kind, at_line if len(p) > len(at) + 1 else line) for p, value, kind, at_line in leaves_of(v, (*at, k.value), seen))
     elif isinstance(node, yaml.SequenceNode):
         for i, v in enumerate(node.value):
-            yield from _of(v, (*at, f"[{i}]"), seen)
+            yield from leaves_of(v, (*at, f"[{i}]"), seen)
     else:
         kind = {"str": "text", "int": "int", "bool": "bool", "float": "float", "null": "null"}.get(node.tag.rsplit(":", 1)[-1], "tagged")
         yield at, node.value, kind, node.start_mark.line + 1
@@ -147,7 +147,7 @@ def leaves(files: DataFrame) -> DataFrame:
             shape = _shape(name, content, keys) if isinstance(keys, dict) else None
             if shape and (shape in ("cloudformation", "arm") or not name.endswith(".json")):
                 kind = keys.get("kind") if isinstance(keys.get("kind"), str) else None
-                for at, value, kind_of, line in _of(node, ()):
+                for at, value, kind_of, line in leaves_of(node, ()):
                     yield shape, i, kind, list(at), at[-1] if at else "", value, kind_of, line
 
     return parsed(files.where(F.col("path").rlike(r"(?i)\.(tf|bicep|json|ya?ml)$")), parse, LEAVES)
@@ -349,3 +349,6 @@ def components(files: DataFrame, models: DataFrame | None = None) -> DataFrame:
 def infrastructure_components(files: DataFrame) -> DataFrame:
     c = components(files).withColumn("framework", F.col("shape")).withColumn("scanner", F.lit("infrastructure"))
     return c.select(*COLUMNS)
+
+
+_of = leaves_of

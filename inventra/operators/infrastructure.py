@@ -349,6 +349,3 @@ def components(files: DataFrame, models: DataFrame | None = None) -> DataFrame:
 def infrastructure_components(files: DataFrame) -> DataFrame:
     c = components(files).withColumn("framework", F.col("shape")).withColumn("scanner", F.lit("infrastructure"))
     return c.select(*COLUMNS)
-
-
-_of = leaves_of

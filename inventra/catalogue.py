@@ -608,4 +608,4 @@ def agent_links(spark, d):
 
 def _modules():
     """Further queries, by subject."""
-    from inventra import catalogue_flow, catalogue_names, catalogue_review, catalogue_scan  # noqa: F401
+    from inventra import catalogue_calls, catalogue_flow, catalogue_names, catalogue_review, catalogue_scan  # noqa: F401

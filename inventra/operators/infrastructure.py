@@ -53,6 +53,8 @@ EMBEDDING = ("embedding", "embeddings", "embed", "embedder")
 STORES = (("weaviate", "weaviate"), ("pinecone", "pinecone"), ("qdrant", "qdrant"), ("chromadb", "chromadb"), ("chroma", "chromadb"), ("milvus", "milvus"), ("pgvector", "pgvector"), ("faiss", "faiss"), ("redis", "redis"))
 WORKLOADS = ("Deployment", "StatefulSet", "Job", "CronJob")
 
+#: The parser in C where it is there; nodes and lines are the same.
+LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 LEAVES = "shape string, document int, kind string, at array<string>, key string, value string, type string, line int"
 _ASSIGNED = re.compile(r"(?m)^\s*([a-zA-Z_]\w*)\s*=\s*\"([^\"]*)\"")
 
@@ -139,7 +141,7 @@ def leaves(files: DataFrame) -> DataFrame:
         if name.endswith(".json"):
             json.loads(content)  # what isn't JSON isn't read as YAML
         try:
-            nodes = [n for n in yaml.compose_all(content.replace("\t", "  ") if name.endswith(".json") else content, Loader=yaml.SafeLoader) if n is not None]
+            nodes = [n for n in yaml.compose_all(content.replace("\t", "  ") if name.endswith(".json") else content, Loader=LOADER) if n is not None]
         except yaml.YAMLError:
             return
         for i, node in enumerate(nodes):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inventra.functions.registry import lookup
 from inventra.operators.extract import COLUMNS, scanner
-from inventra.operators.infrastructure import leaves_of
+from inventra.operators.infrastructure import LOADER, leaves_of
 from inventra.sources.files import parsed
 from inventra.tables import stored
 
@@ -36,7 +36,7 @@ def leaves(files: DataFrame) -> DataFrame:
     """system (actions or jobs), kind (leaf, or key for a provider's key anywhere in
     the file), path, value and line."""
     def parse(root: str, path: str, content: str) -> Iterator[tuple]:
-        node = next(iter(yaml.compose_all(content, Loader=yaml.SafeLoader)), None)
+        node = next(iter(yaml.compose_all(content, Loader=LOADER)), None)
         if isinstance(node, yaml.MappingNode):
             system = "jobs" if path.rsplit("/", 1)[-1] == ".gitlab-ci.yml" else "actions"
             held = [(system, "leaf", list(at), value, line) for at, value, kind, line in leaves_of(node, ()) if kind == "text"]

@@ -47,10 +47,16 @@ def stops(points: DataFrame, at: str, levels: int) -> DataFrame:
     return points.withColumn("_b", held).withColumns({"level": F.col("_b.level"), "block": F.col("_b.block")}).drop("_b")
 
 
+def _unsent(held: DataFrame) -> DataFrame:
+    """Never broadcast: by the size of its files a table of spans looks far smaller
+    than its blocks are in the driver's memory."""
+    return held.hint("merge")
+
+
 def stabbed(points: DataFrame, spans: DataFrame, key: list[str], at: str, begin: str, end: str) -> DataFrame:
     """Each point with each span of its key around it; other columns must differ."""
     levels = _levels(spans, begin, end)
-    return stops(points, at, levels).join(blocks(spans, begin, end, levels), [*key, "level", "block"]).drop("level", "block")
+    return stops(points, at, levels).join(_unsent(blocks(spans, begin, end, levels)), [*key, "level", "block"]).drop("level", "block")
 
 
 def first_around(points: DataFrame, spans: DataFrame, key: list[str], at: str, begin: str, end: str, rank: list[Column], told: list[str], carry: list[str]) -> DataFrame:
@@ -61,7 +67,7 @@ def first_around(points: DataFrame, spans: DataFrame, key: list[str], at: str, b
     order = F.struct(*(r.alias(f"r{i}") for i, r in enumerate(rank)))
     best = F.min(F.struct(order.alias("order"), F.struct(*told).alias("found"))).alias("best")
     held = blocks(spans, begin, end, levels).groupBy(*key, "level", "block").agg(best)
-    met = stops(points, at, levels).join(held, [*key, "level", "block"])
+    met = stops(points, at, levels).join(_unsent(held), [*key, "level", "block"])
     return met.groupBy(*carry).agg(F.min("best").alias("best")).select(*carry, "best.found")
 
 
@@ -71,7 +77,7 @@ def outside(points: DataFrame, spans: DataFrame, key: list[str], at: str, begin:
     held = blocks(spans, begin, end, levels).select(*key, "level", "block").distinct().withColumn("_in", F.lit(True))
     usable = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*key, at)])
     numbered = points.withColumn("_row", F.struct(*points.columns))
-    met = stops(numbered.where(usable), at, levels).join(held, [*key, "level", "block"], "left")
+    met = stops(numbered.where(usable), at, levels).join(_unsent(held), [*key, "level", "block"], "left")
     # A point's rows are as many as there are levels, so repeated ones are counted back.
     free = met.groupBy("_row").agg(F.count("*").alias("_n"), F.max("_in").alias("_in")).where("_in is null")
     again = free.withColumn("_k", F.explode(F.sequence(F.lit(1), (F.col("_n") / levels).cast("int")))).select("_row.*")

@@ -67,3 +67,12 @@ def test_empty(spark, points, held):
     a, b = spark.createDataFrame(p, POINTS), spark.createDataFrame(s, SPANS)
     assert spans.stabbed(a, b, ["key"], "p", "lo", "hi").count() == sum(around(x, y) for x in p for y in s)
     assert spans.outside(a, b, ["key"], "p", "lo", "hi").count() == sum(not any(around(x, y) for y in s) for x in p)
+
+
+def test_spans_are_not_broadcast(spark):
+    """A small file of spans makes many blocks, which the driver must not hold."""
+    a, b = spark.createDataFrame([("a", 1, 1)], POINTS), spark.createDataFrame([("a", 0, 5, 1)], SPANS)
+    near = spans.first_around(a, b, ["key"], "p", "lo", "hi", [F.col("lo")], ["s"], ["i"])
+    for df in (spans.stabbed(a, b, ["key"], "p", "lo", "hi"), near, spans.outside(a, b, ["key"], "p", "lo", "hi")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan

@@ -4,7 +4,8 @@ A span of whole numbers is cut into the largest blocks [i * 2**l, (i + 1) * 2**l
 that fill it, at most two for each level l; a point lies in one block of each
 level.  So a join by key, level and block finds each span around a point exactly
 once, with a few rows for each span and each point, and one key's rows are dealt
-out by block however many it has."""
+out by block however many it has.  Where it only matters whether some span holds a
+point, the blocks are places in masks, and a point stays one row."""
 
 from __future__ import annotations
 
@@ -71,14 +72,44 @@ def first_around(points: DataFrame, spans: DataFrame, key: list[str], at: str, b
     return met.groupBy(*carry).agg(F.min("best").alias("best")).select(*carry, "best.found")
 
 
+#: Places of a tier that one mask holds: a bit each.
+_WIDTH = 6
+
+
+def _bits(first: Column, last: Column) -> Column:
+    """A mask with the bits of these places within their group set."""
+    ones, within = F.lit(-1).cast("long"), lambda c: c.bitwiseAND(F.lit((1 << _WIDTH) - 1)).cast("int")
+    return F.call_function("shiftleft", ones, within(first)).bitwiseAND(F.call_function("shiftrightunsigned", ones, F.lit(63) - within(last)))
+
+
+def masks(spans: DataFrame, key: list[str], begin: str, end: str, tiers: int) -> list[DataFrame]:
+    """For each tier key, ``group`` and ``mask``: which of a group's 64 places are
+    held.  A place of tier n is a whole group of tier n - 1, so a span sets bits of two
+    groups of each tier at most, and any number of spans makes one row of a group."""
+    b, e, group = F.col("_b"), F.col("_e"), lambda c: F.shiftright(c, _WIDTH)
+    now = spans.select(*key, F.col(begin).cast("long").alias("_b"), F.col(end).cast("long").alias("_e")).where("_b <= _e")
+    out = []
+    for tier in range(tiers):
+        first, last = group(b + (1 << _WIDTH) - 1), group(e + 1) - 1
+        rises = (first <= last) & F.lit(tier < tiers - 1)
+        piece = lambda g, x, y: F.struct(g.alias("group"), _bits(x, y).alias("mask"))
+        left, right = piece(group(b), b, F.lit(-1)), piece(group(e), F.lit(0), e)
+        # Whole groups go up a tier; what is left lies in the groups of both ends.
+        own = F.when(rises, F.array_compact(F.array(F.when(group(b) < first, left), F.when(group(e) > last, right)))).when(group(b) == group(e), F.array(piece(group(b), b, e))).otherwise(F.array(left, right))
+        out.append(now.select(*key, F.inline(own)).groupBy(*key, "group").agg(F.bit_or("mask").alias("mask")))
+        now = now.where(rises).select(*key, first.alias("_b"), last.alias("_e"))
+    return out
+
+
 def outside(points: DataFrame, spans: DataFrame, key: list[str], at: str, begin: str, end: str) -> DataFrame:
-    """The points that no span of their key holds, and those without key or place."""
-    levels = _levels(spans, begin, end)
-    held = blocks(spans, begin, end, levels).select(*key, "level", "block").distinct().withColumn("_in", F.lit(True))
-    usable = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*key, at)])
-    numbered = points.withColumn("_row", F.struct(*points.columns))
-    met = stops(numbered.where(usable), at, levels).join(_unsent(held), [*key, "level", "block"], "left")
-    # A point's rows are as many as there are levels, so repeated ones are counted back.
-    free = met.groupBy("_row").agg(F.count("*").alias("_n"), F.max("_in").alias("_in")).where("_in is null")
-    again = free.withColumn("_k", F.explode(F.sequence(F.lit(1), (F.col("_n") / levels).cast("int")))).select("_row.*")
-    return again.unionByName(points.where(~usable))
+    """The points that no span of their key holds, and those without key or place.
+    A tier spans 64 times the one below, so few do, and each takes its points away."""
+    tiers = -(-(_levels(spans, begin, end) - 1) // _WIDTH) or 1
+    out = points
+    for tier, held in enumerate(masks(spans, key, begin, end, tiers)):
+        held = held.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(key)), "group", "mask")
+        place = F.shiftright(F.col(at).cast("long"), _WIDTH * tier)
+        bit = F.call_function("shiftright", F.col("mask"), place.bitwiseAND(F.lit((1 << _WIDTH) - 1)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        same = [F.col(c) == F.col(f"_{i}") for i, c in enumerate(key)]
+        out = out.join(_unsent(held), reduce(Column.__and__, [*same, F.shiftright(place, _WIDTH) == F.col("group"), bit]), "left_anti")
+    return out

@@ -76,3 +76,14 @@ def test_spans_are_not_broadcast(spark):
     for df in (spans.stabbed(a, b, ["key"], "p", "lo", "hi"), near, spans.outside(a, b, ["key"], "p", "lo", "hi")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "strategy=merge" in plan
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_outside_keeps_points_one_row(spark, seed):
+    """Spans over several tiers, odd ends and repeated points; no point is multiplied."""
+    rng = random.Random(seed)
+    s = [("a", lo := rng.randrange(-9000, 9000), lo + rng.choice([0, 62, 63, 64, 65, 127, 4095, 4096, 4160, -1]), i) for i in range(12)]
+    p = [("a", x, i) for lo, hi in ((s[i][1], s[i][2]) for i in range(12)) for x in (lo - 1, lo, lo + 1, hi - 1, hi, hi + 1, (lo + hi) // 2) for i in (0, 0, 1)]
+    got = spans.outside(spark.createDataFrame(p, POINTS), spark.createDataFrame(s, SPANS), ["key"], "p", "lo", "hi")
+    assert sorted(map(tuple, got.collect())) == sorted(x for x in p if not any(around(x, y) for y in s))
+    assert "Generate explode" not in got._jdf.queryExecution().optimizedPlan().toString()

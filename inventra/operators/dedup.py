@@ -4,6 +4,8 @@ key sends one row per task."""
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,20 +143,30 @@ def merge_model_duplicates(c: DataFrame, lines: int = 5) -> DataFrame:
     own = c.withColumn("wrapper_class", F.lit(None).cast("string"))
 
     def merge(pdf):
-        pdf = pdf.sort_values("ord", kind="stable")
-        free = [(i, r.line_number) for i, r in pdf.iterrows() if r.detection_source == "kb_enrichment"]
-        gone = []
-        for i, r in pdf.iterrows():
-            near = next((k for k, (_, line) in enumerate(free) if abs(line - r.line_number) <= lines), None) if r.detection_source != "kb_enrichment" else None
+        pdf = pdf.sort_values("ord", kind="stable").reset_index(drop=True)
+        given = (pdf["detection_source"] == "kb_enrichment").to_numpy()
+        held = pdf["line_number"].tolist()
+        # Free rows by line, each line's in order of place, so a row looks at the lines near it alone.
+        free: dict[int, deque[int]] = {}
+        for j in given.nonzero()[0].tolist():
+            free.setdefault(held[j], deque()).append(j)
+        took, gone = [], []
+        for i in (~given).nonzero()[0].tolist():
+            near = min((q[0] for at in range(held[i] - lines, held[i] + lines + 1) if (q := free.get(at))), default=None) if held[i] == held[i] else None
             if near is not None:
-                j, _ = free.pop(near)
-                gone.append(j)
-                pdf.loc[i, ["kb_id", "wrapper_class"]] = pdf.loc[j, ["kb_id", "name"]].to_numpy()
-                if pdf.loc[i, "framework"] in ("", "unknown") and pdf.loc[j, "framework"]:
-                    pdf.loc[i, "framework"] = pdf.loc[j, "framework"]
+                free[held[near]].popleft()
+                took.append(i)
+                gone.append(near)
+        for to, of in (("kb_id", "kb_id"), ("wrapper_class", "name")):
+            pdf[to] = pdf[to].astype(object)
+            pdf.loc[took, to] = pdf[of].to_numpy(dtype=object)[gone]
+        names = pdf["framework"].to_numpy(dtype=object)
+        pdf.loc[took, "framework"] = [names[j] if names[i] in ("", "unknown") and names[j] else names[i] for i, j in zip(took, gone, strict=True)]
         return pdf.drop(index=gone)
 
-    return own.where(~F.coalesce(taking, F.lit(False))).unionByName(own.where(taking).groupBy("file_path").applyInPandas(merge, own.schema))
+    # Short rows take long here, so their files are dealt into a stated number of parts.
+    dealt = own.where(taking).repartition(int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_path")
+    return own.where(~F.coalesce(taking, F.lit(False))).unionByName(dealt.groupBy("file_path").applyInPandas(merge, own.schema))
 
 
 def numbered_sources(df: DataFrame, name: str, order: str) -> DataFrame:

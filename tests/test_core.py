@@ -220,3 +220,12 @@ def test_entry_without_a_session():
 
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert o and set(o) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True, timeout=120)
+
+
+def test_merge_deals_files_out(spark):
+    """A file with very many rows is merged by the lines near each row, and files aren't put into one task."""
+    rows = [("model", "kb_enrichment" if i % 2 else "code_analysis", "k" if i % 2 else "", f"k{i}" if i % 2 else f"n{i}", "" if i % 2 else "m", "big.py", i // 2, "", i) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "component_type string, detection_source string, kb_id string, name string, model_name string, file_path string, line_number int, framework string, ord long")
+    out = dedup.merge_model_duplicates(df)
+    assert {r.ord: r.wrapper_class for r in out.collect()} == {i: f"k{i + 1}" for i in range(0, 20_000, 2)}
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()

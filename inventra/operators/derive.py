@@ -74,20 +74,34 @@ def derived_edges(c: DataFrame, custom: list[tuple[str, list[str], list[str], li
     return out.where(fits).select(F.col("source").alias("source_instance_id"), F.col("target").alias("target_instance_id"), "label", "source_name", "target_name", "source_category", "target_category").distinct()
 
 
+#: Parts that a file's agents are dealt into where they are wired by their file.
+_PARTS = 8
+
+
+def _wide(df: DataFrame) -> int:
+    """Partitions of a shuffle, stated so that few bytes that lead to many aren't put together."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def same_file_arguments(c: DataFrame) -> DataFrame:
     """Agents that a graph wires (``wired``) without saying to what: arguments
     from the components of their file, the first model, memory, retriever and
     embedding and all tools.  Other rows stay as they are."""
     says = F.exists(F.map_keys("arguments"), lambda k: k.isin(*WIRES))
-    bare = c.where(_holds(F.col("category"), ("agent",)) & F.col("wired") & ~says & (F.coalesce("file_path", F.lit("")) != ""))
+    bare = F.coalesce(_holds(F.col("category"), ("agent",)) & F.col("wired") & ~says & (F.coalesce("file_path", F.lit("")) != ""), F.lit(False))
     kind = (F.when(_holds(F.col("category"), ("agent",)), None).when(_holds(F.col("category"), ("model", "llm")), "llm").when(_holds(F.col("category"), ("tool",)), "tools").when(_holds(F.col("category"), ("memory",)), "memory")
             .when(_holds(F.col("category"), ("retriever",)), "retriever").when(_holds(F.col("category"), ("embedding",)), "embedding"))
     near = c.select("file_path", kind.alias("kind"), F.concat(F.lit("VARIABLE:"), F.coalesce(F.nullif("assigned_target", F.lit("")), "name")).alias("ref"), "ord").where("kind is not null")
     per_file = near.groupBy("file_path", "kind").agg(F.when(F.col("kind") == "tools", F.concat(F.lit("LIST:"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "tools", F.struct("ord", "ref")))), lambda x: x["ref"]), ","))).otherwise(F.min_by("ref", "ord")).alias("value"))
     held = per_file.groupBy("file_path").agg(F.map_from_entries(F.collect_list(F.struct("kind", "value"))).alias("_more"))
-    found = bare.select("instance_id", "file_path").join(held, "file_path").select("instance_id", "_more")
-    out = c.join(found, "instance_id", "left")
-    return out.withColumn("arguments", F.when(F.col("_more").isNotNull(), F.map_concat("arguments", "_more")).otherwise(F.col("arguments"))).select(*c.columns)
+    # A file's list is as long as its tools are many, so it goes to its file's agents
+    # in each part and is never shuffled once for each of them.
+    part = F.pmod(F.xxhash64("instance_id"), F.lit(_PARTS)).cast("int")
+    agents = c.where(bare).withColumn("_part", part).repartition(_wide(c), "file_path", "_part")
+    told = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)))).repartition(_wide(c), "file_path", "_part")
+    out = agents.join(told.hint("merge"), ["file_path", "_part"], "left")
+    more = F.when(F.col("_more").isNotNull(), F.map_concat("arguments", "_more")).otherwise(F.col("arguments"))
+    return c.where(~bare).unionByName(out.withColumn("arguments", more).select(*c.columns))
 
 
 def slot(category: Column) -> Column:

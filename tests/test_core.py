@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from inventra import catalogue
 from inventra.fixtures import files
 from inventra.functions import text as X
-from inventra.operators import agentic, compare, dedup, extract, graph, joins, links
+from inventra.operators import agentic, compare, dedup, derive, extract, graph, joins, links
 from inventra.operators import search
 from inventra.plans import assess
 from inventra.sinks import reports
@@ -229,3 +229,11 @@ def test_merge_deals_files_out(spark):
     out = dedup.merge_model_duplicates(df)
     assert {r.ord: r.wrapper_class for r in out.collect()} == {i: f"k{i + 1}" for i in range(0, 20_000, 2)}
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_wire_their_agents_without_wide_rows(spark):
+    """The list of a file's tools isn't shuffled by agent; repeated ids stay apart."""
+    kind = "instance_id string, name string, category string, file_path string, assigned_target string, arguments map<string,string>, ord long, wired boolean"
+    rows = [("a", "a", "Agent", "f", "", {"x": "y"}, 1, True), ("a", "b", "Agent", "g", "", {"x": "y"}, 2, False), ("t", "t1", "tool", "f", "v", {}, 3, False), ("u", "t2", "tool", "f", "", {}, 4, False), ("c", "c", "Agent", None, "", {}, 5, True)]
+    out = derive.same_file_arguments(spark.createDataFrame(rows, kind))
+    assert sorted((r.name, r.arguments) for r in out.collect()) == [("a", {"x": "y", "tools": "LIST:VARIABLE:v,VARIABLE:t2"}), ("b", {"x": "y"}), ("c", {}), ("t1", {}), ("t2", {})]

@@ -124,12 +124,13 @@ def language_components(spark, d):
 @query("""with last as (select user_id, max(ts) as mtime, arg_max(event_type || ':' || event_id, ts) as content from events group by 1)
 select 'r' as root, 'u' || user_id as path, epoch_ms(mtime) // 1000 as second, content from last where epoch_ms(mtime) + 21600000 < epoch_ms((select max(ts) from events)) - 3600000""")
 def settled_changes(spark, d):
-    """A stream of changes: files that nobody has written for six hours."""
+    """A stream of changes: files that nobody has written for six hours.  Of events at
+    one time the first counts, as with the twin where it runs on one thread."""
     place = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     schema = _t(spark, d, "events").schema
     # A pattern, as a stream takes no path of a single file.
     rows = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
-    changes = rows.select(F.lit("r").alias("root"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("mtime"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("content"))
+    changes = rows.select(F.lit("r").alias("root"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("mtime"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("content"), F.col("event_id").alias("ord"))
     told = watch.settled(changes, quiet=6 * 3600, late=3600)
     told.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(watch.CHANGES).parquet(f"{place}/rows").select("root", "path", F.unix_seconds("mtime").alias("second"), "content")

@@ -22,7 +22,7 @@ from inventra.operators.compare import diff
 from inventra.tables import removed
 
 CHANGES = "root string, path string, mtime timestamp, content string"
-_STATE = "mtime long, told string, waiting boolean, content string"
+_STATE = "mtime long, told string, waiting boolean, content string, ord long"
 _HELD = "root string, path string, name string, component_type string, line int"
 
 
@@ -48,34 +48,37 @@ def settled(changes: DataFrame, quiet: float = 0.5, late: float = 2.0) -> DataFr
     """The last version of each file that then stayed as it was for ``quiet``
     seconds, as rows of CHANGES.  Changes up to ``late`` seconds behind the newest
     are waited for; one that is older than its file's last is dropped, and so is a
-    version that was told already.  Of equal times the longest content counts,
-    then the greatest, a deletion last."""
+    version that was told already.  Of equal times the one
+    with the least ``ord`` counts where changes have that column, else the longest
+    content, then the greatest, a deletion last."""
     wait = int(quiet * 1000)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         root, path = key
-        mtime, told, waiting, content = state.get if state.exists else (-(2**62), "none", False, None)
+        mtime, told, waiting, content, ord_ = state.get if state.exists else (-(2**62), "none", False, None, None)
         if state.hasTimedOut:
             if waiting:
                 yield pd.DataFrame({"root": [root], "path": [path], "mtime": [pd.Timestamp(mtime, unit="us")], "content": [content]})
                 told = _digest(content)
-            state.update((mtime, told, False, None))
+            state.update((mtime, told, False, None, None))
             return
         for frame in frames:
-            for at, new in zip(frame["mtime"], frame["content"], strict=True):
+            for at, new, n in zip(frame["mtime"], frame["content"], frame["ord"], strict=True):
                 if path is None or pd.isna(at):
                     continue
                 new = None if new is None or new is pd.NA else new
-                rank = lambda c: (c is not None, len(c or ""), c or "")
-                if _micros(at) > mtime or (_micros(at) == mtime and waiting and rank(new) > rank(content)):
-                    mtime, content, waiting = _micros(at), new, _digest(new) != told
+                n = None if pd.isna(n) else int(n)
+                rank = lambda c, o: (o is not None, -(o or 0), c is not None, len(c or ""), c or "")
+                if _micros(at) > mtime or (_micros(at) == mtime and waiting and rank(new, n) > rank(content, ord_)):
+                    mtime, content, waiting, ord_ = _micros(at), new, _digest(new) != told, n
         if path is None or mtime == -(2**62):
             return
-        state.update((mtime, told, waiting, content if waiting else None))
+        state.update((mtime, told, waiting, content if waiting else None, ord_ if waiting else None))
         if waiting:
             state.setTimeoutTimestamp(max(mtime // 1000 + wait, state.getCurrentWatermarkMs() + 1))
 
-    timed = changes.select("root", "path", "mtime", "content").withWatermark("mtime", f"{int(late * 1000)} milliseconds")
+    order = F.col("ord").cast("long") if "ord" in changes.columns else F.lit(None).cast("long").alias("ord")
+    timed = changes.select("root", "path", "mtime", "content", order).withWatermark("mtime", f"{int(late * 1000)} milliseconds")
     return timed.groupBy("root", "path").applyInPandasWithState(run, CHANGES, _STATE, "append", "EventTimeTimeout")
 
 

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from inventra import catalogue_flow
 from inventra.operators import extract
 from inventra.streaming.watch import Inventory, read_changes, settled, watch
 
@@ -93,3 +94,12 @@ def test_inventory(spark, tmp_path):
     inventory.compact(3)
     assert sorted(p.name for p in (tmp_path / "i").iterdir()) == ["all-3"] and sorted(map(tuple, inventory.current().collect())) == before == [("r", "a", "o", "model", 2), ("r", "b", "n", "model", 1)]
     assert tell(files("b"), comps(), 4) == [("b", "n", "removed")] and inventory.current().agg(F.count("*")).first()[0] == 1
+
+
+def test_equal_times_go_to_the_first_event(spark, tmp_path):
+    """Events at one time: the one with the least id, not the longest content."""
+    at = lambda day: datetime(2024, 1, day)
+    rows = [(3, at(1), 7, "purchase"), (2, at(1), 7, "view"), (12, at(1), 7, "click"), (20, at(9), 8, "view")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue_flow.settled_changes(spark, str(tmp_path)).collect()
+    assert [(r.path, r.content) for r in got] == [("u7", "view:2")]

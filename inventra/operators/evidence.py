@@ -240,7 +240,7 @@ def facts(files: DataFrame) -> DataFrame:
 
 def _same_name(rows: DataFrame, given: list[tuple]) -> DataFrame:
     """rows (with ``name``) and the needles of which one is the other, or its end."""
-    table = rows.sparkSession.createDataFrame(given, _NEEDLE)
+    table = F.broadcast(rows.sparkSession.createDataFrame(given, _NEEDLE))
     named = rows.where("name <> ''")
     down = named.withColumn("_s", F.explode(suffixes(F.col("name")))).join(table.withColumn("_s", F.col("needle")), "_s").drop("_s")
     longer = table.withColumn("name", F.explode(suffixes(F.col("needle")))).where("name <> needle")

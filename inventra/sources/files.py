@@ -61,9 +61,16 @@ def notebooks(files: DataFrame) -> DataFrame:
     return files.where(extension() == ".ipynb").withColumn("content", text)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """The files over as many tasks as a shuffle has.  By its size a packed table of
+    short files is read by one task or two, which then do all the work on them."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root", "path")
+
+
 def parsed(files: DataFrame, parse, schema: str) -> DataFrame:
     """``parse(root, path, content)`` yields rows of ``schema``; a file that
-    can't be read gives none.  ord numbers rows within their file."""
+    can't be read gives none.  ord numbers rows within their file.  How many there
+    are can't be told from the files' size, so joins never broadcast them."""
     kind = StructType.fromDDL(f"root string, path string, {schema}, ord int")
     arrow = to_arrow_schema(kind)
 
@@ -78,7 +85,7 @@ def parsed(files: DataFrame, parse, schema: str) -> DataFrame:
                 rows += [(root, path, *r, i) for i, r in enumerate(found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(arrow)], schema=arrow)
 
-    return files.select("root", "path", "content").mapInArrow(run, kind)
+    return spread(files.select("root", "path", "content")).mapInArrow(run, kind).hint("merge")
 
 
 # --- configuration ---------------------------------------------------------

@@ -23,11 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: it cuts
-    the lineage, and any executor can read it."""
+    the lineage, and any executor can read it.  Packed files say little of how large
+    it is in memory, so joins never broadcast it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def removed(spark: SparkSession, path: str) -> None:

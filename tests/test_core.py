@@ -14,6 +14,7 @@ from inventra.operators import search
 from inventra.plans import assess
 from inventra.sinks import reports
 from inventra.sources import files as S
+from inventra.tables import stored
 
 
 def one(spark, column):
@@ -237,3 +238,12 @@ def test_files_wire_their_agents_without_wide_rows(spark):
     rows = [("a", "a", "Agent", "f", "", {"x": "y"}, 1, True), ("a", "b", "Agent", "g", "", {"x": "y"}, 2, False), ("t", "t1", "tool", "f", "v", {}, 3, False), ("u", "t2", "tool", "f", "", {}, 4, False), ("c", "c", "Agent", None, "", {}, 5, True)]
     out = derive.same_file_arguments(spark.createDataFrame(rows, kind))
     assert sorted((r.name, r.arguments) for r in out.collect()) == [("a", {"x": "y", "tools": "LIST:VARIABLE:v,VARIABLE:t2"}), ("b", {"x": "y"}), ("c", {}), ("t1", {}), ("t2", {})]
+
+
+def test_parsed_rows_are_spread_and_not_broadcast(spark):
+    """A small packed table of many files: read over all tasks, never sent to the driver."""
+    found = S.parsed(spark.createDataFrame([("r", f"{i}.py", "x") for i in range(40)], "root string, path string, content string").coalesce(1), lambda root, path, content: iter([(content,)]), "name string")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = spark.range(5).withColumn("root", F.lit("r")).join(found, "root")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in plan
+    assert "strategy=merge" in stored(spark.range(3))._jdf.queryExecution().analyzed().toString() or "ResolvedHint" in stored(spark.range(3))._jdf.queryExecution().analyzed().toString()

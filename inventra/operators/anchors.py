@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inventra.sources.files import parsed
+from inventra.tables import stored
 
 _SCOPE = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 _DEF = re.compile(r"\s*(async\s+)?def\s")
@@ -119,7 +120,7 @@ def imported(asks: DataFrame, b: DataFrame, files: DataFrame) -> DataFrame:
     """asks (id, root, path, name) with the file and line of the function that an
     imported name means, within the same root, over ``STEPS`` modules at most."""
     top = b.where("kind in ('top', 'from')").groupBy("root", "path", "name").agg(F.max_by(F.struct("kind", "line", "module", "level", "origin"), "ord").alias("t"))
-    there = files.select("root", F.col("path").alias("to")).distinct()
+    there = files.select("root", F.col("path").alias("to")).distinct().hint("merge")
     now, found = asks, None
     for step in range(STEPS + 1):
         met = now.join(top, ["root", "path", "name"])
@@ -141,7 +142,7 @@ def aligned(tools: DataFrame, files: DataFrame) -> DataFrame:
     to that import (anchor import), and goes altogether unless a class or a call's
     result is meant; an imported function that a registration call is given to its
     ``def`` in the module it comes from.  Others stay."""
-    b = bindings(files)
+    b = stored(bindings(files))
     t = tools.where("line > 0 and path like '%.py'")
     below = b.where("kind = 'decorator'").select("root", "path", "line", F.lit(True).alias("decorator"), F.col("end").alias("below"))
     t = t.join(below, ["root", "path", "line"], "left")

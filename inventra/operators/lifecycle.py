@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from inventra.functions.text import stripped
 from inventra.operators.extract import COLUMNS, imports_any, imports_family, python_files, scanner
-from inventra.sources.files import extension
+from inventra.sources.files import extension, spread
 
 _WEIGHTS = "safetensors|gguf|onnx|h5|pb|tflite|mlmodel|pt|pth"
 _TABLES = "csv|parquet|jsonl|tfrecord"
@@ -98,6 +98,7 @@ def components(files: DataFrame) -> DataFrame:
     """root, path, line, name, component_type, framework, confidence,
     needs_agentic, storage_uri, and of a hyperparameter its value: one row for each
     line, type and framework, the first by order of the table."""
+    files = spread(files.select("root", "path", "content"))
     lines = _lines(files)
     fields = ("concept", "framework", "pattern", "imported", "n")
     table = F.array(*(F.struct(*(F.lit(v).alias(f) for f, v in zip(fields, row, strict=True))) for row in _TABLE))

@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from inventra.functions.text import OPERATORS, in_skipped_dir, normal_path
+from inventra.tables import stored
 
 
 def read_tree(spark: SparkSession, roots: list[str], excludes: list[str] = (), ignore: list[str] = ()) -> DataFrame:
@@ -261,7 +262,8 @@ _DEPENDENCY = "name string, spec string, line int, pin string, ecosystem string"
 
 def included_requirements(files: DataFrame, depth: int = 8) -> DataFrame:
     """Files that requirement files include (``-r``), directly or by others, and
-    that aren't manifests by their own name.  Each is visited once."""
+    that aren't manifests by their own name.  Each is visited once; what a round finds
+    is stored, so the next one doesn't find it anew."""
     here = files.select("root", "path", "content")
     seen = here.where(F.col("path").rlike(r"(^|/)requirements[^/]*\.txt$"))
     now, out = seen, here.limit(0)
@@ -269,7 +271,7 @@ def included_requirements(files: DataFrame, depth: int = 8) -> DataFrame:
         line = F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:-r|--requirement)\s+(\S+)"), F.lit(1)))
         asked = now.select("root", F.regexp_replace("path", "[^/]*$", "").alias("dir"), line.alias("to"))
         asked = asked.select("root", normal_path(F.concat("dir", "to")).alias("path")).distinct().join(seen.select("root", "path"), ["root", "path"], "left_anti")
-        now = here.join(asked, ["root", "path"], "left_semi")
+        now = stored(here.join(asked.hint("merge"), ["root", "path"], "left_semi"))
         if now.isEmpty():
             break
         out, seen = out.unionByName(now), seen.select("root", "path", "content").unionByName(now)

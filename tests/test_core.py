@@ -247,3 +247,11 @@ def test_parsed_rows_are_spread_and_not_broadcast(spark):
     plan = spark.range(5).withColumn("root", F.lit("r")).join(found, "root")._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=merge)" in plan
     assert "strategy=merge" in stored(spark.range(3))._jdf.queryExecution().analyzed().toString() or "ResolvedHint" in stored(spark.range(3))._jdf.queryExecution().analyzed().toString()
+
+
+def test_includes_are_found_once(spark):
+    """What a round of includes finds is stored: no round's joins are run again by the next."""
+    tree = [("r", "requirements.txt", "-r a.in\n"), ("r", "a.in", "-r b.in\nx\n"), ("r", "b.in", "-r a.in\ny\n")]
+    out = S.included_requirements(spark.createDataFrame(tree, "root string, path string, content string"))
+    assert sorted(r.path for r in out.collect()) == ["a.in", "b.in"]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -53,3 +53,10 @@ def test_what_stands_in_code(spark):
 
 def test_no_files(spark):
     assert languages.components(spark.createDataFrame([], "root string, path string, content string")).collect() == []
+
+
+def test_files_with_packages_are_not_broadcast(spark):
+    """Which files show a package is a row for nearly every file: no table for the driver."""
+    c = languages.components(spark.createDataFrame([("r", "a.ts", "import x from 'openai'\nnew Agent(\n"), ("r", "b.ts", "new Agent(\n")], "root string, path string, content string"))
+    assert sorted((r.path, r.name, r.confidence) for r in c.collect()) == [("a.ts", "Agent", 0.7), ("a.ts", "openai", 0.85), ("b.ts", "Agent", 0.25)]
+    assert "Broadcast" not in c._jdf.queryExecution().executedPlan().toString()

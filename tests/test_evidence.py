@@ -1,8 +1,11 @@
 """Signatures met with classes: what matches, where, and what a user changes."""
 
+import re
+
 import pytest
 
 from inventra.operators import evidence as E
+from inventra.tables import stored
 
 #: name: (source, {(class, kind, signature): (first line, last line)})
 CASES = {
@@ -72,3 +75,11 @@ def test_a_users_signatures(facts):
 def test_nothing(spark):
     f = E.facts(spark.createDataFrame([], "root string, path string, content string"))
     assert E.matches(f).collect() == [] and E.dossiers(f).collect() == []
+
+
+def test_dossiers_broadcast_needles_alone(spark):
+    """Classes, calls and imports grow with the files: only signatures may go through the driver."""
+    f = stored(E.facts(spark.createDataFrame([("r", "a.py", "from crewai import Agent\nclass A:\n    def f(self): Agent()\n")], "root string, path string, content string")))
+    plan = E.dossiers(f)._jdf.queryExecution().executedPlan().toString()
+    sent = re.findall(r"BroadcastHashJoin \[(\w+)#", plan)
+    assert sent and set(sent) <= {"_s", "name"} and "BroadcastNestedLoopJoin" not in plan

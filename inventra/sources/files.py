@@ -114,7 +114,8 @@ def _leaves(node, key: str = ""):
 def yaml_documents(text: str) -> list:
     import yaml
 
-    return [x for x in yaml.safe_load_all(text) if x is not None]
+    # The parser in C where it is there; it gives the same documents.
+    return [x for x in yaml.load_all(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)) if x is not None]
 
 
 def parse_env(root: str, path: str, content: str):

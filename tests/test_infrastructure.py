@@ -54,3 +54,15 @@ def test_scanner(found):
 
 def test_no_files(spark):
     assert I.components(spark.createDataFrame([], "root string, path string, content string")).collect() == []
+
+
+def test_documents_are_read_by_the_parser_in_c(monkeypatch):
+    """Same documents as the plain parser's, which takes several times as long and isn't asked."""
+    import yaml
+
+    from inventra.sources.files import yaml_documents
+
+    texts = ["a: 1\n---\n---\nb: [x, 1.5, no, ~, 2020-01-02]\n", "a: &x {k: 'v'}\nb: *x\nc: |\n  t\n  u\n", "", "- \"\\u00e9\"\n- {a: {}}\n"]
+    plain = [[x for x in yaml.safe_load_all(t) if x is not None] for t in texts]
+    monkeypatch.setattr(yaml.SafeLoader, "__init__", lambda *a: 1 / 0)
+    assert [yaml_documents(t) for t in texts] == plain

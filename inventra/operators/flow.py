@@ -9,7 +9,7 @@ One pass over the files writes *facts*: which expression takes its value from
 which other (edges), which one reads a field or calls a method, and calls with
 their arguments, definitions, returns, imports.  The walk is a fixpoint over these
 tables.  A row (start, node) says that a start's value may come from a node; each
-round joins only the rows that are new in it.  Fields and methods ask which
+round joins only the rows that are new in it, and follows a few edges at once.  Fields and methods ask which
 objects stand before the dot: such a question is a start of its own, asked once
 however many ask it, and each object found is met with all that wait for it.
 Where nothing is constructed before a dot, a method call passes on its first
@@ -31,8 +31,9 @@ from inventra.operators.anchors import modules
 from inventra.sources.files import parsed
 from inventra.tables import dropped, removed, shared_dir, stored
 
-#: How many steps away from a loop a walk goes.
+#: How many steps away from a loop a walk goes, and how many edges one round follows.
 DEPTH = 24
+AT_ONCE = 3
 # Calls that pass on what they are given; methods that grow a collection; methods that give what they stand on.
 PASSING = ("list", "tuple", "set", "frozenset", "sorted", "reversed", "iter")
 GROWING = ("append", "extend", "add", "update", "insert")
@@ -346,7 +347,13 @@ class _Walk:
     def _onward(self) -> DataFrame:
         """What the rows of the last round lead to."""
         new, old = self._rows(self.step).where(F.col("step") == self.step).drop("step"), self._rows(self.step - 1).drop("step")
-        by_edge = new.join(self.edges.withColumnRenamed("mode", "only"), ["root", "node"]).where("only in ('b', mode)").select("root", "mode", "start", F.col("to").alias("node"), (F.col("depth") + F.col("cost")).alias("depth"))
+        edges, now, by_edge = self.edges.withColumnRenamed("mode", "only"), new, new.limit(0).select("root", "mode", "start", "node", "depth")
+        for i in range(AT_ONCE):
+            # A round costs more than an edge, so it follows several; ways that meet go on as one.
+            if i:
+                now = now.where(F.col("depth") <= self.depth).groupBy("root", "mode", "start", "node").agg(F.min("depth").alias("depth"))
+            now = now.join(edges, ["root", "node"]).where("only in ('b', mode)").select("root", "mode", "start", F.col("to").alias("node"), (F.col("depth") + F.col("cost")).alias("depth"))
+            by_edge = by_edge.unionByName(now)
         met = new.join(self.params, ["root", "node"]).join(self.given, ["root", "callee"])
         placed = F.when(F.col("flag"), F.col("at") <= F.col("pos")).otherwise(F.col("at") == F.col("pos")) & F.col("first") & ~F.array_contains("words", F.col("param"))
         by_call = met.where(F.when(F.col("name").isNotNull(), F.col("name") == F.col("param")).otherwise(placed)).select("root", "mode", "start", F.col("to").alias("node"), (F.col("depth") + 1).alias("depth"))

@@ -75,3 +75,15 @@ def test_depth_ends_a_walk(spark):
 def test_nothing_to_follow(spark):
     none = spark.createDataFrame([], "root string, path string, content string")
     assert flow.registered(spark.createDataFrame([], "id int, root string, path string, line int, name string"), none).collect() == []
+
+
+def test_a_round_follows_several_edges(spark, monkeypatch):
+    """Lists that take in another module's list: about a round for each module, not one for each edge."""
+    tree = {"pkg/m0.py": "def f0(): pass\nT0 = [f0]\n"} | {f"pkg/m{i}.py": f"from .m{i - 1} import T{i - 1}\ndef f{i}(): pass\nT{i} = [f{i}, *T{i - 1}]\n" for i in range(1, 5)}
+    tree["pkg/m4.py"] += LOOP.format("T4")
+    rounds, keep = [], flow._Walk._keep
+    monkeypatch.setattr(flow._Walk, "_keep", lambda self, rows: rounds.append(1) or keep(self, rows))
+    sites = spark.createDataFrame([(1, "r", "pkg/m4.py", 5, "tool")], "id int, root string, path string, line int, name string")
+    got = flow.registered(sites, spark.createDataFrame([("r", p, t) for p, t in tree.items()], "root string, path string, content string"))
+    assert sorted(r.name for r in got.collect()) == ["f0", "f1", "f2", "f3", "f4"]
+    assert len(rounds) <= 8

@@ -255,3 +255,11 @@ def test_includes_are_found_once(spark):
     out = S.included_requirements(spark.createDataFrame(tree, "root string, path string, content string"))
     assert sorted(r.path for r in out.collect()) == ["a.in", "b.in"]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_catalogue_assets_parse_files_once(spark):
+    """What code does is stored: no branch of the plan parses files again."""
+    k = spark.createDataFrame([("crewai.Agent", "agent", "class", "crewai")], "id string, concept string, label string, framework string")
+    files = spark.createDataFrame([("r", "a.py", "import crewai\nlead = crewai.Agent(name='n')\n")], "root string, path string, content string")
+    found = extract.catalogue_assets(files, k)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()

@@ -239,24 +239,30 @@ def facts(files: DataFrame) -> DataFrame:
 
 
 def _same_name(rows: DataFrame, given: list[tuple]) -> DataFrame:
-    """rows (with ``name``) and the needles of which one is the other, or its end."""
-    table = F.broadcast(rows.sparkSession.createDataFrame(given, _NEEDLE))
-    named = rows.where("name <> ''")
-    down = named.withColumn("_s", F.explode(suffixes(F.col("name")))).join(table.withColumn("_s", F.col("needle")), "_s").drop("_s")
-    longer = table.withColumn("name", F.explode(suffixes(F.col("needle")))).where("name <> needle")
-    return down.unionByName(named.join(longer, "name"))
-
-
-def _containing(rows: DataFrame, given: list[tuple], ends: bool = False) -> DataFrame:
-    """rows and the needles that their name holds, or ends with.  Needles are a few
-    dozen rows of configuration; each name is tested against all at once."""
-    fields = [f.split()[0] for f in _NEEDLE.split(", ")]
+    """rows (with ``name`` and ``surface``) and the needles of their surface of which
+    one is the other, or its end.  A needle is sent by its own name, and by each end
+    of it for names that are no more than that, so that one join does."""
+    ends = F.transform(suffixes(F.col("needle")), lambda s: F.struct(s.alias("_s"), (s != F.col("needle")).alias("_part")))
+    sent = F.broadcast(rows.sparkSession.createDataFrame(given, _NEEDLE).select("*", F.inline(ends)))
+    asked = F.transform(suffixes(F.col("name")), lambda s: F.struct(s.alias("_s"), (s == F.col("name")).alias("_whole")))
+    return rows.where("name <> ''").select("*", F.inline(asked)).join(sent, ["_s", "surface"]).where("_whole or not _part").drop("_s", "_whole", "_part")
+
+
+def _containing(rows: DataFrame, given: list[tuple]) -> DataFrame:
+    """rows (with ``what`` and ``name``) and the needles that their name holds, or
+    ends with; those of texts are for texts alone.  Needles are a few dozen rows of
+    configuration; each name is tested against all at once."""
+    fields = [x.split() for x in _NEEDLE.split(", ")]
     if not given:
-        return rows.withColumns({f: F.lit(None).cast(kind) for f, kind in (x.split() for x in _NEEDLE.split(", "))}).where(F.lit(False))
-    held = F.array(*(F.struct(*(F.lit(v).alias(f) for f, v in zip(fields, x, strict=True))) for x in given))
-    test = F.endswith if ends else F.contains
-    met = rows.withColumn("_hit", F.explode(F.filter(held, lambda x: test(F.col("name"), x["needle"]))))
-    return met.select(*rows.columns, *(F.col(f"_hit.{c}").alias(c) for c in fields))
+        return rows.withColumns({f: F.lit(None).cast(kind) for f, kind in fields}).where(F.lit(False))
+    held = F.array(*(F.struct(*(F.lit(v).alias(f) for (f, _), v in zip(fields, x, strict=True))) for x in given))
+
+    def holds(x: Column) -> Column:
+        fits = F.when(x["surface"] == "end", F.endswith(F.col("name"), x["needle"])).otherwise(F.contains(F.col("name"), x["needle"]))
+        return ((x["surface"] == "text") == (F.col("what") == "text")) & fits
+
+    met = rows.withColumn("_hit", F.explode(F.filter(held, holds)))
+    return met.select(*rows.columns, *(F.col(f"_hit.{f}").alias(f) for f, _ in fields))
 
 
 CLASS = ["root", "path", "class_name", "qualified_name", "class_start", "class_end"]
@@ -266,70 +272,79 @@ def classes(f: DataFrame) -> DataFrame:
     return f.where("kind = 'class'").select("root", "path", F.col("name").alias("class_name"), F.col("owner").alias("qualified_name"), F.col("line").alias("class_start"), F.col("end").alias("class_end"), F.col("names").alias("bases"))
 
 
-def _said(kind: str) -> Column:
-    at = F.col("line").cast("string")
-    return F.concat(F.lit(kind), F.lit(" '"), F.col("name"), F.lit("' at line "), at)
+#: What is said of a match, by its surface.
+_SAYS = {"entry": "Call to framework entry point", "decorator": "Decorator", "part": "Protocol call", "text": "Protocol text", "end": "Remote agent call"}
 
 
 def matches(f: DataFrame, user: dict | None = None) -> DataFrame:
     """CLASS, kind (framework, protocol, react_loop, anti, remote), signature,
     pattern, start_line, end_line, rationale: for each class and signature the
     first match by the signature's own order, and each loop over a model's calls.
-    f: ``facts``, stored."""
+    f: ``facts``, stored.  Facts meet needles before they meet classes, so one join
+    of points and spans does for all rules, and what no rule asks for isn't in it."""
     given, least = needles(user), policy(user)
-    of = lambda surface, *kinds: [x for x in given if x[6] == surface and (not kinds or x[0] in kinds)]
-    held = classes(f)
-    points = f.where("kind in ('call', 'assignment', 'decorator', 'text', 'loop')").withColumnRenamed("kind", "what")
-    inside = stabbed(points, held.drop("bases"), ["root", "path"], "line", "class_start", "class_end")
-    calls = inside.where("what in ('call', 'assignment')")
-    late = F.when(F.col("what") == "assignment", 1).otherwise(0)
-
-    def ranked(df: DataFrame, first: int, later: Column, said: Column) -> DataFrame:
-        place = F.struct(F.lit(first).alias("a"), F.col("n").alias("b"), later.alias("c"), F.col("line").alias("d"), F.col("ord").alias("e"))
-        return df.select(*CLASS, "sort", "signature", "label", "pattern", "narrow", place.alias("place"), F.col("line").alias("start_line"), said.alias("rationale"))
-
-    named = held.select(*CLASS, F.explode("bases").alias("name"), F.col("class_start").alias("line"), F.lit(0).alias("ord"))
+    of = lambda *surfaces: [x for x in given if x[6] in surfaces]
+    held, what = classes(f).drop("bases"), F.col("what")
+    told = f.withColumnRenamed("kind", "what")
+    fact = ["root", "path", "line", "end", "ord", "what", "owner"]
+    shown = ["sort", "signature", "label", "pattern", "narrow", "place", "line", "last", "rationale"]
+
+    def place(first: Column | int, n: Column | int, later: Column | int) -> Column:
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(lit(first).alias("a"), lit(n).alias("b"), lit(later).alias("c"), F.col("line").alias("d"), F.col("ord").alias("e"))
+
+    surface = F.col("surface")
+    first = F.when(surface.isin("decorator", "text") | ((surface == "base") & (F.col("sort") == "framework")), 1).otherwise(0)
+    later = F.when((what == "decorator") | ((what == "assignment") & surface.isin("entry", "part")), 1).otherwise(0)
     from_base = F.concat(F.lit("Class '"), F.col("class_name"), F.lit("' inherits from '"), F.col("needle"), F.lit("'"))
-    over = held.select(*CLASS, F.col("class_start").alias("line")).join(f.where("kind = 'class_decorator'").select("root", "path", "line", "name", "ord"), ["root", "path", "line"])
-    own = inside.where("owner = class_name")
-    innermost = first_around(points.where("what in ('call', 'assignment')"), held.drop("bases"), ["root", "path"], "line", "class_start", "class_end", [-F.col("class_start"), F.col("class_end")], CLASS[2:], ["root", "path", "line", "name", "ord"]).select("root", "path", "line", "name", "ord", "found.*")
-    zero = F.lit(0)
-    found = [
-        ranked(_same_name(calls, of("entry")), 0, late, _said("Call to framework entry point")),
-        ranked(_same_name(named, of("base", "framework")), 1, zero, from_base), ranked(_same_name(named, of("base", "anti")), 0, zero, from_base),
-        ranked(_same_name(over, of("decorator")), 1, zero, _said("Decorator")), ranked(_same_name(inside.where("what = 'decorator'"), of("decorator")), 1, F.lit(1), _said("Decorator")),
-        ranked(_containing(calls, of("part")), 0, late, _said("Protocol call")), ranked(_containing(own.where("what = 'text'"), of("text")), 1, zero, _said("Protocol text")),
-        ranked(_containing(innermost, of("end"), ends=True), 0, zero, _said("Remote agent call")),
-    ]
-    imports = _containing(f.where("kind = 'import'").select("root", "path", "name"), of("import", "framework", "anti", "remote")).select("root", "path", "sort", "signature").distinct().withColumn("imported", F.lit(True))
-    rows = reduce(DataFrame.unionByName, found).join(imports, ["root", "path", "sort", "signature"], "left").where("imported or not narrow")
-    best = rows.groupBy(*CLASS, "sort", "signature").agg(F.min(F.struct("place", "label", "pattern", "start_line", "rationale")).alias("m"))
-    pattern = F.when(F.col("sort") == "anti", F.col("m.label")).otherwise(F.col("m.pattern"))
-    by_signature = best.select(*CLASS, F.col("sort").alias("kind"), "signature", pattern.alias("pattern"), "m.start_line", F.col("m.start_line").alias("end_line"), "m.rationale")
+    said = F.concat(F.coalesce(*(F.when(surface == k, v) for k, v in _SAYS.items())), F.lit(" '"), F.col("name"), F.lit("' at line "), F.col("line").cast("string"))
+    ranked = lambda df, said=said: df.withColumns({"place": place(first, F.col("n"), later), "last": F.col("line"), "rationale": said})
+
+    asks = F.when(what == "class", "base").when(what.isin("decorator", "class_decorator"), "decorator").when(what.isin("call", "assignment"), "entry")
+    names = F.when(what == "class", F.col("names")).otherwise(F.array("name"))
+    named = told.select(*fact, F.col("name").alias("class_name"), asks.alias("surface"), F.explode(names).alias("name")).where("surface is not null")
+    same = _same_name(named, [x for x in of("entry", "decorator", "base") if x[6] != "base" or x[0] in ("framework", "anti")])
+    holding = ranked(_containing(told.where("what in ('call', 'assignment', 'text')").select(*fact, "name"), of("part", "text", "end")))
 
     distinct = F.size(F.array_distinct("names"))
     model = F.exists("names", lambda c: reduce(Column.__or__, [F.contains(F.lower(c), F.lit(x)) for x in MODEL_CALLS]))
-    loops = own.where("what = 'loop'").where((F.size("names") >= least["min_react_loop_call_count"]) & (distinct >= least["min_react_loop_distinct_callees"]) & F.col("branch") & model)
-    said = F.format_string("%s loop in '%s' with %d calls, %d callees, a branch and a model's call", "name", "method", F.size("names"), distinct)
-    looped = loops.select(*CLASS, F.lit("react_loop").alias("kind"), F.lit("structural.react_loop").alias("signature"), F.lit("react_loop").alias("pattern"), F.col("line").alias("start_line"), F.col("end").alias("end_line"), said.alias("rationale"))
-    return by_signature.unionByName(looped)
+    loops = told.where("what = 'loop'").where((F.size("names") >= least["min_react_loop_call_count"]) & (distinct >= least["min_react_loop_distinct_callees"]) & F.col("branch") & model)
+    looped = F.format_string("%s loop in '%s' with %d calls, %d callees, a branch and a model's call", "name", "method", F.size("names"), distinct)
+    loops = loops.withColumns({"sort": F.lit("react_loop"), "signature": F.lit("structural.react_loop"), "label": F.lit(None).cast("string"), "pattern": F.lit("react_loop"), "narrow": F.lit(False), "place": place(0, 0, 0), "last": F.col("end"), "rationale": looped})
+
+    points = [x.select("root", "path", "what", "owner", *shown) for x in (ranked(same.where("what <> 'class'")), holding.where("surface <> 'end'"), loops)]
+    inside = stabbed(reduce(DataFrame.unionByName, points), held, ["root", "path"], "line", "class_start", "class_end")
+    # Texts and loops count for the class that they are the own of, its decorators for a class itself.
+    inside = inside.where("(what not in ('text', 'loop') or owner = class_name) and (what <> 'class_decorator' or line = class_start)")
+    ends = holding.where("surface = 'end'").select("root", "path", *shown)
+    innermost = first_around(ends, held, ["root", "path"], "line", "class_start", "class_end", [-F.col("class_start"), F.col("class_end")], CLASS[2:], ends.columns).select(*ends.columns, "found.*")
+    over = ranked(same.where("what = 'class'"), from_base).withColumns({"qualified_name": F.col("owner"), "class_start": F.col("line"), "class_end": F.col("end")})
+
+    imports = _containing(told.where("what = 'import'").select("root", "path", "what", "name"), [x for x in of("import") if x[0] in ("framework", "anti", "remote")]).select("root", "path", "sort", "signature").distinct().withColumn("imported", F.lit(True))
+    found = reduce(DataFrame.unionByName, [x.select(*CLASS, *shown) for x in (inside, innermost, over)])
+    rows = found.join(imports, ["root", "path", "sort", "signature"], "left").where("imported or not narrow")
+    each = F.when(F.col("sort") == "react_loop", F.col("place.e")).alias("each")
+    best = rows.groupBy(*CLASS, "sort", "signature", each).agg(F.min(F.struct("place", "label", "pattern", "line", "last", "rationale")).alias("m"))
+    pattern = F.when(F.col("sort") == "anti", F.col("m.label")).otherwise(F.col("m.pattern"))
+    return best.select(*CLASS, F.col("sort").alias("kind"), "signature", pattern.alias("pattern"), F.col("m.line").alias("start_line"), F.col("m.last").alias("end_line"), "m.rationale")
 
 
 def dossiers(f: DataFrame, user: dict | None = None) -> DataFrame:
     """CLASS, signatures (by kind and id), preferred (the best pattern), direct,
     proxy, excluded: one row for each class."""
-    m = matches(f, user)
+    none = {c: F.lit(None).cast("string") for c in ("kind", "signature", "pattern")}
+    # Classes that nothing is known of are rows without a match.
+    m = matches(f, user).select(*CLASS, *none).unionByName(classes(f).select(*CLASS).withColumns(none))
     claims = F.col("kind").isin("framework", "protocol", "react_loop")
     rank = F.when(claims, F.coalesce(*(F.when(F.col("pattern") == p, i) for i, p in enumerate(PATTERNS))))
-    direct = F.max(F.col("kind").isin("framework", "react_loop") | ((F.col("kind") == "protocol") & (F.col("pattern") == "a2a_server")))
+    flag = lambda c: F.coalesce(F.max(c), F.lit(False))
     grouped = m.groupBy(*CLASS).agg(
-        F.array_sort(F.collect_set(F.concat_ws(":", "kind", "signature"))).alias("signatures"), F.min(rank).alias("_rank"), direct.alias("direct"),
-        F.max((F.col("kind") == "protocol") & (F.col("pattern") == "remote_proxy")).alias("proxy"), F.max(F.col("kind") == "anti").alias("excluded"),
+        F.array_sort(F.collect_set(F.when(F.col("kind").isNotNull(), F.concat_ws(":", "kind", "signature")))).alias("signatures"), F.min(rank).alias("_rank"),
+        flag(F.col("kind").isin("framework", "react_loop") | ((F.col("kind") == "protocol") & (F.col("pattern") == "a2a_server"))).alias("direct"),
+        flag((F.col("kind") == "protocol") & (F.col("pattern") == "remote_proxy")).alias("proxy"), flag(F.col("kind") == "anti").alias("excluded"),
     )
-    out = classes(f).select(*CLASS).distinct().join(grouped, CLASS, "left")
     best = F.coalesce(*(F.when(F.col("_rank") == i, p) for i, p in enumerate(PATTERNS)))
-    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    return out.select(*CLASS, F.coalesce("signatures", F.array().cast("array<string>")).alias("signatures"), best.alias("preferred"), flag("direct"), flag("proxy"), flag("excluded"))
+    return grouped.select(*CLASS, "signatures", best.alias("preferred"), "direct", "proxy", "excluded")
 
 
 def agents(d: DataFrame) -> DataFrame:

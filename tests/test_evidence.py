@@ -83,3 +83,11 @@ def test_dossiers_broadcast_needles_alone(spark):
     plan = E.dossiers(f)._jdf.queryExecution().executedPlan().toString()
     sent = re.findall(r"BroadcastHashJoin \[(\w+)#", plan)
     assert sent and set(sent) <= {"_s", "name"} and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_all_rules_share_one_join_with_classes(spark):
+    """The driver holds the plan and each stage's metrics: one join of points with spans for all rules, one for the innermost class, one for imports."""
+    f = stored(E.facts(spark.createDataFrame([("r", "a.py", "from crewai import Agent\nclass A:\n    def f(self): Agent()\n")], "root string, path string, content string")))
+    for made in (E.matches(f), E.dossiers(f)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") <= 3

@@ -55,10 +55,19 @@ def canonical_provider(provider: Column) -> Column:
 def by_pattern(name: Column) -> Column:
     """provider, family and deprecated of the first pattern that matches; else null."""
     low = F.lower(name)
-    out = F.lit(None).cast("struct<provider:string,family:string,deprecated:boolean>")
+    none = F.lit(None).cast("struct<provider:string,family:string,deprecated:boolean>")
+    out = none
     for pattern, provider, family in reversed(PATTERNS):
         out = F.when(low.rlike(pattern), F.struct(F.lit(provider).alias("provider"), F.lit(family).alias("family"), F.lit(pattern in RETIRED).alias("deprecated"))).otherwise(out)
-    return out
+    # Most names are no model's: one test of all patterns at once stands before.
+    return F.when(low.rlike("^(?:" + "|".join(pattern.removeprefix("^") for pattern, _, _ in PATTERNS) + ")"), out).otherwise(none)
+
+
+def built_in(key: Column) -> Column:
+    """What the patterns say of a name, or else of its aliases unless it is a path's."""
+    slug = key.rlike(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$")
+    alias = F.try_element_at(F.filter(F.transform(model_aliases(key), by_pattern), lambda x: x.isNotNull()), F.lit(1))
+    return F.coalesce(by_pattern(key), F.when(~slug, alias))
 
 
 def no_model(name: Column) -> Column:
@@ -84,19 +93,19 @@ def lookup(names: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """``names`` (a column model) with provider, family, mode, deprecated and
     source (model_catalog, builtin, or null for what isn't known).  A gateway's
     row gives way to a native pattern that matches the very name."""
-    own = names.select("model").distinct().withColumn("key", stripped(F.coalesce("model", F.lit("")))).where((F.col("key") != "") & ~no_model(F.col("key")))
-    own = own.withColumn("aliases", model_aliases(F.col("key")))
-    hit = F.lit(None).cast("struct<provider:string,family:string,mode:string,deprecated:boolean>")
-    if models is not None:
-        each = own.select("model", F.posexplode("aliases").alias("rank", "alias"))
-        found = each.join(spread(models), "alias").groupBy("model").agg(F.min_by(F.struct("provider", "family", "mode", "deprecated"), "rank").alias("live"))
-        own = own.join(found, "model", "left")
-        hit = F.col("live")
-    direct = by_pattern(F.col("key"))
-    own = own.withColumn("direct", direct)
-    slug = F.col("key").rlike(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$")
-    alias = F.try_element_at(F.filter(F.transform("aliases", by_pattern), lambda x: x.isNotNull()), F.lit(1))
-    built = F.coalesce("direct", F.when(~slug, alias))
+    key = stripped(F.coalesce("model", F.lit("")))
+    fits = (key != "") & ~no_model(key)
+    if models is None:
+        # A function of the name alone: no join.
+        m = F.when(fits, built_in(key))
+        told = names.withColumn("_built", m)
+        source = F.when(F.col("_built").isNotNull(), "builtin")
+        return told.select(*names.columns, "_built.provider", "_built.family", F.lit(None).cast("string").alias("mode"), "_built.deprecated", source.alias("source"))
+    own = names.select("model").distinct().withColumn("key", key).where(fits).withColumn("aliases", model_aliases(F.col("key")))
+    each = own.select("model", F.posexplode("aliases").alias("rank", "alias"))
+    found = each.join(spread(models), "alias").groupBy("model").agg(F.min_by(F.struct("provider", "family", "mode", "deprecated"), "rank").alias("live"))
+    own = own.join(found, "model", "left").withColumn("direct", by_pattern(F.col("key")))
+    hit, built = F.col("live"), built_in(F.col("key"))
     gateway = hit.isNotNull() & ~hit["provider"].isin(*NATIVE) & F.coalesce(F.col("direct.provider").isin(*NATIVE), F.lit(False))
     live = hit.isNotNull() & ~gateway
     made = F.struct(

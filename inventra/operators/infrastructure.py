@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from inventra.functions.registry import is_embedding, lookup
 from inventra.functions.text import classify_endpoint, key_tokens, stripped
 from inventra.operators.extract import COLUMNS, scanner
-from inventra.sources.files import parsed
+from inventra.sources.files import UNREAD, parsed
 from inventra.tables import stored
 
 # Cloud resources that hold AI assets, by cloud.
@@ -129,32 +129,59 @@ def _bicep(content: str) -> Iterator[tuple[tuple[str, ...], str, str, int]]:
         yield ("param", m[1]), m[2], "text", line(m.start())
 
 
-def leaves(files: DataFrame) -> DataFrame:
-    """root, path and LEAVES.  Places in lists are [0], [1] and so on."""
-    def parse(root: str, path: str, content: str) -> Iterator[tuple]:
-        name = path.rsplit("/", 1)[-1]
-        if name.endswith((".tf", ".bicep")):
-            shape = "terraform" if name.endswith(".tf") else "bicep"
-            for at, value, kind, line in (_terraform if shape == "terraform" else _bicep)(content):
-                yield shape, 0, None, list(at), at[-1], value, kind, line
-            return
-        if name.endswith(".json"):
-            json.loads(content)  # what isn't JSON isn't read as YAML
+_GIVEN = re.compile(r"-\s*name:\s*(\S+)\s*\n\s*value:\s*.*?\.Values\.(\S+?)[\s\}]")
+
+
+def _documents(root: str, path: str, content: str) -> Iterator[tuple]:
+    """LEAVES of one file."""
+    name = path.rsplit("/", 1)[-1]
+    if name.endswith((".tf", ".bicep")):
+        shape = "terraform" if name.endswith(".tf") else "bicep"
+        for at, value, kind, line in (_terraform if shape == "terraform" else _bicep)(content):
+            yield shape, 0, None, list(at), at[-1], value, kind, line
+        return
+    if name.endswith(".json"):
+        json.loads(content)  # what isn't JSON isn't read as YAML
+    try:
+        nodes = [n for n in yaml.compose_all(content.replace("\t", "  ") if name.endswith(".json") else content, Loader=LOADER) if n is not None]
+    except yaml.YAMLError:
+        return
+    for i, node in enumerate(nodes):
+        keys = _plain(node)
+        shape = _shape(name, content, keys) if isinstance(keys, dict) else None
+        if shape and (shape in ("cloudformation", "arm") or not name.endswith(".json")):
+            kind = keys.get("kind") if isinstance(keys.get("kind"), str) else None
+            for at, value, kind_of, line in leaves_of(node, ()):
+                yield shape, i, kind, list(at), at[-1] if at else "", value, kind_of, line
+
+
+def _given(path: str, content: str) -> Iterator[tuple]:
+    """Variables of a chart's template that are given a value of it, in the form of
+    LEAVES: the chart and the value's path, and the variable as value."""
+    if re.search(r"(^|/)templates/.*\.yaml\Z", path):
+        chart = re.match(r"(?s)(.*?)(?:^|(?<=/))templates/", path)
+        for m in _GIVEN.finditer(content):
+            yield "template", 0, None, [chart[1], m[2].strip().rstrip(" }|")], "", m[1].strip("\"'"), "template", 0
+
+
+def read(files: DataFrame) -> DataFrame:
+    """root, path and LEAVES, and of templates what they give to variables (shape
+    template): each file is read once.  Places in lists are [0], [1] and so on."""
+    def parse(root: str, path: str, content: str) -> list[tuple]:
         try:
-            nodes = [n for n in yaml.compose_all(content.replace("\t", "  ") if name.endswith(".json") else content, Loader=LOADER) if n is not None]
-        except yaml.YAMLError:
-            return
-        for i, node in enumerate(nodes):
-            keys = _plain(node)
-            shape = _shape(name, content, keys) if isinstance(keys, dict) else None
-            if shape and (shape in ("cloudformation", "arm") or not name.endswith(".json")):
-                kind = keys.get("kind") if isinstance(keys.get("kind"), str) else None
-                for at, value, kind_of, line in leaves_of(node, ()):
-                    yield shape, i, kind, list(at), at[-1] if at else "", value, kind_of, line
+            found = list(_documents(root, path, content))
+        except UNREAD:
+            found = []  # a file that can't be read may still be a template
+        return found + list(_given(path, content))
 
     return parsed(files.where(F.col("path").rlike(r"(?i)\.(tf|bicep|json|ya?ml)$")), parse, LEAVES)
 
 
+def leaves(files: DataFrame) -> DataFrame:
+    """root, path and LEAVES, without templates' variables."""
+    return read(files).where("shape <> 'template'")
+
+
 def _contains(c: Column, words: tuple[str, ...]) -> Column:
     return reduce(Column.__or__, [F.contains(F.lower(c), F.lit(w)) for w in words])
 
@@ -168,11 +195,17 @@ def _technology(c: Column) -> Column:
 
 
 def _known(rows: DataFrame, models: DataFrame | None) -> DataFrame:
-    """rows with ``known`` and ``embeds``: the registry knows the value as a model,
-    and as one that embeds."""
-    values = rows.where("type = 'text'").select(F.col("text").alias("model")).distinct().where((F.col("model") != "") & (F.length("model") <= 256) & ~F.col("model").rlike(NO_MODEL))
-    told = lookup(values, models).select(F.col("model").alias("text"), F.col("source").isNotNull().alias("known"), is_embedding().alias("embeds"))
-    return rows.join(told, "text", "left").withColumn("known", F.coalesce("known", F.lit(False))).withColumn("embeds", F.coalesce("embeds", F.lit(False)) | F.lower("text").startswith("text-embedding"))
+    """rows with ``known`` and ``embeds``: the registry knows the text as a model,
+    and as one that embeds.  Without a registry's table there is nothing to join."""
+    asked = (F.col("type") == "text") & (F.col("text") != "") & (F.length("text") <= 256) & ~F.col("text").rlike(NO_MODEL)
+    if models is None:
+        told = lookup(rows.withColumn("model", F.when(asked, F.col("text"))), None)
+        out = told.select(*rows.columns, F.col("source").isNotNull().alias("known"), is_embedding().alias("embeds"))
+    else:
+        values = rows.where(asked).select(F.col("text").alias("model")).distinct()
+        told = lookup(values, models).select(F.col("model").alias("text"), F.col("source").isNotNull().alias("known"), is_embedding().alias("embeds"))
+        out = rows.join(told, "text", "left").withColumns({"known": F.coalesce("known", F.lit(False)), "embeds": F.coalesce("embeds", F.lit(False))})
+    return out.withColumn("embeds", F.col("embeds") | F.lower("text").startswith("text-embedding"))
 
 
 def _words_in(c: Column, words: tuple[str, ...]) -> Column:
@@ -190,11 +223,17 @@ def _in(*names: str) -> Column:
 _OUT = ["root", "path", "line", "name", "component_type", "model_name", "confidence", "needs_agentic", "shape", "place", "env_var", "technology", "first"]
 
 
-def _found(rows: DataFrame, name: Column, kind: Column | str, first: int, model: Column | None = None, confidence: Column | float = 1.0, review: Column | bool = False, place: Column | None = None, env: Column | None = None, technology: Column | None = None) -> DataFrame:
+def _found(test: Column | str, name: Column, kind: Column | str, first: int, model: Column | None = None, confidence: Column | float = 1.0, review: Column | bool = False, place: Column | None = None, env: Column | None = None, technology: Column | None = None) -> Column:
+    """What a rule tells of a row that passes its test; else null."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     none = F.lit(None).cast("string")
     values = [F.substring(name, 1, 200), lit(kind), none if model is None else model, lit(confidence), lit(review), F.col("shape"), dotted_path(F.col("at")) if place is None else place, none if env is None else env, none if technology is None else technology, F.struct(F.lit(first).alias("rule"), F.col("ord").alias("ord"))]
-    return rows.select("root", "path", "line", *(v.alias(c) for v, c in zip(values, _OUT[3:], strict=True)))
+    return F.when(F.expr(test) if isinstance(test, str) else test, F.struct(*(v.alias(c) for v, c in zip(values, _OUT[3:], strict=True))))
+
+
+def _all(rows: DataFrame, *found: Column) -> DataFrame:
+    """What several rules tell of the same rows, in one pass over them."""
+    return rows.select("root", "path", "line", F.inline(F.array_compact(F.array(*found))))
 
 
 def dotted_path(at: Column) -> Column:
@@ -202,18 +241,11 @@ def dotted_path(at: Column) -> Column:
     return F.replace(F.array_join(at, "."), F.lit(".["), F.lit("["))
 
 
-def templates(files: DataFrame) -> DataFrame:
-    """root, chart, value, env: variables of a chart's templates that are given a
-    value of it; of several the last in order of files counts."""
-    pattern = re.compile(r"-\s*name:\s*(\S+)\s*\n\s*value:\s*.*?\.Values\.(\S+?)[\s\}]")
-
-    def parse(root: str, path: str, content: str) -> Iterator[tuple]:
-        chart = re.match(r"(?s)(.*?)(?:^|(?<=/))templates/", path)
-        for m in pattern.finditer(content):
-            yield chart[1], m[2].strip().rstrip(" }|"), m[1].strip("\"'")
-
-    own = files.where(F.col("path").rlike(r"(^|/)templates/.*\.yaml$"))
-    return parsed(own, parse, "chart string, value string, env string").groupBy("root", "chart", "value").agg(F.max_by("env", F.struct("path", "ord")).alias("env"))
+def templates(rows: DataFrame) -> DataFrame:
+    """root, chart, value, env: variables of a chart's templates (rows of ``read``)
+    that are given a value of it; of several the last in order of files counts."""
+    own = rows.where("shape = 'template'").select("root", F.col("at")[0].alias("chart"), F.col("at")[1].alias("value"), F.col("value").alias("env"), "path", "ord")
+    return own.groupBy("root", "chart", "value").agg(F.max_by("env", F.struct("path", "ord")).alias("env"))
 
 
 def _charts(files: DataFrame, values: DataFrame) -> DataFrame:
@@ -228,7 +260,7 @@ def _charts(files: DataFrame, values: DataFrame) -> DataFrame:
 
 def _helm(rows: DataFrame, files: DataFrame) -> list[DataFrame]:
     h = rows.where("shape = 'helm' and not startswith(key, '[')").withColumn("dotted", dotted_path(F.col("at"))).withColumn("parent", F.slice("at", 1, F.size("at") - 1))
-    to = _charts(files, h).join(templates(files), ["root", "chart"]).select("root", "path", F.col("value").alias("dotted"), "env")
+    to = _charts(files, h).join(templates(rows), ["root", "chart"]).select("root", "path", F.col("value").alias("dotted"), "env")
     h = h.join(to, ["root", "path", "dotted"], "left")
     given = F.coalesce("env", "key")
     parts = F.split(F.replace(F.lower("dotted"), F.lit("-"), F.lit("_")), r"\.")
@@ -244,33 +276,35 @@ def _helm(rows: DataFrame, files: DataFrame) -> list[DataFrame]:
     stated = F.when(chosen & _technology(F.col("b_text")).isNotNull(), F.struct("b_ord", _technology(F.col("b_text")).alias("t")))
     pair = F.when(F.col("known"), F.struct("b_ord", F.when(F.col("embeds"), "embedding").otherwise("llm").alias("p")))
     around = beside.groupBy("root", "path", "document", "parent").agg(F.min(stated).alias("stated"), F.min(pair).alias("pair"))
-    e = text.where(endpoint).join(around, ["root", "path", "document", "parent"], "left")
+    h = h.join(around, ["root", "path", "document", "parent"], "left")
     hinted = _technology(F.concat_ws(" ", "dotted", "text"))
     kind = F.when(F.col("stated").isNotNull() | hinted.isNotNull(), "vector_store").otherwise(classify_endpoint(F.col("text"), F.col("dotted"), F.col("pair.p")))
     unsure = (kind == "llm_endpoint") | F.coalesce(F.col("stated").isNotNull() & (hinted != F.col("stated.t")), F.lit(False))
     variable = F.when(given != F.col("key"), given)
-    return [
-        _found(text.where(image), F.col("value"), "dependency", 0),
-        _found(text.where(model), F.col("text"), _model_type(F.col("dotted")), 0, F.col("text"), 0.95, True, env=variable),
-        _found(e, F.col("text"), kind, 0, None, F.when(unsure, 0.5).otherwise(0.95), unsure, env=given, technology=F.coalesce("stated.t", hinted)),
-        _found(text.where(maybe), F.col("text"), _model_type(F.col("dotted")), 0, F.col("text"), 0.5, True, env=variable),
-        _found(h.where("lower(key) = 'gpu' and type = 'int' and cast(value as int) > 0"), F.concat(F.lit("gpu:"), F.col("dotted")), "training_run", 0),
-    ]
-
-
-def _variables(rows: DataFrame, key: Column, value: Column, first: int) -> DataFrame:
+    is_text = F.col("type") == "text"
+    return [_all(
+        h,
+        _found(is_text & image, F.col("value"), "dependency", 0),
+        _found(is_text & model, F.col("text"), _model_type(F.col("dotted")), 0, F.col("text"), 0.95, True, env=variable),
+        _found(is_text & endpoint, F.col("text"), kind, 0, None, F.when(unsure, 0.5).otherwise(0.95), unsure, env=given, technology=F.coalesce("stated.t", hinted)),
+        _found(is_text & maybe, F.col("text"), _model_type(F.col("dotted")), 0, F.col("text"), 0.5, True, env=variable),
+        _found("lower(key) = 'gpu' and type = 'int' and try_cast(value as int) > 0", F.concat(F.lit("gpu:"), F.col("dotted")), "training_run", 0),
+    )]
+
+
+def _variables(test: Column | str, key: Column, value: Column, first: int) -> Column:
     """Components of variables that are known by name: env:NAME."""
     url = stripped(value).rlike("^https?://")
     held = F.coalesce(stripped(value), F.lit(""))
     kind = F.when(key.isin(*SECRETS), "secret").when(key.isin(*ENDPOINTS) & url, F.when(_technology(F.concat_ws(" ", key, held)).isNotNull(), "vector_store").otherwise(classify_endpoint(held, key))).otherwise(F.when(F.lower(held).startswith("text-embedding") | F.coalesce(F.col("embeds"), F.lit(False)) | _words_in(key, EMBEDDING), "embedding").otherwise("model"))
-    return _found(rows, F.concat(F.lit("env:"), key), kind, first, F.when(kind != "secret", F.when(held != "", held)), env=key)
+    return _found(test, F.concat(F.lit("env:"), key), kind, first, F.when(kind != "secret", F.when(held != "", held)), env=key)
 
 
 def _kubernetes(rows: DataFrame) -> list[DataFrame]:
     k = rows.where("shape = 'k8s'")
     named = (*SECRETS, *ENDPOINTS, *MODELS)
-    notes = k.where((F.col("kind") == "Service") & (F.size("at") == 3) & (F.slice("at", 1, 2) == _in("metadata", "annotations")) & F.col("known"))
-    data = k.where(F.col("kind").isin("ConfigMap", "Secret") & (F.size("at") == 2) & F.col("at")[0].isin("data", "stringData") & (F.col("type") == "text"))
+    notes = (F.col("kind") == "Service") & (F.size("at") == 3) & (F.slice("at", 1, 2) == _in("metadata", "annotations")) & F.col("known")
+    data = F.col("kind").isin("ConfigMap", "Secret") & (F.size("at") == 2) & F.col("at")[0].isin("data", "stringData") & (F.col("type") == "text")
     # A pod stands below spec.template.spec, or spec.spec.
     pod = F.array_position("at", "containers") + F.array_position("at", "initContainers")
     spec = (F.slice("at", 1, 3) == _in("spec", "template", "spec")) | (F.slice("at", 1, 2) == _in("spec", "spec"))
@@ -286,19 +320,22 @@ def _kubernetes(rows: DataFrame) -> list[DataFrame]:
     entry = env.where((F.col("key") == "name") & F.col("value").isin(*named)).drop("embeds").join(value, ["root", "path", "document", "entry"], "left").withColumn("embeds", F.col("_e"))
     trains = F.col("gpu") & F.col("kind").isin("Job", "CronJob") & _contains(F.col("value"), TRAINING)
     return [
-        _found(notes, F.col("text"), "model", 0, F.col("text"), 0.95),
-        _variables(data.where(F.col("key").isin(*named) & (F.col("text") != "")), F.col("key"), F.col("value"), 0), _found(data.where("known"), F.col("text"), "model", 1, F.col("text"), 0.95),
-        _found(image.where(is_ai_image(F.col("value"))), F.col("value"), "dependency", 0), _variables(entry, F.col("value"), F.col("given"), 0),
-        _found(image.where(trains), F.concat(F.lit("training:"), F.coalesce("box_name", F.lit("job"))), "training_run", 1),
+        _all(
+            k, _found(notes, F.col("text"), "model", 0, F.col("text"), 0.95),
+            _variables(data & F.col("key").isin(*named) & (F.col("text") != ""), F.col("key"), F.col("value"), 0), _found(data & F.col("known"), F.col("text"), "model", 1, F.col("text"), 0.95),
+        ),
+        _all(image, _found(is_ai_image(F.col("value")), F.col("value"), "dependency", 0), _found(trains, F.concat(F.lit("training:"), F.coalesce("box_name", F.lit("job"))), "training_run", 1)),
+        _all(entry, _variables("true", F.col("value"), F.col("given"), 0)),
     ]
 
 
 def _cloud(rows: DataFrame) -> list[DataFrame]:
     f = rows.where("shape = 'cloudformation'").withColumn("line", F.lit(1))
-    kind = f.where((F.col("at")[0] == "Resources") & (F.size("at") == 3) & (F.col("key") == "Type") & F.col("value").isin(*AWS))
+    is_kind = (F.col("at")[0] == "Resources") & (F.size("at") == 3) & (F.col("key") == "Type") & F.col("value").isin(*AWS)
+    kind = f.where(is_kind)
     own = f.where((F.col("at")[0] == "Resources") & (F.col("at")[2] == "Properties") & (F.col("type") == "text") & (F.col("text") != "")).withColumn("resource", F.col("at")[1])
     own = own.join(kind.select("root", "path", "document", F.col("at")[1].alias("resource")), ["root", "path", "document", "resource"], "left_semi").withColumn("low", F.lower("key"))
-    defaults = f.where((F.col("at")[0] == "Parameters") & (F.size("at") == 3) & (F.col("key") == "Default") & F.col("known"))
+    defaults = (F.col("at")[0] == "Parameters") & (F.size("at") == 3) & (F.col("key") == "Default") & F.col("known")
     a = rows.where("shape = 'arm'").withColumn("line", F.lit(1)).withColumn("resource", F.col("at")[1])
     azure = F.trim(F.split_part("value", F.lit("@"), F.lit(1)))
     typed = a.where((F.col("at")[0] == "resources") & (F.size("at") == 3) & (F.col("key") == "type") & azure.isin(*AZURE)).withColumn("is", azure)
@@ -309,29 +346,34 @@ def _cloud(rows: DataFrame) -> list[DataFrame]:
     deployed = inside.where((F.col("is") == AZURE[0]) & (F.col("at")[3] == "deployments") & (F.size("at") == 7) & (F.col("at")[5] == "model") & F.col("key").isin("name", "format") & (F.col("value") != "")).withColumn("entry", F.col("at")[4])
     first = deployed.groupBy("root", "path", "document", "resource", "entry").agg(F.max("key").alias("key"))
     deployed = deployed.join(first, ["root", "path", "document", "resource", "entry", "key"], "left_semi")
-    sku = inside.where((F.slice("at", 4, 2) == _in("sku", "name")) & (F.size("at") == 5) & F.col("value").rlike(ACCELERATED))
-    given = a.where((F.col("at")[0] == "parameters") & (F.size("at") == 3) & F.col("key").isin("defaultValue", "default") & F.col("known"))
+    sku = (F.slice("at", 4, 2) == _in("sku", "name")) & (F.size("at") == 5) & F.col("value").rlike(ACCELERATED)
+    given = (F.col("at")[0] == "parameters") & (F.size("at") == 3) & F.col("key").isin("defaultValue", "default") & F.col("known")
     return [
-        _found(kind, F.col("at")[1], "other", 0), _found(own.where("low in ('modelid', 'model_id', 'modelname', 'model_name')"), F.col("text"), "model", 0, F.col("text")),
-        _found(own.where(F.col("low").isin("instancetype", "instance_type") & F.col("value").rlike(ACCELERATED)), F.concat(F.lit("gpu_instance:"), "value"), "training_run", 0),
-        _found(own.where("contains(low, 's3') and contains(low, 'model') and startswith(value, 's3://')"), F.col("value"), "model_artifact", 0), _found(defaults, F.col("text"), "model", 0, F.col("text"), 0.95),
-        _found(typed, F.coalesce("called", F.lit("resource")), "other", 0), _found(deployed.where("known"), F.col("text"), "model", 0, F.col("text"), 0.95),
-        _found(sku, F.concat(F.lit("sku:"), "value"), "training_run", 0), _found(given, F.col("text"), "model", 0, F.col("text"), 0.95),
+        _all(f, _found(is_kind, F.col("at")[1], "other", 0), _found(defaults, F.col("text"), "model", 0, F.col("text"), 0.95)),
+        _all(
+            own, _found("low in ('modelid', 'model_id', 'modelname', 'model_name')", F.col("text"), "model", 0, F.col("text")),
+            _found(F.col("low").isin("instancetype", "instance_type") & F.col("value").rlike(ACCELERATED), F.concat(F.lit("gpu_instance:"), "value"), "training_run", 0),
+            _found("contains(low, 's3') and contains(low, 'model') and startswith(value, 's3://')", F.col("value"), "model_artifact", 0),
+        ),
+        _all(typed, _found("true", F.coalesce("called", F.lit("resource")), "other", 0)), _all(deployed, _found("known", F.col("text"), "model", 0, F.col("text"), 0.95)),
+        _all(inside, _found(sku, F.concat(F.lit("sku:"), "value"), "training_run", 0)), _all(a, _found(given, F.col("text"), "model", 0, F.col("text"), 0.95)),
     ]
 
 
 def _declared(rows: DataFrame) -> list[DataFrame]:
-    t = rows.where("shape = 'terraform'")
-    own = t.where((F.col("at")[0] == "resource") & F.col("at")[1].isin(*AWS, *AZURE, *GOOGLE))
-    fields = own.where("type = 'text' and text <> ''").withColumn("low", F.lower("key"))
-    default, local = t.where(F.col("at")[0] == "variable"), t.where((F.col("at")[0] == "locals") & _contains(F.col("key"), ("model", "image", "endpoint", "llm", "embedding", "gpu")))
+    t = rows.where("shape = 'terraform'").withColumn("low", F.lower("key"))
+    own = (F.col("at")[0] == "resource") & F.col("at")[1].isin(*AWS, *AZURE, *GOOGLE)
+    fields = own & F.expr("type = 'text' and text <> ''")
+    rest = (F.col("at")[0] == "variable") | ((F.col("at")[0] == "locals") & _contains(F.col("key"), ("model", "image", "endpoint", "llm", "embedding", "gpu")))
     b = rows.where("shape = 'bicep'")
     return [
-        _found(own.where("type = 'block'"), F.concat_ws(".", F.col("at")[1], F.col("at")[2]), "other", 0), _found(fields.where("low in ('model_id', 'model_name', 'model_data_url')"), F.col("value"), "model", 0, F.col("value")),
-        _found(fields.where(F.col("low").isin("image", "container_image") & is_ai_image(F.col("value"))), F.col("value"), "dependency", 0),
-        _found(fields.where((F.col("low") == "instance_type") & F.col("value").rlike(ACCELERATED)), F.concat(F.lit("gpu_instance:"), "value"), "training_run", 0),
-        *(_found(x.where("known"), F.col("text"), "model", 0, F.col("text"), 0.95) for x in (default, local)), *(_found(x.where(is_ai_image(F.col("value"))), F.col("value"), "dependency", 1) for x in (default, local)),
-        _found(b.where((F.col("at")[0] == "resource") & F.col("key").isin(*AZURE)), F.col("key"), "other", 0), _found(b.where((F.col("at")[0] == "param") & F.col("known")), F.col("text"), "model", 0, F.col("text"), 0.95),
+        _all(
+            t, _found(own & (F.col("type") == "block"), F.concat_ws(".", F.col("at")[1], F.col("at")[2]), "other", 0), _found(fields & F.expr("low in ('model_id', 'model_name', 'model_data_url')"), F.col("value"), "model", 0, F.col("value")),
+            _found(fields & F.col("low").isin("image", "container_image") & is_ai_image(F.col("value")), F.col("value"), "dependency", 0),
+            _found(fields & (F.col("low") == "instance_type") & F.col("value").rlike(ACCELERATED), F.concat(F.lit("gpu_instance:"), "value"), "training_run", 0),
+            _found(rest & F.col("known"), F.col("text"), "model", 0, F.col("text"), 0.95), _found(rest & is_ai_image(F.col("value")), F.col("value"), "dependency", 1),
+        ),
+        _all(b, _found((F.col("at")[0] == "resource") & F.col("key").isin(*AZURE), F.col("key"), "other", 0), _found((F.col("at")[0] == "param") & F.col("known"), F.col("text"), "model", 0, F.col("text"), 0.95)),
     ]
 
 
@@ -340,7 +382,8 @@ def components(files: DataFrame, models: DataFrame | None = None) -> DataFrame:
     needs_agentic, shape, place (the value's path), env_var, technology: one row for
     each file, line and name, that of its first value.  models: a registry's table;
     without one the patterns of known families count."""
-    rows = stored(_known(leaves(files).withColumn("text", stripped(F.col("value"))), models))
+    held = read(files) if models is None else stored(read(files))
+    rows = stored(_known(held.withColumn("text", stripped(F.col("value"))), models))
     found = reduce(DataFrame.unionByName, [*_helm(rows, files), *_kubernetes(rows), *_cloud(rows), *_declared(rows)])
     rest = [c for c in _OUT if c not in ("root", "path", "line", "name", "first")]
     best = found.groupBy("root", "path", "line", "name").agg(F.min_by(F.struct(*rest), F.struct(F.col("first.ord"), F.col("first.rule"))).alias("m"))

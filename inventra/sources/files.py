@@ -68,6 +68,10 @@ def spread(files: DataFrame) -> DataFrame:
     return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root", "path")
 
 
+#: What a parser may raise at a file that can't be read.
+UNREAD = (ValueError, KeyError, TypeError, AttributeError, RecursionError, SyntaxError)
+
+
 def parsed(files: DataFrame, parse, schema: str) -> DataFrame:
     """``parse(root, path, content)`` yields rows of ``schema``; a file that
     can't be read gives none.  ord numbers rows within their file.  How many there
@@ -81,7 +85,7 @@ def parsed(files: DataFrame, parse, schema: str) -> DataFrame:
             for root, path, content in zip(*(batch[c].to_pylist() for c in ("root", "path", "content")), strict=True):
                 try:
                     found = list(parse(root, path, content or ""))
-                except (ValueError, KeyError, TypeError, AttributeError, RecursionError, SyntaxError):
+                except UNREAD:
                     found = []
                 rows += [(root, path, *r, i) for i, r in enumerate(found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(arrow)], schema=arrow)

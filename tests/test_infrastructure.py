@@ -4,6 +4,7 @@ import pytest
 
 from inventra.operators import extract
 from inventra.operators import infrastructure as I
+from inventra.tables import stored
 
 POD = "apiVersion: v1\nkind: {kind}\nspec:\n  template:\n    spec:\n      containers:\n"
 #: path, content and what is found: line, name, type, model, confidence, variable, technology (the last as far as given).
@@ -66,3 +67,19 @@ def test_documents_are_read_by_the_parser_in_c(monkeypatch):
     plain = [[x for x in yaml.safe_load_all(t) if x is not None] for t in texts]
     monkeypatch.setattr(yaml.SafeLoader, "__init__", lambda *a: 1 / 0)
     assert [yaml_documents(t) for t in texts] == plain
+
+
+def test_files_are_read_once_and_rules_share_passes(spark):
+    """What grows with the files: one pass of Python in all, no join for the registry's patterns, and one pass over rows for rules of the same rows."""
+    from unittest import mock
+
+    files, made = spark.createDataFrame([("r", "a.yaml", "x: 1\n")], "root string, path string, content string"), []
+
+    def keep(df):
+        made.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    with mock.patch.object(I, "stored", keep):
+        plan = I.components(files)._jdf.queryExecution().executedPlan().toString()
+    assert len(made) == 1 and made[0].count("MapInArrow") == 1 and "Join" not in made[0]
+    assert "MapInArrow" not in plan and plan.count("Generate inline") <= 12

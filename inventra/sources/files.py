@@ -10,6 +10,7 @@ import json
 import re
 import tomllib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -506,23 +507,117 @@ def without_ignored(files: DataFrame, rules: list[str]) -> DataFrame:
     return files.where(~out)
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_DECODE = json.JSONDecoder().raw_decode
+
+
+def _after(text: str, at: int) -> tuple[str, int]:
+    """The next character that isn't white space, and its place."""
+    at = _SPACE.match(text, at).end()
+    return text[at : at + 1], at
+
+
+def _next(text: str, at: int, end: str) -> tuple[bool, int]:
+    """Whether a list or object goes on after a member, and the place behind what says so."""
+    mark, at = _after(text, at)
+    if mark not in (",", end) or not mark:
+        raise ValueError("not JSON")
+    return mark == ",", at + 1
+
+
+def _items(text: str, at: int) -> Iterator[tuple[int, object]]:
+    """(place behind it, item) of a list, one decoded at a time; at last the list's end and None."""
+    mark, begin = _after(text, at + 1)
+    more, at = mark != "]", begin + (mark == "]")
+    while more:
+        item, at = _DECODE(text, _after(text, at)[1])
+        yield at, item
+        more, at = _next(text, at, "]")
+    yield at, None
+
+
+def _outline(text: str, at: int, depth: int) -> tuple[int, tuple[int, dict | None]]:
+    """The end of a value, its place, and of an object its members' outlines to a
+    depth.  What lies in lists is decoded to be checked and let go."""
+    mark, begin = _after(text, at)
+    if mark == "[":
+        for at, _ in _items(text, begin):
+            pass
+        return at, (begin, None)
+    if mark != "{" or not depth:
+        return _DECODE(text, begin)[1], (begin, None)
+    members: dict[str, tuple] = {}
+    mark, at = _after(text, begin + 1)
+    more, at = mark != "}", at + (mark == "}")
+    while more:
+        mark, at = _after(text, at)
+        if mark != '"':
+            raise ValueError("not JSON")
+        key, at = _DECODE(text, at)
+        mark, at = _after(text, at)
+        if mark != ":":
+            raise ValueError("not JSON")
+        at, members[key] = _outline(text, at + 1, depth - 1)
+        more, at = _next(text, at, "}")
+    return at, (begin, members)
+
+
+def _report(text: str) -> Iterator[tuple]:
+    """A report's components, one at a time."""
+    end, (_, top) = _outline(text, 0, 4)
+    if top is None or _after(text, end)[0]:
+        raise ValueError("not a report")
+    value = lambda node: _DECODE(text, node[0])[0]
+    sources = top.get("sources")
+    if sources and sources[1] is None and value(sources):
+        raise TypeError("sources are no object")
+    for key, (_, src) in ((sources and sources[1]) or {}).items():
+        if src is None:
+            raise TypeError("a source is no object")
+        source = str(("source_path" in src and value(src["source_path"])) or key)
+        held = src.get("components", (0, src))
+        for kind, (place, members) in held[1].items() if held[1] is not None else [(None, held)]:
+            rows = members if members is not None else (r for _, r in _listed(text, place)) if text[place] == "[" else value((place, None))
+            for r in rows:
+                yield source, r.get("component_type") or kind, r.get("name"), r.get("file_path") or "", int(r.get("line_number") or 0), r.get("model_name")
+
+
+def _listed(text: str, at: int) -> Iterator[tuple[int, object]]:
+    """``_items`` without the end."""
+    held = None
+    for now in _items(text, at):
+        if held is not None:
+            yield held
+        held = now
+
+
+_ROWS = 10_000
+
+
 def read_reports(reports: DataFrame) -> DataFrame:
     """Components of written reports (report, content as JSON): source, type,
     name, file_path, line_number, model_name and ord, whether they stand by type
-    or in one list."""
-    import json as reader
+    or in one list.  A report may be large, so beside its text no more than a batch of
+    its components is held: it is read once to see that all of it can be, and once more
+    to give its rows."""
+    kind = StructType.fromDDL("report string, source string, component_type string, name string, file_path string, line_number int, model_name string, ord int")
+    arrow = to_arrow_schema(kind)
 
-    def parse(root, path, content):
-        doc = reader.loads(content)
-        for key, src in (doc.get("sources") or {}).items():
-            held = src if isinstance(src, dict) and ("components" not in src) else src.get("components", [])
-            groups = held.items() if isinstance(held, dict) else [(None, held)]
-            for kind, rows in groups:
-                for r in rows:
-                    yield str((src.get("source_path") if isinstance(src, dict) else None) or key), r.get("component_type") or kind, r.get("name"), r.get("file_path") or "", int(r.get("line_number") or 0), r.get("model_name")
-
-    own = reports.select(F.col("report").alias("root"), F.lit("").alias("path"), "content")
-    return parsed(own, parse, "source string, component_type string, name string, file_path string, line_number int, model_name string").withColumnRenamed("root", "report").drop("path")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for report, content in zip(batch["report"], batch["content"], strict=True):
+                report, content = report.as_py(), content.as_py() or ""
+                try:
+                    for _ in _report(content):
+                        pass
+                except UNREAD:
+                    continue
+                found = enumerate(_report(content))
+                while rows := [(report, *r, i) for i, r in islice(found, _ROWS)]:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(arrow)], schema=arrow)
+
+    own = reports.select("report", "content")
+    return own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "report").mapInArrow(run, kind).hint("merge")
 
 
 def infrastructure_names(files: DataFrame) -> DataFrame:

@@ -63,3 +63,27 @@ def test_abort_leaves_nothing(tmp_path):
     (tmp_path / writer.parts.rsplit("/", 1)[1]).mkdir()
     writer.abort([])
     assert list(tmp_path.iterdir()) == []
+
+
+def test_a_report_is_read_item_by_item():
+    """The rows of a whole decoding, also of odd reports, with far less than its objects in memory."""
+    import json
+    import tracemalloc
+
+    import pytest
+
+    from inventra.sources.files import _report
+
+    big = json.dumps({"v": [1, {}], "sources": {"a": {"components": {"model": [{"name": f"n{i}", "line_number": i, "x": {"y": [i]}} for i in range(30_000)], "none": []}, "source_path": "p"}, "b": {"components": [{"component_type": "tool", "name": "é"}]}, "c": {"tool": [{}]}}}, indent=1)
+    tracemalloc.start()
+    try:
+        n = sum(1 for _ in _report(big))
+        assert n == 30_002 and tracemalloc.get_traced_memory()[1] < 200_000
+    finally:
+        tracemalloc.stop()
+    rows = list(_report(big))
+    assert rows[29_999] == ("p", "model", "n29999", "", 29_999, None) and rows[30_000:] == [("b", "tool", "é", "", 0, None), ("c", "tool", None, "", 0, None)]
+    assert list(_report('{"sources": {"a": {"components": [{"name": 1}]}, "a": {}}}')) == [] and list(_report('{"sources": null}')) == [] == list(_report(" {} "))
+    for odd in ("", "[]", "{", "{} x", '{"sources": [1]}', '{"sources": {"a": 1}}', '{"sources": {"a": {"components": [1]}}}', '{"sources": {"a": {"components": [{},]}}}', '{"sources": {"a": {"k": "x"}}}', '{"sources": {"a": {"k": null}}}', '{"a": 1,}', '{"sources": {"a": {"k": [{"line_number": "x"}]}}}'):
+        with pytest.raises((ValueError, TypeError, AttributeError)):
+            list(_report(odd))

@@ -25,3 +25,9 @@ def test_what_is_found(spark):
     assert got == {p: want for p, _, want in CASES if want}
     assert extract.SCANNERS["pipelines"](files).columns == extract.COLUMNS
     assert pipelines.components(files.limit(0)).collect() == []
+
+
+def test_known_models_need_no_join(spark):
+    """Names of models are told by patterns alone: the one join is that of steps with their names."""
+    files = spark.createDataFrame([(p, t) for p, t, _ in CASES], "path string, content string").selectExpr("'r' as root", "*")
+    assert pipelines.components(files)._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") <= 1

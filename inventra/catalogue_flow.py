@@ -26,7 +26,7 @@ _LISTS = (
 _LOOP = "for tool in T%k:\n    server.add_tool(Tool.from_function(tool))\n"
 
 
-def _filled(text: str, **by: Column) -> Column:
+def _filled(text: Column | str, **by: Column) -> Column:
     out = F.lit(text)
     for name, value in by.items():
         out = F.replace(out, F.lit(f"%{name}"), value.cast("string"))
@@ -191,9 +191,10 @@ _CI = (
 select 'p' || k || case v when 0 then '/.github/workflows/a' || k || '.yml' else '/.gitlab-ci.yml' end as path, case when line > 0 then line + pad else 0 end as line, replace(name, '%', k::varchar) as name, component_type, framework, replace(model_name, '%', k::varchar) as model_name, cast(confidence as double) as confidence, case when component_type <> 'secret' then replace(job, '%', k::varchar) end as job from f join m using (v)""")
 def ci_assets(spark, d):
     k = F.col("p_partkey")
-    pick = lambda values: F.element_at(F.array(*values), (k % 3 + 1).cast("int"))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % 3 + 1).cast("int"))
     pad = F.repeat(F.lit("\n"), (F.col("p_size") % 3).cast("int"))
-    files = _t(spark, d, "part").select(F.lit("r").alias("root"), F.concat(F.lit("p"), k.cast("string"), F.lit("/"), pick([_filled(p, k=k) for p, _ in _CI])).alias("path"), F.concat(pad, pick([_filled(t, k=k) for _, t in _CI])).alias("content"))
+    # One text is picked and then filled, not each of them filled.
+    files = _t(spark, d, "part").select(F.lit("r").alias("root"), F.concat(F.lit("p"), k.cast("string"), F.lit("/"), _filled(pick([p for p, _ in _CI]), k=k)).alias("path"), F.concat(pad, _filled(pick([t for _, t in _CI]), k=k)).alias("content"))
     return pipelines.components(files).drop("root", "needs_agentic")
 
 

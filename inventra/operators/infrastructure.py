@@ -56,6 +56,7 @@ WORKLOADS = ("Deployment", "StatefulSet", "Job", "CronJob")
 #: The parser in C where it is there; nodes and lines are the same.
 LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 LEAVES = "shape string, document int, kind string, at array<string>, key string, value string, type string, line int"
+_KINDS = {"str": "text", "int": "int", "bool": "bool", "float": "float", "null": "null"}
 _ASSIGNED = re.compile(r"(?m)^\s*([a-zA-Z_]\w*)\s*=\s*\"([^\"]*)\"")
 
 
@@ -80,22 +81,28 @@ def _plain(node) -> object:
     return {k.value: {x.value: y.value for x, y in v.value if isinstance(y, yaml.ScalarNode)} | {x.value: _plain(y) for x, y in v.value if isinstance(y, yaml.MappingNode)} if isinstance(v, yaml.MappingNode) else _plain(v) for k, v in node.value if isinstance(k, yaml.ScalarNode)}
 
 
-def leaves_of(node, at: tuple[str, ...], seen: frozenset = frozenset()) -> Iterator[tuple[tuple[str, ...], str, str, int]]:
+def leaves_of(node, at: tuple[str, ...]) -> list[tuple[tuple[str, ...], str, str, int]]:
     """(path, value, type, line) of all scalars below a node; one that holds itself ends there."""
-    if id(node) in seen:
-        return
-    seen |= {id(node)}
-    if isinstance(node, yaml.MappingNode):
-        for k, v in node.value:
-            if isinstance(k, yaml.ScalarNode):
-                line = k.start_mark.line + 1
-                yield from ((p, value, kind, at_line if len(p) > len(at) + 1 else line) for p, value, kind, at_line in leaves_of(v, (*at, k.value), seen))
-    elif isinstance(node, yaml.SequenceNode):
-        for i, v in enumerate(node.value):
-            yield from leaves_of(v, (*at, f"[{i}]"), seen)
-    else:
-        kind = {"str": "text", "int": "int", "bool": "bool", "float": "float", "null": "null"}.get(node.tag.rsplit(":", 1)[-1], "tagged")
-        yield at, node.value, kind, node.start_mark.line + 1
+    found: list[tuple] = []
+    above: set[int] = set()
+
+    def walk(node, at: tuple[str, ...], line: int | None) -> None:
+        if isinstance(node, yaml.ScalarNode):
+            kind = _KINDS.get(node.tag.rsplit(":", 1)[-1], "tagged")
+            found.append((at, node.value, kind, node.start_mark.line + 1 if line is None else line))
+        elif id(node) not in above:
+            above.add(id(node))
+            if isinstance(node, yaml.MappingNode):
+                for k, v in node.value:
+                    if isinstance(k, yaml.ScalarNode):
+                        walk(v, (*at, k.value), k.start_mark.line + 1)
+            else:
+                for i, v in enumerate(node.value):
+                    walk(v, (*at, f"[{i}]"), None)
+            above.discard(id(node))
+
+    walk(node, at, None)
+    return found
 
 
 def _block(text: str, opening: int) -> str:

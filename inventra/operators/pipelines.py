@@ -5,6 +5,7 @@ once, and rules are selections of them."""
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,21 +30,32 @@ SCRIPTS = ("script", "before_script", "after_script")
 _MODEL = r"\b(?:model|model_name|model_id|MODEL)\s*[:=]\s*['\"]?([a-zA-Z0-9_./-]+)"
 _DEFAULT = r"\$\{\{\s*secrets\.\w+\s*\|\|\s*'([^']+)'\s*\}\}"
 _KEY = re.compile(r"\b(" + "|".join(KEYS) + r")\b")
-LEAVES = "system string, kind string, at array<string>, value string, line int"
+LEAVES = "system string, kind string, at array<string>, value string, line int, beside array<string>"
 
 
 def leaves(files: DataFrame) -> DataFrame:
-    """system (actions or jobs), kind (leaf, or key for a provider's key anywhere in
-    the file), path, value and line."""
+    """system (actions or jobs), kind (leaf, script for all of a job's script, or key for
+    a provider's key anywhere in the file), path, value, line, and what stands beside it
+    in the file: of what a step runs the step's names, of a script its lines."""
     def parse(root: str, path: str, content: str) -> Iterator[tuple]:
         node = next(iter(yaml.compose_all(content, Loader=LOADER)), None)
         if isinstance(node, yaml.MappingNode):
             system = "jobs" if path.rsplit("/", 1)[-1] == ".gitlab-ci.yml" else "actions"
-            held = [(system, "leaf", list(at), value, line) for at, value, kind, line in leaves_of(node, ()) if kind == "text"]
+            held = [(at, value, line) for at, value, kind, line in leaves_of(node, ()) if kind == "text"]
             # Keys are looked for where there are jobs at all.
             if system == "jobs" or any(k.value == "jobs" and isinstance(v, yaml.MappingNode) for k, v in node.value):
-                yield from held
-                yield from ((system, "key", [], m[1], content.count("\n", 0, m.start()) + 1) for m in _KEY.finditer(content))
+                names, scripts = defaultdict(list), defaultdict(list)
+                for at, value, _ in held:
+                    if system == "actions" and len(at) == 5 and at[4] == "name":
+                        names[at[:4]].append(value)
+                    elif system == "jobs" and len(at) == 3 and at[1] in SCRIPTS and at[2].startswith("["):
+                        scripts[at[:2]].append(value)
+                yield from ((system, "leaf", at, value, line, names[at[:4]] if at[-1] == "run" else None) for at, value, line in held)
+                yield from ((system, "script", at, None, 0, lines) for at, lines in scripts.items())
+                line, past = 1, 0
+                for m in _KEY.finditer(content):
+                    line, past = line + content.count("\n", past, m.start()), m.start()
+                    yield system, "key", (), m[1], line, None
 
     def read(*file: str) -> list[tuple]:
         try:
@@ -54,46 +66,60 @@ def leaves(files: DataFrame) -> DataFrame:
     return parsed(files.where(F.col("path").rlike(r"(^|/)(\.github/workflows/.*\.ya?ml|\.gitlab-ci\.yml)$")), read, LEAVES)
 
 
-_OUT = ["root", "path", "line", "name", "component_type", "framework", "model_name", "confidence", "needs_agentic", "job", "ord"]
+_OUT = ["line", "name", "component_type", "framework", "model_name", "confidence", "needs_agentic", "job", "asked"]
 
 
-def _found(rows: DataFrame, name: Column, kind: Column | str, framework: str = "", model: bool = False, confidence: float = 1.0, line: Column | int = 0) -> DataFrame:
+def _told(name: Column, kind: Column | str, framework: str = "", model: bool = False, confidence: float = 1.0, line: Column | int = 0, job: Column | None = None, asked: bool = False) -> Column:
+    """A component; asked: only if the registry knows it."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    values = [lit(line), name, lit(kind), F.lit(framework), name if model else F.lit(None).cast("string"), F.lit(confidence), F.lit(model), F.col("job"), F.col("ord")]
-    return rows.select("root", "path", *(v.alias(c) for v, c in zip(values, _OUT[2:], strict=True)))
+    none = F.lit(None).cast("string")
+    values = [lit(line), name, lit(kind), F.lit(framework), name if model else none, F.lit(confidence), F.lit(model), none if job is None else job, F.lit(asked)]
+    return F.struct(*(v.alias(c) for v, c in zip(values, _OUT, strict=True)))
 
 
 def components(files: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """root, path, line, name, component_type, framework, model_name, confidence,
-    needs_agentic, job.  Only keys have a line."""
-    rows = stored(leaves(files))
-    a = rows.where("system = 'actions' and kind = 'leaf' and at[0] = 'jobs'").withColumn("job", F.col("at")[1])
-    image = F.slice("at", 3, 9)
-    containers = a.where(((image == F.array(F.lit("container"))) | (image == F.array(F.lit("container"), F.lit("image")))) & F.col("value").rlike(IMAGES))
-    steps = a.where("at[2] = 'steps' and size(at) > 4").withColumn("step", F.col("at")[3])
-    field = lambda name: steps.where((F.size("at") == 5) & (F.col("at")[4] == name))
-    uses = field("uses").where(reduce(Column.__or__, [F.col("value").startswith(p) for p in ACTIONS]))
-    names = field("name").select("root", "path", "job", "step", F.col("value").alias("called"))
-    runs = field("run").where(F.col("value").rlike(STEPS)).join(names, ["root", "path", "job", "step"], "left")
-    kind = F.when(F.col("value").rlike(TRAINS), "training_run").otherwise("ml_pipeline")
-    named = steps.withColumn("value", F.explode(F.regexp_extract_all("value", F.lit(_MODEL), 1))).where("contains(value, '-') or (contains(value, '/') and length(value) >= 3)")
-    given = steps.where("size(at) = 6 and at[4] = 'env'").withColumn("model", F.trim(F.regexp_extract("value", _DEFAULT, 1))).where("length(model) >= 3")
-    given = lookup(given, models).where("source is not null")
-
-    j = rows.where("system = 'jobs' and kind = 'leaf'").withColumn("job", F.col("at")[0]).where(~F.col("job").startswith(".") & ~F.col("job").isin(*NO_JOBS))
-    own = F.slice("at", 2, 9)
-    images = j.where(((own == F.array(F.lit("image"))) | (own == F.array(F.lit("image"), F.lit("name")))) & F.col("value").rlike(IMAGES))
-    lines = j.where((F.size("at") == 3) & F.col("at")[1].isin(*SCRIPTS) & F.col("at")[2].startswith("[") & F.col("value").rlike(STEPS))
-    # The first line of each script that says what a job is for.
-    first = lines.groupBy("root", "path", "job", F.col("at")[1].alias("script")).agg(F.min(F.struct("ord", "value")).alias("m")).select("root", "path", "job", "m.*")
-    keys = rows.where("kind = 'key'").withColumn("job", F.lit(None).cast("string"))
-    value = F.col("value")
-    found = [
-        _found(keys, value, "secret", line=F.col("line")), _found(containers, value, "dependency", "docker"), _found(uses, F.split_part(value, F.lit("@"), F.lit(1)), "dependency", "github_actions"),
-        _found(runs, F.coalesce("called", F.lit("AI-related step")), kind), _found(named, value, "model", model=True, confidence=0.5), _found(given, F.col("model"), "model", model=True, confidence=0.7),
-        _found(images, value, "dependency", "docker"), _found(first, F.col("job"), kind),
+    needs_agentic, job.  Only keys have a line.  What rules need of a file stands in one
+    row, so all of them share one pass, and nothing is stored or joined but a registry's table."""
+    rows = leaves(files)
+    at, value, beside, n = F.col("at"), F.col("value"), F.col("beside"), F.size("at")
+    place = lambda i: F.get(at, F.lit(i))
+    kind = lambda c: F.when(c.rlike(TRAINS), "training_run").otherwise("ml_pipeline")
+
+    # Rules of actions: of a job's leaves, and of those in its steps.
+    job = place(1)
+    action = F.expr("system = 'actions' and kind = 'leaf'") & (place(0) == "jobs")
+    container = (F.slice(at, 3, 9) == F.array(F.lit("container"))) | (F.slice(at, 3, 9) == F.array(F.lit("container"), F.lit("image")))
+    step = action & (place(2) == "steps") & (n > 4)
+    field = lambda name: step & (n == 5) & (place(4) == name)
+    uses = field("uses") & reduce(Column.__or__, [value.startswith(p) for p in ACTIONS])
+    called = F.when(F.size(beside) > 0, beside).otherwise(F.array(F.lit("AI-related step")))
+    named = F.filter(F.regexp_extract_all(value, F.lit(_MODEL), 1), lambda m: m.contains("-") | (m.contains("/") & (F.length(m) >= 3)))
+    given = F.trim(F.regexp_extract(value, _DEFAULT, 1))
+
+    # Rules of jobs; the first line of each script that says what a job is for counts.
+    own = place(0)
+    is_job = (F.col("system") == "jobs") & ~own.startswith(".") & ~own.isin(*NO_JOBS)
+    image = (F.slice(at, 2, 9) == F.array(F.lit("image"))) | (F.slice(at, 2, 9) == F.array(F.lit("image"), F.lit("name")))
+    first = F.get(F.filter(beside, lambda x: x.rlike(STEPS)), F.lit(0))
+    script = F.when(is_job & (F.col("kind") == "script"), first)
+
+    one = [
+        F.when(F.col("kind") == "key", _told(value, "secret", line=F.col("line"))),
+        F.when(action & container & value.rlike(IMAGES), _told(value, "dependency", "docker", job=job)),
+        F.when(uses, _told(F.split_part(value, F.lit("@"), F.lit(1)), "dependency", "github_actions", job=job)),
+        F.when(step & (n == 6) & (place(4) == "env") & (F.length(given) >= 3), _told(given, "model", model=True, confidence=0.7, job=job, asked=True)),
+        F.when(is_job & (F.col("kind") == "leaf") & image & value.rlike(IMAGES), _told(value, "dependency", "docker", job=own)),
+        F.when(script.isNotNull(), _told(own, kind(script), job=own)),
     ]
-    return reduce(DataFrame.unionByName, found).drop("ord")
+    several = [
+        F.when(field("run") & value.rlike(STEPS), F.transform(called, lambda c: _told(c, kind(value), job=job))),
+        F.when(step, F.transform(named, lambda m: _told(m, "model", model=True, confidence=0.5, job=job))),
+    ]
+    found = rows.select("root", "path", F.inline(F.flatten(F.array_compact(F.array(F.array_compact(F.array(*one)), *several)))))
+    found = found.withColumn("model", F.when(F.col("asked"), F.col("model_name")))
+    told = lookup(found if models is None else stored(found), models).where("not asked or source is not null")
+    return told.select("root", "path", *_OUT[:-1])
 
 
 @scanner("pipelines")

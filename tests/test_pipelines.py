@@ -31,3 +31,29 @@ def test_known_models_need_no_join(spark):
     """Names of models are told by patterns alone: the one join is that of steps with their names."""
     files = spark.createDataFrame([(p, t) for p, t, _ in CASES], "path string, content string").selectExpr("'r' as root", "*")
     assert pipelines.components(files)._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") <= 1
+
+
+def test_all_rules_share_one_pass(spark):
+    """One exchange spreads the files; what is found needs no other, no join and no second pass."""
+    files = spark.createDataFrame([(p, t) for p, t, _ in CASES], "path string, content string").selectExpr("'r' as root", "*")
+    plan = pipelines.components(files)._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange"), plan.count("MapInArrow"), plan.count("Join"), plan.count("FileScan")) == (1, 1, 0, 0)
+
+
+def test_jobs_that_are_texts_and_keys_given_twice(spark):
+    texts = [
+        (HUB + "text.yml", "jobs: {a: torch, b: {steps: torch}, c: {container: vllm}}\n"), (HUB + "list.yml", "jobs: {}\njobs: [torch]\njobs: torch\n"),
+        (HUB + "twice.yml", "jobs:\n  a:\n    steps:\n    - {name: x, run: torch, name: y}\n  a:\n    steps:\n    - run: train\n"),
+        (LAB, "a:\n  script: [ls, dvc pull]\na:\n  script: [train]\n  before_script: {'[x': train}\nb: torch\nc: [vllm]\n"),
+    ]
+    files = spark.createDataFrame(texts, "path string, content string").selectExpr("'r' as root", "*")
+    got = sorted((r.path, r.name, r.component_type, r.job) for r in pipelines.components(files).collect())
+    steps = [(HUB + "twice.yml", name, kind, "a") for name in ("x", "y") for kind in ("ml_pipeline", "training_run")]
+    assert got == sorted([(HUB + "text.yml", "vllm", "dependency", "c"), *steps, (LAB, "a", "ml_pipeline", "a"), (LAB, "a", "training_run", "a")])
+
+
+def test_models_of_a_registry(spark):
+    files = spark.createDataFrame([("r", p, t) for p, t, _ in CASES if p == HUB + "env.yml"], "root string, path string, content string")
+    models = spark.createDataFrame([("nothing here", "own", "chat", False, 0)], "model string, provider string, mode string, deprecated boolean, ord int")
+    got = {(r.name, r.component_type, r.model_name, r.needs_agentic) for r in pipelines.components(files, models).collect()}
+    assert got == {("gpt-4o", "model", "gpt-4o", True), ("nothing here", "model", "nothing here", True), ("OPENAI_API_KEY", "secret", None, False)}

@@ -87,3 +87,30 @@ def test_a_round_follows_several_edges(spark, monkeypatch):
     got = flow.registered(sites, spark.createDataFrame([("r", p, t) for p, t in tree.items()], "root string, path string, content string"))
     assert sorted(r.name for r in got.collect()) == ["f0", "f1", "f2", "f3", "f4"]
     assert len(rounds) <= 8
+
+
+def test_what_many_loops_lead_to_is_walked_once(spark, monkeypatch):
+    """A loop over each list of a chain: the walk has some rows for each module, not for each pair of them."""
+    tree = {f"p/m{i}.py": (f"from .m{i - 1} import T{i - 1}\n" if i else "T0 = 1\n") + f"def f{i}(): pass\nT{i} = [f{i}{f', *T{i - 1}' if i else ''}]\n" + LOOP.format(f"T{i}") for i in range(6)}
+    rows, remove = [], flow.removed
+
+    def counted(spark, path):
+        held = spark.read.parquet(path)
+        if "mode" in held.columns:
+            rows.append(held.count())
+        remove(spark, path)
+
+    monkeypatch.setattr(flow, "removed", counted)
+    sites = spark.createDataFrame([(i, "r", f"p/m{i}.py", 5, "tool") for i in range(6)], "id int, root string, path string, line int, name string")
+    got = flow.registered(sites, spark.createDataFrame([("r", p, t) for p, t in tree.items()], "root string, path string, content string"))
+    assert sorted((r.id, r.name) for r in got.collect()) == [(i, f"f{j}") for i in range(6) for j in range(i + 1)]
+    assert len(rows) == 1 and rows[0] <= 36
+
+
+def test_facts_that_nothing_leads_to_go():
+    """An argument stays, as a parameter may lead to it; the call around it and its object don't."""
+    text = "T = [f, *(g, h)]\ndef f(): return 1\nserver.add_tool(T)\n"
+    rows = list(flow._shortened(list(flow._facts("r", "a.py", text)), "a.py"))
+    assert {r[0] for r in rows} == {"edge", "def", "arg", "return"}
+    # The list is met from the name alone, so its elements are one step away.
+    assert sorted((r[1], r[2], r[10]) for r in rows if r[0] == "edge" and r[1] == "a.py@T") == [("a.py@T", "a.py@f", 2)]
